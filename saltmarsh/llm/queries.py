@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saltmarsh.llm import packing, tokens
+from saltmarsh.llm import decontam, packing, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": packing.op2,
+    "op4_benchmark_decontamination": decontam.op4,
     "op9_token_counts": tokens.op9,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_benchmark_decontamination": decontam.SQL,
+}
