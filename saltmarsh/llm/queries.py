@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saltmarsh.llm import decontam, ngram_join, packing, tokens
+from saltmarsh.llm import decontam, language, ngram_join, packing, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": packing.op2,
     "op4_benchmark_decontamination": decontam.op4,
     "op6_ngram_jaccard_join": ngram_join.op6,
+    "op7_language_id": language.op7,
     "op9_token_counts": tokens.op9,
 }
 
