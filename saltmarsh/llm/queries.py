@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saltmarsh.llm import decontam, language, ngram_join, packing, tokens
+from saltmarsh.llm import decontam, language, ngram_join, packing, pii, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_surrogates": pii.op1,
     "op2_best_fit_packing": packing.op2,
     "op4_benchmark_decontamination": decontam.op4,
     "op6_ngram_jaccard_join": ngram_join.op6,
