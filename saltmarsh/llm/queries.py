@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saltmarsh.llm import decontam, language, ngram_join, packing, pii, tokens
+from saltmarsh.llm import decontam, language, ngram_join, packing, pii, quality, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": pii.op1,
@@ -14,7 +14,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_benchmark_decontamination": decontam.op4,
     "op6_ngram_jaccard_join": ngram_join.op6,
     "op7_language_id": language.op7,
+    "op8_quality_rules": quality.op8,
     "op9_token_counts": tokens.op9,
+    "op10_toxicity": toxicity.op10,
 }
 
 SQL: dict[str, str] = {
