@@ -2,10 +2,14 @@
 
 Documents with equal sets are one class. Shingles are ordered from rare to frequent; sets that share three
 quarters of their union share one of the first n - ceil(3n/4) + 1 shingles of that order. Classes with the
-same such prefix and the same size are one group. Groups that share a prefix shingle are paired, expanded
-into classes, and verified with the whole sets. Components need no pair twice: in a long list each group is
-paired with the list's first group, links join classes into components, and only pairs of different
-components are made and verified after that.
+same such prefix and the same size are one group. Groups that share a prefix shingle are paired; a bound of
+the overlap, from counts of the shingles by hash, drops most pairs that only share a passage; the others are
+expanded into classes and verified with the whole sets.
+
+Long lists aren't paired in full: every member is paired with the list's most connected one. Lists and groups
+with members in common are families; in a family whose members those links leave in different components,
+all members outside the largest component are compared with the whole sets of the family, in blocks. So no
+link between different components is lost, and none inside a component is made twice.
 
 Defined results: null texts and texts without words have size 0 and stand alone; fewer words than a shingle
 are one shingle; repeated rows share a component; a null doc_id is never a component's smallest id unless all
@@ -28,10 +32,12 @@ from saltmarsh.llm.decontam import bits_of, passes
 
 #: Counters that order the shingles: an upper bound of a shingle's documents. Any order gives the same links; a fixed size bounds what is broadcast.
 COUNTERS = 1 << 20
-#: Lists up to this length are paired in full at once.
+#: Lists up to this length are paired in full.
 SHORT_LIST = 8
 #: Entries for one task; the number of buckets follows from it. Longer lists are dealt to several.
 BUCKET = 300_000
+#: Members of a family in one block.
+BLOCK = 1000
 #: Prefix shingles from here on may be in as many documents as the counters can tell.
 HOT_KEY = np.uint64(65535 << 48)
 EMPTY = np.zeros(0, np.uint64)
@@ -97,18 +103,35 @@ def _group(keys: np.ndarray, n: int) -> int:
     return fingerprint(keys) ^ n
 
 
+def signature(s: np.ndarray) -> bytes:
+    """How many of the shingles fall into each hash class; about four a class."""
+    k = 1 << max(3, (len(s) // 4).bit_length())
+    return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) & (k - 1), minlength=k), 255).astype(np.uint8).tobytes()
+
+
+def overlap_bound(a: bytes, b: bytes) -> int:
+    """No two sets with these signatures have more shingles in common."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if (len(x) and x.max() == 255) or (len(y) and y.max() == 255):
+        return 1 << 40
+    k = min(len(x), len(y))
+    x, y = x.reshape(-1, k).sum(0, dtype=np.int64), y.reshape(-1, k).sum(0, dtype=np.int64)
+    return int(np.minimum(x, y).sum())
+
+
 def _groups(texts: DataFrame, k: int, percent: int, counters) -> DataFrame:
-    """fp, gid and n of each class: gid is of its prefix and size."""
+    """fp, gid, n and signature of each class: gid is of its prefix and size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[int, tuple[int, int]] = {}
+            seen: dict[int, tuple[int, int, bytes]] = {}
             for s in shingle_sets(common.as_bytes(batch.column("text")), k):
                 if len(s) and (fp := fingerprint(s)) not in seen:
-                    seen[fp] = _group(_prefix(s, counters.value, percent), len(s)), len(s)
-            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array([g for g, _ in seen.values()], pa.int64()), pa.array([n for _, n in seen.values()], pa.int64())], names=["fp", "gid", "n"])
+                    seen[fp] = _group(_prefix(s, counters.value, percent), len(s)), len(s), signature(s)
+            cols = list(zip(*seen.values())) if seen else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary())))], names=["fp", "gid", "n", "sig"])
 
-    return texts.mapInArrow(run, "fp long, gid long, n long").distinct()
+    return texts.select("text").mapInArrow(run, "fp long, gid long, n long, sig binary").dropDuplicates(["fp"])
 
 
 ENTRY = np.dtype([("key", "<u8"), ("gid", "<i8"), ("n", "<u4")])
@@ -151,7 +174,7 @@ def _entries(texts: DataFrame, k: int, percent: int, counters, buckets: int) ->
 
 
 def _pairs(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs of groups in the lists of one bucket; entries of long lists come back with their key."""
+    """Pairs of groups in the short lists of one bucket; entries of long lists come back with their key."""
     e = np.concatenate([np.frombuffer(b, ENTRY) for b in pdf["blob"]])
     e = e[np.lexsort((e["gid"], e["key"]))]
     new = np.ones(len(e), bool)
@@ -169,9 +192,6 @@ def _pairs(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
         left.append(i)
         right.append(i + d)
     long = np.flatnonzero((m > SHORT_LIST) | dealt)
-    star = long[long != head[long]]
-    left.append(head[star])
-    right.append(star)
     a, b = e[np.concatenate(left)], e[np.concatenate(right)]
     near = 100 * np.minimum(a["n"], b["n"]).astype(np.int64) >= percent * np.maximum(a["n"], b["n"]).astype(np.int64)
     pairs = np.unique(np.stack([np.minimum(a["gid"], b["gid"])[near], np.maximum(a["gid"], b["gid"])[near]], 1), axis=0)
@@ -199,6 +219,18 @@ def _sets(texts: DataFrame, k: int, wanted) -> DataFrame:
     return texts.select("text").mapInArrow(run, "fp long, members array<long>")
 
 
+def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that the sizes and the overlap bound allow."""
+
+    @F.pandas_udf("boolean")
+    def allowed(na: pd.Series, sa: pd.Series, nb: pd.Series, sb: pd.Series) -> pd.Series:
+        return pd.Series([(100 + percent) * overlap_bound(x, y) >= percent * (i + j) for i, x, j, y in zip(na, sa, nb, sb)])
+
+    left, right = (classes.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "ab")
+    both = pairs.join(left, "a").join(right, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return both.filter(allowed("na", "sa", "nb", "sb")).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets are similar."""
     left, right = (sets.select(F.col("fp").alias(x), F.col("members").alias(f"m{x}")) for x in "ab")
@@ -207,6 +239,43 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common_n >= percent * (F.size("ma") + F.size("mb") - common_n)).select("a", "b")
 
 
+def _compare(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links between the left and right sets of a block that join components which nothing joins yet; at most one fewer than there are components."""
+    left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+    if left.empty or right.empty:
+        return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+    sets = [*left["members"], *right["members"]]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    _, ids, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    use = times[ids] > 1
+    _, ids = np.unique(ids[use], return_inverse=True)
+    owner = owner[use]
+    order = np.argsort(ids, kind="stable")
+    ids, owner, m = ids[order], owner[order], len(left)
+    shared = np.zeros((m, len(right)), np.float32)
+    for start in range(0, int(ids[-1]) + 1 if len(ids) else 0, 4096):
+        lo, hi = np.searchsorted(ids, [start, start + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[owner[lo:hi], ids[lo:hi] - start] = 1
+        shared += part[:m] @ part[m:].T
+    i, j = np.nonzero((100 + percent) * shared.astype(np.int64) >= percent * (sizes[:m, None] + sizes[None, m:]))
+    comp = {c: c for c in pdf["comp"]}
+
+    def root(c):
+        while comp[c] != c:
+            comp[c] = c = comp[comp[c]]
+        return c
+
+    out = []
+    lf, lc, rf, rc = (x.to_numpy() for x in (left["fp"], left["comp"], right["fp"], right["comp"]))
+    for x, y in zip(i.tolist(), j.tolist()):
+        if lc[x] != rc[y] and (u := root(lc[x])) != (v := root(rc[y])):
+            comp[u] = v
+            out.append((lf[x], rf[y]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, row_key, n_shingles and component_id of each document. Two documents link when 100 * intersection >= percent * union."""
     spark = docs.sparkSession
@@ -217,55 +286,48 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     total = rows.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET + 1)
     classes = common.stash(_groups(texts, k, percent, counters), "classes")
-    lists = common.stash(
-        _entries(texts, k, percent, counters, buckets).groupBy("bucket").applyInPandas(lambda pdf: _pairs(pdf, percent), "key long, a long, b long"), "lists"
-    )
-    leaders = classes.groupBy("gid").agg(F.min("fp").alias("fp"))
-
-    def near(x: str, y: str):
-        return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    entries = _entries(texts, k, percent, counters, buckets)
+    lists = common.stash(entries.groupBy("bucket").applyInPandas(lambda pdf: _pairs(pdf, percent), "key long, a long, b long"), "lists")
 
-    # groups that share a rare shingle, by their first classes; and members of a group with its first
+    # groups that share a rare shingle, by their first classes; members of a group and of a long list with one of them
+    sizes = classes.groupBy("gid").agg(F.min("fp").alias("first"), F.count("*").alias("m"))
     short = lists.filter("key is null").select("a", "b").distinct()
-    of_groups = short.join(leaders.withColumnsRenamed({"gid": "a", "fp": "fa"}), "a").join(leaders.withColumnsRenamed({"gid": "b", "fp": "fb"}), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
-    inside = classes.join(leaders.withColumnRenamed("fp", "first"), "gid").filter("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
-    tried = common.stash(_ordered(of_groups.unionByName(inside)), "tried")
-    long = common.stash(lists.filter("key is not null").select("key", F.col("a").alias("gid")).join(classes, "gid"), "long")
-    grouped = classes.groupBy("gid").agg(F.count("*").alias("m")).filter("m > 1").select("gid")
-    several = short.join(grouped.withColumnRenamed("gid", "a"), "a", "left_semi").unionByName(short.join(grouped.withColumnRenamed("gid", "b"), "b", "left_semi")).distinct()
-    members = classes.join(grouped, "gid", "left_semi")
-    expanded = several.join(classes.withColumnsRenamed({"gid": "a", "fp": "fa", "n": "na"}), "a").join(classes.withColumnsRenamed({"gid": "b", "fp": "fb", "n": "nb"}), "b")
-    wanted_fp = tried.select(F.col("a").alias("h")).unionByName(tried.select(F.col("b").alias("h"))).unionByName(long.select(F.col("fp").alias("h"))).unionByName(members.select(F.col("fp").alias("h")))
-    wanted_fp = wanted_fp.unionByName(expanded.select(F.explode(F.array("fa", "fb")).alias("h"))).distinct()
-    wanted = spark.sparkContext.broadcast(bits_of(wanted_fp, 26))
-    sets = common.stash(_sets(texts, k, wanted).join(wanted_fp.withColumnRenamed("h", "fp"), "fp", "left_semi").dropDuplicates(["fp"]), "sets")
+    head = sizes.select("gid", "first", (F.col("m") > 1).alias("many"))
+    of_groups = short.join(head.withColumnsRenamed({"gid": "a", "first": "fa", "many": "ma"}), "a").join(head.withColumnsRenamed({"gid": "b", "first": "fb", "many": "mb"}), "b")
+    of_groups = common.stash(of_groups.select(F.col("fa").alias("a"), F.col("fb").alias("b"), (F.col("ma") | F.col("mb")).alias("many")), "groups")
+    inside = classes.join(sizes.filter("m > 1"), "gid").filter("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    long = lists.filter("key is not null").select("key", F.col("a").alias("gid"))
+    often = long.groupBy("gid").agg(F.count("*").alias("lists"))
+    long = common.stash(long.join(often, "gid").join(sizes.select("gid", "first"), "gid"), "long")
+    centres = long.groupBy("key").agg(F.max(F.struct("lists", "first")).alias("c")).select("key", F.col("c.first").alias("centre"))
+    star = long.join(centres, "key").filter("first <> centre").select(F.col("centre").alias("a"), F.col("first").alias("b"))
+    star = common.stash(_ordered(star), "star")
+    tried = common.stash(possible(_ordered(of_groups.select("a", "b").unionByName(inside)).unionByName(star).distinct(), classes, percent), "tried")
+
+    # families: what shares a long list or a group of several classes, or is paired with such a group
+    ties = common.stash(star.unionByName(inside).unionByName(of_groups.filter("many").select("a", "b")), "ties")
+    family = components(ties)
+    wanted_fp = tried.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(family.select("fp")).distinct()
+    wanted_fp = common.stash(wanted_fp, "wanted")
+    wanted = spark.sparkContext.broadcast(bits_of(wanted_fp.withColumnRenamed("fp", "h"), 26))
+    sets = common.stash(_sets(texts, k, wanted).join(wanted_fp, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
     links = common.stash(verified(tried, sets, percent), "links")
     comp = components(links)
 
-    def label(df: DataFrame, fp: str, name: str) -> DataFrame:
-        return df.join(comp.select(F.col("fp").alias(fp), F.col("comp").alias(name)), fp, "left").withColumn(name, F.coalesce(name, fp))
-
-    # once more by a star, now of the components in each long list, then what is left between different components
-    for whole in (False, True):
-        named = label(long, "fp", "comp").select("key", "fp", "n", "comp")
-        mixed = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
-        if whole:
-            other = named.withColumnsRenamed({"fp": "fb", "n": "nb", "comp": "cb"})
-            open_keys = named.join(mixed.select("key"), "key", "left_semi")
-            far = open_keys.join(other, "key").filter("comp < cb").filter(near("n", "nb")).select(F.col("fp").alias("a"), F.col("fb").alias("b"))
-            rest = label(label(expanded.filter(near("na", "nb")), "fa", "ca"), "fb", "cb").filter("ca <> cb").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
-            same = members.join(members.withColumnsRenamed({"fp": "fb", "n": "nb"}), "gid").filter("fp < fb")
-            same = label(label(same, "fp", "ca"), "fb", "cb").filter("ca <> cb").select(F.col("fp").alias("a"), F.col("fb").alias("b"))
-            more = far.unionByName(rest).unionByName(same)
-        else:
-            firsts = named.join(mixed, "key").groupBy("key", "low", "comp").agg(F.min("fp").alias("fp"))
-            more = firsts.filter("comp <> low").join(firsts.filter("comp = low").select("key", F.col("fp").alias("a")), "key").select("a", F.col("fp").alias("b"))
-        more = common.stash(_ordered(more).join(tried, ["a", "b"], "left_anti"), "more")
-        found = common.stash(verified(more, sets, percent), "links")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            comp = components(links)
-        tried = tried.unionByName(more)
+    named = common.stash(family.withColumnRenamed("comp", "family").join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp")), "named")
+    shares = named.groupBy("family", "comp").agg(F.count("*").alias("m"))
+    open_families = shares.groupBy("family").agg(F.sum("m").alias("members"), F.count("*").alias("parts"), F.max(F.struct("m", "comp")).alias("home")).filter("parts > 1")
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+    facts = open_families.select("family", blocks(F.col("members")).alias("bj"), blocks(F.col("members") - F.col("home.m")).alias("bi"), F.col("home.comp").alias("home"))
+    rest = named.join(facts, "family").join(sets, "fp")
+    columns = ["family", "i", "j", "side", "fp", "comp", "members"]
+    own = lambda n: F.pmod(F.xxhash64("fp"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outside = rest.filter("comp <> home").withColumns({"i": own("bi"), "j": each("bj"), "side": F.lit(0)}).select(columns)
+    whole = rest.withColumns({"i": each("bi"), "j": own("bj"), "side": F.lit(1)}).select(columns)
+    found = common.stash(outside.unionByName(whole).groupBy("family", "i", "j").applyInPandas(lambda pdf: _compare(pdf, percent), "a long, b long"), "found")
+    if not found.isEmpty():
+        comp = components(links.unionByName(found))
 
     out = rows.join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     low = out.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
