@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from saltmarsh.llm import common
 from saltmarsh.llm.decontam import bits_of, passes
@@ -384,33 +385,51 @@ def window_hashes(text: bytes, ranges: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (np.concatenate(places), np.concatenate(hashes)) if places else (np.zeros(0, np.int64), np.zeros(0, U))
 
 
+def _numbered(texts: DataFrame) -> DataFrame:
+    """Adds the chunk of each text: some MB of neighbours."""
+    schema = T.StructType([*texts.schema, T.StructField("chunk", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            ids = np.zeros(batch.num_rows, np.int64)
+            for lo, hi in common.chunks(common.as_bytes(batch.column("text")), 2 * CHUNK):
+                ids[lo:hi] = chunk
+                chunk += 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids)], names=[*batch.schema.names, "chunk"])
+
+    return texts.mapInArrow(run, schema)
+
+
 def _strings(texts: DataFrame, buckets: int) -> DataFrame:
-    """The hashes of all open strings of each text, by bucket."""
+    """The hashes of all open strings of each chunk of texts, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            hashes: dict[int, list[np.ndarray]] = {}
+            for text, chunk, blobs in zip(common.as_bytes(batch.column("text")), batch.column("chunk").to_pylist(), batch.column("open").to_pylist()):
+                hashes.setdefault(chunk, []).append(window_hashes(text, _ranges(blobs))[1])
             out: list[tuple[int, int, bytes]] = []
-            for text, key, blobs in zip(common.as_bytes(batch.column("text")), batch.column("row_key").to_pylist(), batch.column("open").to_pylist()):
-                _, h = window_hashes(text, _ranges(blobs))
-                u, n = np.unique(h, return_counts=True)
-                out += ((key, b, blob) for b, blob in questions([u], n, bucket_of(u, buckets)))
+            for chunk, parts in hashes.items():
+                u, n = np.unique(np.concatenate(parts), return_counts=True)
+                out += ((chunk, b, blob) for b, blob in questions([u], n, bucket_of(u, buckets)))
             cols = list(zip(*out)) if out else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["row_key", "bucket", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["chunk", "bucket", "blob"])
 
-    return texts.mapInArrow(run, "row_key long, bucket int, blob binary")
+    return texts.mapInArrow(run, "chunk long, bucket int, blob binary")
 
 
 def _twice(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The strings of each text that occur again."""
+    """The strings of each chunk that occur again."""
     tables = [common.unpack(b, U).reshape(2, -1) for b in pdf["blob"]]
     table = np.concatenate(tables, axis=1)
     values, inverse = np.unique(table[0], return_inverse=True)
     again = (np.bincount(inverse, weights=table[1].astype(float), minlength=len(values)) > 1)[inverse]
     out = []
-    for key, part, ok in zip(pdf["row_key"], tables, np.split(again, np.cumsum([t.shape[1] for t in tables])[:-1])):
+    for chunk, part, ok in zip(pdf["chunk"], tables, np.split(again, np.cumsum([t.shape[1] for t in tables])[:-1])):
         if ok.any():
-            out.append((key, common.pack(part[0][ok])))
-    return pd.DataFrame(out, columns=["row_key", "hashes"])
+            out.append((chunk, common.pack(part[0][ok])))
+    return pd.DataFrame(out, columns=["chunk", "hashes"])
 
 
 def repeated_runs(n: int, places: np.ndarray) -> np.ndarray:
@@ -421,30 +440,27 @@ def repeated_runs(n: int, places: np.ndarray) -> np.ndarray:
     return np.stack([places[np.concatenate([[0], new])], places[np.concatenate([new - 1, [len(places) - 1]])] + LEAST], 1)
 
 
-def _removed(texts: DataFrame) -> DataFrame:
-    """Applies what was found to whole texts."""
+RESULT = "doc_id long, row_key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            columns = (batch.column(c).to_pylist() for c in ("doc_id", "row_key", "sure", "open", "hashes"))
-            for text, doc_id, row_key, sure, open_, hashes in zip(common.as_bytes(batch.column("text")), *columns):
-                places = spread(_ranges(sure))
-                if hashes:
-                    at, h = window_hashes(text, _ranges(open_))
-                    places = np.concatenate([places, at[np.isin(h, np.concatenate([common.unpack(b, U) for b in hashes]))]])
-                runs = repeated_runs(len(text), np.unique(places))
-                digest, last = hashlib.sha256(), 0
-                for a, b in runs.tolist():
-                    digest.update(text[last:a])
-                    last = b
-                digest.update(text[last:])
-                out.append((doc_id, row_key, len(text), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), digest.hexdigest(), runs.tolist()))
-            cols = list(zip(*out)) if out else [[]] * 7
-            kinds = [*[pa.int64()] * 5, pa.string(), pa.list_(pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "row_key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
-
-    return texts.mapInArrow(run, "doc_id long, row_key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
+
+def _removed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Applies what was found to the whole texts of a chunk."""
+    again = np.concatenate([common.unpack(b, U) for b in right["hashes"]]) if len(right) else np.zeros(0, U)
+    out = []
+    for r in left.itertuples(index=False):
+        text = (r.text or "").encode()
+        places = spread(_ranges(r.sure))
+        if len(again) and r.open is not None:
+            at, h = window_hashes(text, _ranges(r.open))
+            places = np.concatenate([places, at[np.isin(h, again)]])
+        runs = repeated_runs(len(text), np.unique(places))
+        digest, last = hashlib.sha256(), 0
+        for a, b in runs.tolist():
+            digest.update(text[last:a])
+            last = b
+        digest.update(text[last:])
+        out.append((None if r.doc_id is None else int(r.doc_id), r.row_key, len(text), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), digest.hexdigest(), runs.tolist()))
+    return pd.DataFrame(out, columns=["doc_id", "row_key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"], dtype=object).astype({"doc_id": "Int64"})  # ids come as text: a null would make them floats
 
 
 def repeated_strings(docs: DataFrame) -> DataFrame:
@@ -470,10 +486,9 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
         return pd.Series(passes(wanted.value, keys.to_numpy(np.int64).view(U)))
 
     split = texts.withColumn("maybe", maybe("row_key"))
-    some = common.stash(split.filter("maybe").drop("maybe").join(per_text, "row_key", "left"), "found")
-    strings = _strings(some.filter(F.size("open") > 0).select("text", "row_key", "open"), buckets)
-    again = strings.groupBy("bucket").applyInPandas(_twice, "row_key long, hashes binary").groupBy("row_key").agg(F.collect_set("hashes").alias("hashes"))
-    changed = _removed(some.join(common.stash(again, "again"), "row_key", "left"))
+    some = common.stash(_numbered(split.filter("maybe").drop("maybe").join(per_text, "row_key", "left")), "found")
+    again = _strings(some.filter(F.size("open") > 0).select("text", "chunk", "open"), buckets).groupBy("bucket").applyInPandas(_twice, "chunk long, hashes binary")
+    changed = some.select("chunk", F.col("doc_id").cast("string"), "row_key", "text", "sure", "open").groupBy("chunk").cogroup(again.groupBy("chunk")).applyInPandas(_removed, RESULT)
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     none = F.lit(0).cast("long")
     rest = split.filter(~F.col("maybe")).select("doc_id", "row_key", F.octet_length(data).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(data, 256).alias("kept_sha256"), F.expr("cast(array() as array<array<long>>)").alias("spans"))
