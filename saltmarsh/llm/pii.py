@@ -213,25 +213,30 @@ def replace(text: str, spans: list) -> str:
     return "".join([*out, text[at:]])
 
 
+#: Columns of its own; a table may have any others.
+KEY, SPANS = "__saltmarsh_key", "__saltmarsh_spans"
+
+
 def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """The documents with surrogates in their texts, and n_entities. Only texts with a hint of an entity are shuffled."""
+    docs = docs.drop("n_entities")
     columns = docs.columns
     hint = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
-    keyed = docs.withColumn("row_key", F.xxhash64(F.col("text")))
+    keyed = docs.withColumn(KEY, F.xxhash64(F.col("text")))
     hinted = keyed.filter(hint)
-    spans = common.stash(_spans(hinted).distinct(), "spans")
+    spans = common.stash(_spans(hinted.select(F.col(KEY).alias("row_key"), "text")).distinct(), "spans")
     given = assign(common.stash(spans.select("kind", "entity").distinct(), "entities"), key)
-    changes = spans.join(given, ["kind", "entity"]).groupBy("row_key").agg(F.collect_list(F.struct("start", "stop", "surrogate")).alias("spans"))
+    changes = spans.join(given, ["kind", "entity"]).groupBy(F.col("row_key").alias(KEY)).agg(F.collect_list(F.struct("start", "stop", "surrogate")).alias(SPANS))
     schema = T.StructType([*(f for f in docs.schema), T.StructField("n_entities", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [s or [] for s in batch.column("spans").to_pylist()]
+            spans = [s or [] for s in batch.column(SPANS).to_pylist()]
             texts = [replace(t, s) if s else t for t, s in zip(batch.column("text").to_pylist(), spans)]
             cols = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([len(s) for s in spans], pa.int64())], names=[*columns, "n_entities"])
 
-    changed = hinted.join(changes, "row_key", "left").mapInArrow(run, schema)
+    changed = hinted.join(changes, KEY, "left").mapInArrow(run, schema)
     return changed.unionByName(docs.filter(~hint).withColumn("n_entities", F.lit(0).cast("long")))
 
 
