@@ -15,30 +15,33 @@ from saltmarsh.llm.tokens import vocabulary_path
 
 #: A document stays if its largest language has at least this share.
 LEAST_SHARE = 0.34
+#: Columns of its own; documents may have any others.
+KEY, KEPT = "__saltmarsh_key", "__saltmarsh_kept"
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter or without a leading language."""
     labelled = docs.filter(common.remainder("doc_id", 5) != 0).select("text", "lang")
-    out = language.identify(docs, labelled)
-    return out.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
+    # the row is kept as one column, so that no column of it clashes with what identification adds
+    out = language.identify(docs.select("text", F.struct("*").alias("whole_row")), labelled)
+    return out.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("whole_row.*")
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document with the smallest doc_id stays."""
     found = ngram_join.near_duplicates(docs)
-    stays = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("row_key", F.col("doc_id").alias("kept_id")).distinct()
-    keyed = docs.withColumn("row_key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    out = keyed.join(stays, "row_key").filter(F.col("kept_id").eqNullSafe(F.col("doc_id").cast("long")))
-    return out.dropDuplicates(["row_key", "doc_id"]).select(docs.columns)
+    stays = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("row_key").alias(KEY), F.col("doc_id").alias(KEPT)).distinct()
+    keyed = docs.withColumn(KEY, F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    out = keyed.join(stays, KEY).filter(F.col(KEPT).eqNullSafe(F.col("doc_id").cast("long")))
+    return out.dropDuplicates([KEY, "doc_id"]).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a window of a benchmark item go."""
     found = decontam.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
-    bad = found.filter("contaminated").select("row_key").distinct()
-    keyed = docs.withColumn("row_key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    return keyed.join(bad, "row_key", "left_anti").select(docs.columns)
+    bad = found.filter("contaminated").select(F.col("row_key").alias(KEY)).distinct()
+    keyed = docs.withColumn(KEY, F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    return keyed.join(bad, KEY, "left_anti").select(docs.columns)
 
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
