@@ -445,14 +445,15 @@ RESULT = "doc_id long, row_key long, n_bytes long, n_removed long, n_spans long,
 
 def _removed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """Applies what was found to the whole texts of a chunk."""
-    again = np.concatenate([common.unpack(b, U) for b in right["hashes"]]) if len(right) else np.zeros(0, U)
+    again = np.unique(np.concatenate([common.unpack(b, U) for b in right["hashes"]])) if len(right) else np.zeros(0, U)
     out = []
     for r in left.itertuples(index=False):
         text = (r.text or "").encode()
         places = spread(_ranges(r.sure))
         if len(again) and r.open is not None:
             at, h = window_hashes(text, _ranges(r.open))
-            places = np.concatenate([places, at[np.isin(h, again)]])
+            near = np.minimum(np.searchsorted(again, h), len(again) - 1)
+            places = np.concatenate([places, at[again[near] == h]])
         runs = repeated_runs(len(text), np.unique(places))
         digest, last = hashlib.sha256(), 0
         for a, b in runs.tolist():
