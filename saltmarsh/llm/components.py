@@ -16,9 +16,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     joined = both.join(least, "u")
     if large:
-        out = joined.filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
-    else:
-        out = joined.select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
+        # one row for each link at most; the star of the smaller neighbours that follows makes them distinct
+        return joined.filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b")
+    out = joined.select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
     return out.filter("a <> b").distinct()
 
 

@@ -327,7 +327,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     whole = rest.withColumns({"i": each("bi"), "j": own("bj"), "side": F.lit(1)}).select(columns)
     found = common.stash(outside.unionByName(whole).groupBy("family", "i", "j").applyInPandas(lambda pdf: _compare(pdf, percent), "a long, b long"), "found")
     if not found.isEmpty():
-        comp = components(links.unionByName(found))
+        # the components are stars by now, so fewer rounds are left than for all links
+        comp = components(comp.select(F.col("comp").alias("a"), F.col("fp").alias("b")).unionByName(found))
 
     out = rows.join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     low = out.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
