@@ -1,16 +1,18 @@
-"""LM scoring (operator 3): a hierarchical Pitman-Yor model of words over a hierarchical Pitman-Yor model of their spelling.
-
-The word restaurant seats every training token; its tables are customers of the spelling model, whose
-restaurants are contexts of up to three symbols: the context (z, y, x) shares its parent (y, x) with all other z,
-that shares (x), and all share the root. Table counts are drawn by Gibbs sampling from their exact conditional
-(generalised Stirling numbers); dishes with very many customers are seated in blocks. Probabilities are
-averages over the samples after burn-in. A text's score is the sum over its words and its end. As for the base
-score, all words that training lacks are one type: its probability is what a new table leaves to words that
-training lacks. spelled_score has each such word's own probability instead.
-
-Work is dealt by hash of the word. Each chunk of documents sends its distinct words to their buckets, where
-the training counts of all chunks meet, and gets counts and probabilities back. The spelling model has at
-most 64 symbols (frequent bytes, and one for all others), so 64^4 numbers bound what is broadcast.
+"""LM scoring (operator 3): a hierarchical Pitman-Yor model of words in their contexts, over one of their spelling.
+
+Restaurants are contexts of two words (u, v), whose parent is that of one word (v), which shares the restaurant of
+words with all others; its parent is the model of spelling, whose contexts of up to three symbols share parents
+alike. Each training token is a customer of its deepest context; tables are customers of the parent, and are drawn
+by Gibbs sampling from their exact conditional (generalised Stirling numbers); dishes with very many customers are
+seated in blocks. The spelling model is first seated by one table a word, and after burn-in by the tables drawn.
+A text's score is the sum over its words and its end, each with the mean over the samples after burn-in of its
+probability in the deepest context; a context that training lacks is its parent. As for the base score, all words
+that training lacks are one type. spelled_score has each such word's own probability instead.
+
+Contexts are dealt by hash of the nearer word v, so that (u, v) and (v) are in one bucket; each sweep sends tables up
+to the words' buckets and gets probabilities back. Words and contexts are told apart by 64-bit hashes. Each chunk of
+documents sends its distinct triples and words to their buckets. The spelling model has at most 64 symbols (frequent
+bytes, and one for all others), so 64^4 numbers bound what is broadcast.
 
 Defined results: null and empty texts are their end token alone; without training tokens every count is 0
 and words are scored by spelling alone; repeated rows are trained on and scored one by one; other columns
@@ -19,6 +21,8 @@ are not read; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -94,6 +98,13 @@ class Spelling:
         sizes = np.bincount(symbol, minlength=SYMBOLS)
         self.share = -np.log(np.maximum(sizes, 1))[symbol]  # bytes of one symbol are alike
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"predictive": (self.predictive.shape, common.pack(self.predictive))}  # contexts that training lacks are alike
+
+    def __setstate__(self, state: dict) -> None:
+        shape, blob = state["predictive"]
+        self.__dict__ |= state | {"predictive": common.unpack(blob, np.float32).reshape(shape)}
+
     def log_probability(self, words: list[bytes]) -> np.ndarray:
         """Natural logs; the empty word is the end of a text."""
         if not words:
@@ -188,12 +199,30 @@ def sample_spelling(counts: DataFrame, spark: SparkSession, symbol: np.ndarray,
     return np.log(np.maximum(total / (sweeps - burn_in), 1e-30)).astype(np.float32)
 
 
+def word_hash(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+
+
+#: What stands before a text and after it; no word is empty or has a line break.
+BEGIN, END = word_hash(b"\n"), word_hash(b"")
+_U, _V, _W = (np.uint64(x) for x in common.STEPS[:3])
+
+
+def keys_of(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64-bit keys of triples of word hashes."""
+    return common.mix(u * _U + v * _V + w * _W)
+
+
 def _chunked(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows of documents (chunk, doc_id, held_out, ids: places in the chunk's words) and rows of words (chunk, bucket, words, n: training counts)."""
+    """Rows of documents (chunk, doc_id, held_out, ids: places in the chunk's words, at: places in its triples), of words (chunk, bucket, words, n: training counts), and of triples (chunk, context: bucket of the word before, hashes, triples: places in hashes, k: training counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["chunk", "doc_id", "held_out", "ids", "bucket", "words", "n"]
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+        kinds = {"chunk": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "ids": pa.binary(), "at": pa.binary(), "bucket": pa.int32(), "words": pa.binary(), "n": pa.binary(), "context": pa.int32(), "hashes": pa.binary(), "triples": pa.binary(), "k": pa.binary()}
+
+        def rows(chunk: int, m: int, **given) -> pa.RecordBatch:
+            given["chunk"] = [chunk] * m
+            return pa.RecordBatch.from_arrays([pa.array(given[c], t) if c in given else pa.nulls(m, t) for c, t in kinds.items()], names=list(kinds))
+
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             texts = common.as_bytes(batch.column("text"))
@@ -201,27 +230,94 @@ def _chunked(docs: DataFrame, buckets: int) -> DataFrame:
             for a, b in common.chunks(texts):
                 split = [t.lower().split() for t in texts[a:b]]
                 distinct = list({w: None for ws in split for w in ws})
-                at = np.array([zlib.crc32(w) for w in distinct], np.int64) % buckets
+                hashes = np.array([word_hash(w) for w in distinct], np.uint64)
+                at = (hashes % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(at, kind="stable")
                 words = [distinct[i] for i in order.tolist()]
-                at = at[order]
+                at, hashes = at[order], np.concatenate([hashes[order], np.array([END, BEGIN], np.uint64)])
                 place = dict(zip(words, range(len(words)))).__getitem__
                 coded = [np.fromiter(map(place, ws), np.uint32, len(ws)) for ws in split]
                 train = [c for c, h in zip(coded, held[a:b]) if not h]
                 n = np.bincount(np.concatenate(train) if train else [], minlength=len(words)).astype(np.int64)
-                cuts = np.flatnonzero(np.diff(at)) + 1
-                starts = [0, *cuts.tolist(), len(words)] if len(words) else []
-                m, k = b - a, max(0, len(starts) - 1)
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * m, kinds[0]), pa.array(ids[a:b], kinds[1]), pa.array(held[a:b], kinds[2]), pa.array([common.pack(c) for c in coded], kinds[3]), *(pa.nulls(m, t) for t in kinds[4:])], names=names)
-                if k:
-                    parts = list(zip(starts, starts[1:]))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([chunk] * k, kinds[0]), *(pa.nulls(k, t) for t in kinds[1:4]), pa.array([at[x] for x, _ in parts], kinds[4]), pa.array([zlib.compress(b" ".join(words[x:y]), 1) for x, y in parts], kinds[5]), pa.array([common.pack(n[x:y]) for x, y in parts], kinds[6])],
-                        names=names,
-                    )
+                # each word and each text's end, after the two words before
+                lens = np.array([len(c) + 1 for c in coded])
+                w = np.concatenate([np.append(c, np.uint32(len(words))) for c in coded]).astype(np.int64)
+                inside = np.arange(len(w)) - np.repeat(np.cumsum(lens) - lens, lens)
+                v = np.where(inside >= 1, np.roll(w, 1), len(words) + 1)
+                u = np.where(inside >= 2, np.roll(w, 2), len(words) + 1)
+                _, first, which = np.unique(keys_of(hashes[u], hashes[v], hashes[w]), return_index=True, return_inverse=True)
+                k = np.bincount(which, weights=np.repeat(~np.array(held[a:b], bool), lens), minlength=len(first)).astype(np.int64)
+                context = (hashes[v[first]] % np.uint64(buckets)).astype(np.int64)
+                order = np.lexsort((w[first], v[first], context))
+                back = np.empty(len(order), np.uint32)
+                back[order] = np.arange(len(order), dtype=np.uint32)
+                first, k, context = first[order], k[order], context[order]
+                places = np.split(back[which], np.cumsum(lens)[:-1])
+                m = b - a
+                yield rows(chunk, m, doc_id=ids[a:b], held_out=held[a:b], ids=[common.pack(c) for c in coded], at=[common.pack(x) for x in places])
+                parts = np.split(np.arange(len(first)), np.flatnonzero(np.diff(context)) + 1)
+                sent = [np.unique(np.stack([u[first[x]], v[first[x]], w[first[x]]]), return_inverse=True) for x in parts]
+                yield rows(chunk, len(parts), context=[context[x[0]] for x in parts], hashes=[common.pack(hashes[d]) for d, _ in sent], triples=[common.pack(t.astype(np.uint32)) for _, t in sent], k=[common.pack(k[x]) for x in parts])
+                if words:
+                    cuts = np.flatnonzero(np.diff(at)) + 1
+                    parts = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(words)]))
+                    yield rows(chunk, len(parts), bucket=[at[x] for x, _ in parts], words=[zlib.compress(b" ".join(words[x:y]), 1) for x, y in parts], n=[common.pack(n[x:y]) for x, y in parts])
                 chunk += 1
 
-    return docs.mapInArrow(run, "chunk long, doc_id long, held_out boolean, ids binary, bucket int, words binary, n binary")
+    return docs.mapInArrow(run, "chunk long, doc_id long, held_out boolean, ids binary, at binary, bucket int, words binary, n binary, context int, hashes binary, triples binary, k binary")
+
+
+class Contexts:
+    """The restaurants of one bucket: contexts of two words (u, v), and of one word v, their parent. Dishes without customers are there to be scored. Sorted keys, so that the arrays follow from the triples alone."""
+
+    FIELDS = (("keys", np.uint64), ("k", np.int64), ("room", np.int32), ("dish", np.int32), ("parent_room", np.int32), ("word", np.int32), ("hashes", np.uint64), ("t3", np.int32), ("t2", np.int32), ("sum", np.float64))
+
+    @classmethod
+    def of(cls, u: np.ndarray, v: np.ndarray, w: np.ndarray, k: np.ndarray) -> Contexts:
+        self = cls()
+        self.keys, first, which = np.unique(keys_of(u, v, w), return_index=True, return_inverse=True)
+        self.k = np.bincount(which, weights=k, minlength=len(first)).astype(np.int64)
+        u, v, w = u[first], v[first], w[first]
+        self.room = np.unique(keys_of(u, v, np.zeros_like(v)), return_inverse=True)[1].astype(np.int32)
+        _, first, self.dish = np.unique(keys_of(np.zeros_like(v), v, w), return_index=True, return_inverse=True)
+        self.parent_room = np.unique(v[first], return_inverse=True)[1].astype(np.int32)
+        self.hashes, self.word = np.unique(w[first], return_inverse=True)
+        self.t3 = np.minimum(self.k, 1)
+        self.t2 = np.minimum(self.customers(), 1)
+        self.sum = np.zeros(len(self.keys))
+        return self
+
+    def pack(self) -> bytes:
+        return pickle.dumps([common.pack(getattr(self, f).astype(t)) for f, t in self.FIELDS])
+
+    @classmethod
+    def unpack(cls, blob: bytes) -> Contexts:
+        self = cls()
+        for (f, t), b in zip(cls.FIELDS, pickle.loads(blob)):
+            a = common.unpack(b, t)
+            setattr(self, f, a.astype(np.int64) if t == np.int32 else a)
+        return self
+
+    def customers(self) -> np.ndarray:
+        """Of the contexts of one word: the tables of their children."""
+        return np.bincount(self.dish, weights=self.t3, minlength=len(self.parent_room)).astype(np.int64)
+
+    def up(self) -> np.ndarray:
+        """Tables of each word, customers of the restaurant of words."""
+        return np.bincount(self.word, weights=self.t2, minlength=len(self.hashes)).astype(np.int64)
+
+    def sweep(self, base: np.ndarray, discounts: tuple[float, float], rng: np.random.Generator) -> np.ndarray:
+        """Seats all customers anew, from the parent down; gives the probability of each dish in the deepest context."""
+        p = base[self.word]
+        c = self.customers()
+        for which, room, d in (("t2", self.parent_room, discounts[0]), ("t3", self.room, discounts[1])):
+            old = getattr(self, which)
+            new = draw_tables(c, np.log(p), np.bincount(room, weights=old)[room] - old, d, CONCENTRATION, rng)
+            setattr(self, which, new)
+            p = (np.maximum(c - d * new, 0) + (CONCENTRATION + d * np.bincount(room, weights=new)[room]) * p) / (CONCENTRATION + np.bincount(room, weights=c)[room])
+            if which == "t2":
+                p, c = p[self.dish], self.k
+        return p
 
 
 def _vocabulary(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -242,16 +338,58 @@ def _words(blob: bytes) -> list[bytes]:
     return joined.split(b" ") if joined else []
 
 
+def _discount(once: float, twice: float) -> float:
+    return float(np.clip((once + 0.5) / (once + 2 * twice + 1.0), 0.05, 0.95))
+
+
+def _train_spelling(tables: DataFrame, symbol: np.ndarray, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> Spelling:
+    """The model of spelling from rows (words, t): each word comes as often as it has tables in the restaurant of words."""
+
+    def spelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(SYMBOLS**4, np.uint32)
+        for pdf in batches:
+            for blob, t in zip(pdf["words"], pdf["t"]):
+                if ws := _words(blob):
+                    cells, s, _, first = spell(ws, symbol)
+                    times = np.repeat(common.unpack(t, np.int64), np.diff([*first, len(s)]))
+                    at, which = np.unique(cells * SYMBOLS + s, return_inverse=True)
+                    counts[at] += np.bincount(which, weights=times).astype(np.uint32)
+        yield pd.DataFrame(common.slots(counts, SYMBOLS), columns=["slot", "blob"])
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = np.zeros(SYMBOLS**3, np.uint32)
+        for b in pdf["blob"]:
+            c += common.unpack(b, np.uint32)
+        return pd.DataFrame({"x": [int(pdf["slot"].iloc[0])], "blob": [common.pack(c)], "once": [int((c == 1).sum())], "twice": [int((c == 2).sum())]})
+
+    counts = common.stash(tables.select("words", "t").mapInPandas(spelled, "slot int, blob binary").groupBy("slot").applyInPandas(added, "x int, blob binary, once long, twice long"), "letters")
+    seen = counts.agg(F.sum("once").alias("once"), F.sum("twice").alias("twice")).first()
+    predictive = sample_spelling(counts.select("x", "blob"), tables.sparkSession, symbol, [0.5, 0.5, _discount(seen.once or 0, seen.twice or 0)], sweeps, burn_in)
+    common.drop(counts)
+    return Spelling(symbol, predictive)
+
+
+def _ups(bucket: int, hashes: np.ndarray, up: np.ndarray, buckets: int) -> list[tuple]:
+    """Rows that send the tables of words up to the words' buckets."""
+    at = (hashes % np.uint64(buckets)).astype(np.int64)
+    mine = hashes != np.uint64(END)
+    return [(bucket, int(x), None, common.pack(hashes[i]), common.pack(up[i]), 0, 0, 0, 0, 0) for x in np.unique(at[mine]) if len(i := np.flatnonzero(mine & (at == x)))]
+
+
+ROOMS = "context int, bucket int, state binary, hashes binary, up binary, ends long, once3 long, twice3 long, once2 long, twice2 long"
+
+
 def score_texts(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, spelled_score; docs: (doc_id, text, held_out)."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES + 1)
+    buckets = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES + 1))
     rows = common.stash(_chunked(docs, buckets), "chunks")
-    texts, asked = rows.filter("bucket is null").select("chunk", "doc_id", "held_out", "ids"), rows.filter("bucket is not null").select("chunk", "bucket", "words", "n")
+    texts, asked = rows.filter("ids is not null").select("chunk", "doc_id", "held_out", "ids", "at"), rows.filter("bucket is not null").select("chunk", "bucket", "words", "n")
+    triples = rows.filter("context is not null").select("chunk", "context", "hashes", "triples", "k")
     schema = "bucket int, words binary, n binary, tokens long, types long, once long, twice long, letters binary"
     words = common.stash(asked.groupBy("bucket").applyInPandas(_vocabulary, schema), "vocabulary")
-    facts = words.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "once", "twice"))).first()
+    facts = words.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types"))).first()
     ends = texts.filter("not held_out").count()
     n_tokens, n_types = facts.tokens + ends, facts.types + (ends > 0)
 
@@ -263,97 +401,140 @@ def score_texts(docs: DataFrame) -> DataFrame:
     symbol = np.full(256, SYMBOLS - 1, np.int64)
     symbol[common_bytes[letters[common_bytes] > 0]] = np.arange((letters[common_bytes] > 0).sum())
 
-    def spelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(SYMBOLS**4, np.uint32)
-        for pdf in batches:
-            for blob in pdf["words"]:
-                if ws := _words(blob):
-                    cells, s, _, _ = spell(ws, symbol)
-                    at, k = np.unique(cells * SYMBOLS + s, return_counts=True)
-                    counts[at] += k.astype(np.uint32)
-        yield pd.DataFrame(common.slots(counts, SYMBOLS), columns=["slot", "blob"])
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        sent = [common.unpack(h, np.uint64)[common.unpack(t, np.uint32).reshape(3, -1)] for h, t in zip(pdf["hashes"], pdf["triples"])]
+        x = Contexts.of(*np.concatenate(sent, axis=1), np.concatenate([common.unpack(k, np.int64) for k in pdf["k"]]))
+        c, up, bucket = x.customers(), x.up(), int(pdf["context"].iloc[0])
+        mine = (bucket, None, x.pack(), None, None, int(up[x.hashes == np.uint64(END)].sum()), int((x.k == 1).sum()), int((x.k == 2).sum()), int((c == 1).sum()), int((c == 2).sum()))
+        return pd.DataFrame([mine, *_ups(bucket, x.hashes, up, buckets)], columns=[f.split()[0] for f in ROOMS.split(", ")])
 
-    # a table of the word restaurant for each distinct training word
-    parts = words.select("words").mapInPandas(spelled, "slot int, blob binary")
+    rooms = common.stash(triples.groupBy("context").applyInPandas(build, ROOMS), "rooms")
+    seen = rooms.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("once3", "twice3", "once2", "twice2"))).first()
+    discounts = (_discount(seen.once2, seen.twice2), _discount(seen.once3, seen.twice3))
 
-    def added(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = np.zeros(SYMBOLS**3, np.uint32)
-        for b in pdf["blob"]:
-            c += common.unpack(b, np.uint32)
-        return pd.DataFrame({"x": [int(pdf["slot"].iloc[0])], "blob": [common.pack(c)], "once": [int((c == 1).sum())], "twice": [int((c == 2).sum())]})
-
-    counts = common.stash(parts.groupBy("slot").applyInPandas(added, "x int, blob binary, once long, twice long"), "letters")
-    seen = counts.agg(F.sum("once").alias("once"), F.sum("twice").alias("twice")).first()
-    deep = float(np.clip(((seen.once or 0) + 0.5) / ((seen.once or 0) + 2 * (seen.twice or 0) + 1.0), 0.05, 0.95))
-    predictive = sample_spelling(counts.select("x", "blob"), spark, symbol, [0.5, 0.5, deep])
-    spelling = spark.sparkContext.broadcast(Spelling(symbol, predictive))
+    def one_table(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"words": pdf["words"], "t": [common.pack(np.ones(len(common.unpack(n, np.int64)), np.int64)) for n in pdf["n"]]})
 
-    d = float(np.clip((facts.once + 0.5) / (facts.once + 2 * facts.twice + 1.0), 0.05, 0.95))
-    tables, state = float(facts.types), words.select("bucket", "words", "n").withColumn("t", F.lit(None).cast("binary"))
-    kept_tables = 0.0
+    ones = words.select("words", "n").mapInPandas(one_table, "words binary, t binary")
+    spelling = spark.sparkContext.broadcast(_train_spelling(ones, symbol, 2, 1))
+    state = words.select("bucket", "words", F.lit(None).cast("binary").alias("t"))
+    tables, end_tables, d = float(facts.types), 1.0, 0.5
     for sweep in range(SWEEPS):
-
-        def seat(batches: Iterator[pd.DataFrame], sweep: int = sweep, tables: float = tables) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                out = []
-                for r in pdf.itertuples(index=False):
-                    n = common.unpack(r.n, np.int64)
-                    old = np.ones((3, len(n))) if r.t is None else common.unpack(r.t, np.float64).reshape(3, -1)  # tables now, their sum after burn-in, log base
-                    base = spelling.value.log_probability(_words(r.words)) if r.t is None else old[2]
-                    t = draw_tables(n, base, tables - old[0], d, CONCENTRATION, np.random.default_rng([11, sweep, int(r.bucket)])) if len(n) else n
-                    total = (0 if sweep <= BURN_IN else old[1]) + (t if sweep >= BURN_IN else 0)
-                    out.append((r.bucket, r.words, r.n, common.pack(np.stack([t, total * np.ones(len(n)), base]).astype(np.float64)), float(t.sum()), float(np.exp(base).sum())))
-                yield pd.DataFrame(out, columns=["bucket", "words", "n", "t", "tables", "spelled"])
-
-        state = common.stash(state.select("bucket", "words", "n", "t").mapInPandas(seat, "bucket int, words binary, n binary, t binary, tables double, spelled double"), "seats")
-        sums = state.agg(F.sum("tables"), F.sum("spelled")).first()
-        tables, spelled_mass = float(sums[0] or 0.0), float(sums[1] or 0.0)
-        kept_tables += tables if sweep >= BURN_IN else 0.0
-    kept = SWEEPS - BURN_IN
-    new_table = (CONCENTRATION + d * kept_tables / kept) / (CONCENTRATION + facts.tokens + ends)
-    norm = CONCENTRATION + facts.tokens + ends
-    log_unknown = float(np.log10(new_table * max(1e-9, 1.0 - spelled_mass)))
+        # the restaurant of words: its customers are the tables of the contexts
+        end_customers = int(rooms.agg(F.sum("ends")).first()[0] or 0)
+
+        def seat(left: pd.DataFrame, right: pd.DataFrame, *, sweep: int = sweep, tables: float = tables, d: float = d, spelling=spelling) -> pd.DataFrame:
+            out = []
+            for r in left.itertuples(index=False):
+                ws = _words(r.words)
+                hashes = np.array([word_hash(w) for w in ws], np.uint64)
+                order = np.argsort(hashes)
+                n = np.zeros(len(ws), np.int64)
+                for h, up in zip(right["hashes"], right["up"]):
+                    h, up = common.unpack(h, np.uint64), common.unpack(up, np.int64)
+                    if len(ws):
+                        i = order[np.minimum(np.searchsorted(hashes, h, sorter=order), len(ws) - 1)]
+                        same = hashes[i] == h
+                        n[i[same]] += up[same]
+                old = np.ones(len(ws), np.int64) if r.t is None else common.unpack(r.t, np.int64)
+                base = spelling.value.log_probability(ws)
+                t = draw_tables(n, base, np.maximum(tables - old, 0), d, CONCENTRATION, np.random.default_rng([11, sweep, int(r.bucket)])) if len(ws) else n
+                out.append((r.bucket, r.words, common.pack(t), common.pack(n), common.pack(base), common.pack(hashes), int(n.sum()), int(t.sum()), int((n == 1).sum()), int((n == 2).sum()), float(np.exp(base).sum())))
+            return pd.DataFrame(out, columns=["bucket", "words", "t", "n", "base", "hashes", "customers", "tables", "once", "twice", "spelled"])
+
+        ups = rooms.filter("bucket is not null").select("context", "bucket", "hashes", "up")
+        state = common.stash(state.select("bucket", "words", "t").groupBy("bucket").cogroup(ups.groupBy("bucket")).applyInPandas(seat, "bucket int, words binary, t binary, n binary, base binary, hashes binary, customers long, tables long, once long, twice long, spelled double"), "seats")
+        sums = state.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("customers", "tables", "once", "twice", "spelled"))).first()
+        end_base = float(spelling.value.log_probability([b""])[0])
+        if end_customers:
+            one = lambda x, t: np.array([x], t)
+            end_tables = float(draw_tables(one(end_customers, np.int64), one(end_base, float), one(float(sums.tables), float), d, CONCENTRATION, np.random.default_rng([13, sweep]))[0])
+        else:
+            end_tables = 0.0
+        tables, norm = float(sums.tables) + end_tables, CONCENTRATION + sums.customers + end_customers
+        new_table = (CONCENTRATION + d * tables) / norm
+        end_p = max(0.0, end_customers - d * end_tables) / norm + new_table * np.exp(end_base)
+        # words that training lacks are one type
+        lacking = max(1e-9, 1.0 - float(sums.spelled) - float(np.exp(end_base)))
+
+        def offer(left: pd.DataFrame, right: pd.DataFrame, *, d: float = d, norm: float = norm, new_table: float = new_table, lacking: float = lacking) -> pd.DataFrame:
+            known, p = np.zeros(0, np.uint64), np.zeros(0)
+            for r in right.itertuples(index=False):
+                known, n, t, base = common.unpack(r.hashes, np.uint64), common.unpack(r.n, np.int64), common.unpack(r.t, np.int64), common.unpack(r.base, np.float64)
+                order = np.argsort(known)
+                known, p = known[order], (np.maximum(n - d * t, 0) / norm + new_table * np.exp(base))[order]
+            out = []
+            for r in left.itertuples(index=False):
+                h = common.unpack(r.hashes, np.uint64)
+                got = np.full(len(h), new_table * lacking)
+                if len(known):
+                    i = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    got = np.where(known[i] == h, p[i], got)
+                out.append((r.context, r.hashes, common.pack(got)))
+            return pd.DataFrame(out, columns=["context", "hashes", "p"])
+
+        offers = ups.select("context", "bucket", "hashes").groupBy("bucket").cogroup(state.select("bucket", "t", "n", "base", "hashes").groupBy("bucket")).applyInPandas(offer, "context int, hashes binary, p binary")
+
+        def reseat(left: pd.DataFrame, right: pd.DataFrame, *, sweep: int = sweep, end_p: float = end_p) -> pd.DataFrame:
+            x, bucket = Contexts.unpack(left["state"].iloc[0]), int(left["context"].iloc[0])
+            base = np.full(len(x.hashes), end_p)
+            for h, p in zip(right["hashes"], right["p"]):
+                base[np.searchsorted(x.hashes, common.unpack(h, np.uint64))] = common.unpack(p, np.float64)
+            p = x.sweep(base, discounts, np.random.default_rng([17, sweep, bucket]))
+            if sweep >= BURN_IN:
+                x.sum = x.sum + p
+            up = x.up()
+            mine = (bucket, None, x.pack(), None, None, int(up[x.hashes == np.uint64(END)].sum()), 0, 0, 0, 0)
+            return pd.DataFrame([mine, *_ups(bucket, x.hashes, up, buckets)], columns=[f.split()[0] for f in ROOMS.split(", ")])
+
+        new = common.stash(rooms.filter("state is not null").select("context", "state").groupBy("context").cogroup(offers.groupBy("context")).applyInPandas(reseat, ROOMS), "rooms")
+        common.drop(rooms)
+        rooms, d = new, _discount(sums.once, sums.twice)
+        if sweep == BURN_IN - 1:  # from here on, letters are seated by the tables that were drawn
+            spelling.destroy()
+            spelling = spark.sparkContext.broadcast(_train_spelling(state, symbol))
 
     def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        known: dict[bytes, tuple[int, float]] = {}
+        """Of words: training counts, and what spelling says of those that training lacks, given that they are lacking."""
+        known: dict[bytes, int] = {}
         for r in right.itertuples(index=False):
-            t = common.unpack(r.t, np.float64).reshape(3, -1)
-            n = common.unpack(r.n, np.int64)
-            p = (n - d * t[1] / kept) / norm + new_table * np.exp(t[2])
-            known.update(zip(_words(r.words), zip(n.tolist(), np.log10(p).tolist())))
+            known.update(zip(_words(r.words), common.unpack(r.n, np.int64).tolist()))
         out = []
         for r in left.itertuples(index=False):
             ws = _words(r.words)
-            n, logp = np.zeros(len(ws), np.int64), np.zeros(len(ws))
-            new = []
-            for i, w in enumerate(ws):
-                if (x := known.get(w)) is None:
-                    new.append(i)
-                else:
-                    n[i], logp[i] = x
-            if new:
-                logp[new] = np.log10(new_table) + spelling.value.log_probability([ws[i] for i in new]) / np.log(10)
-            out.append((r.chunk, r.bucket, common.pack(n), common.pack(logp.astype(np.float32))))
-        return pd.DataFrame(out, columns=["chunk", "bucket", "n", "logp"])
-
-    asked = asked.select("chunk", "bucket", "words")
-    answers = asked.groupBy("bucket").cogroup(state.select("bucket", "words", "n", "t").groupBy("bucket")).applyInPandas(answer, "chunk long, bucket int, n binary, logp binary")
-    end_base = float(spelling.value.log_probability([b""])[0])
-    end_count = ends
-    end_logp = float(np.log10((max(0.0, end_count - d) / norm if end_count else 0.0) + new_table * np.exp(end_base)))
+            n, more = np.array([known.get(w, 0) for w in ws], np.int64), np.zeros(len(ws))
+            new = np.flatnonzero(n == 0)
+            if len(new):
+                more[new] = (spelling.value.log_probability([ws[i] for i in new]) - np.log(lacking)) / np.log(10)
+            out.append((r.chunk, r.bucket, None, common.pack(n), common.pack(more.astype(np.float32))))
+        return pd.DataFrame(out, columns=["chunk", "bucket", "context", "n", "logp"])
+
+    def found(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """Of triples: the mean over the samples of the last word's probability after the first two."""
+        x = Contexts.unpack(right["state"].iloc[0])
+        logp = np.log10(x.sum / (SWEEPS - BURN_IN))
+        out = []
+        for r in left.itertuples(index=False):
+            u, v, w = common.unpack(r.hashes, np.uint64)[common.unpack(r.triples, np.uint32).reshape(3, -1)]
+            out.append((r.chunk, None, r.context, None, common.pack(logp[np.searchsorted(x.keys, keys_of(u, v, w))].astype(np.float32))))
+        return pd.DataFrame(out, columns=["chunk", "bucket", "context", "n", "logp"])
+
+    schema = "chunk long, bucket int, context int, n binary, logp binary"
+    answers = asked.select("chunk", "bucket", "words").groupBy("bucket").cogroup(words.select("bucket", "words", "n").groupBy("bucket")).applyInPandas(answer, schema)
+    answers = answers.unionByName(triples.drop("k").groupBy("context").cogroup(rooms.filter("state is not null").select("context", "state").groupBy("context")).applyInPandas(found, schema))
     unit = float(n_tokens + n_types + 1)
 
     def total(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values("bucket")
-        n = np.concatenate([common.unpack(b, np.int64) for b in right["n"]]) if len(right) else np.zeros(0, np.int64)
-        spelled = np.concatenate([common.unpack(b, np.float32) for b in right["logp"]]).astype(np.float64) if len(right) else np.zeros(0)
-        logp = np.where(n > 0, spelled, log_unknown)
+        of_words, of_triples = right[right["bucket"].notna()].sort_values("bucket"), right[right["context"].notna()].sort_values("context")
+        joined = lambda col, dtype: np.concatenate([np.zeros(0, dtype), *(common.unpack(b, dtype) for b in col)])
+        n, more, logp = joined(of_words["n"], np.int64), joined(of_words["logp"], np.float32).astype(np.float64), joined(of_triples["logp"], np.float32).astype(np.float64)
         base = np.log10((n + 1) / unit)
         out = []
         for r in left.itertuples(index=False):
             ids = common.unpack(r.ids, np.uint32)
-            own = n[ids]
-            out.append((r.doc_id, r.held_out, len(ids) + 1, int((own > 0).sum()) + (end_count > 0), n_tokens, float(base[ids].sum()) + np.log10((end_count + 1) / unit), float(logp[ids].sum()) + end_logp, float(spelled[ids].sum()) + end_logp))
+            own, score = n[ids], float(logp[common.unpack(r.at, np.uint32)].sum())
+            out.append((r.doc_id, r.held_out, len(ids) + 1, int((own > 0).sum()) + (ends > 0), n_tokens, float(base[ids].sum()) + np.log10((ends + 1) / unit), score, score + float(more[ids].sum())))
         return pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "spelled_score"]).astype({"doc_id": "Int64"})
 
     return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, spelled_score double")
