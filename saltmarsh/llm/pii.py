@@ -14,6 +14,7 @@ a text is replaced as a whole however long it is; other columns are kept; an emp
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import re
@@ -35,19 +36,20 @@ GIVEN = {
 TITLES = "Mr Mrs Ms Dr Prof Herr Frau Monsieur Madame Señor Señora Don Doña".split()
 GENDER = {name: kind for kind, names in GIVEN.items() for name in names}
 
-#: What may hold an entity at all; the same pattern holds for Java and Python.
-HINT = r"@|[0-9]{3}|(?:[0-9]+[.]){3}|\b(?:" + "|".join(TITLES + sorted(GENDER)) + r")\b"
+#: What may hold an entity at all: each match of FINDERS has one of these inside. The same pattern holds for Java and Python.
+HINT = r"@|[0-9]{3}|(?:[0-9]+[.]){3}|[+][0-9]|[0-9a-fA-F]{32}|[A-Z]{2}[0-9]{2}[0-9A-Z]{11}|(?:" + "|".join(TITLES) + r")[. ]|(?:" + "|".join(sorted(GENDER)) + r") "
 WORDS = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
 FINDERS = re.compile(
     r"(?P<email>(?<![\w.+-])[\w.+-]+@[^\W_]+(?:[.-][^\W_]+)*\.[A-Za-z]{2,}(?![\w]))"
     r"|(?P<ip>(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9]))"
-    r"|(?P<secret>(?<![\w])(?=[a-f]*[0-9])[0-9a-f]{32,128}(?![\w]))"
+    r"|(?P<secret>(?<![\w])(?=[a-fA-F]*[0-9])[0-9a-fA-F]{32,128}(?![\w]))"
     r"|(?P<iban>(?<![\w])[A-Z]{2}[0-9]{2}[0-9A-Z]{11,30}(?![\w]))"
     r"|(?P<card>(?<![\w.])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![\w]|\.[0-9]))"
     r"|(?P<phone>(?<![\w.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?)[0-9]{3,4}[ .-]?[0-9]{3,4}(?![\w])|(?<![\w.])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![\w]))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
     rf"|(?P<name>\b(?:(?:{'|'.join(TITLES)})\.? +)(?:(?:{'|'.join(sorted(GENDER))}) +)?(?=[^\W\d_a-z])(?:{WORDS})|\b(?:{'|'.join(sorted(GENDER))}) +(?=[A-ZÀ-ÖØ-Þ])(?:{WORDS}))"
 )
+HEXADECIMAL = re.compile(r"[0-9a-fA-F]{32,128}")
 TITLE = re.compile(rf"(?:{'|'.join(TITLES)})\.? +")
 IBAN_LETTERS = {c: str(i + 10) for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZ")}
 
@@ -59,8 +61,9 @@ def luhn(digits: str) -> bool:
 
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
-    """Start, end, type and entity of what a text holds. A full name gives one entity for each part, so that a later mention of the surname alone is the same entity."""
+    """Start, end, type and entity of what a text holds. A full name gives one entity for each part, and each bare repeat of a part in the same text is the same entity; a single letter isn't told from other uses and has no repeats."""
     out = []
+    names: dict[str, str] = {}
     for m in FINDERS.finditer(text):
         kind, start, end = m.lastgroup, m.start(), m.end()
         if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")):
@@ -69,10 +72,30 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             at = start + (t.end() if (t := TITLE.match(m[0])) else 0)
             for part in re.finditer(WORDS, text[at:end]):
                 if at + part.start() >= start:
-                    out.append((at + part.start(), at + part.end(), GENDER.get(part[0], "surname"), part[0]))
+                    name = re.sub("['’]s$", "", part[0])
+                    names[name] = GENDER.get(name, "surname")
+                    out.append((at + part.start(), at + part.start() + len(name), names[name], name))
             continue
-        value = m[0].lower() if kind == "email" else m[0]
+        value = m[0].lower() if kind in ("email", "secret") else m[0]
         out.append((start, end, kind, value))
+    return out + _repeats(text, names, out) if names else out
+
+
+def _repeats(text: str, names: dict[str, str], found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Where names stand as whole words outside of what was found; the longer of two names goes first."""
+    out = []
+    spans = sorted((a, b) for a, b, _, _ in found)
+    for name in sorted(names, key=len, reverse=True):
+        at = text.find(name) if len(name) > 1 else -1
+        while at >= 0:
+            end = at + len(name)
+            whole = not re.match(r"\w", text[at - 1 : at]) and not re.match(r"\w", text[end : end + 1])
+            if whole:
+                i = bisect.bisect_left(spans, (at, end))
+                if (i == 0 or spans[i - 1][1] <= at) and (i == len(spans) or spans[i][0] >= end):
+                    spans.insert(i, (at, end))
+                    out.append((at, end, names[name], name))
+            at = text.find(name, end)
     return out
 
 
@@ -206,7 +229,9 @@ def replace(text: str, spans: list) -> str:
     for s in sorted(spans, key=lambda s: s["start"]):
         was = text[s["start"] : s["stop"]]
         made = s["surrogate"]
-        if was != was.lower() and made == made.lower() and "@" in was:  # an address keeps its capitals
+        if made == made.lower() and HEXADECIMAL.fullmatch(was):  # so does a secret
+            made = made.upper() if was == was.upper() else "".join(m.upper() if w.isupper() else m for w, m in zip(was, made))
+        elif was != was.lower() and made == made.lower() and "@" in was:  # an address keeps its capitals
             made = "".join(m.upper() if w.isupper() and len(m.upper()) == 1 else m for w, m in zip(was, made))
         out += [text[at : s["start"]], made]
         at = s["stop"]
