@@ -2,7 +2,7 @@
 
 Entities are found in whole texts; each distinct entity gets one surrogate for the whole corpus, so what named
 the same thing before does so after. A surrogate is a keyed permutation of the strings with the entity's
-shape (letters by case and script, digits, hexadecimal digits; punctuation stays), so two entities of a type
+shape (letters by case and script, digits, hexadecimal digits; punctuation stays; a crowded shape gets letters), so two entities of a type
 never share one by construction. Collisions are checked over all entities: a surrogate that is itself an
 entity of the corpus, or that another entity got in an earlier attempt, is drawn again with another tweak.
 Given names are permuted inside a list of their gender; card numbers keep whether their check digit holds;
@@ -18,7 +18,9 @@ import bisect
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pandas as pd
 import pyarrow as pa
@@ -99,17 +101,35 @@ def _repeats(text: str, names: dict[str, str], found: list[tuple[int, int, str,
     return out
 
 
+FIXED = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "àáâãäåæèéêëìíîïòóôõöøùúûü", "çñýþßð", "ÀÁÂÃÄÅÆÈÉÊËÌÍÎÏÒÓÔÕÖØÙÚÛÜ")
+RANGES = ((0x3B1, 0x3C9), (0x391, 0x3A9), (0x430, 0x44F), (0x410, 0x42F), (0x5D0, 0x5EA), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF))
+
+
+def _script(c: str) -> tuple[str, str]:
+    """Of letters and digits of any script: the first word of the character's name, and its category."""
+    return unicodedata.name(c, "").split(" ")[0], unicodedata.category(c)
+
+
+def _listed(c: str) -> bool:
+    return any(c in a for a in FIXED) or any(low <= ord(c) <= high for low, high in RANGES)
+
+
+@cache
 def _alphabet(c: str, hexadecimal: bool) -> str:
     """The characters that may stand for one: of the same case, script and kind."""
     if hexadecimal:
         return "0123456789abcdef"
-    for a in ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "àáâãäåæèéêëìíîïòóôõöøùúûü", "çñýþßð", "ÀÁÂÃÄÅÆÈÉÊËÌÍÎÏÒÓÔÕÖØÙÚÛÜ"):
+    for a in FIXED:
         if c in a:
             return a
-    for low, high in ((0x3B1, 0x3C9), (0x391, 0x3A9), (0x430, 0x44F), (0x410, 0x42F), (0x5D0, 0x5EA), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF)):
+    if not c.isalpha() and not c.isdecimal():
+        return c
+    for low, high in RANGES:
         if low <= ord(c) <= high:
             return "".join(x for x in map(chr, range(low, high + 1)) if x.isalpha())
-    return c
+    # 4096 places at a time: most scripts are in one such part, all of Hangul's syllables in three
+    script, part = _script(c), ord(c) & ~0xFFF
+    return "".join(x for x in map(chr, range(part, part + 0x1000)) if (x.isalpha() or x.isdecimal()) and _script(x) == script and not _listed(x))
 
 
 def permute(n: int, size: int, key: bytes, tweak: str) -> int:
@@ -153,16 +173,27 @@ def _public(ip: str) -> str:
     return "private" if a.is_private else "multicast" if a.is_multicast else "reserved" if a.is_reserved else "public"
 
 
+#: After so many attempts a shape gets one more letter.
+WIDEN_AFTER = 4
+
+
+def _wider(text: str, more: int) -> str:
+    """A text with more letters of its last letter's script at its end."""
+    last = next((c for c in reversed(text) if c.isalpha()), "x")
+    low = last.lower() if len(last.lower()) == 1 else last
+    return text + (low if len(_alphabet(low, False)) > 1 else "x") * more
+
+
 def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
-    """The replacement of an entity. For the same type, key and attempt, different entities have different ones."""
-    tweak = f"{kind}/{attempt}"
+    """The replacement of an entity. For the same type, key and attempt, different entities have different ones. Names and addresses get longer in late attempts, as their shapes may have too few strings."""
+    tweak, more = f"{kind}/{attempt}", attempt // WIDEN_AFTER
     if kind in GIVEN and entity in GIVEN[kind]:
         names = sorted(GIVEN[kind])
         return names[permute(names.index(entity), len(names), key, tweak)]
     if kind == "email":
         user, _, domain = entity.partition("@")
         labels, _, top = domain.rpartition(".")
-        return f"{permute_shape(user, key, tweak + '@' + domain)}@{permute_shape(labels, key, 'domain/' + str(attempt))}.{top}"
+        return f"{permute_shape(_wider(user, more), key, tweak + '@' + domain)}@{permute_shape(labels, key, 'domain/' + str(attempt))}.{top}"
     if kind == "ip":
         octets = entity.split(".")
         if any(str(int(x)) != x for x in octets):
@@ -184,7 +215,7 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
     if kind == "phone":
         cut = m.end() if (m := re.match(r"\+[0-9]{1,3}(?![0-9])", entity)) else 0
         return entity[:cut] + permute_shape(entity[cut:], key, tweak + entity[:cut])
-    return permute_shape(entity, key, tweak, hexadecimal=kind == "secret")
+    return permute_shape(_wider(entity, more) if kind == "surname" else entity, key, tweak, hexadecimal=kind == "secret")
 
 
 def _spans(docs: DataFrame) -> DataFrame:
@@ -202,7 +233,7 @@ def _spans(docs: DataFrame) -> DataFrame:
 
 
 def assign(entities: DataFrame, key: bytes, attempts: int = 40) -> DataFrame:
-    """kind, entity, surrogate for distinct (kind, entity); checks that no surrogate is an entity of the corpus or given twice. Shapes with too few strings for that are an error."""
+    """kind, entity, surrogate for distinct (kind, entity); checks that no surrogate is an entity of the corpus or given twice. The shapes of names and addresses are widened until there is room."""
     left, done = entities, None
     for k in range(attempts):
 

@@ -1,6 +1,7 @@
 """What the surrogates' finders find, and what may keep a text from being searched."""
 
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -30,3 +31,18 @@ def test_bare_repeats_of_names():
     found = [(kind, entity) for _, _, kind, entity in sorted(pii.find(text))]
     assert found == [("surname", "Miller"), ("surname", "Miller"), ("email", "miller@x.org"), ("given_f", "Alice"), ("surname", "Miller-Smith"), ("surname", "Miller"), ("given_f", "Alice")]
     assert all(text[a:b].lower() == e.lower() for a, b, _, e in pii.find(text))
+
+
+def test_crowded_shapes_and_other_scripts(spark):
+    names = ["A", "E", "I", "O", "U", "김", "محمد", "राम", "สม", "Ł", "Ա"]
+    entities = spark.createDataFrame([("surname", n) for n in names], "kind string, entity string")
+    got = {r.entity: r.surrogate for r in pii.assign(entities, pii.QUERY_KEY).collect()}
+    assert sorted(got) == sorted(names) and len(set(got.values())) == len(names) and not set(got.values()) & set(names)
+    assert 0xAC00 <= ord(got["김"][0]) <= 0xD7A3 and all(unicodedata.name(c).startswith("ARABIC") for c in got["محمد"])
+    assert len(got["김"]) == 1 and len(got["A"]) > 1
+
+
+def test_alphabets_are_classes():
+    for c in map(chr, [*range(0x41, 0x600), *range(0x620, 0x700), 0x915, 0xAC00, 0xB300, 0xD7A3, 0x1E00, 0x4E00]):
+        assert c in pii._alphabet(c, False)
+        assert all(pii._alphabet(x, False) == pii._alphabet(c, False) for x in pii._alphabet(c, False)[:40])
