@@ -39,7 +39,7 @@ TITLES = "Mr Mrs Ms Dr Prof Herr Frau Monsieur Madame Señor Señora Don Doña".
 GENDER = {name: kind for kind, names in GIVEN.items() for name in names}
 
 #: What may hold an entity at all: each match of FINDERS has one of these inside. The same pattern holds for Java and Python.
-HINT = r"@|[0-9]{3}|(?:[0-9]+[.]){3}|[+][0-9]|[0-9a-fA-F]{32}|[A-Z]{2}[0-9]{2}[0-9A-Z]{11}|(?:" + "|".join(TITLES) + r")[. ]|(?:" + "|".join(sorted(GENDER)) + r") "
+HINT = r"@|[0-9]{3}|(?:[0-9]+[.]){3}|[+][0-9]|(?<![0-9A-Za-z_])(?:[0-9a-fA-F]{32}|[A-Z]{2}[0-9]{2}[0-9A-Z]{11}|(?:" + "|".join(TITLES) + r")[. ]|(?:" + "|".join(sorted(GENDER)) + r") )"
 WORDS = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
 FINDERS = re.compile(
     r"(?P<email>(?<![\w.+-])[\w.+-]+@[^\W_]+(?:[.-][^\W_]+)*\.[A-Za-z]{2,}(?![\w]))"
