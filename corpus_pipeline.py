@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last return the
 columns of documents. Rows with the same doc_id and text are one document; a null or empty text has no letter
-and goes in the first stage.
+and goes in the first stage. Other nulls are kept. Equal texts under several ids are near duplicates: the smallest
+id stays, and a null id only where all are null. Texts of any length are handled whole. Columns of any other name
+are kept as they are, also where an operator has one of that name; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,16 +24,17 @@ KEY, KEPT = "__saltmarsh_key", "__saltmarsh_kept"
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter or without a leading language."""
     labelled = docs.filter(common.remainder("doc_id", 5) != 0).select("text", "lang")
-    # the row is kept as one column, so that no column of it clashes with what identification adds
-    out = language.identify(docs.select("text", F.struct("*").alias("whole_row")), labelled)
-    return out.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("whole_row.*")
+    # the other columns are kept as one, so that none of them clashes with what identification adds
+    others = [c for c in docs.columns if c != "text"]
+    out = language.identify(docs.select("text", F.struct(*(F.col(c) for c in others)).alias(KEPT)), labelled)
+    return out.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("text", f"{KEPT}.*").select(docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document with the smallest doc_id stays."""
     found = ngram_join.near_duplicates(docs)
     stays = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("row_key").alias(KEY), F.col("doc_id").alias(KEPT)).distinct()
-    keyed = docs.withColumn(KEY, F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    keyed = docs.withColumn(KEY, common.row_key())
     out = keyed.join(stays, KEY).filter(F.col(KEPT).eqNullSafe(F.col("doc_id").cast("long")))
     return out.dropDuplicates([KEY, "doc_id"]).select(docs.columns)
 
@@ -40,7 +43,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents that contain a window of a benchmark item go."""
     found = decontam.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
     bad = found.filter("contaminated").select(F.col("row_key").alias(KEY)).distinct()
-    keyed = docs.withColumn(KEY, F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    keyed = docs.withColumn(KEY, common.row_key())
     return keyed.join(bad, KEY, "left_anti").select(docs.columns)
 
 

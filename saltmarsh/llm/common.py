@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled at once inside a task, in bytes; a longer document is handled alone.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +51,11 @@ def drop(*frames: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def row_key():
+    """Column: 128 bits that stand for a row's doc_id and text."""
+    return F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.when(F.col("text").isNull(), "-").otherwise("+"), F.col("text").cast("string")).cast("binary"))
+
+
 def remainder(col: str, by: int):
     """crc32 of the id as text, mod `by`; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % by
@@ -134,12 +138,44 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+_codec = pa.Codec("zstd", compression_level=1)
+
+
+def squeeze(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + _codec.compress(data, asbytes=True)
+
+
+def unsqueeze(blob: bytes) -> memoryview:
+    return memoryview(_codec.decompress(pa.py_buffer(blob)[8:], int.from_bytes(blob[:8], "little")))
+
+
 def pack(a: np.ndarray) -> bytes:
-    return zlib.compress(a.tobytes(), 1)
+    return squeeze(a.tobytes())
 
 
 def unpack(blob: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob), dtype)
+    return np.frombuffer(unsqueeze(blob), dtype)
+
+
+def pack_ints(a: np.ndarray) -> bytes:
+    """Numbers of at least 0, in as few bytes as the largest needs; the bytes of a place stand together."""
+    width = next(w for w in (1, 2, 4, 8) if not len(a) or int(a.max()) < 1 << (8 * w))
+    planes = a.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
+    return bytes([width]) + squeeze(planes.tobytes())
+
+
+def unpack_ints(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(unsqueeze(blob[1:]), np.uint8).reshape(blob[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{blob[0]}").reshape(-1)
+
+
+def pack_sorted(a: np.ndarray) -> bytes:
+    """Sorted numbers, as their differences."""
+    return int(a[0] if len(a) else 0).to_bytes(8, "little") + pack_ints(np.diff(a, prepend=a[:1]))
+
+
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack_ints(blob[8:]), dtype=np.uint64) + np.uint64(int.from_bytes(blob[:8], "little"))
 
 
 def merged(parts: DataFrame, size: int, dtype: str, how: str) -> np.ndarray:

@@ -91,7 +91,7 @@ def _scan(batch: pa.RecordBatch, filters: dict[int, np.ndarray]):
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, row_key, n_words, n_hit, n_items, item_ids (sorted), contaminated and spans (word ranges that are hit) for each document."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("row_key", common.row_key())
     made = common.stash(windows(items, window, shingle), "windows")
     sizes = [r.k for r in made.select("k").distinct().collect()]
     wanted = made.select("k", F.explode("shingles").alias("h")).distinct()
@@ -132,10 +132,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
             names = ["row_id", "k", "h", "at", "left", "around", "doc_id", "row_key", "n_words"]
             yield pa.RecordBatch.from_arrays([pa.array(range(row, row + m), pa.int64()), *(pa.nulls(m, t) for t in kinds[1:]), ids, keys, pa.array(n_words)], names=names)
             if n:
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, kinds)), *(pa.nulls(n, pa.int64()) for _ in range(3))], names=names)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, kinds)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], names=names)
             row += m
 
-    seen = common.stash(texts.mapInArrow(find, "row_id long, k int, h long, at long, left long, around array<string>, doc_id long, row_key long, n_words long"), "places")
+    seen = common.stash(texts.mapInArrow(find, "row_id long, k int, h long, at long, left long, around array<string>, doc_id long, row_key string, n_words long"), "places")
     start = F.col("left") - F.col("place")  # where the window starts in the words around
     hits = (
         seen.filter("k is not null").select("row_id", "k", "h", "at", "left", "around").join(prefixes, ["k", "h"])

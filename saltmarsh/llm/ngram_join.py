@@ -1,19 +1,21 @@
 """N-gram Jaccard join (operator 6): a grouped prefix join of word-shingle sets.
 
-Documents with equal sets are one class. Shingles are ordered from rare to frequent; sets that share three
-quarters of their union share one of the first n - ceil(3n/4) + 1 shingles of that order. Classes with the
-same such prefix and the same size are one group. Groups that share a prefix shingle are paired; a bound of
-the overlap, from counts of the shingles by hash, drops most pairs that only share a passage; the others are
-expanded into classes and verified with the whole sets.
-
-Long lists aren't paired in full: every member is paired with the list's most connected one. Lists and groups
-with members in common are families; in a family whose members those links leave in different components,
-all members outside the largest component are compared with the whole sets of the family, in blocks. So no
-link between different components is lost, and none inside a component is made twice.
+1. Each shingle has a cell, some bits of its hash; there are sixteen or more cells for each shingle of the input.
+   Chunks of documents send their cells to buckets, which count them over all documents and answer.
+2. Shingles are ordered from rare to frequent cells. Sets that share three quarters of their union share one of the
+   first n - ceil(3n/4) + 1 of that order, the prefix. Cells that only one shingle has can't be shared, so a document
+   whose prefix has no others has no links and goes no further; the others keep their shared prefix cells.
+3. Documents with equal sets are one class; classes with the same prefix and size are one group. Each group of a
+   cell's list is paired with the list's least edited group; sizes and a bound of the overlap, from counts of the
+   shingles by hash, drop most pairs; the others are verified with the whole sets.
+4. Lists with classes that those links leave in different components are open. Open lists with classes in common are
+   families; all classes outside of a family's largest component are compared with the whole sets of the family, in
+   blocks. So no link between different components is lost, and none inside a component is made twice.
 
 Defined results: null texts and texts without words have size 0 and stand alone; fewer words than a shingle
 are one shingle; repeated rows share a component; a null doc_id is never a component's smallest id unless all
-are null; other columns are not read; an empty table gives an empty table. Sets are of 64-bit hashes.
+are null; other columns are not read; an empty table gives an empty table. Sets are of 64-bit hashes, and classes are
+told apart by 64-bit fingerprints of them. A list with very many groups is split by Spark's skew join.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,17 +33,12 @@ from saltmarsh.llm import common
 from saltmarsh.llm.components import components
 from saltmarsh.llm.decontam import bits_of, passes
 
-#: Counters that order the shingles: an upper bound of a shingle's documents. Any order gives the same links; a fixed size bounds what is broadcast.
-COUNTERS = 1 << 20
-#: Lists up to this length are paired in full.
-SHORT_LIST = 8
-#: Entries for one task; the number of buckets follows from it. Longer lists are dealt to several.
-BUCKET = 300_000
+#: Shingles in one chunk of documents, and cells in one bucket of counts.
+CHUNK, BUCKET = 2_000_000, 2_000_000
 #: Members of a family in one block.
 BLOCK = 1000
-#: Prefix shingles from here on may be in as many documents as the counters can tell.
-HOT_KEY = np.uint64(65535 << 48)
 EMPTY = np.zeros(0, np.uint64)
+U = np.uint64
 
 
 def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
@@ -59,54 +57,91 @@ def prefix_size(n, percent: int):
 
 def fingerprint(values: np.ndarray) -> int:
     """Of a set of 64-bit numbers, in any order."""
-    s = common.mix(values * common.STEPS[7]).sum(dtype=np.uint64, keepdims=True) + np.array([len(values)], np.uint64) * common.STEPS[9]
+    s = common.mix(values * common.STEPS[7]).sum(dtype=U, keepdims=True) + np.array([len(values)], U) * common.STEPS[9]
     return int(common.mix(s).view(np.int64)[0])
 
 
-def _described(texts: DataFrame, k: int) -> DataFrame:
-    """doc_id, row_key, n, fp of each text, and rows (slot, blob) with the counters of its task."""
+def _where(cells: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct cells, where each given cell is among them, and how often each occurs. Cell and place are sorted as one number if both fit."""
+    n = len(cells)
+    wide = max(1, n.bit_length())
+    if bits + wide <= 64:
+        both = np.sort((cells << U(wide)) | np.arange(n, dtype=U))
+        ordered, order = both >> U(wide), (both & U((1 << wide) - 1)).astype(np.int64)
+    else:
+        order = np.argsort(cells, kind="stable")
+        ordered = cells[order]
+    new = np.ones(n, bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    first = np.flatnonzero(new)
+    inverse = np.empty(n, np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return ordered[first], inverse, np.diff(np.append(first, n))
+
+
+ROW = ["chunk", "doc_id", "row_key", "n", "fp", "bucket", "blob", "counts"]
+
+
+def _described(texts: DataFrame, k: int, bits: int, buckets: int) -> DataFrame:
+    """Rows of documents (chunk, doc_id, row_key, n, fp), of chunks (chunk, bucket -1, the cells of each document one after another, their numbers) and of a chunk's cells by bucket (chunk, bucket, cells, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(COUNTERS, np.uint32)
-        names = ["doc_id", "row_key", "n", "fp", "slot", "blob"]
+        chunk = TaskContext.get().partitionId() << 32
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+
+        def closed(sets: list[np.ndarray], fps: list[int], at: int) -> pa.RecordBatch:
+            sizes = np.array([len(s) for s in sets], np.int64)
+            cells = np.concatenate(sets) >> U(64 - bits)
+            u, _, times = _where(cells, bits)
+            bucket = (u * U(buckets) >> U(bits)).astype(np.int64) if bits < 40 else (u >> U(bits - 32)) * U(buckets) >> U(32)
+            edges = np.flatnonzero(np.diff(bucket)) + 1
+            # of each document its first cell, then the differences of the sorted ones
+            steps = np.diff(cells, prepend=U(0))
+            first = np.cumsum(sizes) - sizes
+            steps[first] = cells[first]
+            out = [(-1, common.pack_ints(steps), common.squeeze(sizes.tobytes() + np.array(fps, np.int64).tobytes()))]
+            out += [(int(bucket[x]), common.pack_sorted(u[x:y]), common.pack_ints(np.minimum(times[x:y], 65535))) for x, y in zip([0, *edges.tolist()], [*edges.tolist(), len(u)])]
+            cols = list(zip(*out))
+            m = len(out)
+            return pa.RecordBatch.from_arrays([pa.array([at] * m, kinds[0]), *(pa.nulls(m, t) for t in kinds[1:5]), *(pa.array(c, t) for c, t in zip(cols, kinds[5:]))], names=ROW)
+
+        sets, fps, size = [], [], 0
         for batch in batches:
-            n, fp = [], []
-            waiting, size = [], 0
+            n, fp, of = [], [], []
             for s in shingle_sets(common.as_bytes(batch.column("text")), k):
                 n.append(len(s))
                 fp.append(fingerprint(s) if len(s) else None)
-                waiting.append(s)
-                size += len(s)
-                if size > COUNTERS:
-                    counters += np.bincount((np.concatenate(waiting) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-                    waiting, size = [], 0
-            if waiting:
-                counters += np.bincount((np.concatenate(waiting) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+                of.append(chunk)
+                if len(s):
+                    sets.append(s)
+                    fps.append(fp[-1])
+                    size += len(s)
+                    if size >= CHUNK:
+                        yield closed(sets, fps, chunk)
+                        sets, fps, size = [], [], 0
+                        chunk += 1
             m = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
-        rows = common.slots(counters)
-        m = len(rows)
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(m, pa.int64()) for _ in range(4)), pa.array([x for x, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=names)
-
-    return texts.mapInArrow(run, "doc_id long, row_key long, n long, fp long, slot int, blob binary")
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), batch.column("doc_id"), batch.column("row_key"), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), *(pa.nulls(m, t) for t in kinds[5:])], names=ROW)
+        if sets:
+            yield closed(sets, fps, chunk)
 
+    return texts.mapInArrow(run, "chunk long, doc_id long, row_key string, n long, fp long, bucket int, blob binary, counts binary")
 
-def _prefix(s: np.ndarray, counters: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles in order of rarity, then hash, as one number each."""
-    often = np.minimum(counters[(s & np.uint64(COUNTERS - 1)).astype(np.int64)], 65535).astype(np.uint64)
-    keys = (often << np.uint64(48)) | (s >> np.uint64(16))
-    keys.sort()
-    return keys[: prefix_size(len(s), percent)]
 
+def _counted(pdf: pd.DataFrame, bits: int) -> pd.DataFrame:
+    """Answers each chunk: how many shingles of all documents are in each of its cells."""
+    parts = [common.unpack_sorted(b) for b in pdf["blob"]]
+    _, inverse, _ = _where(np.concatenate(parts), bits)
+    times = np.concatenate([common.unpack_ints(c) for c in pdf["counts"]]).astype(np.float64)
+    total = np.minimum(np.bincount(inverse, weights=times), 65535).astype(np.int64)[inverse]
+    split = np.split(total, np.cumsum([len(p) for p in parts])[:-1])
+    return pd.DataFrame({"chunk": pdf["chunk"], "bucket": pdf["bucket"], "answer": [common.pack_ints(x) for x in split]})
 
-def _group(keys: np.ndarray, n: int) -> int:
-    return fingerprint(keys) ^ n
 
-
-def signature(s: np.ndarray) -> bytes:
+def signature(cells: np.ndarray) -> bytes:
     """How many of the shingles fall into each hash class; about four a class."""
-    k = 1 << max(3, (len(s) // 4).bit_length())
-    return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) & (k - 1), minlength=k), 255).astype(np.uint8).tobytes()
+    k = 1 << max(3, (len(cells) // 4).bit_length())
+    return np.minimum(np.bincount(common.mix(cells).astype(np.int64) & (k - 1), minlength=k), 255).astype(np.uint8).tobytes()
 
 
 def overlap_bound(a: bytes, b: bytes) -> int:
@@ -119,99 +154,46 @@ def overlap_bound(a: bytes, b: bytes) -> int:
     return int(np.minimum(x, y).sum())
 
 
-def _groups(texts: DataFrame, k: int, percent: int, counters) -> DataFrame:
-    """fp, gid, n and signature of each class: gid is of its prefix and size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: dict[int, tuple[int, int, bytes]] = {}
-            for s in shingle_sets(common.as_bytes(batch.column("text")), k):
-                if len(s) and (fp := fingerprint(s)) not in seen:
-                    seen[fp] = _group(_prefix(s, counters.value, percent), len(s)), len(s), signature(s)
-            cols = list(zip(*seen.values())) if seen else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary())))], names=["fp", "gid", "n", "sig"])
-
-    return texts.select("text").mapInArrow(run, "fp long, gid long, n long, sig binary").dropDuplicates(["fp"])
-
-
-ENTRY = np.dtype([("key", "<u8"), ("gid", "<i8"), ("n", "<u4")])
-
-
-def _entries(texts: DataFrame, k: int, percent: int, counters, buckets: int) -> DataFrame:
-    """Rows (bucket, blob): a group's prefix shingles, dealt to buckets by shingle; a shingle that may be in a very long list is dealt to several."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def dealt(parts: list[np.ndarray]) -> pa.RecordBatch:
-            e = np.concatenate(parts)
-            spread = np.where(e["key"] >= HOT_KEY, e["gid"].view(np.uint64) % np.uint64(buckets), np.uint64(0))
-            at = (common.mix(e["key"] + spread * common.STEPS[3]) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(at, kind="stable")
-            e, at = e[order], at[order]
-            cuts = np.flatnonzero(np.diff(at)) + 1
-            return pa.RecordBatch.from_arrays([pa.array(at[np.concatenate([[0], cuts])], pa.int64()), pa.array([x.tobytes() for x in np.split(e, cuts)], pa.binary())], names=["bucket", "blob"])
-
-        for batch in batches:
-            seen, parts, size = set(), [], 0
-            for s in shingle_sets(common.as_bytes(batch.column("text")), k):
-                if not len(s):
-                    continue
-                keys = _prefix(s, counters.value, percent)
-                gid = _group(keys, len(s))
-                if gid in seen:
-                    continue
-                seen.add(gid)
-                e = np.empty(len(keys), ENTRY)
-                e["key"], e["gid"], e["n"] = keys, gid, len(s)
-                parts.append(e)
-                size += len(e)
-                if size > 1_000_000:
-                    yield dealt(parts)
-                    parts, size = [], 0
-            if parts:
-                yield dealt(parts)
-
-    return texts.select("text").mapInArrow(run, "bucket long, blob binary")
-
-
-def _pairs(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs of groups in the short lists of one bucket; entries of long lists come back with their key."""
-    e = np.concatenate([np.frombuffer(b, ENTRY) for b in pdf["blob"]])
-    e = e[np.lexsort((e["gid"], e["key"]))]
-    new = np.ones(len(e), bool)
-    new[1:] = e["key"][1:] != e["key"][:-1]
-    keep = new.copy()
-    keep[1:] |= e["gid"][1:] != e["gid"][:-1]
-    e, new = e[keep], new[keep]
-    first = np.flatnonzero(new)
-    length = np.diff(np.append(first, len(e)))
-    head, m = np.repeat(first, length), np.repeat(length, length)
-    dealt = e["key"] >= HOT_KEY  # the rest of such a list is in other buckets
-    left, right = [], []
-    for d in range(1, SHORT_LIST):
-        i = np.flatnonzero((m <= SHORT_LIST) & ~dealt & (np.arange(len(e)) + d < head + m))
-        left.append(i)
-        right.append(i + d)
-    long = np.flatnonzero((m > SHORT_LIST) | dealt)
-    a, b = e[np.concatenate(left)], e[np.concatenate(right)]
-    near = 100 * np.minimum(a["n"], b["n"]).astype(np.int64) >= percent * np.maximum(a["n"], b["n"]).astype(np.int64)
-    pairs = np.unique(np.stack([np.minimum(a["gid"], b["gid"])[near], np.maximum(a["gid"], b["gid"])[near]], 1), axis=0)
-    return pd.concat(
-        [
-            pd.DataFrame({"key": pd.array([pd.NA] * len(pairs), "Int64"), "a": pairs[:, 0], "b": pairs[:, 1]}),
-            pd.DataFrame({"key": pd.array(e["key"][long].view(np.int64), "Int64"), "a": e["gid"][long], "b": e["gid"][long]}),
-        ]
-    )
-
-
-def _sets(texts: DataFrame, k: int, wanted) -> DataFrame:
-    """fp and whole set of the classes that a filter of fixed size lets through."""
+def prefixes(cells: np.ndarray, sizes: np.ndarray, counts: np.ndarray, percent: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Of documents whose prefix has shared cells: number, own cells in the prefix, and the prefix, rare cells first."""
+    first = np.cumsum(sizes) - sizes
+    alone = np.add.reduceat((counts == 1).astype(np.int64), first) if len(first) else first
+    for d in np.flatnonzero(alone < prefix_size(sizes, percent)).tolist():
+        lo, n = int(first[d]), int(sizes[d])
+        order = np.lexsort((cells[lo : lo + n], counts[lo : lo + n]))[: prefix_size(n, percent)]
+        yield d, int(alone[d]), cells[lo : lo + n][order]
+
+
+def _classes(bits: int, percent: int):
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """fp, gid (of its prefix and size), n, edited (own cells in a million), signature and shared prefix cells of a chunk's classes that may have links."""
+        out = {}
+        if not left.empty:
+            row = left.iloc[0]
+            steps = common.unpack_ints(row["blob"]).astype(U)
+            sizes, fps = np.frombuffer(common.unsqueeze(row["counts"]), np.int64).reshape(2, -1)
+            first = np.cumsum(sizes) - sizes
+            cells = np.cumsum(steps, dtype=U)
+            cells -= np.repeat(np.concatenate([[U(0)], cells[first[1:] - 1]]), sizes)
+            counts = np.concatenate([common.unpack_ints(a).astype(np.int64) for a in right.sort_values("bucket")["answer"]])[_where(cells, bits)[1]]
+            for d, alone, prefix in prefixes(cells, sizes, counts, percent):
+                fp, n = int(fps[d]), int(sizes[d])
+                if fp not in out:
+                    out[fp] = fp, fingerprint(prefix) ^ n, n, 1_000_000 * alone // n, signature(cells[first[d] : first[d] + n]), np.unique(prefix[alone:]).view(np.int64)
+        return pd.DataFrame(list(out.values()), columns=["fp", "gid", "n", "edited", "sig", "cells"])
+
+    return run
+
+
+def _sets(texts: DataFrame, k: int) -> DataFrame:
+    """fp and whole set of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[int, np.ndarray] = {}
             for s in shingle_sets(common.as_bytes(batch.column("text")), k):
-                if len(s) and passes(wanted.value, np.array([fp := fingerprint(s)]).view(np.uint64))[0]:
-                    seen[fp] = s.view(np.int64)
+                if len(s):
+                    seen[fingerprint(s)] = s.view(np.int64)
             if seen:
                 ends = np.cumsum([0] + [len(s) for s in seen.values()]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(list(seen.values()))))], names=["fp", "members"])
@@ -239,11 +221,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common_n >= percent * (F.size("ma") + F.size("mb") - common_n)).select("a", "b")
 
 
-def _compare(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+def _family(pdf: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     """Links between the left and right sets of a block that join components which nothing joins yet; at most one fewer than there are components."""
     left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
     if left.empty or right.empty:
-        return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        return []
     sets = [*left["members"], *right["members"]]
     sizes = np.array([len(x) for x in sets], np.int64)
     _, ids, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -254,9 +236,10 @@ def _compare(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     order = np.argsort(ids, kind="stable")
     ids, owner, m = ids[order], owner[order], len(left)
     shared = np.zeros((m, len(right)), np.float32)
-    for start in range(0, int(ids[-1]) + 1 if len(ids) else 0, 4096):
-        lo, hi = np.searchsorted(ids, [start, start + 4096])
-        part = np.zeros((len(sets), 4096), np.float32)
+    wide = 4096 if len(sets) > 64 else 512
+    for start in range(0, int(ids[-1]) + 1 if len(ids) else 0, wide):
+        lo, hi = np.searchsorted(ids, [start, start + wide])
+        part = np.zeros((len(sets), wide), np.float32)
         part[owner[lo:hi], ids[lo:hi] - start] = 1
         shared += part[:m] @ part[m:].T
     i, j = np.nonzero((100 + percent) * shared.astype(np.int64) >= percent * (sizes[:m, None] + sizes[None, m:]))
@@ -273,62 +256,95 @@ def _compare(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
         if lc[x] != rc[y] and (u := root(lc[x])) != (v := root(rc[y])):
             comp[u] = v
             out.append((lf[x], rf[y]))
+    return out
+
+
+def _compare(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links found in a block; small families share one."""
+    out = [x for _, part in pdf.groupby("family", sort=False) for x in _family(part, percent)]
     return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
 
+def wanted_texts(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """The texts whose row_key is among the keys, and few others: a filter of fixed size is broadcast, and no text is shuffled."""
+    wanted = texts.sparkSession.sparkContext.broadcast(bits_of(keys.select(F.xxhash64("row_key").alias("h")).distinct(), 26))
+
+    @F.pandas_udf("boolean")
+    def maybe(h: pd.Series) -> pd.Series:
+        return pd.Series(passes(wanted.value, h.to_numpy(np.int64).view(U)))
+
+    return texts.filter(maybe(F.xxhash64("row_key")))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, row_key, n_shingles and component_id of each document. Two documents link when 100 * intersection >= percent * union."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("row_key", F.xxhash64("doc_id", "text"))
-    described = common.stash(_described(texts, k), "described")
-    counters = spark.sparkContext.broadcast(common.merged(described.filter("slot is not null"), COUNTERS, "uint32", "sum"))
-    rows = described.filter("slot is null").drop("slot", "blob")
-    total = rows.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET + 1)
-    classes = common.stash(_groups(texts, k, percent, counters), "classes")
-    entries = _entries(texts, k, percent, counters, buckets)
-    lists = common.stash(entries.groupBy("bucket").applyInPandas(lambda pdf: _pairs(pdf, percent), "key long, a long, b long"), "lists")
-
-    # groups that share a rare shingle, by their first classes; members of a group and of a long list with one of them
-    sizes = classes.groupBy("gid").agg(F.min("fp").alias("first"), F.count("*").alias("m"))
-    short = lists.filter("key is null").select("a", "b").distinct()
-    head = sizes.select("gid", "first", (F.col("m") > 1).alias("many"))
-    of_groups = short.join(head.withColumnsRenamed({"gid": "a", "first": "fa", "many": "ma"}), "a").join(head.withColumnsRenamed({"gid": "b", "first": "fb", "many": "mb"}), "b")
-    of_groups = common.stash(of_groups.select(F.col("fa").alias("a"), F.col("fb").alias("b"), (F.col("ma") | F.col("mb")).alias("many")), "groups")
-    inside = classes.join(sizes.filter("m > 1"), "gid").filter("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
-    long = lists.filter("key is not null").select("key", F.col("a").alias("gid"))
-    often = long.groupBy("gid").agg(F.count("*").alias("lists"))
-    long = common.stash(long.join(often, "gid").join(sizes.select("gid", "first"), "gid"), "long")
-    centres = long.groupBy("key").agg(F.max(F.struct("lists", "first")).alias("c")).select("key", F.col("c.first").alias("centre"))
-    star = long.join(centres, "key").filter("first <> centre").select(F.col("centre").alias("a"), F.col("first").alias("b"))
-    star = common.stash(_ordered(star), "star")
-    tried = common.stash(possible(_ordered(of_groups.select("a", "b").unionByName(inside)).unionByName(star).distinct(), classes, percent), "tried")
-
-    # families: what shares a long list or a group of several classes, or is paired with such a group
-    ties = common.stash(star.unionByName(inside).unionByName(of_groups.filter("many").select("a", "b")), "ties")
-    family = components(ties)
-    wanted_fp = tried.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(family.select("fp")).distinct()
-    wanted_fp = common.stash(wanted_fp, "wanted")
-    wanted = spark.sparkContext.broadcast(bits_of(wanted_fp.withColumnRenamed("fp", "h"), 26))
-    sets = common.stash(_sets(texts, k, wanted).join(wanted_fp, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("row_key", common.row_key())
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # a shingle takes two bytes at least
+    bits = min(48, max(16, (size // 6).bit_length() + 4))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (6 * BUCKET) + 1)
+    described = common.stash(_described(texts, k, bits, buckets), "described")
+    rows = described.filter("row_key is not null").select("doc_id", "row_key", "n", "fp")
+    answers = described.filter("bucket >= 0").select("chunk", "bucket", "blob", "counts").groupBy("bucket").applyInPandas(lambda pdf: _counted(pdf, bits), "chunk long, bucket int, answer binary")
+    chunks = described.filter("bucket = -1").select("chunk", "blob", "counts")
+    found = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_classes(bits, percent), "fp long, gid long, n long, edited long, sig binary, cells array<long>")
+    every = common.stash(found, "classes_of_chunks")
+    classes = common.stash(every.dropDuplicates(["fp"]), "classes")
+    common.drop(every)
+
+    # the classes of a group are tried with its first one, the groups of a cell's list with the least edited one
+    facts = F.struct("edited", "n", "fp")
+    groups = common.stash(classes.groupBy("gid").agg(F.min(facts).alias("first"), F.count("*").alias("m"), F.first("cells").alias("cells")), "groups")
+    entries = groups.select("gid", "first", "m", F.explode("cells").alias("cell"))
+    lists = entries.groupBy("cell").agg(F.min("first").alias("centre"), F.sum("m").alias("classes"), F.count("*").alias("k")).filter("classes > 1")
+    entries = common.stash(entries.select("cell", "gid", F.col("first.fp").alias("first"), "m").join(lists.select("cell", F.col("centre.fp").alias("centre"), "classes", "k"), "cell"), "entries")
+    star = entries.filter("first <> centre").select(F.col("centre").alias("a"), F.col("first").alias("b"))
+    inside = classes.join(groups.filter("m > 1").select("gid", F.col("first.fp").alias("a")), "gid").filter("fp <> a").select("a", F.col("fp").alias("b"))
+    tried = common.stash(possible(star.unionByName(inside).distinct(), classes, percent), "tried")
+
+    def sets_of(fps: DataFrame) -> DataFrame:
+        """One text of each class is read again."""
+        keys = rows.join(fps, "fp", "left_semi").groupBy("fp").agg(F.min("row_key").alias("row_key"))
+        return common.stash(_sets(wanted_texts(texts, keys), k).join(fps, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
+
+    fps = common.stash(tried.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fps")
+    sets = sets_of(fps)
     links = common.stash(verified(tried, sets, percent), "links")
+    common.drop(sets, fps)
     comp = components(links)
 
-    named = common.stash(family.withColumnRenamed("comp", "family").join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp")), "named")
-    shares = named.groupBy("family", "comp").agg(F.count("*").alias("m"))
-    open_families = shares.groupBy("family").agg(F.sum("m").alias("members"), F.count("*").alias("parts"), F.max(F.struct("m", "comp")).alias("home")).filter("parts > 1")
-    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
-    facts = open_families.select("family", blocks(F.col("members")).alias("bj"), blocks(F.col("members") - F.col("home.m")).alias("bi"), F.col("home.comp").alias("home"))
-    rest = named.join(facts, "family").join(sets, "fp")
-    columns = ["family", "i", "j", "side", "fp", "comp", "members"]
-    own = lambda n: F.pmod(F.xxhash64("fp"), n).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    outside = rest.filter("comp <> home").withColumns({"i": own("bi"), "j": each("bj"), "side": F.lit(0)}).select(columns)
-    whole = rest.withColumns({"i": each("bi"), "j": own("bj"), "side": F.lit(1)}).select(columns)
-    found = common.stash(outside.unionByName(whole).groupBy("family", "i", "j").applyInPandas(lambda pdf: _compare(pdf, percent), "a long, b long"), "found")
-    if not found.isEmpty():
-        # the components are stars by now, so fewer rounds are left than for all links
-        comp = components(comp.select(F.col("comp").alias("a"), F.col("fp").alias("b")).unionByName(found))
+    # lists of more than two classes, in different components: not all of their pairs were tried
+    placed = classes.select("gid", "fp").join(comp, "fp", "left").select("gid", "fp", F.coalesce("comp", "fp").alias("comp"))
+    of_groups = placed.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    open_lists = entries.filter("classes > 2").join(of_groups, "gid").groupBy("cell").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select("cell")
+    inner = common.stash(entries.join(open_lists, "cell", "left_semi").select("cell", "gid"), "open")
+    if not inner.isEmpty():
+        centres = entries.join(open_lists, "cell", "left_semi").filter("first <> centre").select(F.col("centre").alias("a"), F.col("first").alias("b"))
+        members = placed.join(inner.select("gid").distinct(), "gid", "left_semi")
+        firsts = groups.select("gid", F.col("first.fp").alias("first"))
+        ties = centres.unionByName(members.join(firsts, "gid").filter("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))).distinct()
+        named = common.stash(members.select("fp", "comp").join(components(ties).withColumnRenamed("comp", "family"), "fp"), "named")
+        shares = named.groupBy("family", "comp").agg(F.count("*").alias("m"))
+        families = shares.groupBy("family").agg(F.sum("m").alias("members"), F.count("*").alias("parts"), F.max(F.struct("m", "comp")).alias("home")).filter("parts > 1")
+        blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+        sizes = families.select("family", blocks(F.col("members")).alias("bj"), blocks(F.col("members") - F.col("home.m")).alias("bi"), F.col("home.comp").alias("home"))
+        of_families = common.stash(named.join(sizes, "family"), "families")
+        sets = sets_of(of_families.select("fp").distinct())
+        rest = of_families.join(sets, "fp")
+        columns = ["place", "family", "i", "j", "side", "fp", "comp", "members"]
+        few = F.pmod(F.xxhash64("family"), F.lit(4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        place = F.when((F.col("bi") == 1) & (F.col("bj") == 1), few).otherwise(F.col("family"))
+        own = lambda n: F.pmod(F.xxhash64("fp"), n).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        outside = rest.filter("comp <> home").withColumns({"place": place, "i": own("bi"), "j": each("bj"), "side": F.lit(0)}).select(columns)
+        whole = rest.withColumns({"place": place, "i": each("bi"), "j": own("bj"), "side": F.lit(1)}).select(columns)
+        more = common.stash(outside.unionByName(whole).groupBy("place", "i", "j").applyInPandas(lambda pdf: _compare(pdf, percent), "a long, b long"), "found")
+        common.drop(sets)
+        if not more.isEmpty():
+            # the components are stars by now, so fewer rounds are left than for all links
+            comp = components(comp.select(F.col("comp").alias("a"), F.col("fp").alias("b")).unionByName(more))
+        common.drop(named, of_families, more)
+    common.drop(classes, groups, entries, tried, links, inner)
 
     out = rows.join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     low = out.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
@@ -336,9 +352,5 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     return out.select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
-
-
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

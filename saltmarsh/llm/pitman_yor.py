@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import hashlib
 import pickle
-import zlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -261,7 +260,7 @@ def _chunked(docs: DataFrame, buckets: int) -> DataFrame:
                 if words:
                     cuts = np.flatnonzero(np.diff(at)) + 1
                     parts = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(words)]))
-                    yield rows(chunk, len(parts), bucket=[at[x] for x, _ in parts], words=[zlib.compress(b" ".join(words[x:y]), 1) for x, y in parts], n=[common.pack(n[x:y]) for x, y in parts])
+                    yield rows(chunk, len(parts), bucket=[at[x] for x, _ in parts], words=[common.squeeze(b" ".join(words[x:y])) for x, y in parts], n=[common.pack(n[x:y]) for x, y in parts])
                 chunk += 1
 
     return docs.mapInArrow(run, "chunk long, doc_id long, held_out boolean, ids binary, at binary, bucket int, words binary, n binary, context int, hashes binary, triples binary, k binary")
@@ -324,17 +323,17 @@ def _vocabulary(pdf: pd.DataFrame) -> pd.DataFrame:
     """The training words of one bucket with their counts; also counts of counts and of bytes."""
     total: dict[bytes, int] = {}
     for words, n in zip(pdf["words"], pdf["n"]):
-        for w, k in zip(zlib.decompress(words).split(b" "), common.unpack(n, np.int64).tolist()):
+        for w, k in zip(bytes(common.unsqueeze(words)).split(b" "), common.unpack(n, np.int64).tolist()):
             if k:
                 total[w] = total.get(w, 0) + k
     n = np.array(list(total.values()), np.int64)
     joined = b" ".join(total)
     letters = np.bincount(np.frombuffer(joined, np.uint8), minlength=256).astype(np.int64)
-    return pd.DataFrame([(int(pdf["bucket"].iloc[0]), zlib.compress(joined, 1), common.pack(n), int(n.sum()), len(n), int((n == 1).sum()), int((n == 2).sum()), common.pack(letters))], columns=["bucket", "words", "n", "tokens", "types", "once", "twice", "letters"])
+    return pd.DataFrame([(int(pdf["bucket"].iloc[0]), common.squeeze(joined), common.pack(n), int(n.sum()), len(n), int((n == 1).sum()), int((n == 2).sum()), common.pack(letters))], columns=["bucket", "words", "n", "tokens", "types", "once", "twice", "letters"])
 
 
 def _words(blob: bytes) -> list[bytes]:
-    joined = zlib.decompress(blob)
+    joined = bytes(common.unsqueeze(blob))
     return joined.split(b" ") if joined else []
 
 

@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import hashlib
 import pickle
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -248,11 +247,11 @@ def merge_keys(s: dict[str, np.ndarray], x: dict[str, np.ndarray]) -> tuple[np.n
 
 
 def _pack(s: dict) -> bytes:
-    return zlib.compress(pickle.dumps(s, protocol=5), 1)
+    return common.squeeze(pickle.dumps(s, protocol=5))
 
 
 def _unpack(blob: bytes) -> dict:
-    return pickle.loads(zlib.decompress(blob))
+    return pickle.loads(common.unsqueeze(blob))
 
 
 ROW = "chunk long, bucket int, width int, blob binary"
