@@ -178,6 +178,24 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack_ints(blob[8:]), dtype=np.uint64) + np.uint64(int.from_bytes(blob[:8], "little"))
 
 
+def placed(codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct codes of so many bits, where each given code is among them, and how often each occurs. Code and place are sorted as one number if both fit."""
+    n = len(codes)
+    wide = max(1, n.bit_length())
+    if bits + wide <= 64:
+        both = np.sort((codes.astype(np.uint64) << np.uint64(wide)) | np.arange(n, dtype=np.uint64))
+        ordered, order = both >> np.uint64(wide), (both & np.uint64((1 << wide) - 1)).astype(np.int64)
+    else:
+        order = np.argsort(codes, kind="stable")
+        ordered = codes[order].astype(np.uint64)
+    new = np.ones(n, bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    first = np.flatnonzero(new)
+    inverse = np.empty(n, np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return ordered[first], inverse, np.diff(np.append(first, n))
+
+
 def merged(parts: DataFrame, size: int, dtype: str, how: str) -> np.ndarray:
     """An array of fixed size, from rows (slot int, blob binary) that hold parts of partial arrays; how: sum or or. Only `size` numbers reach the driver."""
     ufunc = {"sum": np.add, "or": np.bitwise_or}[how]

@@ -34,7 +34,7 @@ from saltmarsh.llm.components import components
 from saltmarsh.llm.decontam import bits_of, passes
 
 #: Shingles in one chunk of documents, and cells in one bucket of counts.
-CHUNK, BUCKET = 2_000_000, 2_000_000
+CHUNK, BUCKET = 1_000_000, 1_500_000
 #: Members of a family in one block.
 BLOCK = 1000
 EMPTY = np.zeros(0, np.uint64)
@@ -61,24 +61,6 @@ def fingerprint(values: np.ndarray) -> int:
     return int(common.mix(s).view(np.int64)[0])
 
 
-def _where(cells: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct cells, where each given cell is among them, and how often each occurs. Cell and place are sorted as one number if both fit."""
-    n = len(cells)
-    wide = max(1, n.bit_length())
-    if bits + wide <= 64:
-        both = np.sort((cells << U(wide)) | np.arange(n, dtype=U))
-        ordered, order = both >> U(wide), (both & U((1 << wide) - 1)).astype(np.int64)
-    else:
-        order = np.argsort(cells, kind="stable")
-        ordered = cells[order]
-    new = np.ones(n, bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    first = np.flatnonzero(new)
-    inverse = np.empty(n, np.int64)
-    inverse[order] = np.cumsum(new) - 1
-    return ordered[first], inverse, np.diff(np.append(first, n))
-
-
 ROW = ["chunk", "doc_id", "row_key", "n", "fp", "bucket", "blob", "counts"]
 
 
@@ -92,7 +74,7 @@ def _described(texts: DataFrame, k: int, bits: int, buckets: int) -> DataFrame:
         def closed(sets: list[np.ndarray], fps: list[int], at: int) -> pa.RecordBatch:
             sizes = np.array([len(s) for s in sets], np.int64)
             cells = np.concatenate(sets) >> U(64 - bits)
-            u, _, times = _where(cells, bits)
+            u, _, times = common.placed(cells, bits)
             bucket = (u * U(buckets) >> U(bits)).astype(np.int64) if bits < 40 else (u >> U(bits - 32)) * U(buckets) >> U(32)
             edges = np.flatnonzero(np.diff(bucket)) + 1
             # of each document its first cell, then the differences of the sorted ones
@@ -131,7 +113,7 @@ def _described(texts: DataFrame, k: int, bits: int, buckets: int) -> DataFrame:
 def _counted(pdf: pd.DataFrame, bits: int) -> pd.DataFrame:
     """Answers each chunk: how many shingles of all documents are in each of its cells."""
     parts = [common.unpack_sorted(b) for b in pdf["blob"]]
-    _, inverse, _ = _where(np.concatenate(parts), bits)
+    _, inverse, _ = common.placed(np.concatenate(parts), bits)
     times = np.concatenate([common.unpack_ints(c) for c in pdf["counts"]]).astype(np.float64)
     total = np.minimum(np.bincount(inverse, weights=times), 65535).astype(np.int64)[inverse]
     split = np.split(total, np.cumsum([len(p) for p in parts])[:-1])
@@ -175,7 +157,7 @@ def _classes(bits: int, percent: int):
             first = np.cumsum(sizes) - sizes
             cells = np.cumsum(steps, dtype=U)
             cells -= np.repeat(np.concatenate([[U(0)], cells[first[1:] - 1]]), sizes)
-            counts = np.concatenate([common.unpack_ints(a).astype(np.int64) for a in right.sort_values("bucket")["answer"]])[_where(cells, bits)[1]]
+            counts = np.concatenate([common.unpack_ints(a).astype(np.int64) for a in right.sort_values("bucket")["answer"]])[common.placed(cells, bits)[1]]
             for d, alone, prefix in prefixes(cells, sizes, counts, percent):
                 fp, n = int(fps[d]), int(sizes[d])
                 if fp not in out:

@@ -1,18 +1,17 @@
 """LM scoring (operator 3): a hierarchical Pitman-Yor model of words in their contexts, over one of their spelling.
 
-Restaurants are contexts of two words (u, v), whose parent is that of one word (v), which shares the restaurant of
-words with all others; its parent is the model of spelling, whose contexts of up to three symbols share parents
-alike. Each training token is a customer of its deepest context; tables are customers of the parent, and are drawn
-by Gibbs sampling from their exact conditional (generalised Stirling numbers); dishes with very many customers are
-seated in blocks. The spelling model is first seated by one table a word, and after burn-in by the tables drawn.
+Each word v is the restaurant of the words that follow it; all of these share one parent, the restaurant of words,
+whose parent is the model of spelling, whose contexts of up to three symbols share parents alike. Each training token
+is a customer of the context before it; tables are customers of the parent, and are drawn
+by Gibbs sampling from their conditional given the parent's probabilities (generalised Stirling numbers, and a gamma
+variable for each restaurant that makes its dishes independent); dishes of over 200 customers are seated in blocks. The spelling model is first seated by one table a word, and after burn-in by the tables drawn.
 A text's score is the sum over its words and its end, each with the mean over the samples after burn-in of its
-probability in the deepest context; a context that training lacks is its parent. As for the base score, all words
+probability in its context; a context that training lacks is its parent. As for the base score, all words
 that training lacks are one type. spelled_score has each such word's own probability instead.
 
-Contexts are dealt by hash of the nearer word v, so that (u, v) and (v) are in one bucket; each sweep sends tables up
-to the words' buckets and gets probabilities back. Words and contexts are told apart by 64-bit hashes. Each chunk of
-documents sends its distinct triples and words to their buckets. The spelling model has at most 64 symbols (frequent
-bytes, and one for all others), so 64^4 numbers bound what is broadcast.
+Contexts are dealt by hash of v; each sweep sends tables up to the words' buckets and gets probabilities back. Words
+are told apart by 64-bit hashes. Each chunk of documents sends its distinct pairs and words to their buckets. The
+spelling model has at most 64 symbols (frequent bytes, and one for all others), so 64^4 numbers bound what is broadcast.
 
 Defined results: null and empty texts are their end token alone; without training tokens every count is 0
 and words are scored by spelling alone; repeated rows are trained on and scored one by one; other columns
@@ -38,10 +37,10 @@ from saltmarsh.llm import common
 SYMBOLS = 64
 #: Sweeps of the sampler, and how many of them are burnt.
 SWEEPS, BURN_IN = 5, 2
-#: Dishes up to this many customers are seated by their exact conditional.
+#: Dishes up to this many customers are seated by their conditional, others in blocks.
 EXACT = 200
-#: Text bytes for each bucket of words.
-BUCKET_BYTES = 24 << 20
+#: Text bytes in one chunk of documents, and for each bucket of words.
+CHUNK_BYTES, BUCKET_BYTES = 12 << 20, 24 << 20
 CONCENTRATION = 1.0
 
 
@@ -58,18 +57,22 @@ def log_stirling(discount: float, most: int = EXACT) -> np.ndarray:
     return out
 
 
-def draw_tables(counts: np.ndarray, log_base: np.ndarray, tables: np.ndarray, discount: float, concentration: float, rng: np.random.Generator) -> np.ndarray:
-    """New table counts of dishes, given base probabilities and the tables of the rest of their restaurant.
+def draw_mass(tables: np.ndarray, discount: float, concentration: float, rng: np.random.Generator) -> np.ndarray:
+    """Log of the discount times a gamma variable of each restaurant. Given it, the table counts of a restaurant's dishes are independent, as prod_{i<T} (concentration + discount * i) is its expectation to the power T."""
+    return np.log(discount * np.maximum(rng.gamma(concentration / discount + np.asarray(tables, float)), 1e-300))
 
-    p(t | rest) is proportional to S(c, t) * base^t * prod_{i<t} (concentration + discount * (tables + i)).
+
+def draw_tables(counts: np.ndarray, log_base: np.ndarray, mass: np.ndarray, tables: np.ndarray, discount: float, concentration: float, rng: np.random.Generator) -> np.ndarray:
+    """New table counts of dishes, given base probabilities and the masses of their restaurants: p(t) is proportional to S(c, t) * (base * mass)^t.
+
+    A dish of over EXACT customers is seated in blocks of an eighth, next to the tables that the rest of its restaurant had.
     """
     out = np.minimum(counts, 1).astype(np.int64)
     for c in np.unique(counts[(counts > 1) & (counts <= EXACT)]):
         i = np.flatnonzero(counts == c)
-        for part in np.array_split(i, max(1, len(i) * int(c) // 4_000_000 + 1)):
-            t = np.arange(1, c + 1)
-            rise = np.cumsum(np.log(concentration + discount * (tables[part, None] + t[None, :] - 1)), axis=1)
-            logp = log_stirling(discount)[c, 1 : c + 1] + t * log_base[part, None] + rise
+        t = np.arange(1, c + 1)
+        for part in np.array_split(i, max(1, len(i) * int(c) // 1_000_000 + 1)):
+            logp = log_stirling(discount)[c, 1 : c + 1] + t * (log_base[part] + mass[part])[:, None]
             out[part] = 1 + np.argmax(logp + rng.gumbel(size=logp.shape), axis=1)
     large = np.flatnonzero(counts > EXACT)
     if len(large):
@@ -137,7 +140,7 @@ def _sample_subtree(counts: np.ndarray, levels: list[np.ndarray], root: np.ndarr
         r, k = np.nonzero(c)
         rest = t.sum(1)[r] - t[r, k]
         new = np.zeros_like(t)
-        new[r, k] = draw_tables(c[r, k], np.log(parent[r, k]), rest, d, CONCENTRATION, rng)
+        new[r, k] = draw_tables(c[r, k], np.log(parent[r, k]), draw_mass(t.sum(1), d, CONCENTRATION, rng)[r], rest, d, CONCENTRATION, rng)
         total, all_t = c.sum(1, keepdims=True), new.sum(1, keepdims=True)
         predictive = (np.maximum(c - d * new, 0) + (CONCENTRATION + d * all_t) * parent) / (CONCENTRATION + total)
         out.append(new.reshape(*shape, SYMBOLS))
@@ -179,7 +182,8 @@ def sample_spelling(counts: DataFrame, spark: SparkSession, symbol: np.ndarray,
         rng = np.random.default_rng([seed, sweep])
         own = np.flatnonzero(customers)
         t = np.zeros(SYMBOLS)
-        t[own] = draw_tables(customers[own], np.log(np.maximum(uniform[own], 1e-12)), np.full(len(own), tables_of_root.sum()) - tables_of_root[own], 0.5, CONCENTRATION, rng)
+        mass = np.full(len(own), draw_mass(tables_of_root.sum(), 0.5, CONCENTRATION, rng))
+        t[own] = draw_tables(customers[own], np.log(np.maximum(uniform[own], 1e-12)), mass, tables_of_root.sum() - tables_of_root[own], 0.5, CONCENTRATION, rng)
         tables_of_root = t
         root = np.maximum((np.maximum(customers - 0.5 * t, 0) + (CONCENTRATION + 0.5 * t.sum()) * uniform) / (CONCENTRATION + customers.sum()), 1e-12)
         if sweep >= burn_in:
@@ -204,19 +208,22 @@ def word_hash(word: bytes) -> int:
 
 #: What stands before a text and after it; no word is empty or has a line break.
 BEGIN, END = word_hash(b"\n"), word_hash(b"")
-_U, _V, _W = (np.uint64(x) for x in common.STEPS[:3])
 
 
-def keys_of(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """64-bit keys of triples of word hashes."""
-    return common.mix(u * _U + v * _V + w * _W)
+def _pairs_of(ids: np.ndarray, sizes: np.ndarray, n_words: int) -> np.ndarray:
+    """A code for each word of some texts and each text's end, after the word before: begin and end follow the words' numbers."""
+    ends = np.cumsum(sizes)
+    w = np.insert(ids.astype(np.int64), ends, n_words)
+    v = np.concatenate([[n_words + 1], w[:-1]])
+    v[(ends + np.arange(len(sizes)))[:-1] + 1] = n_words + 1
+    return v * (n_words + 2) + w
 
 
 def _chunked(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows of documents (chunk, doc_id, held_out, ids: places in the chunk's words, at: places in its triples), of words (chunk, bucket, words, n: training counts), and of triples (chunk, context: bucket of the word before, hashes, triples: places in hashes, k: training counts)."""
+    """Rows of chunks of documents (chunk, docs: pickled ids, flags, sizes and word numbers), of their words (chunk, bucket, words, n: training counts), and of their pairs (chunk, part, context: bucket of the first word, hashes, pairs: first and second words' places in hashes, k: training counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"chunk": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "ids": pa.binary(), "at": pa.binary(), "bucket": pa.int32(), "words": pa.binary(), "n": pa.binary(), "context": pa.int32(), "hashes": pa.binary(), "triples": pa.binary(), "k": pa.binary()}
+        kinds = {"chunk": pa.int64(), "docs": pa.binary(), "bucket": pa.int32(), "words": pa.binary(), "n": pa.binary(), "part": pa.int32(), "context": pa.int32(), "hashes": pa.binary(), "pairs": pa.binary(), "k": pa.binary()}
 
         def rows(chunk: int, m: int, **given) -> pa.RecordBatch:
             given["chunk"] = [chunk] * m
@@ -225,9 +232,10 @@ def _chunked(docs: DataFrame, buckets: int) -> DataFrame:
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             texts = common.as_bytes(batch.column("text"))
-            ids, held = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
-            for a, b in common.chunks(texts):
+            doc_ids, held = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
+            for a, b in common.chunks(texts, CHUNK_BYTES):
                 split = [t.lower().split() for t in texts[a:b]]
+                sizes = np.array([len(ws) for ws in split], np.int64)
                 distinct = list({w: None for ws in split for w in ws})
                 hashes = np.array([word_hash(w) for w in distinct], np.uint64)
                 at = (hashes % np.uint64(buckets)).astype(np.int64)
@@ -235,101 +243,111 @@ def _chunked(docs: DataFrame, buckets: int) -> DataFrame:
                 words = [distinct[i] for i in order.tolist()]
                 at, hashes = at[order], np.concatenate([hashes[order], np.array([END, BEGIN], np.uint64)])
                 place = dict(zip(words, range(len(words)))).__getitem__
-                coded = [np.fromiter(map(place, ws), np.uint32, len(ws)) for ws in split]
-                train = [c for c, h in zip(coded, held[a:b]) if not h]
-                n = np.bincount(np.concatenate(train) if train else [], minlength=len(words)).astype(np.int64)
-                # each word and each text's end, after the two words before
-                lens = np.array([len(c) + 1 for c in coded])
-                w = np.concatenate([np.append(c, np.uint32(len(words))) for c in coded]).astype(np.int64)
-                inside = np.arange(len(w)) - np.repeat(np.cumsum(lens) - lens, lens)
-                v = np.where(inside >= 1, np.roll(w, 1), len(words) + 1)
-                u = np.where(inside >= 2, np.roll(w, 2), len(words) + 1)
-                _, first, which = np.unique(keys_of(hashes[u], hashes[v], hashes[w]), return_index=True, return_inverse=True)
-                k = np.bincount(which, weights=np.repeat(~np.array(held[a:b], bool), lens), minlength=len(first)).astype(np.int64)
-                context = (hashes[v[first]] % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((w[first], v[first], context))
-                back = np.empty(len(order), np.uint32)
-                back[order] = np.arange(len(order), dtype=np.uint32)
-                first, k, context = first[order], k[order], context[order]
-                places = np.split(back[which], np.cumsum(lens)[:-1])
-                m = b - a
-                yield rows(chunk, m, doc_id=ids[a:b], held_out=held[a:b], ids=[common.pack(c) for c in coded], at=[common.pack(x) for x in places])
-                parts = np.split(np.arange(len(first)), np.flatnonzero(np.diff(context)) + 1)
-                sent = [np.unique(np.stack([u[first[x]], v[first[x]], w[first[x]]]), return_inverse=True) for x in parts]
-                yield rows(chunk, len(parts), context=[context[x[0]] for x in parts], hashes=[common.pack(hashes[d]) for d, _ in sent], triples=[common.pack(t.astype(np.uint32)) for _, t in sent], k=[common.pack(k[x]) for x in parts])
+                ids = np.fromiter((place(w) for ws in split for w in ws), np.uint32, int(sizes.sum()))
+                del split, distinct
+                known = ~np.array(held[a:b], bool)
+                yield rows(chunk, 1, docs=[common.squeeze(pickle.dumps((doc_ids[a:b], held[a:b], common.pack_ints(sizes), common.pack_ints(ids), len(words))))])
                 if words:
+                    n = np.bincount(ids[np.repeat(known, sizes)], minlength=len(words)).astype(np.int64)
                     cuts = np.flatnonzero(np.diff(at)) + 1
                     parts = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(words)]))
-                    yield rows(chunk, len(parts), bucket=[at[x] for x, _ in parts], words=[common.squeeze(b" ".join(words[x:y])) for x, y in parts], n=[common.pack(n[x:y]) for x, y in parts])
+                    yield rows(chunk, len(parts), bucket=[at[x] for x, _ in parts], words=[common.squeeze(b" ".join(words[x:y])) for x, y in parts], n=[common.pack_ints(n[x:y]) for x, y in parts])
+                m = len(words) + 2
+                code = _pairs_of(ids, sizes, len(words))
+                pairs = np.unique(code)
+                seen, times = np.unique(code[np.repeat(known, sizes + 1)], return_counts=True)
+                k = np.zeros(len(pairs), np.int64)
+                k[np.searchsorted(pairs, seen)] = times
+                v, w = pairs // m, pairs % m
+                context = np.append(at, [0, int(BEGIN % buckets)])[v]  # words stand in order of their buckets, the begin is a part of its own
+                cuts = np.flatnonzero((np.diff(context) != 0) | ((v[1:] == m - 1) & (v[:-1] != m - 1))) + 1
+                out = []
+                for j, (x, y) in enumerate(zip([0, *cuts.tolist()], [*cuts.tolist(), len(pairs)])):
+                    own = np.zeros(m, bool)
+                    own[v[x:y]] = own[w[x:y]] = True
+                    number = np.cumsum(own) - 1
+                    out.append((j, context[x], common.pack(hashes[own]), pickle.dumps((common.pack_sorted(number[v[x:y]]), common.pack_ints(number[w[x:y]]))), common.pack_ints(k[x:y])))
+                part, context, own_hashes, own_pairs, own_k = zip(*out)
+                yield rows(chunk, len(out), part=part, context=context, hashes=own_hashes, pairs=own_pairs, k=own_k)
                 chunk += 1
 
-    return docs.mapInArrow(run, "chunk long, doc_id long, held_out boolean, ids binary, at binary, bucket int, words binary, n binary, context int, hashes binary, triples binary, k binary")
+    return docs.mapInArrow(run, "chunk long, docs binary, bucket int, words binary, n binary, part int, context int, hashes binary, pairs binary, k binary")
 
 
-class Contexts:
-    """The restaurants of one bucket: contexts of two words (u, v), and of one word v, their parent. Dishes without customers are there to be scored. Sorted keys, so that the arrays follow from the triples alone."""
+def _unpaired(pairs: bytes) -> tuple[np.ndarray, np.ndarray]:
+    v, w = pickle.loads(pairs)
+    return common.unpack_sorted(v).astype(np.int64), common.unpack_ints(w).astype(np.int64)
+
 
-    FIELDS = (("keys", np.uint64), ("k", np.int64), ("room", np.int32), ("dish", np.int32), ("parent_room", np.int32), ("word", np.int32), ("hashes", np.uint64), ("t3", np.int32), ("t2", np.int32), ("sum", np.float64))
+class Contexts:
+    """The restaurants of one bucket: each first word v is one, its dishes are the words w that follow it. Dishes without customers are there to be scored. All arrays follow from the sorted codes of the pairs."""
 
     @classmethod
-    def of(cls, u: np.ndarray, v: np.ndarray, w: np.ndarray, k: np.ndarray) -> Contexts:
+    def of(cls, hashes: list[np.ndarray], pairs: list[tuple[np.ndarray, np.ndarray]], k: list[np.ndarray]) -> Contexts:
         self = cls()
-        self.keys, first, which = np.unique(keys_of(u, v, w), return_index=True, return_inverse=True)
-        self.k = np.bincount(which, weights=k, minlength=len(first)).astype(np.int64)
-        u, v, w = u[first], v[first], w[first]
-        self.room = np.unique(keys_of(u, v, np.zeros_like(v)), return_inverse=True)[1].astype(np.int32)
-        _, first, self.dish = np.unique(keys_of(np.zeros_like(v), v, w), return_index=True, return_inverse=True)
-        self.parent_room = np.unique(v[first], return_inverse=True)[1].astype(np.int32)
-        self.hashes, self.word = np.unique(w[first], return_inverse=True)
-        self.t3 = np.minimum(self.k, 1)
-        self.t2 = np.minimum(self.customers(), 1)
-        self.sum = np.zeros(len(self.keys))
+        self.all_hashes = np.unique(np.concatenate(hashes))
+        at = [np.searchsorted(self.all_hashes, h) for h in hashes]
+        size = len(self.all_hashes)
+        code = np.concatenate([a[v] * size + a[w] for a, (v, w) in zip(at, pairs)])
+        self.code, which, _ = common.placed(code, (size * size).bit_length())
+        self.k = np.bincount(which, weights=np.concatenate(k), minlength=len(self.code)).astype(np.int64)
+        self.t = np.minimum(self.k, 1)
+        self.sum = np.zeros(len(self.code), np.float32)
+        return self._placed()
+
+    def _placed(self) -> Contexts:
+        size = np.uint64(len(self.all_hashes))
+        v, w = (self.code // size).astype(np.int64), (self.code % size).astype(np.int64)
+        self.room = np.cumsum(np.diff(v, prepend=v[:1]) != 0)
+        used = np.zeros(int(size), bool)
+        used[w] = True
+        self.hashes, self.word = self.all_hashes[used], (np.cumsum(used) - 1)[w]
         return self
 
     def pack(self) -> bytes:
-        return pickle.dumps([common.pack(getattr(self, f).astype(t)) for f, t in self.FIELDS])
+        return pickle.dumps([common.pack(self.all_hashes), common.pack_sorted(self.code), common.pack_ints(self.k), common.pack_ints(self.t), common.pack_ints(self.sum.view(np.uint32))])
 
     @classmethod
     def unpack(cls, blob: bytes) -> Contexts:
         self = cls()
-        for (f, t), b in zip(cls.FIELDS, pickle.loads(blob)):
-            a = common.unpack(b, t)
-            setattr(self, f, a.astype(np.int64) if t == np.int32 else a)
-        return self
+        hashes, code, k, t, total = pickle.loads(blob)
+        self.all_hashes, self.code = common.unpack(hashes, np.uint64), common.unpack_sorted(code)
+        self.k, self.t = common.unpack_ints(k).astype(np.int64), common.unpack_ints(t).astype(np.int64)
+        self.sum = common.unpack_ints(total).astype(np.uint32).view(np.float32)
+        return self._placed()
 
-    def customers(self) -> np.ndarray:
-        """Of the contexts of one word: the tables of their children."""
-        return np.bincount(self.dish, weights=self.t3, minlength=len(self.parent_room)).astype(np.int64)
+    def places(self, hashes: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Where pairs of words stand."""
+        at = np.searchsorted(self.all_hashes, hashes)
+        return np.searchsorted(self.code, (at[v] * len(self.all_hashes) + at[w]).astype(np.uint64))
 
     def up(self) -> np.ndarray:
         """Tables of each word, customers of the restaurant of words."""
-        return np.bincount(self.word, weights=self.t2, minlength=len(self.hashes)).astype(np.int64)
-
-    def sweep(self, base: np.ndarray, discounts: tuple[float, float], rng: np.random.Generator) -> np.ndarray:
-        """Seats all customers anew, from the parent down; gives the probability of each dish in the deepest context."""
-        p = base[self.word]
-        c = self.customers()
-        for which, room, d in (("t2", self.parent_room, discounts[0]), ("t3", self.room, discounts[1])):
-            old = getattr(self, which)
-            new = draw_tables(c, np.log(p), np.bincount(room, weights=old)[room] - old, d, CONCENTRATION, rng)
-            setattr(self, which, new)
-            p = (np.maximum(c - d * new, 0) + (CONCENTRATION + d * np.bincount(room, weights=new)[room]) * p) / (CONCENTRATION + np.bincount(room, weights=c)[room])
-            if which == "t2":
-                p, c = p[self.dish], self.k
-        return p
+        return np.bincount(self.word, weights=self.t, minlength=len(self.hashes)).astype(np.int64)
+
+    def sweep(self, base: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+        """Seats all customers anew; gives the probability of each dish in its context."""
+        p, room, c = base[self.word], self.room, self.k
+        own = np.flatnonzero(c)
+        new = np.zeros_like(c)
+        tables = np.bincount(room, weights=self.t)
+        mass = draw_mass(tables, discount, CONCENTRATION, rng)[room]
+        new[own] = draw_tables(c[own], np.log(p[own]), mass[own], (tables[room] - self.t)[own], discount, CONCENTRATION, rng)
+        self.t = new
+        return (np.maximum(c - discount * new, 0) + (CONCENTRATION + discount * np.bincount(room, weights=new)[room]) * p) / (CONCENTRATION + np.bincount(room, weights=c)[room])
 
 
 def _vocabulary(pdf: pd.DataFrame) -> pd.DataFrame:
     """The training words of one bucket with their counts; also counts of counts and of bytes."""
     total: dict[bytes, int] = {}
     for words, n in zip(pdf["words"], pdf["n"]):
-        for w, k in zip(bytes(common.unsqueeze(words)).split(b" "), common.unpack(n, np.int64).tolist()):
+        for w, k in zip(_words(words), common.unpack_ints(n).tolist()):
             if k:
                 total[w] = total.get(w, 0) + k
     n = np.array(list(total.values()), np.int64)
     joined = b" ".join(total)
     letters = np.bincount(np.frombuffer(joined, np.uint8), minlength=256).astype(np.int64)
-    return pd.DataFrame([(int(pdf["bucket"].iloc[0]), common.squeeze(joined), common.pack(n), int(n.sum()), len(n), int((n == 1).sum()), int((n == 2).sum()), common.pack(letters))], columns=["bucket", "words", "n", "tokens", "types", "once", "twice", "letters"])
+    return pd.DataFrame([(int(pdf["bucket"].iloc[0]), common.squeeze(joined), common.pack_ints(n), int(n.sum()), len(n), int((n == 1).sum()), int((n == 2).sum()), common.pack(letters))], columns=["bucket", "words", "n", "tokens", "types", "once", "twice", "letters"])
 
 
 def _words(blob: bytes) -> list[bytes]:
@@ -372,10 +390,10 @@ def _ups(bucket: int, hashes: np.ndarray, up: np.ndarray, buckets: int) -> list[
     """Rows that send the tables of words up to the words' buckets."""
     at = (hashes % np.uint64(buckets)).astype(np.int64)
     mine = hashes != np.uint64(END)
-    return [(bucket, int(x), None, common.pack(hashes[i]), common.pack(up[i]), 0, 0, 0, 0, 0) for x in np.unique(at[mine]) if len(i := np.flatnonzero(mine & (at == x)))]
+    return [(bucket, int(x), None, common.pack(hashes[i]), common.pack(up[i]), 0, 0, 0) for x in np.unique(at[mine]) if len(i := np.flatnonzero(mine & (at == x)))]
 
 
-ROOMS = "context int, bucket int, state binary, hashes binary, up binary, ends long, once3 long, twice3 long, once2 long, twice2 long"
+ROOMS = "context int, bucket int, state binary, hashes binary, up binary, ends long, once long, twice long"
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
@@ -384,12 +402,12 @@ def score_texts(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES + 1))
     rows = common.stash(_chunked(docs, buckets), "chunks")
-    texts, asked = rows.filter("ids is not null").select("chunk", "doc_id", "held_out", "ids", "at"), rows.filter("bucket is not null").select("chunk", "bucket", "words", "n")
-    triples = rows.filter("context is not null").select("chunk", "context", "hashes", "triples", "k")
+    texts, asked = rows.filter("docs is not null").select("chunk", "docs"), rows.filter("bucket is not null").select("chunk", "bucket", "words", "n")
+    pairs = rows.filter("context is not null").select("chunk", "part", "context", "hashes", "pairs", "k")
     schema = "bucket int, words binary, n binary, tokens long, types long, once long, twice long, letters binary"
     words = common.stash(asked.groupBy("bucket").applyInPandas(_vocabulary, schema), "vocabulary")
     facts = words.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types"))).first()
-    ends = texts.filter("not held_out").count()
+    ends = docs.filter("not held_out").count()
     n_tokens, n_types = facts.tokens + ends, facts.types + (ends > 0)
 
     letters = np.zeros(256, np.int64)
@@ -401,19 +419,18 @@ def score_texts(docs: DataFrame) -> DataFrame:
     symbol[common_bytes[letters[common_bytes] > 0]] = np.arange((letters[common_bytes] > 0).sum())
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        sent = [common.unpack(h, np.uint64)[common.unpack(t, np.uint32).reshape(3, -1)] for h, t in zip(pdf["hashes"], pdf["triples"])]
-        x = Contexts.of(*np.concatenate(sent, axis=1), np.concatenate([common.unpack(k, np.int64) for k in pdf["k"]]))
-        c, up, bucket = x.customers(), x.up(), int(pdf["context"].iloc[0])
-        mine = (bucket, None, x.pack(), None, None, int(up[x.hashes == np.uint64(END)].sum()), int((x.k == 1).sum()), int((x.k == 2).sum()), int((c == 1).sum()), int((c == 2).sum()))
+        x = Contexts.of([common.unpack(h, np.uint64) for h in pdf["hashes"]], [_unpaired(p) for p in pdf["pairs"]], [common.unpack_ints(k) for k in pdf["k"]])
+        up, bucket = x.up(), int(pdf["context"].iloc[0])
+        mine = (bucket, None, x.pack(), None, None, int(up[x.hashes == np.uint64(END)].sum()), int((x.k == 1).sum()), int((x.k == 2).sum()))
         return pd.DataFrame([mine, *_ups(bucket, x.hashes, up, buckets)], columns=[f.split()[0] for f in ROOMS.split(", ")])
 
-    rooms = common.stash(triples.groupBy("context").applyInPandas(build, ROOMS), "rooms")
-    seen = rooms.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("once3", "twice3", "once2", "twice2"))).first()
-    discounts = (_discount(seen.once2, seen.twice2), _discount(seen.once3, seen.twice3))
+    rooms = common.stash(pairs.groupBy("context").applyInPandas(build, ROOMS), "rooms")
+    seen = rooms.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("once", "twice"))).first()
+    discount = _discount(seen.once, seen.twice)
 
     def one_table(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"words": pdf["words"], "t": [common.pack(np.ones(len(common.unpack(n, np.int64)), np.int64)) for n in pdf["n"]]})
+            yield pd.DataFrame({"words": pdf["words"], "t": [common.pack(np.ones(len(common.unpack_ints(n)), np.int64)) for n in pdf["n"]]})
 
     ones = words.select("words", "n").mapInPandas(one_table, "words binary, t binary")
     spelling = spark.sparkContext.broadcast(_train_spelling(ones, symbol, 2, 1))
@@ -422,8 +439,9 @@ def score_texts(docs: DataFrame) -> DataFrame:
     for sweep in range(SWEEPS):
         # the restaurant of words: its customers are the tables of the contexts
         end_customers = int(rooms.agg(F.sum("ends")).first()[0] or 0)
+        mass = float(draw_mass(tables, d, CONCENTRATION, np.random.default_rng([19, sweep])))
 
-        def seat(left: pd.DataFrame, right: pd.DataFrame, *, sweep: int = sweep, tables: float = tables, d: float = d, spelling=spelling) -> pd.DataFrame:
+        def seat(left: pd.DataFrame, right: pd.DataFrame, *, sweep: int = sweep, tables: float = tables, mass: float = mass, d: float = d, spelling=spelling) -> pd.DataFrame:
             out = []
             for r in left.itertuples(index=False):
                 ws = _words(r.words)
@@ -438,7 +456,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
                         n[i[same]] += up[same]
                 old = np.ones(len(ws), np.int64) if r.t is None else common.unpack(r.t, np.int64)
                 base = spelling.value.log_probability(ws)
-                t = draw_tables(n, base, np.maximum(tables - old, 0), d, CONCENTRATION, np.random.default_rng([11, sweep, int(r.bucket)])) if len(ws) else n
+                t = draw_tables(n, base, np.full(len(n), mass), np.maximum(tables - old, 0), d, CONCENTRATION, np.random.default_rng([11, sweep, int(r.bucket)])) if len(ws) else n
                 out.append((r.bucket, r.words, common.pack(t), common.pack(n), common.pack(base), common.pack(hashes), int(n.sum()), int(t.sum()), int((n == 1).sum()), int((n == 2).sum()), float(np.exp(base).sum())))
             return pd.DataFrame(out, columns=["bucket", "words", "t", "n", "base", "hashes", "customers", "tables", "once", "twice", "spelled"])
 
@@ -448,7 +466,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
         end_base = float(spelling.value.log_probability([b""])[0])
         if end_customers:
             one = lambda x, t: np.array([x], t)
-            end_tables = float(draw_tables(one(end_customers, np.int64), one(end_base, float), one(float(sums.tables), float), d, CONCENTRATION, np.random.default_rng([13, sweep]))[0])
+            end_tables = float(draw_tables(one(end_customers, np.int64), one(end_base, float), one(mass, float), one(float(sums.tables), float), d, CONCENTRATION, np.random.default_rng([13, sweep]))[0])
         else:
             end_tables = 0.0
         tables, norm = float(sums.tables) + end_tables, CONCENTRATION + sums.customers + end_customers
@@ -480,11 +498,11 @@ def score_texts(docs: DataFrame) -> DataFrame:
             base = np.full(len(x.hashes), end_p)
             for h, p in zip(right["hashes"], right["p"]):
                 base[np.searchsorted(x.hashes, common.unpack(h, np.uint64))] = common.unpack(p, np.float64)
-            p = x.sweep(base, discounts, np.random.default_rng([17, sweep, bucket]))
+            p = x.sweep(base, discount, np.random.default_rng([17, sweep, bucket]))
             if sweep >= BURN_IN:
-                x.sum = x.sum + p
+                x.sum = (x.sum + p).astype(np.float32)
             up = x.up()
-            mine = (bucket, None, x.pack(), None, None, int(up[x.hashes == np.uint64(END)].sum()), 0, 0, 0, 0)
+            mine = (bucket, None, x.pack(), None, None, int(up[x.hashes == np.uint64(END)].sum()), 0, 0)
             return pd.DataFrame([mine, *_ups(bucket, x.hashes, up, buckets)], columns=[f.split()[0] for f in ROOMS.split(", ")])
 
         new = common.stash(rooms.filter("state is not null").select("context", "state").groupBy("context").cogroup(offers.groupBy("context")).applyInPandas(reseat, ROOMS), "rooms")
@@ -498,7 +516,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
         """Of words: training counts, and what spelling says of those that training lacks, given that they are lacking."""
         known: dict[bytes, int] = {}
         for r in right.itertuples(index=False):
-            known.update(zip(_words(r.words), common.unpack(r.n, np.int64).tolist()))
+            known.update(zip(_words(r.words), common.unpack_ints(r.n).tolist()))
         out = []
         for r in left.itertuples(index=False):
             ws = _words(r.words)
@@ -506,35 +524,35 @@ def score_texts(docs: DataFrame) -> DataFrame:
             new = np.flatnonzero(n == 0)
             if len(new):
                 more[new] = (spelling.value.log_probability([ws[i] for i in new]) - np.log(lacking)) / np.log(10)
-            out.append((r.chunk, r.bucket, None, common.pack(n), common.pack(more.astype(np.float32))))
-        return pd.DataFrame(out, columns=["chunk", "bucket", "context", "n", "logp"])
+            out.append((r.chunk, r.bucket, None, common.pack_ints(n), common.pack(more.astype(np.float32))))
+        return pd.DataFrame(out, columns=["chunk", "bucket", "part", "n", "logp"])
 
     def found(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """Of triples: the mean over the samples of the last word's probability after the first two."""
+        """Of pairs: the mean over the samples of the second word's probability after the first."""
         x = Contexts.unpack(right["state"].iloc[0])
-        logp = np.log10(x.sum / (SWEEPS - BURN_IN))
-        out = []
-        for r in left.itertuples(index=False):
-            u, v, w = common.unpack(r.hashes, np.uint64)[common.unpack(r.triples, np.uint32).reshape(3, -1)]
-            out.append((r.chunk, None, r.context, None, common.pack(logp[np.searchsorted(x.keys, keys_of(u, v, w))].astype(np.float32))))
-        return pd.DataFrame(out, columns=["chunk", "bucket", "context", "n", "logp"])
+        logp = -np.log10(np.maximum(x.sum / (SWEEPS - BURN_IN), 1e-30)).astype(np.float32)
+        out = [(r.chunk, None, r.part, None, common.pack_ints(np.maximum(logp[x.places(common.unpack(r.hashes, np.uint64), *_unpaired(r.pairs))], 0).view(np.uint32))) for r in left.itertuples(index=False)]
+        return pd.DataFrame(out, columns=["chunk", "bucket", "part", "n", "logp"])
 
-    schema = "chunk long, bucket int, context int, n binary, logp binary"
+    schema = "chunk long, bucket int, part int, n binary, logp binary"
     answers = asked.select("chunk", "bucket", "words").groupBy("bucket").cogroup(words.select("bucket", "words", "n").groupBy("bucket")).applyInPandas(answer, schema)
-    answers = answers.unionByName(triples.drop("k").groupBy("context").cogroup(rooms.filter("state is not null").select("context", "state").groupBy("context")).applyInPandas(found, schema))
+    answers = answers.unionByName(pairs.drop("k").groupBy("context").cogroup(rooms.filter("state is not null").select("context", "state").groupBy("context")).applyInPandas(found, schema))
     unit = float(n_tokens + n_types + 1)
 
     def total(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        of_words, of_triples = right[right["bucket"].notna()].sort_values("bucket"), right[right["context"].notna()].sort_values("context")
-        joined = lambda col, dtype: np.concatenate([np.zeros(0, dtype), *(common.unpack(b, dtype) for b in col)])
-        n, more, logp = joined(of_words["n"], np.int64), joined(of_words["logp"], np.float32).astype(np.float64), joined(of_triples["logp"], np.float32).astype(np.float64)
+        of_words, of_pairs = right[right["bucket"].notna()].sort_values("bucket"), right[right["part"].notna()].sort_values("part")
+        n = np.concatenate([np.zeros(0, np.int64), *(common.unpack_ints(b) for b in of_words["n"])]).astype(np.int64)
+        more = np.concatenate([np.zeros(0), *(common.unpack(b, np.float32) for b in of_words["logp"])])
+        logp = -np.concatenate([common.unpack_ints(b).astype(np.uint32).view(np.float32) for b in of_pairs["logp"]]).astype(np.float64)
         base = np.log10((n + 1) / unit)
-        out = []
-        for r in left.itertuples(index=False):
-            ids = common.unpack(r.ids, np.uint32)
-            own, score = n[ids], float(logp[common.unpack(r.at, np.uint32)].sum())
-            out.append((r.doc_id, r.held_out, len(ids) + 1, int((own > 0).sum()) + (ends > 0), n_tokens, float(base[ids].sum()) + np.log10((ends + 1) / unit), score, score + float(more[ids].sum())))
-        return pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "spelled_score"]).astype({"doc_id": "Int64"})
+        doc_ids, held, sizes, ids, n_words = pickle.loads(common.unsqueeze(left["docs"].iloc[0]))
+        sizes, ids = common.unpack_ints(sizes).astype(np.int64), common.unpack_ints(ids).astype(np.int64)
+        code = _pairs_of(ids, sizes, n_words)
+        which = common.placed(code, ((n_words + 2) ** 2).bit_length())[1]
+        sums = lambda a: np.diff(np.concatenate([[0], np.cumsum(a)])[np.concatenate([[0], np.cumsum(sizes)])])
+        score = np.add.reduceat(logp[which], np.cumsum(sizes + 1) - sizes - 1)
+        out = {"doc_id": pd.array(doc_ids, "Int64"), "held_out": held, "n_tokens": sizes + 1, "n_known": sums(n[ids] > 0) + (ends > 0), "train_tokens": n_tokens}
+        return pd.DataFrame(out | {"base_score": sums(base[ids]) + np.log10((ends + 1) / unit), "score": score, "spelled_score": score + sums(more[ids])})
 
     return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, spelled_score double")
 
