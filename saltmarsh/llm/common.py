@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -42,13 +43,17 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop(*frames: DataFrame) -> None:
-    """Deletes stashed tables that nothing reads any more."""
+    """Deletes stashed tables that nothing reads any more. Spark removes the shuffle files behind them when the driver collects its garbage, so that is asked for, too."""
+    jvm = None
     for df in frames:
         path = getattr(df, "stash_path", None)
         if path:
             jvm = df.sparkSession._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+    if jvm:
+        gc.collect()
+        jvm.System.gc()
 
 
 def row_key():

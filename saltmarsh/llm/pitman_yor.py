@@ -20,7 +20,6 @@ are not read; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 from collections.abc import Iterator
 from functools import cache
@@ -202,12 +201,42 @@ def sample_spelling(counts: DataFrame, spark: SparkSession, symbol: np.ndarray,
     return np.log(np.maximum(total / (sweeps - burn_in), 1e-30)).astype(np.float32)
 
 
-def word_hash(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-
-
-#: What stands before a text and after it; no word is empty or has a line break.
-BEGIN, END = word_hash(b"\n"), word_hash(b"")
+#: What stands before a text and after it, in place of a word's hash.
+BEGIN, END = common.STEPS[50], common.STEPS[51]
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return common.word_hashes([b" ".join(words)], common.SPACED)[0]
+
+
+def _numbered(texts: list[bytes], buckets: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of some texts in order of their buckets, their hashes, the number of each word of the texts, and the words of each text."""
+    hashes, spans, sizes, at = [], [], [], 0
+    for a, b in common.chunks(texts):
+        h, starts, ends, before = common.word_hashes(texts[a:b], common.SPACED)
+        hashes.append(h)
+        spans.append(np.stack([starts, ends]).astype(np.int64) + at)
+        sizes.append(np.diff(before))
+        at += sum(map(len, texts[a:b])) + b - a
+    h, (starts, ends) = np.concatenate(hashes), np.concatenate(spans, axis=1)
+    wide = max(1, len(h).bit_length())
+    order = (np.sort((h >> np.uint64(wide) << np.uint64(wide)) | np.arange(len(h), dtype=np.uint64)) & np.uint64((1 << wide) - 1)).astype(np.int64)
+    ordered = h[order]
+    if (ordered[1:] < ordered[:-1]).any():  # words that differ in the last bits of their hashes alone
+        order = np.argsort(h, kind="stable")
+        ordered = h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    first = np.flatnonzero(new)
+    by_bucket = np.argsort(ordered[first] % np.uint64(buckets), kind="stable")
+    number = np.empty(len(first), np.uint32)
+    number[by_bucket] = np.arange(len(first), dtype=np.uint32)
+    ids = np.empty(len(h), np.uint32)
+    ids[order] = number[np.cumsum(new) - 1]
+    joined = b"\n".join(texts).lower()
+    where = order[first[by_bucket]]
+    words = [joined[x:y] for x, y in zip(starts[where].tolist(), ends[where].tolist())]
+    return words, ordered[first[by_bucket]], ids, np.concatenate(sizes).astype(np.int64)
 
 
 def _pairs_of(ids: np.ndarray, sizes: np.ndarray, n_words: int) -> np.ndarray:
@@ -234,17 +263,9 @@ def _chunked(docs: DataFrame, buckets: int) -> DataFrame:
             texts = common.as_bytes(batch.column("text"))
             doc_ids, held = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
             for a, b in common.chunks(texts, CHUNK_BYTES):
-                split = [t.lower().split() for t in texts[a:b]]
-                sizes = np.array([len(ws) for ws in split], np.int64)
-                distinct = list({w: None for ws in split for w in ws})
-                hashes = np.array([word_hash(w) for w in distinct], np.uint64)
+                words, hashes, ids, sizes = _numbered(texts[a:b], buckets)
                 at = (hashes % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(at, kind="stable")
-                words = [distinct[i] for i in order.tolist()]
-                at, hashes = at[order], np.concatenate([hashes[order], np.array([END, BEGIN], np.uint64)])
-                place = dict(zip(words, range(len(words)))).__getitem__
-                ids = np.fromiter((place(w) for ws in split for w in ws), np.uint32, int(sizes.sum()))
-                del split, distinct
+                hashes = np.append(hashes, [END, BEGIN])
                 known = ~np.array(held[a:b], bool)
                 yield rows(chunk, 1, docs=[common.squeeze(pickle.dumps((doc_ids[a:b], held[a:b], common.pack_ints(sizes), common.pack_ints(ids), len(words))))])
                 if words:
@@ -259,7 +280,7 @@ def _chunked(docs: DataFrame, buckets: int) -> DataFrame:
                 k = np.zeros(len(pairs), np.int64)
                 k[np.searchsorted(pairs, seen)] = times
                 v, w = pairs // m, pairs % m
-                context = np.append(at, [0, int(BEGIN % buckets)])[v]  # words stand in order of their buckets, the begin is a part of its own
+                context = np.append(at, [0, int(BEGIN) % buckets])[v]  # words stand in order of their buckets, the begin is a part of its own
                 cuts = np.flatnonzero((np.diff(context) != 0) | ((v[1:] == m - 1) & (v[:-1] != m - 1))) + 1
                 out = []
                 for j, (x, y) in enumerate(zip([0, *cuts.tolist()], [*cuts.tolist(), len(pairs)])):
@@ -368,7 +389,7 @@ def _train_spelling(tables: DataFrame, symbol: np.ndarray, sweeps: int = SWEEPS,
             for blob, t in zip(pdf["words"], pdf["t"]):
                 if ws := _words(blob):
                     cells, s, _, first = spell(ws, symbol)
-                    times = np.repeat(common.unpack(t, np.int64), np.diff([*first, len(s)]))
+                    times = np.repeat(common.unpack_ints(t).astype(np.int64), np.diff([*first, len(s)]))
                     at, which = np.unique(cells * SYMBOLS + s, return_inverse=True)
                     counts[at] += np.bincount(which, weights=times).astype(np.uint32)
         yield pd.DataFrame(common.slots(counts, SYMBOLS), columns=["slot", "blob"])
@@ -389,8 +410,8 @@ def _train_spelling(tables: DataFrame, symbol: np.ndarray, sweeps: int = SWEEPS,
 def _ups(bucket: int, hashes: np.ndarray, up: np.ndarray, buckets: int) -> list[tuple]:
     """Rows that send the tables of words up to the words' buckets."""
     at = (hashes % np.uint64(buckets)).astype(np.int64)
-    mine = hashes != np.uint64(END)
-    return [(bucket, int(x), None, common.pack(hashes[i]), common.pack(up[i]), 0, 0, 0) for x in np.unique(at[mine]) if len(i := np.flatnonzero(mine & (at == x)))]
+    mine = hashes != END
+    return [(bucket, int(x), None, common.pack(hashes[i]), common.pack_ints(up[i]), 0, 0, 0) for x in np.unique(at[mine]) if len(i := np.flatnonzero(mine & (at == x)))]
 
 
 ROOMS = "context int, bucket int, state binary, hashes binary, up binary, ends long, once long, twice long"
@@ -421,7 +442,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         x = Contexts.of([common.unpack(h, np.uint64) for h in pdf["hashes"]], [_unpaired(p) for p in pdf["pairs"]], [common.unpack_ints(k) for k in pdf["k"]])
         up, bucket = x.up(), int(pdf["context"].iloc[0])
-        mine = (bucket, None, x.pack(), None, None, int(up[x.hashes == np.uint64(END)].sum()), int((x.k == 1).sum()), int((x.k == 2).sum()))
+        mine = (bucket, None, x.pack(), None, None, int(up[x.hashes == END].sum()), int((x.k == 1).sum()), int((x.k == 2).sum()))
         return pd.DataFrame([mine, *_ups(bucket, x.hashes, up, buckets)], columns=[f.split()[0] for f in ROOMS.split(", ")])
 
     rooms = common.stash(pairs.groupBy("context").applyInPandas(build, ROOMS), "rooms")
@@ -430,11 +451,11 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
     def one_table(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"words": pdf["words"], "t": [common.pack(np.ones(len(common.unpack_ints(n)), np.int64)) for n in pdf["n"]]})
+            yield pd.DataFrame({"words": pdf["words"], "t": [common.pack_ints(np.ones(len(common.unpack_ints(n)), np.int64)) for n in pdf["n"]]})
 
     ones = words.select("words", "n").mapInPandas(one_table, "words binary, t binary")
     spelling = spark.sparkContext.broadcast(_train_spelling(ones, symbol, 2, 1))
-    state = words.select("bucket", "words", F.lit(None).cast("binary").alias("t"))
+    state = words.select("bucket", "words", F.lit(None).cast("binary").alias("t"), F.lit(None).cast("binary").alias("base"))
     tables, end_tables, d = float(facts.types), 1.0, 0.5
     for sweep in range(SWEEPS):
         # the restaurant of words: its customers are the tables of the contexts
@@ -445,24 +466,27 @@ def score_texts(docs: DataFrame) -> DataFrame:
             out = []
             for r in left.itertuples(index=False):
                 ws = _words(r.words)
-                hashes = np.array([word_hash(w) for w in ws], np.uint64)
+                hashes = hashes_of(ws)
                 order = np.argsort(hashes)
                 n = np.zeros(len(ws), np.int64)
                 for h, up in zip(right["hashes"], right["up"]):
-                    h, up = common.unpack(h, np.uint64), common.unpack(up, np.int64)
+                    h, up = common.unpack(h, np.uint64), common.unpack_ints(up)
                     if len(ws):
                         i = order[np.minimum(np.searchsorted(hashes, h, sorter=order), len(ws) - 1)]
                         same = hashes[i] == h
                         n[i[same]] += up[same]
-                old = np.ones(len(ws), np.int64) if r.t is None else common.unpack(r.t, np.int64)
-                base = spelling.value.log_probability(ws)
+                old = np.ones(len(ws), np.int64) if r.t is None else common.unpack_ints(r.t).astype(np.int64)
+                base = spelling.value.log_probability(ws) if r.base is None else common.unpack(r.base, np.float64)
                 t = draw_tables(n, base, np.full(len(n), mass), np.maximum(tables - old, 0), d, CONCENTRATION, np.random.default_rng([11, sweep, int(r.bucket)])) if len(ws) else n
-                out.append((r.bucket, r.words, common.pack(t), common.pack(n), common.pack(base), common.pack(hashes), int(n.sum()), int(t.sum()), int((n == 1).sum()), int((n == 2).sum()), float(np.exp(base).sum())))
+                out.append((r.bucket, r.words, common.pack_ints(t), common.pack_ints(n), common.pack(base), common.pack(hashes), int(n.sum()), int(t.sum()), int((n == 1).sum()), int((n == 2).sum()), float(np.exp(base).sum())))
             return pd.DataFrame(out, columns=["bucket", "words", "t", "n", "base", "hashes", "customers", "tables", "once", "twice", "spelled"])
 
         ups = rooms.filter("bucket is not null").select("context", "bucket", "hashes", "up")
-        state = common.stash(state.select("bucket", "words", "t").groupBy("bucket").cogroup(ups.groupBy("bucket")).applyInPandas(seat, "bucket int, words binary, t binary, n binary, base binary, hashes binary, customers long, tables long, once long, twice long, spelled double"), "seats")
+        last = state if sweep else None
+        state = common.stash(state.select("bucket", "words", "t", F.lit(None).cast("binary").alias("base") if sweep == BURN_IN else "base").groupBy("bucket").cogroup(ups.groupBy("bucket")).applyInPandas(seat, "bucket int, words binary, t binary, n binary, base binary, hashes binary, customers long, tables long, once long, twice long, spelled double"), "seats")
         sums = state.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("customers", "tables", "once", "twice", "spelled"))).first()
+        if last is not None:
+            common.drop(last)
         end_base = float(spelling.value.log_probability([b""])[0])
         if end_customers:
             one = lambda x, t: np.array([x], t)
@@ -478,16 +502,16 @@ def score_texts(docs: DataFrame) -> DataFrame:
         def offer(left: pd.DataFrame, right: pd.DataFrame, *, d: float = d, norm: float = norm, new_table: float = new_table, lacking: float = lacking) -> pd.DataFrame:
             known, p = np.zeros(0, np.uint64), np.zeros(0)
             for r in right.itertuples(index=False):
-                known, n, t, base = common.unpack(r.hashes, np.uint64), common.unpack(r.n, np.int64), common.unpack(r.t, np.int64), common.unpack(r.base, np.float64)
+                known, n, t, base = common.unpack(r.hashes, np.uint64), common.unpack_ints(r.n).astype(np.int64), common.unpack_ints(r.t), common.unpack(r.base, np.float64)
                 order = np.argsort(known)
                 known, p = known[order], (np.maximum(n - d * t, 0) / norm + new_table * np.exp(base))[order]
             out = []
             for r in left.itertuples(index=False):
                 h = common.unpack(r.hashes, np.uint64)
-                got = np.full(len(h), new_table * lacking)
+                got = np.full(len(h), new_table * lacking, np.float32)
                 if len(known):
                     i = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    got = np.where(known[i] == h, p[i], got)
+                    got = np.where(known[i] == h, p[i], got).astype(np.float32)
                 out.append((r.context, r.hashes, common.pack(got)))
             return pd.DataFrame(out, columns=["context", "hashes", "p"])
 
@@ -497,12 +521,12 @@ def score_texts(docs: DataFrame) -> DataFrame:
             x, bucket = Contexts.unpack(left["state"].iloc[0]), int(left["context"].iloc[0])
             base = np.full(len(x.hashes), end_p)
             for h, p in zip(right["hashes"], right["p"]):
-                base[np.searchsorted(x.hashes, common.unpack(h, np.uint64))] = common.unpack(p, np.float64)
+                base[np.searchsorted(x.hashes, common.unpack(h, np.uint64))] = common.unpack(p, np.float32)
             p = x.sweep(base, discount, np.random.default_rng([17, sweep, bucket]))
             if sweep >= BURN_IN:
                 x.sum = (x.sum + p).astype(np.float32)
             up = x.up()
-            mine = (bucket, None, x.pack(), None, None, int(up[x.hashes == np.uint64(END)].sum()), 0, 0)
+            mine = (bucket, None, x.pack(), None, None, int(up[x.hashes == END].sum()), 0, 0)
             return pd.DataFrame([mine, *_ups(bucket, x.hashes, up, buckets)], columns=[f.split()[0] for f in ROOMS.split(", ")])
 
         new = common.stash(rooms.filter("state is not null").select("context", "state").groupBy("context").cogroup(offers.groupBy("context")).applyInPandas(reseat, ROOMS), "rooms")
