@@ -9,7 +9,8 @@ Given names are permuted inside a list of their gender; card numbers keep whethe
 addresses stay public or private.
 
 Defined results: null stays null and empty stays empty, with 0 entities; repeated rows get equal results;
-a text is replaced as a whole however long it is; other columns are kept; an empty table gives an empty table.
+a text is replaced as a whole however long it is; of entities with the same surrogate the least one keeps it; other
+columns are kept, and one named n_entities is, too, in place of the count; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,27 +30,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from saltmarsh.llm import common
+from saltmarsh.llm.decontam import bits_of, passes
 
 #: Given names by gender, titles before names.
 GIVEN = {
     "given_f": "Alice Anna Barbara Carmen Charlotte Claire Elena Elizabeth Emily Emma Heike Ingrid Isabel Jane Jennifer Julia Karen Laura Linda Lucia Maria Marie Mary Nancy Olivia Patricia Petra Sabine Sarah Sophie Susan Ursula".split(),
     "given_m": "Adam Albert Andreas Antonio Carlos Charles Daniel David Diego Fernando Francisco Georg Hans Henri James Javier Jean John Jorge Joseph Jürgen Karl Klaus Louis Manuel Michael Miguel Paul Peter Pierre Robert Thomas".split(),
 }
-TITLES = "Mr Mrs Ms Dr Prof Herr Frau Monsieur Madame Señor Señora Don Doña".split()
+TITLES = "Mr Mrs Ms Dr Prof Herr Frau Monsieur Madame Señor Señora Don Doña Господин Госпожа Доктор".split()
 GENDER = {name: kind for kind, names in GIVEN.items() for name in names}
 
-#: What may hold an entity at all: each match of FINDERS has one of these inside. The same pattern holds for Java and Python.
-HINT = r"@|[0-9]{3}|(?:[0-9]+[.]){3}|[+][0-9]|(?<![0-9A-Za-z_])(?:[0-9a-fA-F]{32}|[A-Z]{2}[0-9]{2}[0-9A-Z]{11}|(?:" + "|".join(TITLES) + r")[. ]|(?:" + "|".join(sorted(GENDER)) + r") )"
+#: What may hold an entity at all: each match of FINDERS has one of these inside, or a title or given name as a word.
+HINT = re.compile(r"@|[0-9]{3}|(?:[0-9]+[.]){3}|[+][0-9]|[0-9a-fA-F]{32}|[A-Z]{2}[0-9]{2} ?[0-9A-Z]{4}|(?:[0-9a-fA-F]{1,4}:){7}|A[KS]IA[0-9A-Z]{16}").search
+LETTERS, BEFORE_NAMES = re.compile(r"[^\W\d_]+").findall, frozenset([*TITLES, *GENDER])
+
+
+def hinted(text: str) -> bool:
+    return HINT(text) is not None or not BEFORE_NAMES.isdisjoint(LETTERS(text))
+
+
 WORDS = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
+#: A word that begins with no small letter; scripts without case have none.
+NAMED = rf"(?=[^\W\d_a-zß-öø-ÿα-ωа-яё]){WORDS}"
 FINDERS = re.compile(
     r"(?P<email>(?<![\w.+-])[\w.+-]+@[^\W_]+(?:[.-][^\W_]+)*\.[A-Za-z]{2,}(?![\w]))"
     r"|(?P<ip>(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9]))"
+    r"|(?P<ipv6>(?<![\w:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:]))"
+    r"|(?P<key>(?<![\w])A[KS]IA[0-9A-Z]{16}(?![\w]))"
     r"|(?P<secret>(?<![\w])(?=[a-fA-F]*[0-9])[0-9a-fA-F]{32,128}(?![\w]))"
-    r"|(?P<iban>(?<![\w])[A-Z]{2}[0-9]{2}[0-9A-Z]{11,30}(?![\w]))"
+    r"|(?P<iban>(?<![\w])[A-Z]{2}[0-9]{2}(?:[0-9A-Z]{11,30}|(?: [0-9A-Z]{4}){2,7}(?: [0-9A-Z]{1,3})?)(?![\w]))"
     r"|(?P<card>(?<![\w.])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![\w]|\.[0-9]))"
-    r"|(?P<phone>(?<![\w.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?)[0-9]{3,4}[ .-]?[0-9]{3,4}(?![\w])|(?<![\w.])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![\w]))"
+    r"|(?P<phone>(?<![\w.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?)[0-9]{3,4}[ .-]?[0-9]{3,4}(?![\w])|(?<![\w.])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![\w])|(?<![\w.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-]))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
-    rf"|(?P<name>\b(?:(?:{'|'.join(TITLES)})\.? +)(?:(?:{'|'.join(sorted(GENDER))}) +)?(?=[^\W\d_a-z])(?:{WORDS})|\b(?:{'|'.join(sorted(GENDER))}) +(?=[A-ZÀ-ÖØ-Þ])(?:{WORDS}))"
+    rf"|(?P<name>\b(?:{'|'.join(TITLES)})\.? +{NAMED}(?: +{NAMED}){{0,2}}|\b(?:{'|'.join(sorted(GENDER))}) +{NAMED})"
 )
 HEXADECIMAL = re.compile(r"[0-9a-fA-F]{32,128}")
 TITLE = re.compile(rf"(?:{'|'.join(TITLES)})\.? +")
@@ -78,7 +91,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                     names[name] = GENDER.get(name, "surname")
                     out.append((at + part.start(), at + part.start() + len(name), names[name], name))
             continue
-        value = m[0].lower() if kind in ("email", "secret") else m[0]
+        value = m[0].lower() if kind in ("email", "secret", "ipv6") else m[0].replace(" ", "") if kind == "iban" else m[0]
         out.append((start, end, kind, value))
     return out + _repeats(text, names, out) if names else out
 
@@ -188,8 +201,8 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
     """The replacement of an entity. For the same type, key and attempt, different entities have different ones. Names and addresses get longer in late attempts, as their shapes may have too few strings."""
     tweak, more = f"{kind}/{attempt}", attempt // WIDEN_AFTER
     if kind in GIVEN and entity in GIVEN[kind]:
-        names = sorted(GIVEN[kind])
-        return names[permute(names.index(entity), len(names), key, tweak)]
+        names = sorted(GIVEN[kind], key=lambda x: hmac.digest(key, f"{kind}/{x}".encode(), "sha256"))  # a circle: no name stands for itself
+        return names[(names.index(entity) + 1 + attempt % (len(names) - 1)) % len(names)]
     if kind == "email":
         user, _, domain = entity.partition("@")
         labels, _, top = domain.rpartition(".")
@@ -208,6 +221,11 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
         holds = luhn(digits)
         made = iter(permute_shape(digits, key, tweak, good=lambda x: luhn(x) == holds))
         return "".join(next(made) if c.isdigit() else c for c in entity)
+    if kind == "ipv6":
+        digits = iter(permute_shape(entity.replace(":", ""), key, tweak + "/".join(str(len(x)) for x in entity.split(":")), hexadecimal=True))
+        return "".join(c if c == ":" else next(digits) for c in entity)
+    if kind == "key":
+        return entity[:4] + permute_shape(entity[4:], key, tweak + entity[:4])
     if kind == "iban":
         body = permute_shape(entity[4:], key, tweak + entity[:2])
         check = 98 - int("".join(IBAN_LETTERS.get(c, c) for c in body + entity[:2] + "00")) % 97
@@ -222,14 +240,15 @@ def _spans(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, found = [], []
-            for key, text in zip(batch.column("row_key").to_pylist(), batch.column("text").to_pylist()):
-                for x in find(text):
-                    keys.append(key)
-                    found.append(x)
+            for key, text in zip(batch.column("row_key"), batch.column("text")):
+                text = text.as_py() or ""
+                if hinted(text) and (spans := find(text)):
+                    keys += [key.as_py()] * len(spans)
+                    found += spans
             cols = list(zip(*found)) if found else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.string(), pa.string())))], names=["row_key", "start", "stop", "kind", "entity"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.string(), pa.string())))], names=["row_key", "start", "stop", "kind", "entity"])
 
-    return docs.select("row_key", "text").mapInArrow(run, "row_key long, start int, stop int, kind string, entity string")
+    return docs.select("row_key", "text").mapInArrow(run, "row_key string, start int, stop int, kind string, entity string")
 
 
 def assign(entities: DataFrame, key: bytes, attempts: int = 40) -> DataFrame:
@@ -260,7 +279,10 @@ def replace(text: str, spans: list) -> str:
     for s in sorted(spans, key=lambda s: s["start"]):
         was = text[s["start"] : s["stop"]]
         made = s["surrogate"]
-        if made == made.lower() and HEXADECIMAL.fullmatch(was):  # so does a secret
+        if " " in was and " " not in made and len(was.replace(" ", "")) == len(made):  # an account number keeps its groups
+            digits = iter(made)
+            made = "".join(c if c == " " else next(digits) for c in was)
+        elif made == made.lower() and HEXADECIMAL.fullmatch(was):  # so does a secret
             made = made.upper() if was == was.upper() else "".join(m.upper() if w.isupper() else m for w, m in zip(was, made))
         elif was != was.lower() and made == made.lower() and "@" in was:  # an address keeps its capitals
             made = "".join(m.upper() if w.isupper() and len(m.upper()) == 1 else m for w, m in zip(was, made))
@@ -270,30 +292,38 @@ def replace(text: str, spans: list) -> str:
 
 
 #: Columns of its own; a table may have any others.
-KEY, SPANS = "__saltmarsh_key", "__saltmarsh_spans"
+KEY, SPANS, MAYBE = "__saltmarsh_key", "__saltmarsh_spans", "__saltmarsh_maybe"
 
 
 def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
-    """The documents with surrogates in their texts, and n_entities. Only texts with a hint of an entity are shuffled."""
-    docs = docs.drop("n_entities")
+    """The documents with surrogates in their texts, and n_entities, unless they have a column of that name. Only texts with entities are shuffled, and few others: a filter of fixed size tells them apart."""
     columns = docs.columns
-    hint = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
-    keyed = docs.withColumn(KEY, F.xxhash64(F.col("text")))
-    hinted = keyed.filter(hint)
-    spans = common.stash(_spans(hinted.select(F.col(KEY).alias("row_key"), "text")).distinct(), "spans")
-    given = assign(common.stash(spans.select("kind", "entity").distinct(), "entities"), key)
-    changes = spans.join(given, ["kind", "entity"]).groupBy(F.col("row_key").alias(KEY)).agg(F.collect_list(F.struct("start", "stop", "surrogate")).alias(SPANS))
-    schema = T.StructType([*(f for f in docs.schema), T.StructField("n_entities", T.LongType())])
+    count = [] if "n_entities" in columns else [T.StructField("n_entities", T.LongType())]
+    keyed = docs.withColumn(KEY, F.md5(F.col("text").cast("binary")))
+    spans = common.stash(_spans(keyed.select(F.col(KEY).alias("row_key"), "text")).distinct(), "spans")
+    entities = common.stash(spans.select("kind", "entity").distinct(), "entities")
+    given = assign(entities, key)
+    # a frequent entity is in very many spans: Spark's skew join splits them
+    changes = common.stash(spans.join(given, ["kind", "entity"]).groupBy(F.col("row_key").alias(KEY)).agg(F.collect_list(F.struct("start", "stop", "surrogate")).alias(SPANS)), "changes")
+    common.drop(spans, entities)
+    wanted = docs.sparkSession.sparkContext.broadcast(bits_of(changes.select(F.xxhash64(KEY).alias("h"))))
+
+    @F.pandas_udf("boolean")
+    def maybe(h: pd.Series) -> pd.Series:
+        return pd.Series(passes(wanted.value, h.to_numpy("int64").view("uint64")))
+
+    schema = T.StructType([*docs.schema, *count])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = [s or [] for s in batch.column(SPANS).to_pylist()]
             texts = [replace(t, s) if s else t for t, s in zip(batch.column("text").to_pylist(), spans)]
             cols = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([len(s) for s in spans], pa.int64())], names=[*columns, "n_entities"])
+            yield pa.RecordBatch.from_arrays([*cols, *[pa.array([len(s) for s in spans], pa.int64())] * len(count)], names=[*columns, *(f.name for f in count)])
 
-    changed = hinted.join(changes, KEY, "left").mapInArrow(run, schema)
-    return changed.unionByName(docs.filter(~hint).withColumn("n_entities", F.lit(0).cast("long")))
+    split = keyed.withColumn(MAYBE, F.coalesce(maybe(F.xxhash64(KEY)), F.lit(False)))
+    changed = split.filter(MAYBE).drop(MAYBE).join(changes, KEY, "left").mapInArrow(run, schema)
+    return changed.unionByName(split.filter(~F.col(MAYBE)).select(*columns, *(F.lit(0).cast("long").alias(f.name) for f in count)))
 
 
 #: The key of the queries; a user gives another one that stays secret.
