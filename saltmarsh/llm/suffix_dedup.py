@@ -14,6 +14,8 @@ symbols are the phrases between cuts (64-bit hashes; equal hashes count as equal
    byte. Where only the phrases inside agree, the strings at each byte are compared themselves, by 64-bit hashes.
 
 Strings with fewer than two cuts inside go to the last comparison at once, so texts without cuts lose nothing.
+Shorter passages are only reported: n_passage counts the bytes in runs of PASSAGE bytes or more where each named
+triple of phrases starts elsewhere, too. None is removed, and one in the bytes that two pieces share isn't counted.
 
 Defined results: null and empty texts have no bytes, nothing is removed and the hash is that of no bytes; texts
 shorter than LEAST are kept whole; repeated rows repeat all their strings; other columns are not read; an empty
@@ -38,6 +40,8 @@ from saltmarsh.llm import common
 from saltmarsh.llm.decontam import bits_of, passes
 
 LEAST = 400
+#: Repeated triples of phrases are reported if they cover so many bytes side by side; about 30 words.
+PASSAGE = 180
 #: A cut's hash covers so many bytes, and is the least of so many on either side.
 GRAM, SIDE = 8, 16
 #: Text in one piece, and in one chunk of pieces, in bytes.
@@ -204,6 +208,8 @@ def suffixes(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     hi = np.minimum(np.append(lo[1:], stops[-1]) - 1, stops[piece] - LEAST)
     a = np.searchsorted(start, lo + SIDE)
     z = np.searchsorted(start, lo + reach, "right") - 1
+    whole = hi >= lo  # shorter pieces have no string of LEAST bytes
+    lo, hi, piece, a, z = lo[whole], hi[whole], piece[whole], a[whole], z[whole]
     return {"lo": lo, "hi": hi, "piece": piece, "a": a, "z": z, "m": np.maximum(z - a, 0)}
 
 
@@ -246,6 +252,24 @@ def merge_keys(s: dict[str, np.ndarray], x: dict[str, np.ndarray]) -> tuple[np.n
     return np.concatenate(number), [np.concatenate(inside), common.mix(np.concatenate(out))]
 
 
+def passages(s: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of named triples: piece, start in the piece and length. Runs within the bytes that a piece shares with the one before or after are left out."""
+    at = np.flatnonzero(s["one"])
+    start, stops = s["start"].astype(np.int64), s["stops"].astype(np.int64)
+    piece = np.searchsorted(stops, start[at], "right")
+    lo, hi = start[at], np.append(start, stops[-1])[at + 3]
+    if not len(at):
+        return piece, lo, hi
+    new = np.ones(len(at), bool)
+    new[1:] = (piece[1:] != piece[:-1]) | (lo[1:] > hi[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(at)) - 1
+    base = np.concatenate([[0], stops[:-1]])[piece[first]]
+    lo, n = lo[first] - base, hi[last] - lo[first]
+    keep = (n >= PASSAGE) & ((s["offset"][piece[first]] == 0) | (lo + n >= LEAST)) & (lo < PIECE)
+    return piece[first][keep], lo[keep], n[keep]
+
+
 def _pack(s: dict) -> bytes:
     return common.squeeze(pickle.dumps(s, protocol=5))
 
@@ -271,12 +295,12 @@ def _first(texts: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             pieces, keys, offsets = [], [], []
             for text, key in zip(common.as_bytes(batch.column("text")), batch.column("row_key").to_pylist()):
-                for at in range(0, max(0, len(text) - LEAST + 1), PIECE):
+                for at in range(0, max(min(1, len(text)), len(text) - LEAST + 1), PIECE):
                     pieces.append(text[at : at + PIECE + LEAST - 1])
                     keys.append(key)
                     offsets.append(at)
             for lo, hi in common.chunks(pieces, CHUNK):
-                s = phrases(pieces[lo:hi]) | {"key": np.array(keys[lo:hi], np.int64), "offset": np.array(offsets[lo:hi], np.int64)}
+                s = phrases(pieces[lo:hi]) | {"key": np.array(keys[lo:hi]), "offset": np.array(offsets[lo:hi], np.int64)}
                 _, columns = triples(s, "sym")
                 rows, _, count, _ = distinct(columns)
                 out = _rows(chunk, s, questions(rows, count, bucket_of(rows[0], buckets)), 4)
@@ -330,15 +354,16 @@ def _merge(buckets: int):
         # what is left of the chunk: the suffixes in lists, and those without phrases inside
         ids, at = np.unique(number, return_inverse=True)
         bare = np.flatnonzero(x["m"] == 0)
-        place = lambda i: (x["lo"][i] - np.concatenate([[0], s["stops"][:-1]]).astype(np.int64)[x["piece"][i]] + s["offset"][x["piece"][i]], s["key"][x["piece"][i]], (x["hi"] - x["lo"])[i])
-        state = {"in": place(ids), "bare": place(bare), "at": at.astype(np.uint32), "inverse": inverse.astype(np.uint32), "first": first.astype(np.uint32)}
+        place = lambda i: (x["lo"][i] - np.concatenate([[0], s["stops"][:-1]]).astype(np.int64)[x["piece"][i]] + s["offset"][x["piece"][i]], x["piece"][i], (x["hi"] - x["lo"])[i])
+        of, lo, n = passages(s)
+        state = {"key": s["key"], "passages": (lo + s["offset"][of], of, n - 1), "in": place(ids), "bare": place(bare), "at": at.astype(np.uint32), "inverse": inverse.astype(np.uint32), "first": first.astype(np.uint32)}
         return _rows(int(left["chunk"].iloc[0]), state, questions(rows, count, bucket_of(rows[0], buckets)), 3)
 
     return run
 
 
 def _found(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """row_key, kind and ranges (lo, length): kind 0 repeats at every place, kind 1 is still to be compared."""
+    """row_key, kind and ranges (lo, length): kind 0 repeats at every place, kind 1 is still to be compared, kind 2 are the bytes of passages."""
     out = []
     if not left.empty:
         s = _unpack(left["blob"].iloc[0])
@@ -351,13 +376,13 @@ def _found(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         sure, open_ = np.zeros(n, bool), np.zeros(n, bool)
         sure[s["at"][(each == 1) | (each == 3)]] = True
         open_[s["at"][each >= 2]] = True
-        for kind, (lo, key, more), pick in ((0, s["in"], sure), (1, s["in"], open_), (1, s["bare"], slice(None))):
+        for kind, (lo, key, more), pick in ((0, s["in"], sure), (1, s["in"], open_), (1, s["bare"], slice(None)), (2, s["passages"], slice(None))):
             lo, key, more = lo[pick], key[pick], more[pick]
             order = np.argsort(key, kind="stable")
             lo, key, more = lo[order], key[order], more[order]
             edges = np.flatnonzero(np.diff(key)) + 1
             for i, j in zip([0, *edges.tolist()], [*edges.tolist(), len(key)]) if len(key) else ():
-                out.append((int(key[i]), kind, common.pack(np.stack([lo[i:j], more[i:j] + 1]).astype(np.int64))))
+                out.append((str(s["key"][key[i]]), kind, common.pack(np.stack([lo[i:j], more[i:j] + 1]).astype(np.int64))))
     return pd.DataFrame(out, columns=["row_key", "kind", "ranges"])
 
 
@@ -439,7 +464,7 @@ def repeated_runs(n: int, places: np.ndarray) -> np.ndarray:
     return np.stack([places[np.concatenate([[0], new])], places[np.concatenate([new - 1, [len(places) - 1]])] + LEAST], 1)
 
 
-RESULT = "doc_id long, row_key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>"
+RESULT = "doc_id long, row_key string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>, n_passage long"
 
 
 def _removed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -459,42 +484,42 @@ def _removed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             digest.update(text[last:a])
             last = b
         digest.update(text[last:])
-        out.append((None if r.doc_id is None else int(r.doc_id), r.row_key, len(text), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), digest.hexdigest(), runs.tolist()))
-    return pd.DataFrame(out, columns=["doc_id", "row_key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"], dtype=object).astype({"doc_id": "Int64"})  # ids come as text: a null would make them floats
+        out.append((None if r.doc_id is None else int(r.doc_id), r.row_key, len(text), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), digest.hexdigest(), runs.tolist(), len(np.unique(spread(_ranges(r.passages))))))
+    return pd.DataFrame(out, columns=["doc_id", "row_key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "n_passage"], dtype=object).astype({"doc_id": "Int64"})  # ids come as text: a null would make them floats
 
 
 def repeated_strings(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key, n_bytes, n_removed, n_spans, kept_sha256 and spans (start, stop in bytes) of each document."""
+    """doc_id, row_key, n_bytes, n_removed, n_spans, kept_sha256, spans (start, stop in bytes) and n_passage of each document."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("row_key", common.row_key())
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES + 1)
-    first = common.stash(_first(texts.filter(F.octet_length("text") >= LEAST).select("text", "row_key"), buckets), "triples")
+    first = common.stash(_first(texts.filter(F.octet_length("text") >= PASSAGE).select("text", "row_key"), buckets), "triples")
     second = common.stash(_round(first, named, _recurse, ROW), "names")
     common.drop(first)
     third = common.stash(_round(second, named, _merge(buckets), ROW), "suffixes")
     common.drop(second)
-    found = common.stash(_round(third, judged, _found, "row_key long, kind int, ranges binary"), "ranges")
+    found = common.stash(_round(third, judged, _found, "row_key string, kind int, ranges binary"), "ranges")
     common.drop(third)
 
     # only texts with something found are joined; the filter has a fixed size
-    per_text = found.groupBy("row_key").agg(F.collect_set(F.when(F.col("kind") == 0, F.col("ranges"))).alias("sure"), F.collect_set(F.when(F.col("kind") == 1, F.col("ranges"))).alias("open"))
-    wanted = spark.sparkContext.broadcast(bits_of(found.select(F.col("row_key").alias("h")).distinct()))
+    per_text = found.groupBy("row_key").agg(F.collect_set(F.when(F.col("kind") == 0, F.col("ranges"))).alias("sure"), F.collect_set(F.when(F.col("kind") == 1, F.col("ranges"))).alias("open"), F.collect_set(F.when(F.col("kind") == 2, F.col("ranges"))).alias("passages"))
+    wanted = spark.sparkContext.broadcast(bits_of(found.select(F.xxhash64("row_key").alias("h")).distinct()))
 
     @F.pandas_udf("boolean")
     def maybe(keys: pd.Series) -> pd.Series:
         return pd.Series(passes(wanted.value, keys.to_numpy(np.int64).view(U)))
 
-    split = texts.withColumn("maybe", maybe("row_key"))
+    split = texts.withColumn("maybe", maybe(F.xxhash64("row_key")))
     some = common.stash(_numbered(split.filter("maybe").drop("maybe").join(per_text, "row_key", "left")), "found")
     again = _strings(some.filter(F.size("open") > 0).select("text", "chunk", "open"), buckets).groupBy("bucket").applyInPandas(_twice, "chunk long, hashes binary")
-    changed = some.select("chunk", F.col("doc_id").cast("string"), "row_key", "text", "sure", "open").groupBy("chunk").cogroup(again.groupBy("chunk")).applyInPandas(_removed, RESULT)
+    changed = some.select("chunk", F.col("doc_id").cast("string"), "row_key", "text", "sure", "open", "passages").groupBy("chunk").cogroup(again.groupBy("chunk")).applyInPandas(_removed, RESULT)
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     none = F.lit(0).cast("long")
-    rest = split.filter(~F.col("maybe")).select("doc_id", "row_key", F.octet_length(data).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(data, 256).alias("kept_sha256"), F.expr("cast(array() as array<array<long>>)").alias("spans"))
+    rest = split.filter(~F.col("maybe")).select("doc_id", "row_key", F.octet_length(data).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(data, 256).alias("kept_sha256"), F.expr("cast(array() as array<array<long>>)").alias("spans"), none.alias("n_passage"))
     return changed.unionByName(rest)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeated_strings(common.table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage")

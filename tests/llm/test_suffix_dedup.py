@@ -66,3 +66,21 @@ def test_long_text_is_cut_into_pieces(spark):
 
 def test_no_rows(spark):
     assert found(spark, []) == []
+
+
+def test_passages_under_the_limit_are_reported_not_removed(spark):
+    rng = random.Random(8)
+    words = {x: ["".join(rng.choice(x) for _ in range(rng.randint(2, 9))) for _ in range(4000)] for x in ("abcdefghijklmno", "éèàçabcdefg", "äöüßabcdefgh", "ñáíóúabcdef")}
+    rows, planted = [], set()
+    for k, own in enumerate(words.values()):
+        for p in range(12):
+            passage = prose(rng, rng.randint(52, 90), own)
+            for j in range(3):
+                i = 1000 * k + 10 * p + j
+                planted.add(i)
+                rows.append((i, f"{prose(rng, 150, own)} {passage} {prose(rng, 150, own)}", None, None, None))
+        rows += [(1000 * k + 500 + j, prose(rng, 350, own), None, None, None) for j in range(40)]
+    out = suffix_dedup.repeated_strings(spark.createDataFrame(rows, COLUMNS)).collect()
+    assert found(spark, rows) == brute(rows)
+    got = {r.doc_id for r in out if r.n_passage > 0}
+    assert got <= planted and len(got) >= 0.9 * len(planted)
