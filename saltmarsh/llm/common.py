@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+pa.set_memory_pool(pa.system_memory_pool())  # gives memory back that the other pools would keep in idle workers
+
 #: Text handled at once inside a task, in bytes; a longer document is handled alone.
 CHUNK_BYTES = 1 << 20
 
@@ -61,6 +63,11 @@ def row_key():
     return F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.when(F.col("text").isNull(), "-").otherwise("+"), F.col("text").cast("string")).cast("binary"))
 
 
+def batch_rows(spark: SparkSession, n: int = 1000) -> None:
+    """Rows in one Arrow batch of this session from now on: texts of a batch are held by the executor and by its Python workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
+
+
 def remainder(col: str, by: int):
     """crc32 of the id as text, mod `by`; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % by

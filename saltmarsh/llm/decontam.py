@@ -91,6 +91,7 @@ def _scan(batch: pa.RecordBatch, filters: dict[int, np.ndarray]):
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, row_key, n_words, n_hit, n_items, item_ids (sorted), contaminated and spans (word ranges that are hit) for each document."""
     spark = docs.sparkSession
+    common.batch_rows(spark)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("row_key", common.row_key())
     made = common.stash(windows(items, window, shingle), "windows")
     sizes = [r.k for r in made.select("k").distinct().collect()]

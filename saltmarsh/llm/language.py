@@ -131,6 +131,7 @@ def mixtures(texts: list[bytes], model: np.ndarray) -> np.ndarray:
 def identify(docs: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """Adds lang_pred, score and lang_set (languages of the chosen set) to documents; labelled: rows (text, lang) to learn from."""
     spark = docs.sparkSession
+    common.batch_rows(spark)
     labelled = labelled.select(F.col("text").cast("string"), F.col("lang").cast("string")).filter("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)

@@ -261,6 +261,7 @@ def wanted_texts(texts: DataFrame, keys: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, row_key, n_shingles and component_id of each document. Two documents link when 100 * intersection >= percent * union."""
     spark = docs.sparkSession
+    common.batch_rows(spark)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("row_key", common.row_key())
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # a shingle takes two bytes at least
     bits = min(48, max(16, (size // 6).bit_length() + 4))

@@ -174,6 +174,7 @@ def assign(items: DataFrame, capacity: int, per_partition: int = PIECES_PER_PART
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = False, per_partition: int = PIECES_PER_PARTITION) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset; with_ids adds the ids as bytes."""
+    common.batch_rows(docs.sparkSession)
     pieces = common.stash(encoded_pieces(docs, path, capacity, end_id, with_ids), "pieces")
     where, _ = assign(pieces.filter("full_id is null").select("row_id", "length"), capacity, per_partition)
     short = pieces.filter("full_id is null").join(where, "row_id")

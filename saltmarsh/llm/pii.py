@@ -297,6 +297,7 @@ KEY, SPANS, MAYBE = "__saltmarsh_key", "__saltmarsh_spans", "__saltmarsh_maybe"
 
 def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """The documents with surrogates in their texts, and n_entities, unless they have a column of that name. Only texts with entities are shuffled, and few others: a filter of fixed size tells them apart."""
+    common.batch_rows(docs.sparkSession)
     columns = docs.columns
     count = [] if "n_entities" in columns else [T.StructField("n_entities", T.LongType())]
     keyed = docs.withColumn(KEY, F.md5(F.col("text").cast("binary")))

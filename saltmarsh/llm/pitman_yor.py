@@ -420,6 +420,7 @@ ROOMS = "context int, bucket int, state binary, hashes binary, up binary, ends l
 def score_texts(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, spelled_score; docs: (doc_id, text, held_out)."""
     spark = docs.sparkSession
+    common.batch_rows(spark, 5000)  # chunks are parts of batches
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES + 1))
     rows = common.stash(_chunked(docs, buckets), "chunks")

@@ -491,6 +491,7 @@ def _removed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
 def repeated_strings(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, n_bytes, n_removed, n_spans, kept_sha256, spans (start, stop in bytes) and n_passage of each document."""
     spark = docs.sparkSession
+    common.batch_rows(spark)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("row_key", common.row_key())
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES + 1)

@@ -284,6 +284,7 @@ def token_counts(docs: DataFrame, path: str, limit: int) -> DataFrame:
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit", "keep_chars"],
             )
 
+    common.batch_rows(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, keep_chars long")
 
 
