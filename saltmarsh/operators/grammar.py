@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from saltmarsh.functions import text as X
+from saltmarsh.plans.shared import running_sum
 
 
 def short_enough(df: DataFrame) -> DataFrame:
@@ -67,13 +68,13 @@ def terminal_groups(terminals: DataFrame, unseen: DataFrame | None = None) -> Da
 
 
 def unseen_groups(terminals: DataFrame, masses: DataFrame) -> DataFrame:
-    """One group for each key with unseen mass: its size, the probability of each string, and its first string (the smallest index that no terminal has)."""
+    """One group for each key with unseen mass: its size, the probability of each string, and its first string (the smallest index that no terminal has). Keys that make 10^38 strings or more have none, as numbers are decimals of 38 digits."""
     seen = terminals.filter(X.generatable("terminal", "term_key")).select("term_key", X.unseen_index("terminal").alias("index"))
     n = seen.groupBy("term_key").agg(F.count("*").alias("n"))
     after = seen.select("term_key", (F.col("index") + 1).cast("decimal(38,0)").alias("index")).join(seen, ["term_key", "index"], "left_anti")
     gaps = after.groupBy("term_key").agg(F.min("index").alias("gap"))
     zero = seen.filter("index = 0").select("term_key", F.lit(True).alias("has_zero"))
-    facts = masses.filter("unseen_mass > 0 and length(term_key) <= 22").join(n, "term_key", "left").join(gaps, "term_key", "left").join(zero, "term_key", "left")
+    facts = masses.filter("unseen_mass > 0 and combos < 9e37").join(n, "term_key", "left").join(gaps, "term_key", "left").join(zero, "term_key", "left")
     first = F.when(F.coalesce("has_zero", F.lit(False)), F.col("gap")).otherwise(F.lit(0).cast("decimal(38,0)"))
     combos = F.aggregate(F.split("term_key", ""), F.lit(1).cast("decimal(38,0)"), lambda a, m: (a * F.when(m == "D", 10).when(m == "S", 33).otherwise(26)).cast("decimal(38,0)"))
     size = (combos - F.coalesce("n", F.lit(0))).cast("decimal(38,0)")
@@ -81,9 +82,11 @@ def unseen_groups(terminals: DataFrame, masses: DataFrame) -> DataFrame:
 
 
 def terminal_ranks(terminals: DataFrame) -> DataFrame:
-    """Adds the 0-based rank inside the group of equal probability, by descending string."""
-    order = Window.partitionBy("term_key", "prob").orderBy(F.desc("terminal"))
-    return terminals.withColumn("rank", (F.row_number().over(order) - 1).cast("decimal(38,0)"))
+    """Adds the 0-based rank inside the group of equal probability, by descending string: a running number over all, less where the group begins, so that no task has a whole group."""
+    one = terminals.withColumn("_one", F.lit(1).cast("decimal(38,0)"))
+    numbered = running_sum(one, [F.asc("term_key"), F.desc("prob"), F.desc("terminal")], "_one", "_n").drop("_one")
+    begins = numbered.groupBy("term_key", "prob").agg(F.min("_n").alias("_first"))
+    return numbered.join(begins, ["term_key", "prob"]).withColumn("rank", (F.col("_n") - F.col("_first")).cast("decimal(38,0)")).select(*terminals.columns, "rank")
 
 
 def nonterminal_mass(structures: DataFrame) -> DataFrame:

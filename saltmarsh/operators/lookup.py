@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from saltmarsh.functions import text as X
 from saltmarsh.operators import patterns as P
+from saltmarsh.operators.unseen import unseen_ranks
 
 #: Parse statuses.
 PARSED, BEYOND_CUTOFF, NO_STRUCTURE, NO_TERMINAL, COLLISION, NOT_GENERATABLE, FAILED = 1, 2, 4, 8, 16, 32, 64
@@ -40,8 +41,20 @@ def _permutation_rank(nonterminals: pd.Series, indices: pd.Series) -> pd.Series:
     return pd.Series([Decimal(permutation_rank(list(p), [int(x) for x in i])) for p, i in zip(nonterminals, indices)])
 
 
-def parses(tests: DataFrame, structures: DataFrame, terminals: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row for each test and structure of its class string: row_id, structure, parsed, prob, pattern, indices, rank and tags. tests: (row_id, password)."""
+def _with_unseen(placed: DataFrame, terminals: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pieces that no terminal has, but their key's unseen group can make, get that group and their rank in it."""
+    group = groups.filter("is_unseen").select("term_key", F.col("prob").alias("u_p"), F.col("group_idx").alias("u_group"), F.col("size").alias("u_size"), F.col("first_string").alias("u_first"))
+    lacking = placed.filter(F.col("p").isNull() & X.generatable("terminal", "term_key")).select("term_key", "terminal").distinct()
+    lacking = lacking.join(group, "term_key").withColumn("idx", X.unseen_index("terminal"))
+    ranks = unseen_ranks(lacking.select("term_key", "idx"), terminals).withColumnRenamed("rank", "u_rank")
+    found = lacking.join(ranks, ["term_key", "idx"]).drop("idx")
+    both = placed.join(found, ["term_key", "terminal"], "left")
+    either = {"p": "u_p", "rank": "u_rank", "group_idx": "u_group", "size": "u_size", "first_string": "u_first"}
+    return both.withColumns({c: F.coalesce(c, u) for c, u in either.items()}).drop(*either.values())
+
+
+def parses(tests: DataFrame, structures: DataFrame, terminals: DataFrame, groups: DataFrame, unseen: bool = False) -> DataFrame:
+    """One row for each test and structure of its class string: row_id, structure, parsed, prob, pattern, indices, rank and tags. tests: (row_id, password). With unseen, groups have unseen ones, which take pieces that no terminal has."""
     bare = structures.select("structure", F.col("prob").alias("structure_prob"), F.replace("structure", F.lit("E"), F.lit("")).alias("classes"))
     matched = tests.withColumn("classes", X.structure(X.strip_breaks("password"))).join(bare, "classes")
     spans = matched.withColumn("pieces", F.filter(F.split("structure", "E"), lambda p: p != ""))
@@ -52,6 +65,9 @@ def parses(tests: DataFrame, structures: DataFrame, terminals: DataFrame, groups
     parts = spans.select("row_id", "structure", "structure_prob", "pieces", "k", "piece", X.term_key("piece").alias("term_key"), X.ascii_lower(text).alias("terminal"))
     known = parts.join(terminals.select("term_key", "terminal", F.col("prob").alias("p"), "rank", "tags"), ["term_key", "terminal"], "left")
     placed = known.join(groups.filter("not is_unseen").select("term_key", F.col("prob").alias("p"), "group_idx", "size", "first_string"), ["term_key", "p"], "left")
+    if unseen:
+        placed = _with_unseen(placed, terminals, groups)
+    placed = placed.withColumn("tags", F.coalesce("tags", F.expr("cast(array() as array<string>)")))
     fields = F.struct("k", "piece", "p", "rank", "group_idx", "size", "first_string", "tags")
     rows = placed.groupBy("row_id", "structure", "structure_prob", "pieces").agg(F.array_sort(F.collect_list(fields)).alias("x"))
     parsed = ~F.exists("x", lambda e: e["p"].isNull())
@@ -65,7 +81,7 @@ def parses(tests: DataFrame, structures: DataFrame, terminals: DataFrame, groups
     digits = F.aggregate("x", F.lit(0).cast("decimal(38,0)"), lambda a, e: (a * e["size"] + e["rank"]).cast("decimal(38,0)"))
     size = F.aggregate("x", F.lit(1).cast("decimal(38,0)"), lambda a, e: (a * e["size"]).cast("decimal(38,0)"))
     repeated = F.size(F.array_distinct("pieces")) < F.size("pieces")
-    with_rank = rows.withColumn("turn", F.when(F.col("parsed") & repeated, _permutation_rank("pieces", F.transform("x", lambda e: e["group_idx"]))).otherwise(F.lit(0).cast("decimal(38,0)")))
+    with_rank = rows.withColumn("turn", F.when(F.col("parsed") & repeated, _permutation_rank("pieces", F.transform("x", lambda e: F.coalesce(e["group_idx"], F.lit(0))))).otherwise(F.lit(0).cast("decimal(38,0)")))
     return with_rank.select(
         "row_id", "structure", "parsed", F.when(F.col("parsed"), prob).alias("prob"), F.when(F.col("parsed"), pattern).alias("pattern"),
         F.when(F.col("parsed"), (F.col("turn") * size + digits).cast("decimal(38,0)")).alias("rank"),
@@ -100,7 +116,7 @@ def guess_numbers(best: DataFrame, table: DataFrame) -> DataFrame:
     )
 
 
-def lookup(tests: DataFrame, structures: DataFrame, terminals: DataFrame, groups: DataFrame, cutoff: float) -> DataFrame:
+def lookup(tests: DataFrame, structures: DataFrame, terminals: DataFrame, groups: DataFrame, cutoff: float, unseen: bool = False) -> DataFrame:
     """From tests to guess numbers; terminals have ranks."""
     table = P.lookup_table(P.patterns(structures, groups, cutoff))
-    return guess_numbers(best_parses(tests, parses(tests, structures, terminals, groups), structures), table)
+    return guess_numbers(best_parses(tests, parses(tests, structures, terminals, groups, unseen), structures), table)

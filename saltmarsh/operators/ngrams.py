@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from saltmarsh.functions import text as X
+from saltmarsh.plans.shared import stash
 
-MODES = {1: "raw", 10: "string", 12: "string", 15: "string", 16: "string", 17: "string", 20: "training", 22: "training", 25: "training", 27: "training", 28: "training", 30: "test", 35: "test", 40: "semantic", 45: "semantic"}
+#: What a mode's number stands for: the search in letters (best match, or extended with what it keeps),
+#: whether whole words or letter runs are tokenized, and whether classes are broken after it.
+WHOLE = {10: None, 12: None, 15: "all", 16: "first", 17: "all"}
+RUNS = {20: None, 22: None, 25: "first", 27: "first", 28: "first", 30: None, 35: "first", 40: None, 45: "first"}
+CLASSES_BROKEN = (28, 40, 45)
 
 
 def key_of(c: Column | str) -> Column:
@@ -35,77 +44,82 @@ def prefixes(words: DataFrame, table: DataFrame) -> DataFrame:
     return cut.select("word", F.expr("substring(word, 1, k)").alias("key")).join(table.select("key").distinct(), "key").select("word", "key")
 
 
-def greedy(words: DataFrame, table: DataFrame, keep: str = "first", most: int = 40) -> DataFrame:
-    """Tokenizes words that no key covers whole: the longest key that begins the rest, its best tokens; the first token (or all but the last) is kept and the search goes on after it. A word for which no key begins the rest is null.
+def greedy(words: DataFrame, table: DataFrame, keep: str = "first") -> DataFrame:
+    """word, tokens: the longest key that begins a word's rest, its best tokens; the first token (or all but the last) is kept and the search goes on after it. A word for which no key begins the rest is null.
 
-    Each round is a join of the words left with the table; words are at most `most` characters, which bounds the rounds.
+    Each round is a join of the words left with the table, and is written; every round takes a character at least off each word, so all words end.
     """
     best = top_tokenization(table.select(F.col("key").alias("word")).distinct(), table).select(F.col("word").alias("key"), F.col("tokens").alias("best"))
-    state = words.select("word", X.ascii_lower("word").alias("rest"), F.lit("").alias("done"))
-    finished = None
-    for _ in range(most):
+    best = stash(best, "keys")
+    state = stash(words.select("word").distinct().select("word", X.ascii_lower("word").alias("rest"), F.lit("").alias("done")), "words")
+    finished = [state.filter("rest = ''").select("word", F.col("done").alias("tokens"))]
+    state = state.filter("rest <> ''")
+    while not state.isEmpty():
         cut = state.select("word", "rest", "done", F.explode(F.sequence(F.length("rest"), F.lit(1))).alias("k"))
         found = cut.withColumn("key", F.expr("substring(rest, 1, k)")).join(best, "key")
         longest = found.groupBy("word", "rest", "done").agg(F.max_by("best", "k").alias("best"), F.max("k").alias("k"))
-        state = state.join(longest, ["word", "rest", "done"], "left")
+        joined = state.join(longest, ["word", "rest", "done"], "left")
         tokens = F.split("best", X.BREAK)
         whole = F.col("k") == F.length("rest")
         count = F.when(whole | (F.size(tokens) == 1), F.size(tokens)).when(F.lit(keep == "first"), 1).otherwise(F.size(tokens) - 1)
         taken = F.slice(tokens, 1, count)
-        text = F.array_join(taken, X.BREAK)
-        done = F.when(F.col("done") == "", text).otherwise(F.concat("done", F.lit(X.BREAK), text))
+        done = F.when(F.col("done") == "", F.array_join(taken, X.BREAK)).otherwise(F.concat("done", F.lit(X.BREAK), F.array_join(taken, X.BREAK)))
         used = F.aggregate(taken, F.lit(0), lambda a, t: a + F.length(t))
-        state = state.select("word", F.when(F.col("best").isNull(), F.lit("")).otherwise(F.expr("substring(rest, 1)")).alias("rest"), F.when(F.col("best").isNotNull(), done).alias("done"), used.alias("used"))
-        state = state.withColumn("rest", F.when(F.col("done").isNull(), "").otherwise(F.expr("substring(rest, used + 1)"))).select("word", "rest", "done")
-        state = state.persist()
-        ended = state.filter("rest = ''").select("word", F.col("done").alias("tokens"))
-        finished = ended if finished is None else finished.unionByName(ended)
+        after = joined.select("word", "rest", "best", done.alias("done"), used.alias("used"))
+        rest = F.when(F.col("best").isNull(), "").otherwise(F.expr("substring(rest, used + 1)"))
+        state = stash(after.select("word", rest.alias("rest"), F.when(F.col("best").isNotNull(), F.col("done")).alias("done")), "words")
+        finished.append(state.filter("rest = ''").select("word", F.col("done").alias("tokens")))
         state = state.filter("rest <> ''")
-        if state.isEmpty():
-            break
-    return finished
-
-
-@F.pandas_udf(T.StringType())
-def _reassemble(word: pd.Series, runs: pd.Series, tokens: pd.Series) -> pd.Series:
-    """Breaks inside each letter run as its tokens say, with the word's own letters; breaks between classes."""
-    import re
-
-    out = []
-    for w, keys, values in zip(word, runs, tokens):
-        given = dict(zip(keys, values))
-        parts = []
-        for piece in re.findall(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+", w):
-            t = given.get(piece.lower())
-            if t is None:
-                parts.append(piece)
-                continue
-            at = 0
-            for x in t.split(X.BREAK):
-                parts.append(piece[at : at + len(x)])
-                at += len(x)
-        out.append(X.BREAK.join(parts))
-    return pd.Series(out)
-
-
-def tokenize_words(words: DataFrame, table: DataFrame) -> DataFrame:
-    """word, tokens: letter runs tokenized by the table, case kept, breaks between classes."""
-    found = words.select("word", F.explode(F.array_distinct(X.runs(X.ascii_lower("word"), "[a-z]+"))).alias("run"))
-    known = top_tokenization(found.select(F.col("run").alias("word")).distinct(), table).select(F.col("word").alias("run"), "tokens")
-    by_word = found.join(known, "run").groupBy("word").agg(F.collect_list("run").alias("runs"), F.collect_list("tokens").alias("values"))
+    return reduce(DataFrame.unionByName, finished)
+
+
+def _reassembler(between: str):
+    @F.pandas_udf(T.StringType())
+    def reassemble(word: pd.Series, runs: pd.Series, tokens: pd.Series) -> pd.Series:
+        """Breaks inside each letter run as its tokens say, with the word's own letters."""
+        out = []
+        for w, keys, values in zip(word, runs, tokens):
+            given = dict(zip(keys, values))
+            parts = []
+            for piece in re.findall(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+", w):
+                ends = np.cumsum([0] + [len(x) for x in given.get(piece.lower(), piece).split(X.BREAK)])
+                parts.append(X.BREAK.join(piece[i:j] for i, j in zip(ends, ends[1:])))
+            out.append(between.join(parts))
+        return pd.Series(out)
+
+    return reassemble
+
+
+def tokenize_words(words: DataFrame, table: DataFrame, extended: bool = False, break_classes: bool = False) -> DataFrame:
+    """word, tokens: letter runs tokenized by the table, case kept; breaks between classes only if asked for. A word with a run that the extended search can't begin is null."""
+    found = words.select("word").distinct().select("word", F.explode(F.array_distinct(X.runs(X.ascii_lower("word"), "[a-z]+"))).alias("run"))
+    runs = found.select(F.col("run").alias("word")).distinct()
+    known = (greedy(runs, table) if extended else top_tokenization(runs, table)).select(F.col("word").alias("run"), "tokens")
+    by_word = found.join(known, "run").groupBy("word").agg(F.collect_list("run").alias("runs"), F.collect_list("tokens").alias("values"), F.count("*").alias("n"))
     empty = F.expr("cast(array() AS array<string>)")
-    joined = words.join(by_word, "word", "left")
-    return joined.select("word", _reassemble("word", F.coalesce("runs", empty), F.coalesce("values", empty)).alias("tokens"))
+    joined = words.select("word").distinct().join(by_word, "word", "left")
+    made = _reassembler(X.BREAK if break_classes else "")("word", F.coalesce("runs", empty), F.coalesce("values", empty))
+    return joined.select("word", F.when(F.coalesce("n", F.lit(0)) == F.size(F.coalesce("values", empty)), made).alias("tokens"))
+
 
+def tokenize_ngram(words: DataFrame, table: DataFrame, mode: int, duplicate: bool = False, weight: float = 1.0, hybrid: bool = False) -> DataFrame:
+    """The modes by number, with all columns of the words (word, and freq or tags where they have some) and tokens.
 
-def tokenize_ngram(words: DataFrame, table: DataFrame, mode: int, dup: float | None = None) -> DataFrame:
-    """The modes by number: raw and string modes tokenize whole words (15 to 17 greedily), training and test modes letter runs inside words; dup adds the untokenized word with a weight."""
-    kind = MODES[mode]
-    if kind in ("raw", "string"):
-        out = greedy(words, table, "all" if mode == 16 else "first") if mode in (15, 16, 17) else top_tokenization(words, table)
+    1 gives all rows of the table for each key; 10 to 17 tokenize whole words, the others letter runs inside words, 28, 40
+    and 45 break classes, too. 28 multiplies freq by the weight; hybrid adds the word broken by classes alone, with its
+    own freq, where it differs; duplicate adds each word as it is.
+    """
+    if mode == 1:
+        return words.join(table.select(F.col("key").alias("word"), "tokens", F.col("freq").alias("table_freq")), "word")
+    if mode in WHOLE:
+        distinct = words.select("word").distinct()
+        made = greedy(distinct, table, WHOLE[mode]) if WHOLE[mode] else top_tokenization(distinct, table)
     else:
-        out = tokenize_words(words, table)
-    out = out.withColumn("freq", F.lit(1.0))
-    if dup is not None:
-        out = out.unionByName(words.select("word", F.col("word").alias("tokens"), F.lit(dup).alias("freq")))
-    return out
+        made = tokenize_words(words, table, RUNS[mode] is not None, mode in CLASSES_BROKEN)
+    out = words.join(made, "word")
+    if mode == 28:
+        out = out.withColumn("freq", F.col("freq") * weight)
+        if hybrid:
+            broken = words.withColumn("tokens", X.tokenize("word")).join(made.withColumnRenamed("tokens", "other"), "word").filter(~F.col("tokens").eqNullSafe(F.col("other"))).drop("other")
+            out = out.unionByName(broken)
+    return out.unionByName(words.withColumn("tokens", F.col("word"))) if duplicate else out

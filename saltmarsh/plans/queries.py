@@ -31,7 +31,7 @@ SQL: dict[str, str] = {}
 # what the SQL is made of
 C1 = """c1 AS (SELECT replace(p_name || CAST(p_size AS VARCHAR), ' ', '') AS word, 'P' AS tag FROM part UNION ALL SELECT p_brand, 'B' FROM part
  UNION ALL SELECT o_orderpriority, 'O' FROM orders UNION ALL SELECT n_name, 'N' FROM nation UNION ALL SELECT s_name, 'S' FROM supplier UNION ALL SELECT c_mktsegment, 'M' FROM customer)"""
-C2 = r"""c2 AS (SELECT * FROM (SELECT doc_id, lang AS tag, unnest(string_split_regex(text, '[ \t\n\r\f\v]+')) AS word FROM documents) WHERE word <> '' AND regexp_full_match(word, '[\x00-\x7F]*'))"""
+C2 = r"""c2 AS (SELECT * FROM (SELECT doc_id, lang AS tag, unnest(string_split_regex(text, '[ \t\n\r\f\v]+')) AS word FROM documents) WHERE word <> '')"""
 C3 = "c3 AS (SELECT event_type AS condition, CAST(CASE WHEN value < 5 THEN -4 WHEN value < 10 THEN -2 ELSE event_id + 1 END AS BIGINT) AS guess, event_id FROM events)"
 CLASSES = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '[^a-zA-Z0-9\x01]', '~', 'g'), '[a-z]', 'l', 'g'), '[A-Z]', 'U', 'g'), '[0-9]', 'D', 'g')"
 
@@ -100,7 +100,7 @@ def c1(s: SparkSession, d: str) -> DataFrame:
 
 
 def c2(s: SparkSession, d: str) -> DataFrame:
-    return S.token_corpus(s, d).filter(F.col("word").rlike(r"^[\x00-\x7F]*$"))
+    return S.token_corpus(s, d)
 
 
 def c3(s: SparkSession, d: str) -> DataFrame:
@@ -249,7 +249,11 @@ def _(s, d):
 # grammar
 
 
-@query("class_string", f"WITH {C2} SELECT {classes('word')} AS structure, count(*) AS n FROM c2 GROUP BY 1")
+#: Each byte of a character is a symbol of its own.
+BYTES = r"regexp_replace(regexp_replace(regexp_replace(word, '[\x{80}-\x{7FF}]', '~~', 'g'), '[\x{800}-\x{FFFF}]', '~~~', 'g'), '[\x{10000}-\x{10FFFF}]', '~~~~', 'g')"
+
+
+@query("class_string", f"WITH {C2} SELECT {classes(BYTES)} AS structure, count(*) AS n FROM c2 GROUP BY 1")
 def _(s, d):
     return c2(s, d).groupBy(X.structure("word").alias("structure")).agg(F.count("*").alias("n"))
 
@@ -354,20 +358,20 @@ def _(s, d):
     return whole(parts.groupBy("structure").agg(product.alias("strings")), "strings")
 
 
-@query("generate_strings", f"""{ENUMERATE}, chosen AS (SELECT structure, ps, prob, idx FROM alls WHERE structure IN (SELECT structure FROM structures WHERE prob > 0.001)),
+@query("generate_strings", f"""{ENUMERATE}, chosen AS (SELECT structure, ps, prob, idx FROM alls),
 mem AS (SELECT t.term_key, group_idx, terminal FROM terminals t JOIN groups g ON t.term_key = g.term_key AND t.prob = g.prob),
 str AS (SELECT structure, ps, prob, idx, '' AS string, 0 AS k FROM chosen UNION ALL
  SELECT structure, ps, prob, idx, string || CASE WHEN k > 0 THEN chr(1) ELSE '' END || {CASED.format('terminal', 'ps[k + 1]')}, k + 1 FROM str JOIN mem ON mem.term_key = translate(ps[k + 1], 'U', 'L') AND mem.group_idx = idx[k + 1] WHERE k < len(ps))
 SELECT prob, string FROM str WHERE k = len(ps)""")
 def _(s, d):
     structures, terminals, groups = grammar(s, d)
-    return P.strings(structures.filter("prob > 0.001"), terminals, groups, CUTOFF).select("prob", "string")
+    return P.strings(structures, terminals, groups, CUTOFF).select("prob", "string")
 
 
 @query("accurate_strings", SQL["generate_strings"].replace("SELECT prob, string FROM str WHERE k = len(ps)", "SELECT replace(string, chr(1), '') AS bare, round(sum(prob), 12) AS prob, count(*) AS parses FROM str WHERE k = len(ps) GROUP BY 1"))
 def _(s, d):
     structures, terminals, groups = grammar(s, d)
-    made = P.strings(structures.filter("prob > 0.001"), terminals, groups, CUTOFF)
+    made = P.strings(structures, terminals, groups, CUTOFF)
     return P.accurate_strings(made).select("bare", F.round("prob", 12).alias("prob"), "parses")
 
 
@@ -403,6 +407,16 @@ def _(s, d):
     return whole(L.lookup(tests(s, d), structures, terminals, groups, CUTOFF).select("row_id", "password", "prob", "guess_number"), "guess_number")
 
 
+@query("guess_numbers_unseen")
+def _(s, d):
+    """Without SQL: tests/test_unseen.py compares it with an enumeration."""
+    tokens = stash(W.tokenize(W.wordfreq(c1(s, d))), "tokens")
+    terminals = stash(G.terminal_ranks(G.learn_terminals(tokens, unseen=True)), "terminals")
+    made = G.unseen_groups(terminals, G.unseen_mass(G.terminal_counts(tokens)))
+    groups = stash(G.terminal_groups(terminals, made), "groups")
+    return L.lookup(tests(s, d), stash(G.learn_structures(tokens), "structures"), terminals, groups, CUTOFF, unseen=True).select("row_id", "password", "prob", "guess_number")
+
+
 @query("lookup_status", f"{GUESSES} SELECT CASE WHEN guess > 0 THEN 'Guessed' WHEN guess = -2 THEN 'Beyond cutoff' WHEN guess = -4 THEN 'Structure not found' WHEN guess = -40 THEN 'Chunk not found' END AS status, count(*) AS n FROM guesses GROUP BY 1")
 def _(s, d):
     structures, terminals, groups = grammar(s, d)
@@ -511,9 +525,9 @@ def _ranked(s: SparkSession, d: str) -> DataFrame:
     return train.join(A.simple_guess(c2(s, d).filter("doc_id % 10 < 8"), train.withColumnRenamed("word", "password")).withColumnsRenamed({"password": "word", "guess": "rank"}), "word")
 
 
-@query("crack_curve", f"WITH {RANKED}, h AS (SELECT rank AS guess, count(*) AS n FROM te JOIN rk ON password = word WHERE rank <= 5000 GROUP BY 1) SELECT CAST(guess AS BIGINT) AS guess, CAST(sum(n) OVER (ORDER BY guess) AS BIGINT) AS found FROM h")
+@query("crack_curve", f"WITH {RANKED}, h AS (SELECT rank AS guess, count(*) AS n FROM te JOIN rk ON password = word GROUP BY 1) SELECT CAST(guess AS BIGINT) AS guess, CAST(sum(n) OVER (ORDER BY guess) AS BIGINT) AS found FROM h")
 def _(s, d):
-    return A.crack_curve(_ranked(s, d), c2(s, d).filter("doc_id % 10 >= 8").select(F.col("word").alias("password")), 5000)
+    return A.crack_curve(_ranked(s, d), c2(s, d).filter("doc_id % 10 >= 8").select(F.col("word").alias("password")))
 
 
 @query("crack_totals", f"WITH {RANKED} SELECT (SELECT count(*) FROM rk) AS guesses, count(*) AS tests, CAST(count(*) FILTER (password IN (SELECT word FROM rk)) AS INTEGER) AS found, round(100.0::DOUBLE * count(*) FILTER (password IN (SELECT word FROM rk)) / count(*), 9) AS percent FROM te")
@@ -545,7 +559,7 @@ def _(s, d):
 @query("top_guesses", SQL["generate_strings"].replace("SELECT prob, string FROM str WHERE k = len(ps)", "SELECT prob, string, CAST(row_number() OVER (ORDER BY prob DESC, string) AS BIGINT) AS rank FROM (SELECT prob, string FROM str WHERE k = len(ps) ORDER BY prob DESC, string LIMIT 500)"))
 def _(s, d):
     structures, terminals, groups = grammar(s, d)
-    return C.top_guesses(P.strings(structures.filter("prob > 0.001"), terminals, groups, CUTOFF).select("prob", "string"), 500)
+    return C.top_guesses(P.strings(structures, terminals, groups, CUTOFF).select("prob", "string"), 500)
 
 
 GRAMS = r"""w AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \t\n\r\f\v]+'), lambda x: x <> '') AS ws FROM documents),
@@ -576,6 +590,34 @@ def _(s, d):
     return N.prefixes(words, words.select(F.substring("word", 1, 3).alias("key")).distinct())
 
 
+WORD_GRAMS = """names AS (SELECT p_name AS gram FROM part), tb AS (SELECT replace(lower(gram), ' ', '') AS key, replace(lower(gram), ' ', chr(1)) AS tokens, count(*) AS freq
+ FROM (SELECT gram FROM names UNION ALL SELECT unnest(string_split(gram, ' ')) FROM names) WHERE regexp_full_match(gram, '[A-Za-z ]+') GROUP BY 1, 2),
+best AS (SELECT key, arg_min(tokens, (-freq, tokens)) AS best FROM tb GROUP BY key)"""
+#: The extended search: the longest key, its first token (or all but the last), and so on with the rest.
+EXTENDED = """walk AS (SELECT DISTINCT run, run AS rest, '' AS done FROM runs
+ UNION ALL SELECT run, substr(rest, 1 + CAST(list_sum(list_transform(took, lambda t: len(t))) AS BIGINT)), done || CASE WHEN done = '' THEN '' ELSE chr(1) END || array_to_string(took, chr(1))
+ FROM (SELECT run, rest, done, CASE WHEN len(key) = len(rest) OR len(ts) = 1 THEN ts WHEN {all} THEN ts[1 : len(ts) - 1] ELSE ts[1 : 1] END AS took
+  FROM (SELECT run, rest, done, key, string_split(best, chr(1)) AS ts, row_number() OVER (PARTITION BY run ORDER BY len(key) DESC) AS n FROM walk JOIN best ON starts_with(rest, key) WHERE rest <> '') WHERE n = 1)),
+done AS (SELECT run, done FROM walk WHERE rest = '')"""
+
+
+def word_grams(s: SparkSession, d: str) -> DataFrame:
+    names = S.table(s, d, "part").select(F.col("p_name").alias("gram"), F.lit(1).alias("freq"))
+    return N.table_of(names.unionByName(names.select(F.explode(F.split("gram", " ")).alias("gram"), "freq")))
+
+
+for _mode in (15, 16):
+    query(f"ngram_mode_{_mode}", f"WITH RECURSIVE {C1}, {WORD_GRAMS}, runs AS (SELECT DISTINCT word AS run FROM c1 WHERE tag = 'P' AND regexp_full_match(word, '[a-z]+[0-9]*')), {EXTENDED.format(all=_mode == 15)} SELECT run AS word, done AS tokens FROM done".replace("SELECT DISTINCT word AS run", "SELECT DISTINCT regexp_extract(word, '[a-z]+') AS run"))(
+        lambda s, d, mode=_mode: N.tokenize_ngram(c1(s, d).filter(F.col("tags")[0] == "P").select(F.regexp_extract("word", "^([a-z]+)[0-9]*$", 1).alias("word")).filter("word <> ''").distinct(), word_grams(s, d), mode)
+    )
+for _mode in (20, 25, 28, 40):
+    _pieces = "regexp_extract_all(word, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+')"
+    _found = "(SELECT done FROM done WHERE run = p)" if _mode in (25, 28) else "coalesce((SELECT best FROM best WHERE key = p), p)"
+    query(f"ngram_mode_{_mode}", f"WITH RECURSIVE {C1}, {WORD_GRAMS}, ws AS (SELECT DISTINCT word FROM c1 WHERE tag = 'P'), pieces AS (SELECT word, unnest({_pieces}) AS p, generate_subscripts({_pieces}, 1) AS k FROM ws), runs AS (SELECT DISTINCT p AS run FROM pieces WHERE regexp_full_match(p, '[a-z]+')), {EXTENDED.format(all=False)} SELECT word, string_agg(CASE WHEN regexp_full_match(p, '[a-z]+') THEN {_found} ELSE p END, '{{sep}}' ORDER BY k) AS tokens{', 0.5::DOUBLE AS freq' if _mode == 28 else ''} FROM pieces GROUP BY word".replace("'{sep}'", "chr(1)" if _mode in (28, 40) else "''"))(
+        lambda s, d, mode=_mode: N.tokenize_ngram(c1(s, d).filter(F.col("tags")[0] == "P").select("word", *[F.lit(1.0).alias("freq")] * (mode == 28)).distinct(), word_grams(s, d), mode, weight=0.5)
+    )
+
+
 @query("ngram_greedy")
 def _(s, d):
     words = c1(s, d).filter("tags[0] = 'P'").select(F.explode(X.runs("word", "[a-z]+")).alias("word")).distinct()
