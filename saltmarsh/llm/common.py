@@ -68,6 +68,15 @@ def batch_rows(spark: SparkSession, n: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
 
 
+def give_back() -> None:
+    """Returns freed memory of this Python worker to the system: idle workers count to an executor's memory."""
+    import ctypes
+
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def remainder(col: str, by: int):
     """crc32 of the id as text, mod `by`; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % by

@@ -154,6 +154,7 @@ def identify(docs: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS) ->
             sets = [[langs[i] for i in np.flatnonzero(s)] if ok else [] for s, ok in zip(share, known.tolist())]
             names = [*columns, "lang_pred", "score", "lang_set"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string()))], names=names)
+        common.give_back()
 
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     return docs.withColumn("has_letter", has_letter).mapInArrow(run, schema)

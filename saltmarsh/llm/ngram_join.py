@@ -106,6 +106,7 @@ def _described(texts: DataFrame, k: int, bits: int, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), batch.column("doc_id"), batch.column("row_key"), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), *(pa.nulls(m, t) for t in kinds[5:])], names=ROW)
         if sets:
             yield closed(sets, fps, chunk)
+        common.give_back()
 
     return texts.mapInArrow(run, "chunk long, doc_id long, row_key string, n long, fp long, bucket int, blob binary, counts binary")
 
@@ -162,6 +163,7 @@ def _classes(bits: int, percent: int):
                 fp, n = int(fps[d]), int(sizes[d])
                 if fp not in out:
                     out[fp] = fp, fingerprint(prefix) ^ n, n, 1_000_000 * alone // n, signature(cells[first[d] : first[d] + n]), np.unique(prefix[alone:]).view(np.int64)
+        common.give_back()
         return pd.DataFrame(list(out.values()), columns=["fp", "gid", "n", "edited", "sig", "cells"])
 
     return run

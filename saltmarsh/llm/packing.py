@@ -56,7 +56,7 @@ class Encoder:
                 out.append(struct.pack("<I", self.base.special[part]))
             elif part:
                 out += map(self.known.__getitem__, self.base.findall(part))
-        if len(self.known) > 700_000:
+        if len(self.known) > 150_000:
             self.known.clear()
         return b"".join(out)
 
@@ -92,6 +92,7 @@ def encoded_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, with_
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             names = ["row_id", "doc_id", "piece", "start", "length", "ids_crc32", "full_id", "ids"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names[: len(out)])
+        common.give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 

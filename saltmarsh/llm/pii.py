@@ -247,6 +247,7 @@ def _spans(docs: DataFrame) -> DataFrame:
                     found += spans
             cols = list(zip(*found)) if found else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.string(), pa.string())))], names=["row_key", "start", "stop", "kind", "entity"])
+        common.give_back()
 
     return docs.select("row_key", "text").mapInArrow(run, "row_key string, start int, stop int, kind string, entity string")
 

@@ -31,7 +31,7 @@ PATTERN = r" ?\p{L}+| ?\p{N}+|'(?:s|t|re|ve|m|ll|d)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 LATIN = re.compile(r"[\t-\r -~À-ɏ]*").fullmatch
 LATIN_PATTERN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\sA-Za-zÀ-ÖØ-öø-ɏ0-9]+|\s+(?!\S)|\s+").findall
 #: Distinct pieces kept in memory by a task; beyond it the store is emptied.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 200_000
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -82,7 +82,7 @@ class PrefixCounter:
     def fits(self, a: bytes, b: bytes) -> bool:
         """Whether the two tokens, side by side, are what their bytes are encoded as."""
         if (known := self.pairs.get((a, b))) is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 400_000:
                 self.pairs.clear()
             known = self.pairs[a, b] = self.merge(a + b) == [a, b]
         return known
@@ -283,6 +283,7 @@ def token_counts(docs: DataFrame, path: str, limit: int) -> DataFrame:
                 [batch.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n]), pa.array(keep, pa.int64())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit", "keep_chars"],
             )
+        common.give_back()
 
     common.batch_rows(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, keep_chars long")
