@@ -135,19 +135,22 @@ class PrefixCounter:
     def total(self, text: str, limit: int | None = None) -> tuple[int, int]:
         """The tokens of a text, and the characters of its longest prefix within the limit.
 
-        Counts are summed by piece; a table is made only of the pieces around the limit.
+        Counts are summed by piece; a table is made only of the pieces around the limit, or of all of a text with special strings.
         """
         n = at = 0
         keep = None if limit is not None else len(text)
         known = self.known.__getitem__
-        for k, part in enumerate(self.split(text)):
+        parts = self.split(text)
+        for k, part in enumerate(parts):
             pieces = [part] if k % 2 else self.findall(part)
             counts = [1] if k % 2 else list(map(known, pieces))
             more = sum(counts)
-            if keep is None and n + more > limit:
+            if keep is None and n + more > limit and len(parts) == 1:
                 keep = self._cut(text, limit, n, at, pieces, counts)
             n += more
             at += len(part)
+        if keep is None and n > limit:  # beside special strings the counts of prefixes go down, too: the whole table tells
+            keep = longest_within(self.table(text), limit)
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
         return n, len(text) if keep is None else keep
