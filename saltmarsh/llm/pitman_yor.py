@@ -10,8 +10,9 @@ probability in its context; a context that training lacks is its parent. As for
 that training lacks are one type. spelled_score has each such word's own probability instead.
 
 Contexts are dealt by hash of v; each sweep sends tables up to the words' buckets and gets probabilities back. Words
-are told apart by 64-bit hashes. Each chunk of documents sends its distinct pairs and words to their buckets. The
-spelling model has at most 64 symbols (frequent bytes, and one for all others), so 64^4 numbers bound what is broadcast.
+are told apart by 64-bit hashes; a bucket is a range of hashes, so that sorted hashes are kept as differences. Chunks of
+documents are stored once, as numbers and words; each sends its distinct pairs and words to their buckets when they
+are counted and again when they are scored. The spelling model has at most 64 symbols (frequent bytes, and one for all others), so 64^4 numbers bound what is broadcast.
 
 Defined results: null and empty texts are their end token alone; without training tokens every count is 0
 and words are scored by spelling alone; repeated rows are trained on and scored one by one; other columns
@@ -41,6 +42,8 @@ EXACT = 200
 #: Text bytes in one chunk of documents, and for each bucket of words.
 CHUNK_BYTES, BUCKET_BYTES = 12 << 20, 24 << 20
 CONCENTRATION = 1.0
+#: Logarithms of a pair's probability are kept in steps of one in so many.
+STEP = 8192
 
 
 @cache
@@ -209,8 +212,13 @@ def hashes_of(words: list[bytes]) -> np.ndarray:
     return common.word_hashes([b" ".join(words)], common.SPACED)[0]
 
 
-def _numbered(texts: list[bytes], buckets: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct words of some texts in order of their buckets, their hashes, the number of each word of the texts, and the words of each text."""
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The range of hashes that each is in."""
+    return (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def _numbered(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of some texts in order of their hashes, the number of each word of the texts, and the words of each text."""
     hashes, spans, sizes, at = [], [], [], 0
     for a, b in common.chunks(texts):
         h, starts, ends, before = common.word_hashes(texts[a:b], common.SPACED)
@@ -228,15 +236,12 @@ def _numbered(texts: list[bytes], buckets: int) -> tuple[list[bytes], np.ndarray
     new = np.ones(len(h), bool)
     new[1:] = ordered[1:] != ordered[:-1]
     first = np.flatnonzero(new)
-    by_bucket = np.argsort(ordered[first] % np.uint64(buckets), kind="stable")
-    number = np.empty(len(first), np.uint32)
-    number[by_bucket] = np.arange(len(first), dtype=np.uint32)
     ids = np.empty(len(h), np.uint32)
-    ids[order] = number[np.cumsum(new) - 1]
+    ids[order] = (np.cumsum(new) - 1).astype(np.uint32)
     joined = b"\n".join(texts).lower()
-    where = order[first[by_bucket]]
+    where = order[first]
     words = [joined[x:y] for x, y in zip(starts[where].tolist(), ends[where].tolist())]
-    return words, ordered[first[by_bucket]], ids, np.concatenate(sizes).astype(np.int64)
+    return words, ids, np.concatenate(sizes).astype(np.int64)
 
 
 def _pairs_of(ids: np.ndarray, sizes: np.ndarray, n_words: int) -> np.ndarray:
@@ -248,51 +253,80 @@ def _pairs_of(ids: np.ndarray, sizes: np.ndarray, n_words: int) -> np.ndarray:
     return v * (n_words + 2) + w
 
 
-def _chunked(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows of chunks of documents (chunk, docs: pickled ids, flags, sizes and word numbers), of their words (chunk, bucket, words, n: training counts), and of their pairs (chunk, part, context: bucket of the first word, hashes, pairs: first and second words' places in hashes, k: training counts)."""
+def _chunked(docs: DataFrame) -> DataFrame:
+    """Chunks of documents: their pickled ids, flags, sizes, word numbers and distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"chunk": pa.int64(), "docs": pa.binary(), "bucket": pa.int32(), "words": pa.binary(), "n": pa.binary(), "part": pa.int32(), "context": pa.int32(), "hashes": pa.binary(), "pairs": pa.binary(), "k": pa.binary()}
-
-        def rows(chunk: int, m: int, **given) -> pa.RecordBatch:
-            given["chunk"] = [chunk] * m
-            return pa.RecordBatch.from_arrays([pa.array(given[c], t) if c in given else pa.nulls(m, t) for c, t in kinds.items()], names=list(kinds))
-
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             texts = common.as_bytes(batch.column("text"))
             doc_ids, held = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
             for a, b in common.chunks(texts, CHUNK_BYTES):
-                words, hashes, ids, sizes = _numbered(texts[a:b], buckets)
-                at = (hashes % np.uint64(buckets)).astype(np.int64)
-                hashes = np.append(hashes, [END, BEGIN])
-                known = ~np.array(held[a:b], bool)
-                yield rows(chunk, 1, docs=[common.squeeze(pickle.dumps((doc_ids[a:b], held[a:b], common.pack_ints(sizes), common.pack_ints(ids), len(words))))])
-                if words:
-                    n = np.bincount(ids[np.repeat(known, sizes)], minlength=len(words)).astype(np.int64)
-                    cuts = np.flatnonzero(np.diff(at)) + 1
-                    parts = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(words)]))
-                    yield rows(chunk, len(parts), bucket=[at[x] for x, _ in parts], words=[common.squeeze(b" ".join(words[x:y])) for x, y in parts], n=[common.pack_ints(n[x:y]) for x, y in parts])
-                m = len(words) + 2
-                code = _pairs_of(ids, sizes, len(words))
+                words, ids, sizes = _numbered(texts[a:b])
+                blob = pickle.dumps((doc_ids[a:b], held[a:b], common.pack_ints(sizes), common.pack_ints(ids), common.squeeze(b" ".join(words))))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([blob], pa.binary())], names=["chunk", "docs"])
+                chunk += 1
+
+    return docs.mapInArrow(run, "chunk long, docs binary")
+
+
+class Chunk:
+    """The documents of one chunk, with their words in order of hashes."""
+
+    def __init__(self, blob: bytes):
+        self.doc_ids, self.held, sizes, ids, words = pickle.loads(blob)
+        self.sizes, self.ids = common.unpack_ints(sizes).astype(np.int64), common.unpack_ints(ids).astype(np.int64)
+        self.words = _words(words)
+        self.known = ~np.array(self.held, bool)
+
+    def codes(self) -> np.ndarray:
+        return _pairs_of(self.ids, self.sizes, len(self.words))
+
+
+def _word_parts(chunks: DataFrame, buckets: int) -> DataFrame:
+    """The words of chunks by bucket, with their training counts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for number, blob in zip(pdf["chunk"], pdf["docs"]):
+                x = Chunk(blob)
+                at = bucket_of(hashes_of(x.words), buckets)
+                n = np.bincount(x.ids[np.repeat(x.known, x.sizes)], minlength=len(x.words)).astype(np.int64)
+                cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+                out = [(number, int(at[i]), common.squeeze(b" ".join(x.words[i:j])), common.pack_ints(n[i:j])) for i, j in zip(cuts, cuts[1:]) if i < j]
+                yield pd.DataFrame(out, columns=["chunk", "bucket", "words", "n"])
+
+    return chunks.mapInPandas(run, "chunk long, bucket int, words binary, n binary")
+
+
+def _pair_parts(chunks: DataFrame, buckets: int, counted: bool) -> DataFrame:
+    """The distinct pairs of chunks by context (bucket of the first word): hashes, the places of first and second words in hashes, and training counts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for number, blob in zip(pdf["chunk"], pdf["docs"]):
+                x = Chunk(blob)
+                hashes = np.append(hashes_of(x.words), [END, BEGIN])
+                m = len(hashes)
+                code = x.codes()
                 pairs = np.unique(code)
-                seen, times = np.unique(code[np.repeat(known, sizes + 1)], return_counts=True)
-                k = np.zeros(len(pairs), np.int64)
-                k[np.searchsorted(pairs, seen)] = times
+                k = np.zeros(0, np.int64)
+                if counted:
+                    seen, times = np.unique(code[np.repeat(x.known, x.sizes + 1)], return_counts=True)
+                    k = np.zeros(len(pairs), np.int64)
+                    k[np.searchsorted(pairs, seen)] = times
                 v, w = pairs // m, pairs % m
-                context = np.append(at, [0, int(BEGIN) % buckets])[v]  # words stand in order of their buckets, the begin is a part of its own
-                cuts = np.flatnonzero((np.diff(context) != 0) | ((v[1:] == m - 1) & (v[:-1] != m - 1))) + 1
+                context = bucket_of(hashes, buckets)[v]  # words stand in order of their buckets, the begin is a part of its own
+                cuts = [0, *(np.flatnonzero((np.diff(context) != 0) | ((v[1:] == m - 1) & (v[:-1] != m - 1))) + 1).tolist(), len(pairs)]
                 out = []
-                for j, (x, y) in enumerate(zip([0, *cuts.tolist()], [*cuts.tolist(), len(pairs)])):
+                for j, (a, b) in enumerate(zip(cuts, cuts[1:])):
                     own = np.zeros(m, bool)
-                    own[v[x:y]] = own[w[x:y]] = True
-                    number = np.cumsum(own) - 1
-                    out.append((j, context[x], common.pack(hashes[own]), pickle.dumps((common.pack_sorted(number[v[x:y]]), common.pack_ints(number[w[x:y]]))), common.pack_ints(k[x:y])))
-                part, context, own_hashes, own_pairs, own_k = zip(*out)
-                yield rows(chunk, len(out), part=part, context=context, hashes=own_hashes, pairs=own_pairs, k=own_k)
-                chunk += 1
+                    own[v[a:b]] = own[w[a:b]] = True
+                    at = np.cumsum(own) - 1
+                    out.append((number, j, int(context[a]), common.pack_sorted(hashes[own]), pickle.dumps((common.pack_sorted(at[v[a:b]]), common.pack_ints(at[w[a:b]]))), common.pack_ints(k[a:b])))
+                yield pd.DataFrame(out, columns=["chunk", "part", "context", "hashes", "pairs", "k"])
 
-    return docs.mapInArrow(run, "chunk long, docs binary, bucket int, words binary, n binary, part int, context int, hashes binary, pairs binary, k binary")
+    return chunks.mapInPandas(run, "chunk long, part int, context int, hashes binary, pairs binary, k binary")
 
 
 def _unpaired(pairs: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -300,6 +334,15 @@ def _unpaired(pairs: bytes) -> tuple[np.ndarray, np.ndarray]:
     return common.unpack_sorted(v).astype(np.int64), common.unpack_ints(w).astype(np.int64)
 
 
+def coarse(p: np.ndarray) -> np.ndarray:
+    """Bits of 32-bit floats without their last ten: 13 of 23 bits of the fraction are kept, which changes it by 1 in 16,384 at most."""
+    return (p.astype(np.float32).view(np.uint32) + np.uint32(1 << 9)) >> np.uint32(10)
+
+
+def fine(bits: np.ndarray) -> np.ndarray:
+    return (bits.astype(np.uint32) << np.uint32(10)).view(np.float32)
+
+
 class Contexts:
     """The restaurants of one bucket: each first word v is one, its dishes are the words w that follow it. Dishes without customers are there to be scored. All arrays follow from the sorted codes of the pairs."""
 
@@ -326,20 +369,20 @@ class Contexts:
         return self
 
     def pack(self) -> bytes:
-        return pickle.dumps([common.pack(self.all_hashes), common.pack_sorted(self.code), common.pack_ints(self.k), common.pack_ints(self.t), common.pack_ints(self.sum.view(np.uint32))])
+        return pickle.dumps([common.pack_sorted(self.all_hashes), common.pack_sorted(self.code), common.pack_ints(self.k), common.pack_ints(self.t), common.pack_ints(coarse(self.sum))])
 
     @classmethod
     def unpack(cls, blob: bytes) -> Contexts:
         self = cls()
         hashes, code, k, t, total = pickle.loads(blob)
-        self.all_hashes, self.code = common.unpack(hashes, np.uint64), common.unpack_sorted(code)
+        self.all_hashes, self.code = common.unpack_sorted(hashes), common.unpack_sorted(code)
         self.k, self.t = common.unpack_ints(k).astype(np.int64), common.unpack_ints(t).astype(np.int64)
-        self.sum = common.unpack_ints(total).astype(np.uint32).view(np.float32)
+        self.sum = fine(common.unpack_ints(total))
         return self._placed()
 
     def places(self, hashes: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Where pairs of words stand."""
-        at = np.searchsorted(self.all_hashes, hashes)
+        at = np.searchsorted(self.all_hashes, hashes)  # unsorted only by begin and end
         return np.searchsorted(self.code, (at[v] * len(self.all_hashes) + at[w]).astype(np.uint64))
 
     def up(self) -> np.ndarray:
@@ -407,11 +450,10 @@ def _train_spelling(tables: DataFrame, symbol: np.ndarray, sweeps: int = SWEEPS,
     return Spelling(symbol, predictive)
 
 
-def _ups(bucket: int, hashes: np.ndarray, up: np.ndarray, buckets: int) -> list[tuple]:
+def _ups(context: int, hashes: np.ndarray, up: np.ndarray, buckets: int) -> list[tuple]:
     """Rows that send the tables of words up to the words' buckets."""
-    at = (hashes % np.uint64(buckets)).astype(np.int64)
-    mine = hashes != END
-    return [(bucket, int(x), None, common.pack(hashes[i]), common.pack_ints(up[i]), 0, 0, 0) for x in np.unique(at[mine]) if len(i := np.flatnonzero(mine & (at == x)))]
+    mine, at = hashes != END, bucket_of(hashes, buckets)
+    return [(context, int(x), None, common.pack_sorted(hashes[i]), common.pack_ints(up[i]), 0, 0, 0) for x in np.unique(at[mine]) if len(i := np.flatnonzero(mine & (at == x)))]
 
 
 ROOMS = "context int, bucket int, state binary, hashes binary, up binary, ends long, once long, twice long"
@@ -422,10 +464,9 @@ def score_texts(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     common.batch_rows(spark, 5000)  # chunks are parts of batches
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES + 1))
-    rows = common.stash(_chunked(docs, buckets), "chunks")
-    texts, asked = rows.filter("docs is not null").select("chunk", "docs"), rows.filter("bucket is not null").select("chunk", "bucket", "words", "n")
-    pairs = rows.filter("context is not null").select("chunk", "part", "context", "hashes", "pairs", "k")
+    buckets = int(max(spark.sparkContext.defaultParallelism, size // BUCKET_BYTES + 1))
+    texts = common.stash(_chunked(docs), "chunks")
+    asked = _word_parts(texts, buckets)
     schema = "bucket int, words binary, n binary, tokens long, types long, once long, twice long, letters binary"
     words = common.stash(asked.groupBy("bucket").applyInPandas(_vocabulary, schema), "vocabulary")
     facts = words.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types"))).first()
@@ -441,12 +482,12 @@ def score_texts(docs: DataFrame) -> DataFrame:
     symbol[common_bytes[letters[common_bytes] > 0]] = np.arange((letters[common_bytes] > 0).sum())
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = Contexts.of([common.unpack(h, np.uint64) for h in pdf["hashes"]], [_unpaired(p) for p in pdf["pairs"]], [common.unpack_ints(k) for k in pdf["k"]])
+        x = Contexts.of([common.unpack_sorted(h) for h in pdf["hashes"]], [_unpaired(p) for p in pdf["pairs"]], [common.unpack_ints(k) for k in pdf["k"]])
         up, bucket = x.up(), int(pdf["context"].iloc[0])
         mine = (bucket, None, x.pack(), None, None, int(up[x.hashes == END].sum()), int((x.k == 1).sum()), int((x.k == 2).sum()))
         return pd.DataFrame([mine, *_ups(bucket, x.hashes, up, buckets)], columns=[f.split()[0] for f in ROOMS.split(", ")])
 
-    rooms = common.stash(pairs.groupBy("context").applyInPandas(build, ROOMS), "rooms")
+    rooms = common.stash(_pair_parts(texts, buckets, True).groupBy("context").applyInPandas(build, ROOMS), "rooms")
     seen = rooms.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("once", "twice"))).first()
     discount = _discount(seen.once, seen.twice)
 
@@ -471,7 +512,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
                 order = np.argsort(hashes)
                 n = np.zeros(len(ws), np.int64)
                 for h, up in zip(right["hashes"], right["up"]):
-                    h, up = common.unpack(h, np.uint64), common.unpack_ints(up)
+                    h, up = common.unpack_sorted(h), common.unpack_ints(up)
                     if len(ws):
                         i = order[np.minimum(np.searchsorted(hashes, h, sorter=order), len(ws) - 1)]
                         same = hashes[i] == h
@@ -479,7 +520,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
                 old = np.ones(len(ws), np.int64) if r.t is None else common.unpack_ints(r.t).astype(np.int64)
                 base = spelling.value.log_probability(ws) if r.base is None else common.unpack(r.base, np.float64)
                 t = draw_tables(n, base, np.full(len(n), mass), np.maximum(tables - old, 0), d, CONCENTRATION, np.random.default_rng([11, sweep, int(r.bucket)])) if len(ws) else n
-                out.append((r.bucket, r.words, common.pack_ints(t), common.pack_ints(n), common.pack(base), common.pack(hashes), int(n.sum()), int(t.sum()), int((n == 1).sum()), int((n == 2).sum()), float(np.exp(base).sum())))
+                out.append((r.bucket, r.words, common.pack_ints(t), common.pack_ints(n), common.pack(base), common.pack_sorted(hashes), int(n.sum()), int(t.sum()), int((n == 1).sum()), int((n == 2).sum()), float(np.exp(base).sum())))
             return pd.DataFrame(out, columns=["bucket", "words", "t", "n", "base", "hashes", "customers", "tables", "once", "twice", "spelled"])
 
         ups = rooms.filter("bucket is not null").select("context", "bucket", "hashes", "up")
@@ -503,32 +544,33 @@ def score_texts(docs: DataFrame) -> DataFrame:
         def offer(left: pd.DataFrame, right: pd.DataFrame, *, d: float = d, norm: float = norm, new_table: float = new_table, lacking: float = lacking) -> pd.DataFrame:
             known, p = np.zeros(0, np.uint64), np.zeros(0)
             for r in right.itertuples(index=False):
-                known, n, t, base = common.unpack(r.hashes, np.uint64), common.unpack_ints(r.n).astype(np.int64), common.unpack_ints(r.t), common.unpack(r.base, np.float64)
+                known, n, t, base = common.unpack_sorted(r.hashes), common.unpack_ints(r.n).astype(np.int64), common.unpack_ints(r.t), common.unpack(r.base, np.float64)
                 order = np.argsort(known)
                 known, p = known[order], (np.maximum(n - d * t, 0) / norm + new_table * np.exp(base))[order]
             out = []
             for r in left.itertuples(index=False):
-                h = common.unpack(r.hashes, np.uint64)
+                h = common.unpack_sorted(r.hashes)
                 got = np.full(len(h), new_table * lacking, np.float32)
                 if len(known):
                     i = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     got = np.where(known[i] == h, p[i], got).astype(np.float32)
-                out.append((r.context, r.hashes, common.pack(got)))
-            return pd.DataFrame(out, columns=["context", "hashes", "p"])
+                out.append((r.context, r.bucket, common.pack(got)))
+            return pd.DataFrame(out, columns=["context", "bucket", "p"])
 
-        offers = ups.select("context", "bucket", "hashes").groupBy("bucket").cogroup(state.select("bucket", "t", "n", "base", "hashes").groupBy("bucket")).applyInPandas(offer, "context int, hashes binary, p binary")
+        offers = ups.select("context", "bucket", "hashes").groupBy("bucket").cogroup(state.select("bucket", "t", "n", "base", "hashes").groupBy("bucket")).applyInPandas(offer, "context int, bucket int, p binary")
 
         def reseat(left: pd.DataFrame, right: pd.DataFrame, *, sweep: int = sweep, end_p: float = end_p) -> pd.DataFrame:
             x, bucket = Contexts.unpack(left["state"].iloc[0]), int(left["context"].iloc[0])
             base = np.full(len(x.hashes), end_p)
-            for h, p in zip(right["hashes"], right["p"]):
-                base[np.searchsorted(x.hashes, common.unpack(h, np.uint64))] = common.unpack(p, np.float32)
+            at = np.where(x.hashes == END, -1, bucket_of(x.hashes, buckets))
+            for b, p in zip(right["bucket"], right["p"]):
+                base[at == b] = common.unpack(p, np.float32)
             p = x.sweep(base, discount, np.random.default_rng([17, sweep, bucket]))
             if sweep >= BURN_IN:
                 x.sum = (x.sum + p).astype(np.float32)
             up = x.up()
             mine = (bucket, None, x.pack(), None, None, int(up[x.hashes == END].sum()), 0, 0)
-            return pd.DataFrame([mine, *_ups(bucket, x.hashes, up, buckets)], columns=[f.split()[0] for f in ROOMS.split(", ")])
+            return pd.DataFrame([mine, *(_ups(bucket, x.hashes, up, buckets) if sweep < SWEEPS - 1 else [])], columns=[f.split()[0] for f in ROOMS.split(", ")])
 
         new = common.stash(rooms.filter("state is not null").select("context", "state").groupBy("context").cogroup(offers.groupBy("context")).applyInPandas(reseat, ROOMS), "rooms")
         common.drop(rooms)
@@ -555,28 +597,29 @@ def score_texts(docs: DataFrame) -> DataFrame:
     def found(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """Of pairs: the mean over the samples of the second word's probability after the first."""
         x = Contexts.unpack(right["state"].iloc[0])
-        logp = -np.log10(np.maximum(x.sum / (SWEEPS - BURN_IN), 1e-30)).astype(np.float32)
-        out = [(r.chunk, None, r.part, None, common.pack_ints(np.maximum(logp[x.places(common.unpack(r.hashes, np.uint64), *_unpaired(r.pairs))], 0).view(np.uint32))) for r in left.itertuples(index=False)]
+        logp = np.rint(np.maximum(-np.log10(np.maximum(x.sum / (SWEEPS - BURN_IN), 1e-30)), 0) * STEP).astype(np.int64)
+        out = [(r.chunk, None, r.part, None, common.pack_ints(logp[x.places(common.unpack_sorted(r.hashes), *_unpaired(r.pairs))])) for r in left.itertuples(index=False)]
         return pd.DataFrame(out, columns=["chunk", "bucket", "part", "n", "logp"])
 
     schema = "chunk long, bucket int, part int, n binary, logp binary"
     answers = asked.select("chunk", "bucket", "words").groupBy("bucket").cogroup(words.select("bucket", "words", "n").groupBy("bucket")).applyInPandas(answer, schema)
-    answers = answers.unionByName(pairs.drop("k").groupBy("context").cogroup(rooms.filter("state is not null").select("context", "state").groupBy("context")).applyInPandas(found, schema))
+    answers = answers.unionByName(_pair_parts(texts, buckets, False).drop("k").groupBy("context").cogroup(rooms.filter("state is not null").select("context", "state").groupBy("context")).applyInPandas(found, schema))
+    answers = common.stash(answers, "answers")
+    common.drop(rooms, state, words)
     unit = float(n_tokens + n_types + 1)
 
     def total(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         of_words, of_pairs = right[right["bucket"].notna()].sort_values("bucket"), right[right["part"].notna()].sort_values("part")
         n = np.concatenate([np.zeros(0, np.int64), *(common.unpack_ints(b) for b in of_words["n"])]).astype(np.int64)
         more = np.concatenate([np.zeros(0), *(common.unpack(b, np.float32) for b in of_words["logp"])])
-        logp = -np.concatenate([common.unpack_ints(b).astype(np.uint32).view(np.float32) for b in of_pairs["logp"]]).astype(np.float64)
+        logp = -np.concatenate([common.unpack_ints(b) for b in of_pairs["logp"]]).astype(np.float64) / STEP
         base = np.log10((n + 1) / unit)
-        doc_ids, held, sizes, ids, n_words = pickle.loads(common.unsqueeze(left["docs"].iloc[0]))
-        sizes, ids = common.unpack_ints(sizes).astype(np.int64), common.unpack_ints(ids).astype(np.int64)
-        code = _pairs_of(ids, sizes, n_words)
-        which = common.placed(code, ((n_words + 2) ** 2).bit_length())[1]
+        x = Chunk(left["docs"].iloc[0])
+        sizes, ids = x.sizes, x.ids
+        which = common.placed(x.codes(), ((len(x.words) + 2) ** 2).bit_length())[1]
         sums = lambda a: np.diff(np.concatenate([[0], np.cumsum(a)])[np.concatenate([[0], np.cumsum(sizes)])])
         score = np.add.reduceat(logp[which], np.cumsum(sizes + 1) - sizes - 1)
-        out = {"doc_id": pd.array(doc_ids, "Int64"), "held_out": held, "n_tokens": sizes + 1, "n_known": sums(n[ids] > 0) + (ends > 0), "train_tokens": n_tokens}
+        out = {"doc_id": pd.array(x.doc_ids, "Int64"), "held_out": x.held, "n_tokens": sizes + 1, "n_known": sums(n[ids] > 0) + (ends > 0), "train_tokens": n_tokens}
         return pd.DataFrame(out | {"base_score": sums(base[ids]) + np.log10((ends + 1) / unit), "score": score, "spelled_score": score + sums(more[ids])})
 
     return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, spelled_score double")
