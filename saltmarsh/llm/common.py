@@ -199,6 +199,12 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack_ints(blob[8:]), dtype=np.uint64) + np.uint64(int.from_bytes(blob[:8], "little"))
 
 
+def distinct(a: np.ndarray) -> np.ndarray:
+    """Sorted distinct numbers; a sort takes a twentieth of the time of a table of hashes."""
+    a = np.sort(a)
+    return a[np.append(True, a[1:] != a[:-1])] if len(a) else a
+
+
 def placed(codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct codes of so many bits, where each given code is among them, and how often each occurs. Code and place are sorted as one number if both fit."""
     n = len(codes)

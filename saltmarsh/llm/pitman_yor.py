@@ -309,7 +309,7 @@ def _pair_parts(chunks: DataFrame, buckets: int, counted: bool) -> DataFrame:
                 hashes = np.append(hashes_of(x.words), [END, BEGIN])
                 m = len(hashes)
                 code = x.codes()
-                pairs = np.unique(code)
+                pairs = common.distinct(code)
                 k = np.zeros(0, np.int64)
                 if counted:
                     seen, times = np.unique(code[np.repeat(x.known, x.sizes + 1)], return_counts=True)
@@ -349,7 +349,7 @@ class Contexts:
     @classmethod
     def of(cls, hashes: list[np.ndarray], pairs: list[tuple[np.ndarray, np.ndarray]], k: list[np.ndarray]) -> Contexts:
         self = cls()
-        self.all_hashes = np.unique(np.concatenate(hashes))
+        self.all_hashes = common.distinct(np.concatenate(hashes))
         at = [np.searchsorted(self.all_hashes, h) for h in hashes]
         size = len(self.all_hashes)
         code = np.concatenate([a[v] * size + a[w] for a, (v, w) in zip(at, pairs)])
@@ -453,7 +453,7 @@ def _train_spelling(tables: DataFrame, symbol: np.ndarray, sweeps: int = SWEEPS,
 def _ups(context: int, hashes: np.ndarray, up: np.ndarray, buckets: int) -> list[tuple]:
     """Rows that send the tables of words up to the words' buckets."""
     mine, at = hashes != END, bucket_of(hashes, buckets)
-    return [(context, int(x), None, common.pack_sorted(hashes[i]), common.pack_ints(up[i]), 0, 0, 0) for x in np.unique(at[mine]) if len(i := np.flatnonzero(mine & (at == x)))]
+    return [(context, int(x), None, common.pack_sorted(hashes[i]), common.pack_ints(up[i]), 0, 0, 0) for x in common.distinct(at[mine]) if len(i := np.flatnonzero(mine & (at == x)))]
 
 
 ROOMS = "context int, bucket int, state binary, hashes binary, up binary, ends long, once long, twice long"

@@ -469,7 +469,7 @@ RESULT = "doc_id long, row_key string, n_bytes long, n_removed long, n_spans lon
 
 def _removed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """Applies what was found to the whole texts of a chunk."""
-    again = np.unique(np.concatenate([common.unpack(b, U) for b in right["hashes"]])) if len(right) else np.zeros(0, U)
+    again = common.distinct(np.concatenate([common.unpack(b, U) for b in right["hashes"]])) if len(right) else np.zeros(0, U)
     out = []
     for r in left.itertuples(index=False):
         text = (r.text or "").encode()
