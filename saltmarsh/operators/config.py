@@ -9,9 +9,12 @@ from dataclasses import asdict, dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from saltmarsh.functions import text as X
 from saltmarsh.functions.text import cutoff_text
 from saltmarsh.operators import wordfreq as W
+from saltmarsh.plans.shared import stash
 
 
 @dataclass
@@ -40,6 +43,8 @@ class Condition:
     tokenized_sources: list[Source] = field(default_factory=list)
     untokenized_sources: list[Source] = field(default_factory=list)
     test_sources: list[Source] = field(default_factory=list)
+    tokenize_structures_method: str = "character_class"
+    tokenize_tts_method: str | None = None
     generate_unseen_terminals: bool = False
     uniformize_strings: bool = False
     totalquantlevels: int = 500
@@ -52,6 +57,8 @@ class Condition:
             raise ValueError(f"not a condition name: {self.name}")
         if not self.structure_sources or not self.test_sources:
             raise ValueError("a condition needs structure and test sources")
+        if self.tokenized_sources and not self.tokenize_tts_method:
+            raise ValueError("terminal sources to tokenize need a tokenizer")
         for s in [*self.structure_sources, *self.tokenized_sources, *self.untokenized_sources, *self.test_sources]:
             s.check()
         if self.cutoffmax < self.cutoffmin:
@@ -72,11 +79,42 @@ class Condition:
         return Condition(**raw).check()
 
 
-def build_corpus(sources: list[Source], read: Callable[[str], DataFrame], filters: dict[str, Callable[[DataFrame], DataFrame]] | None = None, compat: bool = False) -> DataFrame:
-    """Reads, tags, filters and weighs sources one after the other and sums them; a weight like 2x is times the total so far."""
+Read = Callable[[str], DataFrame]
+Filters = dict[str, Callable[[DataFrame], DataFrame]]
+
+
+def build_tests(sources: list[Source], read: Read, filters: Filters | None = None, seed: int = 0) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Test strings (user_id, policy, password), and by file name what sources that save it leave over.
+
+    A source's rows are filtered and numbered in a written table; `count` of them are sampled by the hash of their
+    number, so that equal words are drawn one by one. Without a count all are taken and nothing is left.
+    """
+    tests: list[DataFrame] = []
+    remainders: dict[str, DataFrame] = {}
+    for s in sources:
+        df = read(s.filename)
+        if s.filter:
+            df = (filters or {})[s.filter](df)
+        left = df.limit(0)
+        if s.count is not None:
+            numbered = stash(df.withColumn("_row", F.monotonically_increasing_id()), "tests")
+            df, left = W.sample(numbered, s.count, seed, ["_row"])
+            df, left = df.drop("_row"), left.drop("_row")
+        if s.save_remainder:
+            if s.filename in remainders:
+                raise ValueError(f"two test sources save the remainder of {s.filename}")
+            remainders[s.filename] = left
+        tests.append(W.three_columns(df, s.name))
+    return reduce(DataFrame.unionByName, tests), remainders
+
+
+def build_corpus(sources: list[Source], read: Read, filters: Filters | None = None, compat: bool = False, remainders: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Reads, tags, filters and weighs sources one after the other and sums them; a weight like 2x is times the total so far. A source that uses a remainder reads what the test source of that file left over."""
     done: list[DataFrame] = []
     for s in sources:
-        df = W.wordfreq(read(s.filename), replace_tag=s.id or None)
+        if s.use_remainder and s.filename not in (remainders or {}):
+            raise ValueError(f"source {s.name} uses a remainder, but no test source saved that of {s.filename}")
+        df = W.wordfreq(remainders[s.filename] if s.use_remainder else read(s.filename), replace_tag=s.id or None)
         if s.filter:
             df = (filters or {})[s.filter](df)
         if s.weight.endswith("x"):
@@ -86,3 +124,23 @@ def build_corpus(sources: list[Source], read: Callable[[str], DataFrame], filter
             df = df.withColumn("freq", df["freq"] * float(s.weight))
         done.append(df)
     return W.combine(done)
+
+
+def build_training(condition: Condition, read: Read, tokenizers: dict[str, Callable[..., DataFrame]] | None = None, filters: Filters | None = None, remainders: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Tokenized structures, and the pieces that terminals are learned from.
+
+    A tokenizer of structures takes a corpus and returns it with breaks; one of terminals also takes the tokenized
+    structures, and its result is split, lower-cased and summed. Pieces of structures always count as terminals, too.
+    """
+    known = {"character_class": lambda df, *_: W.tokenize(df)} | (tokenizers or {})
+    structures = known[condition.tokenize_structures_method](build_corpus(condition.structure_sources, read, filters, remainders=remainders))
+    parts = [_pieces(structures)]
+    if condition.tokenized_sources:
+        parts.append(_pieces(known[condition.tokenize_tts_method](build_corpus(condition.tokenized_sources, read, filters, remainders=remainders), structures)))
+    if condition.untokenized_sources:
+        parts.append(_pieces(build_corpus(condition.untokenized_sources, read, filters, remainders=remainders)))
+    return structures, W.combine(parts)
+
+
+def _pieces(tokenized: DataFrame) -> DataFrame:
+    return tokenized.select(F.explode(F.split("word", X.BREAK)).alias("word"), "freq", "tags").filter("word <> ''").withColumn("word", X.ascii_lower("word"))
