@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from saltmarsh.plans.shared import running_sum
+from saltmarsh.plans.shared import running_sum, running_sums_within
 
 INFINITY = float("inf")
 STATUS = {-2: "Beyond cutoff", -40: "Chunk not found", -4: "Structure not found"}
@@ -46,8 +46,8 @@ def totals(df: DataFrame) -> DataFrame:
 
 def ecdf(df: DataFrame) -> DataFrame:
     """condition, guess, found, share: what is guessed so far of all tests, with those never guessed."""
-    order = Window.partitionBy("condition").orderBy("guess").rowsBetween(Window.unboundedPreceding, 0)
-    steps = counts_by_guess(df).withColumn("found", F.sum("n").over(order))
+    steps = running_sums_within(counts_by_guess(df), "condition", [F.asc("guess")], {"before": "n"})
+    steps = steps.withColumn("found", (F.col("before") + F.col("n")).cast("long"))
     return steps.join(totals(df), "condition").select("condition", "guess", "found", (F.col("found") / F.col("total")).alias("share"))
 
 
@@ -59,9 +59,9 @@ def quantiles(df: DataFrame, share: float) -> DataFrame:
 
 def guesswork(df: DataFrame) -> DataFrame:
     """For each guess what an attacker spends on all tests who stops there, over the tests: sum of smaller guesses, and the guess for each test left."""
-    before = Window.partitionBy("condition").orderBy("guess").rowsBetween(Window.unboundedPreceding, -1)
-    steps = counts_by_guess(df).withColumns({"spent": F.coalesce(F.sum(F.col("guess") * F.col("n")).over(before), F.lit(0)), "done": F.coalesce(F.sum("n").over(before), F.lit(0))})
-    work = (F.col("spent") + F.col("guess") * (F.col("total") - F.col("done"))) / F.col("total")
+    counts = counts_by_guess(df).withColumn("cost", (F.col("guess") * F.col("n")).cast("decimal(38,0)"))
+    steps = running_sums_within(counts, "condition", [F.asc("guess")], {"spent": "cost", "done": "n"})
+    work = (F.col("spent") + F.col("guess") * (F.col("total") - F.col("done"))).cast("double") / F.col("total")
     return steps.join(totals(df), "condition").select("condition", "guess", work.alias("guesswork"))
 
 
@@ -183,7 +183,7 @@ def crack_curve(guesses: DataFrame, tests: DataFrame, limit: int | None = None)
     if limit is not None:
         firsts = firsts.filter(F.col("guess") <= limit)
     hits = firsts.join(tests.groupBy(F.col("password").alias("word")).agg(F.count("*").alias("n")), "word").groupBy("guess").agg(F.sum("n").alias("n"))
-    return hits.select("guess", F.sum("n").over(Window.orderBy("guess").rowsBetween(Window.unboundedPreceding, 0)).alias("found"))
+    return running_sum(hits, [F.asc("guess")], "n", "before").select("guess", (F.col("before") + F.col("n")).cast("long").alias("found"))
 
 
 def crack_totals(guesses: DataFrame, tests: DataFrame) -> DataFrame:

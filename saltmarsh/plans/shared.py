@@ -24,7 +24,12 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 
 def running_sum(df: DataFrame, order: list[Column], value: str, out: str, parts: int | None = None) -> DataFrame:
-    """Adds the sum of `value` over all rows before in a global order.
+    """Adds the sum of `value` over all rows before in a global order."""
+    return running_sums(df, order, {out: value}, parts)
+
+
+def running_sums(df: DataFrame, order: list[Column], values: dict[str, str], parts: int | None = None) -> DataFrame:
+    """Adds, by the name that each gets, sums of columns over all rows before in a global order.
 
     Rows are dealt by range and numbered by partition in a written table; each partition sums its own rows,
     and the partitions' totals (one row each) give the offsets. No task sees more than its range.
@@ -34,9 +39,19 @@ def running_sum(df: DataFrame, order: list[Column], value: str, out: str, parts:
     ranged = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
     kept = stash(ranged, "ranged")
     own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = kept.groupBy("_part").agg(F.sum(value).alias("_total"))
-    before = totals.withColumn("_before", F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
-    inside = kept.withColumn("_inside", F.sum(value).over(own))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each of the `parts` partitions
+    before = kept.groupBy("_part").agg(*(F.sum(v).alias(f"_total_{o}") for o, v in values.items()))
+    before = before.select("_part", *(F.sum(f"_total_{o}").over(earlier).alias(f"_before_{o}") for o in values))
+    inside = kept.withColumns({f"_inside_{o}": F.sum(v).over(own) for o, v in values.items()})
     zero = F.lit(0).cast("decimal(38,0)")
-    joined = inside.join(F.broadcast(before.select("_part", "_before")), "_part")  # a row for each of the `parts` partitions
-    return joined.withColumn(out, (F.coalesce("_inside", zero) + F.coalesce("_before", zero)).cast("decimal(38,0)")).drop("_part", "_inside", "_before")
+    joined = inside.join(F.broadcast(before), "_part")
+    joined = joined.withColumns({o: (F.coalesce(f"_inside_{o}", zero) + F.coalesce(f"_before_{o}", zero)).cast("decimal(38,0)") for o in values})
+    return joined.drop("_part", *(f"_{k}_{o}" for k in ("inside", "before") for o in values))
+
+
+def running_sums_within(df: DataFrame, key: str, order: list[Column], values: dict[str, str], parts: int | None = None) -> DataFrame:
+    """The same within each key, for values of at least 0: sums over all rows, less those where the key begins. No task has a whole key."""
+    summed = running_sums(df, [F.asc(key), *order], values, parts)
+    begins = summed.groupBy(F.col(key).alias("_key")).agg(*(F.min(o).alias(f"_first_{o}") for o in values))
+    joined = summed.join(begins, F.col(key).eqNullSafe(F.col("_key")))
+    return joined.withColumns({o: (F.col(o) - F.col(f"_first_{o}")).cast("decimal(38,0)") for o in values}).drop("_key", *(f"_first_{o}" for o in values))
