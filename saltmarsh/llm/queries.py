@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saltmarsh.llm import decontam, language, ngram_join, packing, pii, pitman_yor, quality, suffix_dedup, tokens, toxicity
+from saltmarsh.llm import decontam, divergence, language, ngram_join, packing, pii, pitman_yor, quality, suffix_dedup, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": pii.op1,
@@ -19,8 +19,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality.op8,
     "op9_token_counts": tokens.op9,
     "op10_toxicity": toxicity.op10,
+    "op12_source_divergence": divergence.op12,
 }
 
 SQL: dict[str, str] = {
     "op4_benchmark_decontamination": decontam.SQL,
+    "op12_source_divergence": divergence.SQL,
 }
