@@ -58,6 +58,12 @@ def drop(*frames: DataFrame) -> None:
         jvm.System.gc()
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Asks the driver for its garbage, so that Spark removes the shuffle files of plans that are done with."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def row_key():
     """Column: 128 bits that stand for a row's doc_id and text."""
     return F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.when(F.col("text").isNull(), "-").otherwise("+"), F.col("text").cast("string")).cast("binary"))

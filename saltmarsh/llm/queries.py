@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saltmarsh.llm import decontam, divergence, language, ngram_join, packing, pii, pitman_yor, quality, suffix_dedup, tokens, toxicity
+from saltmarsh.llm import alignment, decontam, divergence, fingerprints, language, ngram_join, packing, pii, pitman_yor, quality, suffix_dedup, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": pii.op1,
@@ -19,7 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality.op8,
     "op9_token_counts": tokens.op9,
     "op10_toxicity": toxicity.op10,
+    "op11_tokenizer_alignment": alignment.op11,
     "op12_source_divergence": divergence.op12,
+    "op13_document_fingerprints": fingerprints.op13,
 }
 
 SQL: dict[str, str] = {
