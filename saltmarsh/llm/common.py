@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -59,9 +60,11 @@ def drop(*frames: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Asks the driver for its garbage, so that Spark removes the shuffle files of plans that are done with."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Asks the driver for its garbage, so that Spark removes the shuffle files of plans that are done with; what the first collection frees lets go of more."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def row_key():

@@ -109,13 +109,21 @@ def _edge(part: int, kind: int, doc_id, tie, text: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["part", "kind", "text", *RESULT])
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts are compressed before they are shuffled."""
+    for batch in batches:
+        blobs = [common.squeeze(t) for t in common.as_bytes(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(blobs, pa.binary())], names=["doc_id", "tie", "packed"])
+
+
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a sorted partition the results of all rows but the last, then its first and last row."""
     part, last = TaskContext.get().partitionId(), None
     for batch in batches:
         if not batch.num_rows:
             continue
-        ids, ties, texts = (batch.column(c).to_pylist() for c in ("doc_id", "tie", "text"))
+        ids, ties = (batch.column(c).to_pylist() for c in ("doc_id", "tie"))
+        texts = [str(common.unsqueeze(b), "utf-8") for b in batch.column("packed").to_pylist()]
         if last is None:
             yield _edge(part, HEAD, ids[0], ties[0], texts[0])
         else:
@@ -139,8 +147,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     common.batch_rows(spark)
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    packed = texts.mapInArrow(_packed, "doc_id long, tie long, packed binary")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = common.stash(texts.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").mapInArrow(_in_order, SCHEMA), "fingerprints")
+    found = common.stash(packed.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").mapInArrow(_in_order, SCHEMA), "fingerprints")
     common.free_shuffles(spark)
     # a row for each partition of the sort, no more
     parts = sorted(r.part for r in found.filter(F.col("kind") == HEAD).select("part").collect())
