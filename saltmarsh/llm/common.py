@@ -55,16 +55,15 @@ def drop(*frames: DataFrame) -> None:
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
     if jvm:
-        gc.collect()
-        jvm.System.gc()
+        free_shuffles(df.sparkSession, 0.2)
 
 
-def free_shuffles(spark: SparkSession) -> None:
+def free_shuffles(spark: SparkSession, wait: float = 0.5) -> None:
     """Asks the driver for its garbage, so that Spark removes the shuffle files of plans that are done with; what the first collection frees lets go of more."""
     for _ in range(2):
         gc.collect()
         spark._jvm.System.gc()
-        time.sleep(0.5)
+        time.sleep(wait)
 
 
 def row_key():
