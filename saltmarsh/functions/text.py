@@ -98,26 +98,104 @@ def class_radix(c: Column) -> Column:
     return F.when(c.rlike("^[a-z]$"), 26).when(c.rlike("^[0-9]$"), 10).otherwise(33)
 
 
+#: A number of up to 60 digits is two decimals, (hi, lo): hi * 10^30 + lo. Such structs have the numbers' order.
+LIMB = 10**30
+DECIMAL = "decimal(38,0)"
+
+
+def _limb() -> Column:
+    return F.lit(str(LIMB)).cast(DECIMAL)
+
+
+def div(a: Column, b: Column) -> Column:
+    """The whole part of a quotient that 64 bits can hold."""
+    return F.call_function("div", a, b)
+
+
+def wide(hi: Column, lo: Column) -> Column:
+    return F.struct(hi.cast(DECIMAL).alias("hi"), lo.cast(DECIMAL).alias("lo"))
+
+
+def wide_of(n: Column | str) -> Column:
+    """A decimal of up to 38 digits as a wide number."""
+    return wide(div(col(n), _limb()), col(n) % _limb())
+
+
+def _wide_step(a: Column, by: Column, plus: Column) -> Column:
+    """a * by + plus, for a radix and a digit."""
+    low = (a["lo"] * by + plus).cast(DECIMAL)
+    return wide(a["hi"] * by + div(low, _limb()), low % _limb())
+
+
+def wide_less(a: Column, n: Column) -> Column:
+    """A wide number less a decimal under 10^30 that isn't larger."""
+    low = (a["lo"] - n).cast(DECIMAL)
+    return wide(F.when(low < 0, a["hi"] - 1).otherwise(a["hi"]), F.when(low < 0, low + _limb()).otherwise(low))
+
+
+def wide_plus(a: Column, n: Column) -> Column:
+    """A wide number and a decimal under 10^30."""
+    return _wide_step(a, F.lit(1), n)
+
+
+def wide_next(a: Column) -> Column:
+    return wide_plus(a, F.lit(1))
+
+
+def wide_narrow(a: Column) -> Column:
+    """As a decimal; null if it has more than 38 digits."""
+    return F.when(a["hi"] < 100_000_000, (a["hi"] * _limb() + a["lo"]).cast(DECIMAL))
+
+
+def wide_double(a: Column) -> Column:
+    return F.coalesce(wide_narrow(a).cast("double"), a["hi"].cast("double") * float(LIMB) + a["lo"].cast("double"))
+
+
+def wide_text(a: Column) -> Column:
+    """All digits."""
+    return F.when(a["hi"] > 0, F.concat(a["hi"].cast("string"), F.lpad(a["lo"].cast("string"), 30, "0"))).otherwise(a["lo"].cast("string"))
+
+
+def mask_radix(m: Column) -> Column:
+    return F.when(m == "D", 10).when(m == "S", 33).otherwise(26)
+
+
+def wide_combinations(mask: Column | str) -> Column:
+    """Strings that a mask can make, exactly: 33^40 has 61 digits."""
+    return F.aggregate(F.split(col(mask), ""), wide(F.lit(0), F.lit(1)), lambda a, m: _wide_step(a, mask_radix(m), F.lit(0)))
+
+
+def wide_index(word: Column | str) -> Column:
+    """The index of a terminal among its mask's strings; the first character is the least significant."""
+    return F.aggregate(F.reverse(F.split(col(word), "")), wide(F.lit(0), F.lit(0)), lambda a, c: _wide_step(a, class_radix(c), class_digit(c)))
+
+
 def unseen_index(word: Column | str) -> Column:
-    """The index of a terminal among its mask's strings, as a decimal; the first character is the least significant."""
-    zero = F.lit(0).cast("decimal(38,0)")
-    return F.aggregate(F.reverse(F.split(col(word), "")), zero, lambda a, c: (a * class_radix(c) + class_digit(c)).cast("decimal(38,0)"))
+    """The same as a decimal; null if it has more than 38 digits."""
+    return F.aggregate(F.reverse(F.split(col(word), "")), wide(F.lit(0), F.lit(0)), lambda a, c: _wide_step(a, class_radix(c), class_digit(c)), wide_narrow)
 
 
-def unseen_string(index: Column | str, mask: Column | str) -> Column:
-    """The string at an index of a mask: the inverse of unseen_index."""
-    start = F.struct(col(index).cast("decimal(38,0)").alias("n"), F.lit("").alias("s"))
+def wide_string(index: Column | str, mask: Column | str) -> Column:
+    """The string at a wide index of a mask: the inverse of wide_index."""
+    start = F.struct(wide(col(index)["hi"], col(index)["lo"]).alias("n"), F.lit("").alias("s"))
 
     def step(a: Column, m: Column) -> Column:
-        size = F.when(m == "D", 10).when(m == "S", 33).otherwise(26)
-        digit = (a["n"] % size).cast("int")
+        size = mask_radix(m)
+        high = (a["n"]["hi"] % size).cast(DECIMAL)
+        low = (high * _limb() + a["n"]["lo"]).cast(DECIMAL)  # under 33 * 10^30
+        digit = (low % size).cast("int")
         alphabet = F.when(m == "D", F.lit("0123456789")).when(m == "S", F.lit(SYMBOLS)).otherwise(F.lit(LOWER))
-        rest = ((a["n"] - digit) / size).cast("decimal(38,0)")
+        rest = wide((a["n"]["hi"] - high) / size, (low - digit) / size)
         return F.struct(rest.alias("n"), F.concat(a["s"], F.substring(alphabet, digit + 1, F.lit(1))).alias("s"))
 
     return F.aggregate(F.split(col(mask), ""), start, step, lambda a: a["s"])
 
 
+def unseen_string(index: Column | str, mask: Column | str) -> Column:
+    """The string at an index of a mask, a whole number of up to 38 digits."""
+    return wide_string(wide_of(col(index).cast(DECIMAL)), mask)
+
+
 def from_hex(c: Column | str) -> Column:
     """A hexadecimal float, with or without 0x, as a double."""
     text = F.when(col(c).rlike("^-?0x"), col(c)).otherwise(F.concat(F.lit("0x"), col(c)))

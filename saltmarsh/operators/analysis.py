@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saltmarsh.plans.shared import running_sum, running_sums_within
+from saltmarsh.plans.shared import running_max, running_sum, running_sums_within
 
 INFINITY = float("inf")
 STATUS = {-2: "Beyond cutoff", -40: "Chunk not found", -4: "Structure not found"}
@@ -59,9 +58,9 @@ def quantiles(df: DataFrame, share: float) -> DataFrame:
 
 def guesswork(df: DataFrame) -> DataFrame:
     """For each guess what an attacker spends on all tests who stops there, over the tests: sum of smaller guesses, and the guess for each test left."""
-    counts = counts_by_guess(df).withColumn("cost", (F.col("guess") * F.col("n")).cast("decimal(38,0)"))
+    counts = counts_by_guess(df).withColumn("cost", (F.col("guess").cast("decimal(28,0)") * F.col("n")).cast("decimal(38,0)"))
     steps = running_sums_within(counts, "condition", [F.asc("guess")], {"spent": "cost", "done": "n"})
-    work = (F.col("spent") + F.col("guess") * (F.col("total") - F.col("done"))).cast("double") / F.col("total")
+    work = (F.col("spent") + F.col("guess").cast("decimal(28,0)") * (F.col("total") - F.col("done"))).cast("double") / F.col("total")
     return steps.join(totals(df), "condition").select("condition", "guess", work.alias("guesswork"))
 
 
@@ -106,48 +105,60 @@ def chi_square(df: DataFrame, cutoff: int) -> DataFrame:
     return each.agg(F.sum(fixed * fixed / expected).alias("chi2"), (F.max("k") - 1).alias("df"))
 
 
-def logrank_terms(df: DataFrame, first: str, second: str, rho: float = 1.0) -> DataFrame:
-    """For two conditions observed and expected guesses of the first, and the variance, each step weighted by the survival before it to the power rho."""
-    pair = df.filter(F.col("condition").isin(first, second))
-    steps = pair.filter("guess > 0").groupBy("guess").agg(F.count("*").cast("double").alias("d"), F.count_if(F.col("condition") == first).cast("double").alias("d1"))
-    sizes = pair.agg(F.count("*").cast("double").alias("n"), F.count_if(F.col("condition") == first).cast("double").alias("n1"))
-    before = Window.orderBy("guess").rowsBetween(Window.unboundedPreceding, -1)  # over the distinct guesses of two conditions
-    risk = steps.crossJoin(F.broadcast(sizes)).withColumns({"left": F.col("n") - F.coalesce(F.sum("d").over(before), F.lit(0.0)), "left1": F.col("n1") - F.coalesce(F.sum("d1").over(before), F.lit(0.0))})
-    log_survival = F.coalesce(F.sum(F.when(F.col("left") > F.col("d"), F.ln(1 - F.col("d") / F.col("left"))).otherwise(-1e9)).over(before), F.lit(0.0))
-    w = F.exp(rho * log_survival)
+def logrank_pairs(df: DataFrame, rho: float = 1.0) -> DataFrame:
+    """first, second, observed, expected, variance: of all pairs of conditions at once, with each step weighted by the survival before it to the power rho.
+
+    Nobody leaves before the end but by being guessed, so the survival is the share that is left. Steps are the distinct
+    guesses of a pair; what is left at each is a running sum by ranges.
+    """
+    sizes = df.groupBy("condition").agg(F.count("*").cast("double").alias("n"))
+    one, two = sizes.select(F.col("condition").alias("first"), F.col("n").alias("n1")), sizes.select(F.col("condition").alias("second"), F.col("n").alias("n2"))
+    pairs = one.join(two, F.col("first") < F.col("second"))  # a row for each pair of conditions
+    counts = counts_by_guess(df)
+    of_first, of_second = (pairs.select("first", "second", F.col(c).alias("condition"), F.lit(k).alias("k")) for k, c in enumerate(("first", "second")))
+    steps = counts.join(of_first.unionByName(of_second), "condition").groupBy("first", "second", "guess").agg(F.sum("n").alias("d"), F.sum(F.when(F.col("k") == 0, F.col("n")).otherwise(0)).alias("d1"))
+    steps = running_sums_within(steps, ["first", "second"], [F.asc("guess")], {"gone": "d", "gone1": "d1"}).join(pairs, ["first", "second"])
+    number = lambda c: F.col(c).cast("double")
+    n = F.col("n1") + F.col("n2")
+    risk = steps.select("first", "second", number("d").alias("d"), number("d1").alias("d1"), (n - number("gone")).alias("left"), (F.col("n1") - number("gone1")).alias("left1"), n.alias("n"))
+    w = F.pow(F.col("left") / F.col("n"), F.lit(rho))
     expected = F.col("d") * F.col("left1") / F.col("left")
     spread = F.when(F.col("left") > 1, expected * (1 - F.col("left1") / F.col("left")) * (F.col("left") - F.col("d")) / (F.col("left") - 1)).otherwise(0.0)
-    terms = risk.withColumns({"w": w, "e": expected, "v": spread})
-    return terms.agg(F.sum(F.col("w") * F.col("d1")).alias("observed"), F.sum(F.col("w") * F.col("e")).alias("expected"), F.sum(F.col("w") * F.col("w") * F.col("v")).alias("variance"))
+    return risk.groupBy("first", "second").agg(F.sum(w * F.col("d1")).alias("observed"), F.sum(w * expected).alias("expected"), F.sum(w * w * spread).alias("variance"))
+
 
+def logrank_terms(df: DataFrame, first: str, second: str, rho: float = 1.0) -> DataFrame:
+    """Observed and expected guesses of the first of two conditions, and the variance."""
+    pair = df.filter(F.col("condition").isin(first, second)).withColumn("condition", F.when(F.col("condition") == first, "1").otherwise("2"))
+    return logrank_pairs(pair, rho).select("observed", "expected", "variance")
 
-def chi2_tail(x: float) -> float:
-    """P(chi-square with one degree of freedom > x)."""
-    import math
 
-    return math.erfc(math.sqrt(x / 2))
+def chi2_tail(x: Column) -> Column:
+    """P(chi-square with one degree of freedom > x): the complementary error function at the root of x/2, by its series, or by its continued fraction from 2 on."""
+    z = F.sqrt(x / 2)
+    term = lambda a, k: F.struct((a["t"] * 2 * z * z / (2 * k + 1)).alias("t"), (a["s"] + a["t"] * 2 * z * z / (2 * k + 1)).alias("s"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(z.alias("t"), z.alias("s")), term, lambda a: a["s"])
+    near = 1 - 2 / F.sqrt(F.pi()) * F.exp(-z * z) * series
+    fraction = F.aggregate(F.sequence(F.lit(60), F.lit(1)), F.lit(1.0), lambda a, k: 1 + k / (2 * z * z) / a)
+    far = F.exp(-z * z) / (z * F.sqrt(F.pi())) / fraction
+    return F.when(z < 2, near).otherwise(far)
 
 
-def holm(p: list[float]) -> list[float]:
-    """Holm-adjusted p-values."""
-    order = sorted(range(len(p)), key=p.__getitem__)
-    out, worst = [0.0] * len(p), 0.0
-    for rank, i in enumerate(order):
-        worst = max(worst, min(1.0, (len(p) - rank) * p[i]))
-        out[i] = worst
-    return out
+def holm(df: DataFrame, p: str = "p", order: list[str] | None = None, out: str = "adjusted") -> DataFrame:
+    """Adds Holm-adjusted p-values: the largest, up to a row in the order of p, of p times the number of rows from there on."""
+    by = [F.asc(p), *map(F.asc, order or [])]
+    ranked = running_sum(df.withColumn("_one", F.lit(1).cast("decimal(38,0)")), by, "_one", "_rank").drop("_one")
+    total = df.agg(F.count("*").alias("_m"))
+    scaled = ranked.crossJoin(F.broadcast(total)).withColumn("_scaled", F.least(F.lit(1.0), (F.col("_m") - F.col("_rank")).cast("double") * F.col(p)))  # one row
+    return running_max(scaled, by, "_scaled", out).drop("_m", "_rank", "_scaled")
 
 
-def logrank(df: DataFrame, rho: float = 1.0) -> pd.DataFrame:
-    """All pairs of conditions with statistic and adjusted p-value."""
-    names = sorted(r[0] for r in df.select("condition").distinct().collect())
-    rows = []
-    for i, a in enumerate(names):
-        for b in names[i + 1 :]:
-            t = logrank_terms(df, a, b, rho).first()
-            stat = (t.observed - t.expected) ** 2 / t.variance if t.variance else 0.0
-            rows.append((a, b, stat, chi2_tail(stat)))
-    return pd.DataFrame(rows, columns=["first", "second", "statistic", "p"]).assign(adjusted=holm([r[3] for r in rows]))
+def logrank(df: DataFrame, rho: float = 1.0) -> DataFrame:
+    """All pairs of conditions with statistic, p-value and Holm-adjusted p-value."""
+    terms = logrank_pairs(df, rho)
+    statistic = F.when(F.col("variance") > 0, F.pow(F.col("observed") - F.col("expected"), F.lit(2)) / F.col("variance")).otherwise(0.0)
+    tested = terms.select("first", "second", statistic.alias("statistic")).withColumn("p", chi2_tail(F.col("statistic")))
+    return holm(tested, "p", ["first", "second"])
 
 
 def shaped_curves(df: DataFrame, cutoff: int) -> DataFrame:
@@ -187,12 +198,18 @@ def crack_curve(guesses: DataFrame, tests: DataFrame, limit: int | None = None)
 
 
 def crack_totals(guesses: DataFrame, tests: DataFrame) -> DataFrame:
-    found = tests.join(guesses.select(F.col("word").alias("password")).distinct(), "password", "left_semi").count()
-    return guesses.agg(F.count("*").alias("guesses")).crossJoin(tests.agg(F.count("*").alias("tests"))).withColumns({"found": F.lit(found), "percent": 100.0 * F.lit(found) / F.col("tests")})
+    """guesses, tests, found and percent, one row; nothing is counted before it is asked for."""
+    sums = tests.groupBy("password").agg(F.count("*").alias("n")).join(guesses.select(F.col("word").alias("password")).distinct().withColumn("hit", F.lit(True)), "password", "left")
+    counts = sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tests"), F.coalesce(F.sum(F.when(F.col("hit"), F.col("n"))), F.lit(0)).cast("int").alias("found"))
+    return guesses.agg(F.count("*").alias("guesses")).crossJoin(counts).withColumn("percent", 100.0 * F.col("found") / F.col("tests"))  # one row each
+
+
+def ranked_words(source: DataFrame) -> DataFrame:
+    """word, rank: from 1 by weight, then word."""
+    sums = source.groupBy("word").agg(F.sum("freq").alias("freq")).withColumn("_one", F.lit(1).cast("decimal(38,0)"))
+    return running_sum(sums, [F.desc("freq"), F.asc("word")], "_one", "_rank").select("word", (F.col("_rank") + 1).cast("long").alias("rank"))
 
 
 def simple_guess(source: DataFrame, tests: DataFrame) -> DataFrame:
     """Each test with the rank of its first mention in an ordered source (word, freq): by weight, then word; -1 if it is not there."""
-    sums = source.groupBy("word").agg(F.sum("freq").alias("freq")).withColumn("_one", F.lit(1).cast("decimal(38,0)"))
-    ranked = running_sum(sums, [F.desc("freq"), F.asc("word")], "_one", "_rank").withColumn("_rank", (F.col("_rank") + 1).cast("long"))
-    return tests.join(ranked.select(F.col("word").alias("password"), "_rank"), "password", "left").select("password", F.coalesce("_rank", F.lit(-1)).alias("guess"))
+    return tests.join(ranked_words(source).withColumnRenamed("word", "password"), "password", "left").select("password", F.coalesce("rank", F.lit(-1)).alias("guess"))

@@ -7,6 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from saltmarsh.functions.text import strip_breaks
+from saltmarsh.operators.grammar import terminal_groups
+from saltmarsh.operators.patterns import enumerate_groups, strings
+from saltmarsh.plans.shared import running_sum, stash
+
 
 def micro(c: str = "word"):
     """One letter for each character: L letters of any script, D digits, S others."""
@@ -46,6 +51,42 @@ def dictionary(parts: list[tuple[DataFrame, float]]) -> DataFrame:
     return reduce(DataFrame.unionByName, made).groupBy("word", "len").agg(F.max("prob").alias("prob"))
 
 
+def grammar(words: DataFrame, dictionaries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The 2009 grammar in the form that patterns are made of: structures (micro, with E between its runs; prob), and terminals (term_key, terminal, prob): dictionary words, digits and symbols by length. Runs of over 15 characters end a structure's use."""
+    made = structures(words).groupBy("micro").agg(F.sum("prob").alias("prob"))
+    runs = F.array_join(F.regexp_extract_all("micro", F.lit("(L+|D+|S+)"), 1), "E")
+    long = F.exists(F.split(runs, "E"), lambda r: F.length(r) >= 16)
+    parts = [dictionaries.select(F.lit("L").alias("c"), F.col("word").alias("terminal"), "len", "prob")]
+    for letter, pattern in (("D", "[0-9]+"), ("S", r"[^\p{L}0-9]+")):
+        parts.append(terminals(words, pattern).select(F.lit(letter).alias("c"), "terminal", "len", "prob"))
+    named = reduce(DataFrame.unionByName, parts).select(F.expr("repeat(c, len)").alias("term_key"), "terminal", "prob")
+    return made.filter(~long).select(runs.alias("structure"), "prob"), named
+
+
+def guesses(structures: DataFrame, terminals: DataFrame, limit: int, step: float = 16.0) -> DataFrame:
+    """rank, prob, string: the `limit` most likely strings in strict order of probability, then by pre-terminal and string.
+
+    Each pre-terminal (a structure with a group of equally likely terminals for each run) is made once, by its places
+    in order. The probability of the last guess is found by cutoffs that fall by a step until enough strings are above
+    one; only what is above it is written out.
+    """
+    groups = stash(terminal_groups(terminals), "groups")
+    kept = stash(structures, "structures")
+    best = enumerate_groups(kept, groups.filter("group_idx = 0"), 0.0, canonical=False).agg(F.max("prob")).first()[0]
+    if not best:
+        return terminals.sparkSession.createDataFrame([], "rank long, prob double, string string")
+    # no string is less likely than all the least groups of the least structure
+    floor = enumerate_groups(kept, groups.join(groups.groupBy("term_key").agg(F.max("group_idx").alias("group_idx")), ["term_key", "group_idx"]), 0.0, canonical=False).agg(F.min("prob")).first()[0]
+    cutoff = best
+    product = F.aggregate("sizes", F.lit(1).cast("decimal(38,0)"), lambda a, x: (a * x).cast("decimal(38,0)"))
+    while cutoff > floor and (enumerate_groups(kept, groups, cutoff, canonical=False).agg(F.sum(product)).first()[0] or 0) < limit:
+        cutoff = max(cutoff / step, floor)
+    made = strings(kept, terminals, groups, cutoff).withColumn("one", F.lit(1).cast("decimal(38,0)"))
+    order = [F.desc("prob"), F.asc("structure"), F.asc("string")]
+    ranked = running_sum(made.select("prob", "structure", strip_breaks("string").alias("string"), "one"), order, "one", "before")
+    return ranked.filter(F.col("before") < limit).select((F.col("before") + 1).cast("long").alias("rank"), "prob", "string")
+
+
 def top_guesses(strings: DataFrame, limit: int) -> DataFrame:
     """The most likely strings (string, prob), in strict order of probability: a top-k."""
     best = strings.orderBy(F.desc("prob"), "string").limit(limit)

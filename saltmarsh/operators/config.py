@@ -86,8 +86,9 @@ Filters = dict[str, Callable[[DataFrame], DataFrame]]
 def build_tests(sources: list[Source], read: Read, filters: Filters | None = None, seed: int = 0) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Test strings (user_id, policy, password), and by file name what sources that save it leave over.
 
-    A source's rows are filtered and numbered in a written table; `count` of them are sampled by the hash of their
-    number, so that equal words are drawn one by one. Without a count all are taken and nothing is left.
+    A source's rows are filtered, and equal ones numbered; `count` of them are sampled by the hash of row and number, so
+    that equal words are drawn one by one and the draw doesn't depend on the files. Without a count all are taken and
+    nothing is left.
     """
     tests: list[DataFrame] = []
     remainders: dict[str, DataFrame] = {}
@@ -97,9 +98,9 @@ def build_tests(sources: list[Source], read: Read, filters: Filters | None = Non
             df = (filters or {})[s.filter](df)
         left = df.limit(0)
         if s.count is not None:
-            numbered = stash(df.withColumn("_row", F.monotonically_increasing_id()), "tests")
-            df, left = W.sample(numbered, s.count, seed, ["_row"])
-            df, left = df.drop("_row"), left.drop("_row")
+            columns = df.columns
+            df, left = W.sample(stash(_numbered(df), "tests"), s.count, seed, [*columns, "_nth"])
+            df, left = df.select(columns), left.select(columns)
         if s.save_remainder:
             if s.filename in remainders:
                 raise ValueError(f"two test sources save the remainder of {s.filename}")
@@ -108,6 +109,13 @@ def build_tests(sources: list[Source], read: Read, filters: Filters | None = Non
     return reduce(DataFrame.unionByName, tests), remainders
 
 
+def _numbered(df: DataFrame, block: int = 100_000) -> DataFrame:
+    """Adds _nth, from 1 on for equal rows. Rows are counted, and made again in blocks, so that no task has all of a word's."""
+    counts = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
+    blocks = counts.withColumn("_block", F.explode(F.expr(f"sequence(0, cast((_n - 1) div {block} AS int))"))).repartition(*df.columns, "_block")
+    return blocks.select(*df.columns, F.explode(F.expr(f"sequence(cast(_block AS bigint) * {block} + 1, least(_n, (cast(_block AS bigint) + 1) * {block}))")).alias("_nth"))
+
+
 def build_corpus(sources: list[Source], read: Read, filters: Filters | None = None, compat: bool = False, remainders: dict[str, DataFrame] | None = None) -> DataFrame:
     """Reads, tags, filters and weighs sources one after the other and sums them; a weight like 2x is times the total so far. A source that uses a remainder reads what the test source of that file left over."""
     done: list[DataFrame] = []

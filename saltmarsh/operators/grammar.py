@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from saltmarsh.functions import text as X
-from saltmarsh.plans.shared import running_sum
+from saltmarsh.plans.shared import running_sums_within
 
 
 def short_enough(df: DataFrame) -> DataFrame:
@@ -58,35 +58,37 @@ def learn_terminals(tokenized: DataFrame, unseen: bool = False) -> DataFrame:
 
 
 def terminal_groups(terminals: DataFrame, unseen: DataFrame | None = None) -> DataFrame:
-    """term_key, group_idx, prob, size, first_string: terminals of equal probability, most likely first; ties are in descending order of strings, so the first is the largest. The window sees groups, not terminals."""
+    """term_key, group_idx, prob, size, size_text, first_string: terminals of equal probability, most likely first; ties are in descending order of strings, so the first is the largest. size is null where size_text has more than 38 digits. The window sees groups, not terminals."""
     sums = terminals.groupBy("term_key", "prob").agg(F.count("*").cast("decimal(38,0)").alias("size"), F.max("terminal").alias("first_string"))
-    sums = sums.withColumn("is_unseen", F.lit(False))
+    sums = sums.withColumns({"size_text": F.col("size").cast("string"), "is_unseen": F.lit(False)}).select("term_key", "prob", "size", "size_text", "first_string", "is_unseen")
     if unseen is not None:
-        sums = sums.unionByName(unseen.select("term_key", "prob", "size", "first_string", F.lit(True).alias("is_unseen")))
+        sums = sums.unionByName(unseen.select("term_key", "prob", "size", "size_text", "first_string", F.lit(True).alias("is_unseen")))
     order = Window.partitionBy("term_key").orderBy(F.desc("prob"), "is_unseen")
     return sums.withColumn("group_idx", (F.row_number().over(order) - 1).cast("int"))
 
 
 def unseen_groups(terminals: DataFrame, masses: DataFrame) -> DataFrame:
-    """One group for each key with unseen mass: its size, the probability of each string, and its first string (the smallest index that no terminal has). Keys that make 10^38 strings or more have none, as numbers are decimals of 38 digits."""
-    seen = terminals.filter(X.generatable("terminal", "term_key")).select("term_key", X.unseen_index("terminal").alias("index"))
+    """One group for each key with unseen mass: its size (null with more than 38 digits; size_text has them all), the probability of each string, and its first string (the smallest index that no terminal has)."""
+    seen = terminals.filter(X.generatable("terminal", "term_key")).select("term_key", X.wide_index("terminal").alias("index"))
     n = seen.groupBy("term_key").agg(F.count("*").alias("n"))
-    after = seen.select("term_key", (F.col("index") + 1).cast("decimal(38,0)").alias("index")).join(seen, ["term_key", "index"], "left_anti")
+    after = seen.select("term_key", X.wide_next(F.col("index")).alias("index")).join(seen, ["term_key", "index"], "left_anti")
     gaps = after.groupBy("term_key").agg(F.min("index").alias("gap"))
-    zero = seen.filter("index = 0").select("term_key", F.lit(True).alias("has_zero"))
-    facts = masses.filter("unseen_mass > 0 and combos < 9e37").join(n, "term_key", "left").join(gaps, "term_key", "left").join(zero, "term_key", "left")
-    first = F.when(F.coalesce("has_zero", F.lit(False)), F.col("gap")).otherwise(F.lit(0).cast("decimal(38,0)"))
-    combos = F.aggregate(F.split("term_key", ""), F.lit(1).cast("decimal(38,0)"), lambda a, m: (a * F.when(m == "D", 10).when(m == "S", 33).otherwise(26)).cast("decimal(38,0)"))
-    size = (combos - F.coalesce("n", F.lit(0))).cast("decimal(38,0)")
-    return facts.select("term_key", (F.col("unseen_mass") / size.cast("double")).alias("prob"), size.alias("size"), X.unseen_string(first, "term_key").alias("first_string"))
+    zero = X.wide(F.lit(0), F.lit(0))
+    has_zero = seen.filter(F.col("index") == zero).select("term_key", F.lit(True).alias("has_zero"))
+    facts = masses.filter("unseen_mass > 0").join(n, "term_key", "left").join(gaps, "term_key", "left").join(has_zero, "term_key", "left")
+    first = F.when(F.coalesce("has_zero", F.lit(False)), F.col("gap")).otherwise(zero)
+    left = X.wide_less(X.wide_combinations("term_key"), F.coalesce("n", F.lit(0)).cast("decimal(38,0)"))
+    facts = facts.select("term_key", "unseen_mass", left.alias("left"), first.alias("first"))
+    return facts.select(
+        "term_key", (F.col("unseen_mass") / X.wide_double(F.col("left"))).alias("prob"), X.wide_narrow(F.col("left")).alias("size"),
+        X.wide_text(F.col("left")).alias("size_text"), X.wide_string("first", "term_key").alias("first_string"),
+    )
 
 
 def terminal_ranks(terminals: DataFrame) -> DataFrame:
-    """Adds the 0-based rank inside the group of equal probability, by descending string: a running number over all, less where the group begins, so that no task has a whole group."""
+    """Adds the 0-based rank inside the group of equal probability, by descending string: a running number by ranges, so that no task has a whole group."""
     one = terminals.withColumn("_one", F.lit(1).cast("decimal(38,0)"))
-    numbered = running_sum(one, [F.asc("term_key"), F.desc("prob"), F.desc("terminal")], "_one", "_n").drop("_one")
-    begins = numbered.groupBy("term_key", "prob").agg(F.min("_n").alias("_first"))
-    return numbered.join(begins, ["term_key", "prob"]).withColumn("rank", (F.col("_n") - F.col("_first")).cast("decimal(38,0)")).select(*terminals.columns, "rank")
+    return running_sums_within(one, ["term_key", "prob"], [F.desc("terminal")], {"rank": "_one"}).select(*terminals.columns, "rank")
 
 
 def nonterminal_mass(structures: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saltmarsh.functions import text as X
+from saltmarsh.plans.shared import running_sum, stash
 
 
 def legal(allow_breaks: bool = False) -> Column:
@@ -17,7 +18,9 @@ def legal(allow_breaks: bool = False) -> Column:
 
 def wordfreq(df: DataFrame, weight: float = 1.0, replace_tag: str | None = None, add_tag: str | None = None, allow_breaks: bool = False) -> DataFrame:
     """Sums weight * freq by word and unites tags; the tag of every word can be replaced or added to."""
-    sums = df.filter(legal(allow_breaks)).groupBy("word").agg(F.sum(F.col("freq") * weight).alias("freq"), F.flatten(F.collect_set("tags")).alias("tags"))
+    # words are summed by their tags first, so that few rows reach the sets
+    sums = df.filter(legal(allow_breaks)).groupBy("word", "tags").agg(F.sum(F.col("freq") * weight).alias("freq"))
+    sums = sums.groupBy("word").agg(F.sum("freq").alias("freq"), F.flatten(F.collect_set("tags")).alias("tags"))
     tags = F.col("tags")
     if replace_tag is not None:
         tags = F.array(F.lit(replace_tag))
@@ -86,11 +89,23 @@ def three_columns(df: DataFrame, source: str) -> DataFrame:
 
 
 def sample(df: DataFrame, count: int, seed: int, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """`count` rows in the order of a seeded hash of their key, and the remainder. The last hash that is taken is found by a top-k; no row order is gathered."""
+    """`count` rows in the order of a seeded hash of their key, and the remainder; of equal keys as many are taken as there is room for. The last hash that is taken is found by a top-k; no row order is gathered."""
+    if count <= 0:
+        return df.limit(0), df
     marked = df.withColumn("_h", F.xxhash64(*key, F.lit(seed)))
-    last = marked.orderBy("_h", *key).limit(count).agg(F.max(F.struct("_h", *key)).alias("_last"))
-    both = marked.crossJoin(F.broadcast(last)).withColumn("_in", F.struct("_h", *key) <= F.col("_last"))  # one row
-    return both.filter("_in").select(df.columns), both.filter("not _in").select(df.columns)
+    mark = F.struct("_h", *key)
+    top = marked.select(mark.alias("_mark")).orderBy("_mark").limit(count)
+    # how many rows of the last key are taken: only equal keys share it
+    last = top.groupBy("_mark").agg(F.count("*").alias("_taken")).agg(F.max(F.struct("_mark", "_taken")).alias("_last"))
+    both = marked.withColumn("_mark", mark).crossJoin(F.broadcast(last))  # one row
+    before, at = F.coalesce(F.col("_mark") < F.col("_last._mark"), F.lit(False)), F.col("_mark").eqNullSafe(F.col("_last._mark"))
+    columns = [*df.columns]
+    # rows of the last key are numbered in a written table of their own
+    tied = stash(both.filter(at).select(*columns, F.col("_last._taken").alias("_taken")).withColumn("_row", F.monotonically_increasing_id()), "tied")
+    chosen = running_sum(tied.withColumn("_one", F.lit(1).cast("decimal(38,0)")), [F.asc("_row")], "_one", "_n").withColumn("_n", F.col("_n") + 1)
+    rest = both.filter(~at)
+    taken = rest.filter(before).select(columns).unionByName(chosen.filter("_n <= _taken").select(columns))
+    return taken, rest.filter(~before).select(columns).unionByName(chosen.filter("_n > _taken").select(columns))
 
 
 def combine(parts: list[DataFrame]) -> DataFrame:

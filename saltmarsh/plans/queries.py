@@ -6,6 +6,7 @@ C1 mixes character classes, C2 is tokens of documents (ASCII ones), C3 is lookup
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +19,12 @@ from saltmarsh.operators import lookup as L
 from saltmarsh.operators import ngrams as N
 from saltmarsh.operators import patterns as P
 from saltmarsh.operators import quantize as Q
+from saltmarsh.operators import stored as T
 from saltmarsh.operators import unseen as U
 from saltmarsh.operators import wordfreq as W
-from saltmarsh.plans.shared import running_sum, stash
+from saltmarsh.operators.config import Condition, Source
+from saltmarsh.plans import experiment
+from saltmarsh.plans.shared import running_sum, shared_path, stash
 from saltmarsh.sources import corpora as S
 
 CUTOFF = 1e-6
@@ -111,11 +115,43 @@ def tagged(df: DataFrame) -> DataFrame:
     return df.withColumn("tags", F.array_join("tags", ","))
 
 
-def grammar(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Structures, terminals with ranks, and groups, learned from C1; repeated words are summed first."""
-    tokens = stash(W.tokenize(W.wordfreq(c1(s, d))), "tokens")
-    terminals = stash(G.terminal_ranks(G.learn_terminals(tokens)), "terminals")
-    return stash(G.learn_structures(tokens), "structures"), terminals, stash(G.terminal_groups(terminals), "groups")
+class Grammar:
+    """Learned from C1 when it is asked for; what is read more than once is written. With unseen, groups of unseen terminals are there, too."""
+
+    def __init__(self, s: SparkSession, d: str, unseen: bool = False):
+        self.s, self.d, self.unseen = s, d, unseen
+
+    @cached_property
+    def tokens(self) -> DataFrame:
+        return stash(tokens_of(self.s, self.d), "tokens")
+
+    @cached_property
+    def structures(self) -> DataFrame:
+        return stash(G.learn_structures(self.tokens), "structures")
+
+    @cached_property
+    def terminals(self) -> DataFrame:
+        return G.learn_terminals(self.tokens, self.unseen)
+
+    @cached_property
+    def ranked(self) -> DataFrame:
+        return stash(G.terminal_ranks(self.terminals), "terminals")
+
+    @cached_property
+    def groups(self) -> DataFrame:
+        seen = self.__dict__.get("ranked", self.terminals)
+        made = G.unseen_groups(seen, G.unseen_mass(G.terminal_counts(self.tokens))) if self.unseen else None
+        return stash(G.terminal_groups(seen, made), "groups")
+
+    def looked_up(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Structures, terminals with ranks, and groups."""
+        ranked = self.ranked
+        return self.structures, ranked, self.groups
+
+
+def tokens_of(s: SparkSession, d: str) -> DataFrame:
+    """Repeated words are summed first."""
+    return W.tokenize(W.wordfreq(c1(s, d)))
 
 
 def tests(s: SparkSession, d: str) -> DataFrame:
@@ -216,7 +252,7 @@ def _(s, d):
     return W.three_columns(S.table(s, d, "supplier").selectExpr("s_name AS word"), "suppliers")
 
 
-@query("sample_remainder", "SELECT 1000::BIGINT AS taken, (SELECT count(*) FROM orders) - 1000 AS remainder, 0::BIGINT AS both_sides")
+@query("sample_remainder", "SELECT least(1000, count(*)) AS taken, greatest(count(*) - 1000, 0) AS remainder, count(*) - count(DISTINCT o_orderkey) AS both_sides FROM orders")
 def _(s, d):
     rows = S.table(s, d, "orders").select("o_orderkey")
     a, b = W.sample(rows, 1000, 17, ["o_orderkey"])
@@ -260,22 +296,22 @@ def _(s, d):
 
 @query("learn_structures", f"WITH {LEARN} SELECT structure, prob FROM structures")
 def _(s, d):
-    return grammar(s, d)[0].select("structure", "prob")
+    return G.learn_structures(tokens_of(s, d)).select("structure", "prob")
 
 
 @query("learn_terminals", f"WITH {LEARN} SELECT term_key, terminal, prob FROM terminals")
 def _(s, d):
-    return grammar(s, d)[1].select("term_key", "terminal", "prob")
+    return G.learn_terminals(tokens_of(s, d)).select("term_key", "terminal", "prob")
 
 
 @query("terminal_ranks", f"WITH {LEARN} SELECT term_key, terminal, CAST(row_number() OVER (PARTITION BY term_key, prob ORDER BY terminal DESC) - 1 AS BIGINT) AS rank FROM terminals")
 def _(s, d):
-    return whole(grammar(s, d)[1].select("term_key", "terminal", "rank"), "rank")
+    return whole(G.terminal_ranks(G.learn_terminals(tokens_of(s, d))).select("term_key", "terminal", "rank"), "rank")
 
 
 @query("terminal_groups", f"WITH {LEARN} SELECT term_key, CAST(group_idx AS INTEGER) AS group_idx, prob, size, first_string FROM groups")
 def _(s, d):
-    return whole(grammar(s, d)[2].select("term_key", "group_idx", "prob", "size", "first_string"), "size")
+    return whole(G.terminal_groups(G.learn_terminals(tokens_of(s, d))).select("term_key", "group_idx", "prob", "size", "first_string"), "size")
 
 
 @query("singleton_mass", f"WITH {LEARN}, f AS (SELECT term_key, freq, count(*) AS n FROM tcounts GROUP BY 1, 2) SELECT term_key, sum(freq * n) AS total, min(freq) AS min_freq, CAST(sum(n) AS BIGINT) AS seen, arg_max(freq, (n, -freq)) AS common_freq, max(n) AS common_n FROM f GROUP BY 1")
@@ -300,32 +336,51 @@ def _(s, d):
     return G.learn_terminals(W.tokenize(c1(s, d)), unseen=True).select("term_key", "terminal", F.round("prob", 9).alias("prob"))
 
 
-@query("unseen_index", f"WITH {LEARN} SELECT terminal, CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(list_reverse(string_split(terminal, '')), lambda c: CAST(ord(c) - 48 AS BIGINT))), lambda a, x: a * 10 + x) AS BIGINT) AS idx FROM terminals WHERE regexp_full_match(term_key, 'D+') AND len(term_key) < 18")
+SYMBOLS = X.SYMBOLS.replace("'", "''").replace("{", "{{").replace("}", "}}")  # what follows is formatted
+RADIX = "CASE {0} WHEN 'D' THEN 10 WHEN 'S' THEN 33 ELSE 26 END"
+#: The index of a terminal, and the terminal of an index, first character least significant.
+INDEX = f"""list_reduce(list_prepend(CAST(0 AS HUGEINT), list_transform(list_reverse(string_split({{0}}, '')), lambda c: CAST(CASE WHEN c BETWEEN 'a' AND 'z' THEN (ord(c) - 97) * 100 + 26
+ WHEN c BETWEEN '0' AND '9' THEN (ord(c) - 48) * 100 + 10 ELSE (strpos('{SYMBOLS}', c) - 1) * 100 + 33 END AS HUGEINT))), lambda a, x: a * (x % 100) + x // 100)"""
+UNINDEX = f"""array_to_string(list_transform(range(1, len({{1}}) + 1), lambda k: substr(CASE {{1}}[k] WHEN 'D' THEN '0123456789' WHEN 'S' THEN '{SYMBOLS}' ELSE 'abcdefghijklmnopqrstuvwxyz' END, 1 + CAST(({{0}}
+ // list_reduce(list_prepend(CAST(1 AS HUGEINT), list_transform(range(1, k), lambda j: CAST({RADIX.format('{1}[j]')} AS HUGEINT))), lambda a, b: a * b)) % {RADIX.format('{1}[k]')} AS BIGINT), 1)), '')"""
+
+
+@query("unseen_index", f"WITH {LEARN} SELECT terminal, CAST({INDEX.format('terminal')} AS BIGINT) AS idx FROM terminals")
 def _(s, d):
-    digits = grammar(s, d)[1].filter(F.col("term_key").rlike("^D+$") & (F.length("term_key") < 18))
-    return whole(digits.select("terminal", X.unseen_index("terminal").alias("idx")), "idx")
+    return whole(G.learn_terminals(tokens_of(s, d)).select("terminal", X.unseen_index("terminal").alias("idx")), "idx")
 
 
-@query("unseen_rank", f"WITH {LEARN}, s AS (SELECT term_key, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(list_reverse(string_split(terminal, '')), lambda c: CAST(ord(c) - 48 AS BIGINT))), lambda a, x: a * 10 + x) AS idx FROM terminals WHERE term_key = 'DD'), p AS (SELECT range AS idx FROM range(100)) SELECT CAST(idx AS BIGINT) AS idx, CAST(idx - (SELECT count(*) FROM s WHERE s.idx < p.idx) AS BIGINT) AS rank FROM p WHERE idx NOT IN (SELECT idx FROM s)")
+#: Probes: the first hundred strings of each mask, and those after a seen one.
+PROBED = f"""si AS (SELECT term_key, {INDEX.format('terminal')} AS idx FROM terminals), ks AS (SELECT DISTINCT term_key FROM terminals),
+probes AS (SELECT term_key, CAST(range AS HUGEINT) AS idx FROM ks, range(100) UNION SELECT term_key, idx + 1 FROM si),
+possible AS (SELECT * FROM probes WHERE idx < list_reduce(list_prepend(CAST(1 AS HUGEINT), list_transform(string_split(term_key, ''), lambda m: CAST({RADIX.format('m')} AS HUGEINT))), lambda a, b: a * b))"""
+
+
+@query("unseen_rank", f"WITH {LEARN}, {PROBED}, l AS (SELECT term_key, idx, max(seen) AS seen, coalesce(sum(max(seen)) OVER (PARTITION BY term_key ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT term_key, idx, 1 AS seen FROM si UNION ALL SELECT term_key, idx, 0 FROM possible) GROUP BY term_key, idx) SELECT term_key, CAST(idx AS BIGINT) AS idx, CAST(idx - below AS BIGINT) AS rank FROM l WHERE seen = 0")
 def _(s, d):
-    probes = s.range(100).select(F.lit("DD").alias("term_key"), F.col("id").cast("decimal(38,0)").alias("idx"))
-    return whole(U.unseen_ranks(probes, grammar(s, d)[1]).select("idx", "rank"), "idx", "rank")
+    terminals = stash(G.learn_terminals(tokens_of(s, d)), "terminals")
+    after = terminals.filter(X.generatable("terminal", "term_key")).select("term_key", X.wide_next(X.wide_index("terminal")).alias("idx"))
+    first = terminals.select("term_key").distinct().select("term_key", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("n"))
+    probes = first.select("term_key", X.wide_of(F.col("n").cast("decimal(38,0)")).alias("idx")).unionByName(after).distinct()
+    ranks = U.unseen_ranks(probes.filter(F.col("idx") < X.wide_combinations("term_key")), terminals)
+    return whole(ranks.select("term_key", X.wide_narrow(F.col("idx")).alias("idx"), X.wide_narrow(F.col("rank")).alias("rank")), "idx", "rank")
 
 
 @query("nonterminal_mass", f"WITH {LEARN}, x AS (SELECT translate(unnest(string_split(structure, 'E')), 'U', 'L') AS term_key, prob FROM structures) SELECT term_key, round(sum(prob) / (SELECT sum(prob) FROM x), 9) AS share FROM x GROUP BY 1")
 def _(s, d):
-    return G.nonterminal_mass(grammar(s, d)[0]).select("term_key", F.round("share", 9).alias("share"))
+    return G.nonterminal_mass(G.learn_structures(tokens_of(s, d))).select("term_key", F.round("share", 9).alias("share"))
 
 
 @query("quant_level_need", f"WITH {LEARN}, x AS (SELECT translate(unnest(string_split(structure, 'E')), 'U', 'L') AS term_key, prob FROM structures) SELECT term_key, CAST(ceil(round(100 * sum(prob) / (SELECT sum(prob) FROM x), 9)) AS BIGINT) AS need FROM x GROUP BY 1")
 def _(s, d):
-    return G.nonterminal_mass(grammar(s, d)[0]).select("term_key", F.ceil(F.round(100 * F.col("share"), 9)).alias("need"))
+    return G.nonterminal_mass(G.learn_structures(tokens_of(s, d))).select("term_key", F.ceil(F.round(100 * F.col("share"), 9)).alias("need"))
 
 
 @query("quantized_terminals")
 def _(s, d):
-    structures, terminals, _ = grammar(s, d)
-    return Q.quantize(terminals, structures, total_levels=60)
+    """Without SQL: tests/test_quantize.py tries all divisions."""
+    g = Grammar(s, d)
+    return Q.quantize(g.terminals, g.structures, Condition("c1").totalquantlevels)
 
 
 # patterns and lookups
@@ -333,25 +388,29 @@ def _(s, d):
 
 @query("patterns_cutoff", f"{ENUMERATE} SELECT prob, n, pattern FROM pats")
 def _(s, d):
-    structures, _, groups = grammar(s, d)
+    g = Grammar(s, d)
+    structures, groups = g.structures, g.groups
     return whole(P.patterns(structures, groups, CUTOFF), "n")
 
 
 @query("lookup_table", f"{ENUMERATE} SELECT prob, n, start, pattern FROM lt")
 def _(s, d):
-    structures, _, groups = grammar(s, d)
+    g = Grammar(s, d)
+    structures, groups = g.structures, g.groups
     return whole(P.lookup_table(P.patterns(structures, groups, CUTOFF)), "n", "start")
 
 
 @query("total_count", f"{ENUMERATE} SELECT CAST(sum(n) AS BIGINT) AS total FROM pats")
 def _(s, d):
-    structures, _, groups = grammar(s, d)
+    g = Grammar(s, d)
+    structures, groups = g.structures, g.groups
     return whole(P.total_count(P.patterns(structures, groups, CUTOFF)), "total")
 
 
 @query("grammar_size", f"WITH {LEARN}, x AS (SELECT structure, k, ps[k] AS piece FROM (SELECT structure, string_split(structure, 'E') AS ps, unnest(range(1, len(string_split(structure, 'E')) + 1)) AS k FROM structures)), n AS (SELECT term_key, sum(size) AS n FROM groups GROUP BY 1) SELECT structure, CAST(list_reduce(list(n.n ORDER BY k), lambda a, b: a * b) AS BIGINT) AS strings FROM x JOIN n ON n.term_key = translate(piece, 'U', 'L') GROUP BY structure")
 def _(s, d):
-    structures, _, groups = grammar(s, d)
+    g = Grammar(s, d)
+    structures, groups = g.structures, g.groups
     n = groups.groupBy("term_key").agg(F.sum("size").alias("n"))
     parts = P.pieces(structures).select("structure", F.posexplode("pieces").alias("k", "piece")).join(n, X.term_key("piece") == F.col("term_key"))
     product = F.aggregate(F.collect_list("n"), F.lit(1).cast("decimal(38,0)"), lambda a, x: (a * x).cast("decimal(38,0)"))
@@ -364,27 +423,29 @@ str AS (SELECT structure, ps, prob, idx, '' AS string, 0 AS k FROM chosen UNION
  SELECT structure, ps, prob, idx, string || CASE WHEN k > 0 THEN chr(1) ELSE '' END || {CASED.format('terminal', 'ps[k + 1]')}, k + 1 FROM str JOIN mem ON mem.term_key = translate(ps[k + 1], 'U', 'L') AND mem.group_idx = idx[k + 1] WHERE k < len(ps))
 SELECT prob, string FROM str WHERE k = len(ps)""")
 def _(s, d):
-    structures, terminals, groups = grammar(s, d)
+    g = Grammar(s, d)
+    structures, terminals, groups = g.structures, g.terminals, g.groups
     return P.strings(structures, terminals, groups, CUTOFF).select("prob", "string")
 
 
 @query("accurate_strings", SQL["generate_strings"].replace("SELECT prob, string FROM str WHERE k = len(ps)", "SELECT replace(string, chr(1), '') AS bare, round(sum(prob), 12) AS prob, count(*) AS parses FROM str WHERE k = len(ps) GROUP BY 1"))
 def _(s, d):
-    structures, terminals, groups = grammar(s, d)
+    g = Grammar(s, d)
+    structures, terminals, groups = g.structures, g.terminals, g.groups
     made = P.strings(structures, terminals, groups, CUTOFF)
     return P.accurate_strings(made).select("bare", F.round("prob", 12).alias("prob"), "parses")
 
 
 @query("count_parses", f"WITH {LEARN}, {BEST} SELECT row_id, CAST(coalesce(parses, 0) AS BIGINT) AS parses FROM found")
 def _(s, d):
-    structures, terminals, groups = grammar(s, d)
+    structures, terminals, groups = Grammar(s, d).looked_up()
     t = tests(s, d)
     return L.best_parses(t, L.parses(t, structures, terminals, groups), structures).select("row_id", "parses")
 
 
 @query("lookup_best_parse", f"WITH {LEARN}, {BEST} SELECT row_id, password, CAST(status AS INTEGER) AS status, coalesce(prob, -1) AS prob, coalesce(pattern, '') AS pattern, CAST(coalesce(rank, -1) AS BIGINT) AS rank FROM found")
 def _(s, d):
-    structures, terminals, groups = grammar(s, d)
+    structures, terminals, groups = Grammar(s, d).looked_up()
     t = tests(s, d)
     best = L.best_parses(t, L.parses(t, structures, terminals, groups), structures)
     rank = F.coalesce("rank", F.lit(-1)).cast("long").alias("rank")
@@ -393,7 +454,7 @@ def _(s, d):
 
 @query("lookup_sum", f"WITH {LEARN}, {BEST} SELECT row_id, round(coalesce(sum_prob, 0), 12) AS sum_prob FROM found")
 def _(s, d):
-    structures, terminals, groups = grammar(s, d)
+    structures, terminals, groups = Grammar(s, d).looked_up()
     t = tests(s, d)
     return L.best_parses(t, L.parses(t, structures, terminals, groups), structures).select("row_id", F.round("sum_prob", 12).alias("sum_prob"))
 
@@ -403,23 +464,100 @@ GUESSES = f"{ENUMERATE}, {BEST}, guesses AS (SELECT row_id, password, f.prob, CA
 
 @query("guess_numbers", f"{GUESSES} SELECT row_id, password, coalesce(prob, -1) AS prob, CAST(guess AS BIGINT) AS guess_number FROM guesses")
 def _(s, d):
-    structures, terminals, groups = grammar(s, d)
+    structures, terminals, groups = Grammar(s, d).looked_up()
     return whole(L.lookup(tests(s, d), structures, terminals, groups, CUTOFF).select("row_id", "password", "prob", "guess_number"), "guess_number")
 
 
-@query("guess_numbers_unseen")
+def with_unseen(sql: str) -> str:
+    """The SQL of a grammar or a lookup, with groups of unseen terminals."""
+    learned = "terminals AS (SELECT term_key, terminal, freq / sum(freq) OVER (PARTITION BY term_key) AS prob FROM tcounts)"
+    made = f"""{MASS}, terminals AS (SELECT term_key, terminal, freq / (total / (1 - unseen_mass)) AS prob FROM tcounts JOIN masses USING (term_key) JOIN (SELECT term_key, sum(freq) AS total FROM tcounts GROUP BY 1) USING (term_key)),
+si AS (SELECT term_key, {INDEX.format('terminal')} AS idx FROM terminals),
+gaps AS (SELECT term_key, min(idx) AS gap FROM (SELECT term_key, CAST(0 AS HUGEINT) AS idx FROM masses UNION SELECT term_key, idx + 1 FROM si) p WHERE NOT EXISTS (SELECT 1 FROM si WHERE si.term_key = p.term_key AND si.idx = p.idx) GROUP BY 1),
+unseen AS (SELECT term_key, unseen_mass / (combos - seen) AS prob, CAST(combos AS HUGEINT) - CAST(seen AS HUGEINT) AS size, {UNINDEX.format('gap', 'term_key')} AS first_string FROM masses JOIN gaps USING (term_key) WHERE unseen_mass > 0)"""
+    plain = "groups AS (SELECT term_key, prob, count(*) AS size, max(terminal) AS first_string, row_number() OVER (PARTITION BY term_key ORDER BY prob DESC) - 1 AS group_idx FROM terminals GROUP BY 1, 2)"
+    both = "groups AS (SELECT term_key, prob, size, first_string, is_unseen, row_number() OVER (PARTITION BY term_key ORDER BY prob DESC, is_unseen) - 1 AS group_idx FROM (SELECT term_key, prob, CAST(count(*) AS HUGEINT) AS size, max(terminal) AS first_string, false AS is_unseen FROM terminals GROUP BY 1, 2 UNION ALL SELECT term_key, prob, size, first_string, true FROM unseen))"
+    known = "t.prob AS p, t.rank, g.group_idx, g.size, g.first_string FROM cut c"
+    joined = "g.prob AS p, coalesce(CAST(t.rank AS HUGEINT), u.rank) AS rank, g.group_idx, g.size, g.first_string FROM cut c"
+    on = "LEFT JOIN groups g ON g.term_key = t.term_key AND g.prob = t.prob)"
+    lacking = f"""LEFT JOIN lacking u ON t.terminal IS NULL AND u.term_key = translate(piece, 'U', 'L') AND u.terminal = lower(raw)
+ LEFT JOIN groups g ON (t.terminal IS NOT NULL AND g.term_key = t.term_key AND g.prob = t.prob AND NOT g.is_unseen) OR (u.terminal IS NOT NULL AND g.term_key = u.term_key AND g.is_unseen))"""
+    asked = f"""lacking AS (SELECT term_key, terminal, idx - (SELECT count(*) FROM si WHERE si.term_key = q.term_key AND si.idx < q.idx) AS rank FROM (SELECT DISTINCT translate(piece, 'U', 'L') AS term_key, lower(raw) AS terminal, {INDEX.format('lower(raw)')} AS idx
+ FROM cut WHERE regexp_full_match(raw, '[ -~]+')) q WHERE NOT EXISTS (SELECT 1 FROM terminals t WHERE t.term_key = q.term_key AND t.terminal = q.terminal)),
+known AS ("""
+    for old, new in ((learned, made), (plain, both), (known, joined), (on, lacking), ("known AS (", asked), ("1000000000", "1000000000000000000"), ("n * g.size", "CAST(n AS HUGEINT) * g.size")):
+        sql = sql.replace(old, new)
+    return sql
+
+
+@query("groups_with_unseen", with_unseen(f"WITH {LEARN} SELECT term_key, CAST(group_idx AS INTEGER) AS group_idx, prob, CAST(size AS VARCHAR) AS size_text, first_string, is_unseen FROM groups"))
+def _(s, d):
+    return Grammar(s, d, unseen=True).groups.select("term_key", "group_idx", "prob", "size_text", "first_string", "is_unseen")
+
+
+@query("guess_numbers_unseen", with_unseen(f"{GUESSES} SELECT row_id, password, coalesce(prob, -1) AS prob, CAST(guess AS BIGINT) AS guess_number FROM guesses"))
 def _(s, d):
-    """Without SQL: tests/test_unseen.py compares it with an enumeration."""
-    tokens = stash(W.tokenize(W.wordfreq(c1(s, d))), "tokens")
-    terminals = stash(G.terminal_ranks(G.learn_terminals(tokens, unseen=True)), "terminals")
-    made = G.unseen_groups(terminals, G.unseen_mass(G.terminal_counts(tokens)))
-    groups = stash(G.terminal_groups(terminals, made), "groups")
-    return L.lookup(tests(s, d), stash(G.learn_structures(tokens), "structures"), terminals, groups, CUTOFF, unseen=True).select("row_id", "password", "prob", "guess_number")
+    structures, terminals, groups = Grammar(s, d, unseen=True).looked_up()
+    return whole(L.lookup(tests(s, d), structures, terminals, groups, CUTOFF, unseen=True).select("row_id", "password", "prob", "guess_number"), "guess_number")
+
+
+def stored_table(g: Grammar, cutoff: float) -> str:
+    """Writes the grammar's lookup table into the shared folder, once for each call."""
+    path = shared_path(g.s, "table")
+    T.store(P.lookup_table(P.patterns(g.structures, g.groups, cutoff)), path)
+    return path
+
+
+@query("guess_numbers_stored", SQL["guess_numbers"])
+def _(s, d):
+    g = Grammar(s, d)
+    structures, terminals, groups = g.looked_up()
+    t = tests(s, d)
+    best = stash(L.best_parses(t, L.parses(t, structures, terminals, groups, cutoff=CUTOFF), structures), "best")
+    return whole(T.find(s, stored_table(g, CUTOFF), best).select("row_id", "password", "prob", "guess_number"), "guess_number")
+
+
+#: Every number of the table is that of one string, so the strings in the order of their numbers follow from those of the patterns.
+@query("strings_of_numbers", f"{ENUMERATE}, {BEST}, guesses AS (SELECT password, start + rank AS guess FROM found f JOIN lt ON lt.pattern = f.pattern AND lt.prob = f.prob) SELECT CAST(guess AS BIGINT) AS number, password AS string FROM guesses")
+def _(s, d):
+    """From tests to numbers to strings: the tests come back."""
+    g = Grammar(s, d)
+    structures, terminals, groups = g.looked_up()
+    path = stored_table(g, CUTOFF)
+    t = tests(s, d)
+    best = stash(L.best_parses(t, L.parses(t, structures, terminals, groups, cutoff=CUTOFF), structures), "best")
+    numbers = stash(T.find(s, path, best).filter("guess_number > 0").select("row_id", F.col("guess_number").alias("number")), "numbers")
+    found = stash(T.patterns_at(s, path, numbers), "found")
+    made = T.strings_at(found, terminals, groups).join(numbers, "row_id")
+    return whole(made.select("number", X.strip_breaks("string").alias("string")), "number")
+
+
+@query("experiment", with_unseen(f"{GUESSES} SELECT 'tests' AS condition, password AS brokenpassword, coalesce(prob, -1) AS probability, CAST(guess AS BIGINT) AS guess_number FROM guesses"))
+def _(s, d):
+    """A whole condition, from its settings to results."""
+    plan = Condition("c1", structure_sources=[Source("words", "c1")], test_sources=[Source("tests", "tests")], generate_unseen_terminals=True, totalquantlevels=0, cutoffmin=6, cutoffmax=6)
+    read = {"c1": lambda: c1(s, d), "tests": lambda: tests(s, d).select(F.col("password").alias("word"))}
+    results = experiment.run(s, plan, lambda name: read[name]())["1e-6"]
+    return whole(results.select("condition", "brokenpassword", "probability", "guess_number"), "guess_number")
+
+
+UNSEEN_STRINGS = with_unseen(SQL["generate_strings"].replace(str(CUTOFF), "1e-05")).replace(
+    "mem AS (SELECT t.term_key, group_idx, terminal FROM terminals t JOIN groups g ON t.term_key = g.term_key AND t.prob = g.prob)",
+    f"""mem AS (SELECT t.term_key, group_idx, terminal FROM terminals t JOIN groups g ON t.term_key = g.term_key AND t.prob = g.prob AND NOT g.is_unseen
+ UNION ALL SELECT * FROM (SELECT term_key, group_idx, {UNINDEX.format('idx', 'term_key')} AS terminal FROM (SELECT g.term_key, group_idx, CAST(unnest(range(CAST(combos AS BIGINT))) AS HUGEINT) AS idx FROM groups g JOIN masses USING (term_key) WHERE is_unseen AND prob >= 1e-05)) m
+ WHERE NOT EXISTS (SELECT 1 FROM terminals t WHERE t.term_key = m.term_key AND t.terminal = m.terminal))""",
+)
+
+
+@query("generate_strings_unseen", UNSEEN_STRINGS)
+def _(s, d):
+    g = Grammar(s, d, unseen=True)
+    return P.strings(g.structures, g.terminals, g.groups, 1e-5, unseen=True).select("prob", "string")
 
 
 @query("lookup_status", f"{GUESSES} SELECT CASE WHEN guess > 0 THEN 'Guessed' WHEN guess = -2 THEN 'Beyond cutoff' WHEN guess = -4 THEN 'Structure not found' WHEN guess = -40 THEN 'Chunk not found' END AS status, count(*) AS n FROM guesses GROUP BY 1")
 def _(s, d):
-    structures, terminals, groups = grammar(s, d)
+    structures, terminals, groups = Grammar(s, d).looked_up()
     out = L.lookup(tests(s, d), structures, terminals, groups, CUTOFF)
     return out.groupBy(A.status_label("guess_number").alias("status")).agg(F.count("*").alias("n"))
 
@@ -498,6 +636,21 @@ def _(s, d):
     return A.logrank_terms(c3(s, d), "click", "view").select(*(F.round(c, 5).alias(c) for c in ("observed", "expected", "variance")))
 
 
+#: erfc by its series under 2, else by its continued fraction.
+TAIL = """CASE WHEN z < 2 THEN 1 - 2 / sqrt(pi()) * exp(-z * z) * list_sum(list_transform(range(0, 61), lambda k: z * list_product(list_prepend(1.0::DOUBLE, list_transform(range(1, k + 1), lambda j: 2 * z * z / (2 * j + 1))))))
+ ELSE exp(-z * z) / (z * sqrt(pi())) / list_reduce(list_prepend(1.0::DOUBLE, list_transform(range(60, 0, -1), lambda k: CAST(k AS DOUBLE))), lambda a, k: 1 + k / (2 * z * z) / a) END"""
+
+
+@query("logrank_pairs", f"""WITH {C3}, names AS (SELECT condition, CAST(count(*) AS DOUBLE) AS n FROM c3 GROUP BY 1), pr AS (SELECT a.condition AS first, b.condition AS second, a.n AS n1, a.n + b.n AS n FROM names a JOIN names b ON a.condition < b.condition),
+g AS (SELECT first, second, n, n1, guess, CAST(count(*) AS DOUBLE) AS d, CAST(count(*) FILTER (condition = first) AS DOUBLE) AS d1 FROM pr JOIN c3 ON condition IN (first, second) WHERE guess > 0 GROUP BY ALL),
+r AS (SELECT *, n - coalesce(sum(d) OVER b, 0) AS y, n1 - coalesce(sum(d1) OVER b, 0) AS y1 FROM g WINDOW b AS (PARTITION BY first, second ORDER BY guess ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s AS (SELECT first, second, sum(y / n * d1) AS o, sum(y / n * d * y1 / y) AS e, sum(y / n * y / n * CASE WHEN y > 1 THEN d * y1 / y * (1 - y1 / y) * (y - d) / (y - 1) ELSE 0 END) AS v FROM r GROUP BY 1, 2),
+st AS (SELECT first, second, (o - e) * (o - e) / v AS statistic, sqrt((o - e) * (o - e) / v / 2) AS z FROM s), p AS (SELECT *, {TAIL} AS p FROM st), h AS (SELECT *, row_number() OVER (ORDER BY p, first, second) AS i, count(*) OVER () AS m FROM p)
+SELECT first, second, round(statistic, 5) AS statistic, round(p, 7) AS p, round(max(least(1.0::DOUBLE, (m - i + 1) * p)) OVER (ORDER BY i), 7) AS adjusted FROM h""")
+def _(s, d):
+    return A.logrank(c3(s, d)).select("first", "second", F.round("statistic", 5).alias("statistic"), F.round("p", 7).alias("p"), F.round("adjusted", 7).alias("adjusted"))
+
+
 @query("shaped_curves", f"WITH {STEPS}, p AS (SELECT condition, guess, found / CAST(total AS DOUBLE) AS share FROM e WHERE guess <= 2000) SELECT * FROM p UNION SELECT condition, 2000, max(share) FROM p GROUP BY 1 UNION SELECT condition, 0, 0 FROM t")
 def _(s, d):
     return A.shaped_curves(c3(s, d), 2000)
@@ -520,19 +673,18 @@ def _(s, d):
     return A.simple_guess(df.filter("doc_id % 10 < 8"), df.filter("doc_id % 10 >= 8").select(F.col("word").alias("password")))
 
 
-def _ranked(s: SparkSession, d: str) -> DataFrame:
-    train = c2(s, d).filter("doc_id % 10 < 8").select("word").distinct()
-    return train.join(A.simple_guess(c2(s, d).filter("doc_id % 10 < 8"), train.withColumnRenamed("word", "password")).withColumnsRenamed({"password": "word", "guess": "rank"}), "word")
+def _training(s: SparkSession, d: str) -> DataFrame:
+    return c2(s, d).filter("doc_id % 10 < 8")
 
 
 @query("crack_curve", f"WITH {RANKED}, h AS (SELECT rank AS guess, count(*) AS n FROM te JOIN rk ON password = word GROUP BY 1) SELECT CAST(guess AS BIGINT) AS guess, CAST(sum(n) OVER (ORDER BY guess) AS BIGINT) AS found FROM h")
 def _(s, d):
-    return A.crack_curve(_ranked(s, d), c2(s, d).filter("doc_id % 10 >= 8").select(F.col("word").alias("password")))
+    return A.crack_curve(A.ranked_words(_training(s, d)), c2(s, d).filter("doc_id % 10 >= 8").select(F.col("word").alias("password")))
 
 
 @query("crack_totals", f"WITH {RANKED} SELECT (SELECT count(*) FROM rk) AS guesses, count(*) AS tests, CAST(count(*) FILTER (password IN (SELECT word FROM rk)) AS INTEGER) AS found, round(100.0::DOUBLE * count(*) FILTER (password IN (SELECT word FROM rk)) / count(*), 9) AS percent FROM te")
 def _(s, d):
-    return A.crack_totals(_ranked(s, d), c2(s, d).filter("doc_id % 10 >= 8").select(F.col("word").alias("password"))).withColumn("percent", F.round("percent", 9))
+    return A.crack_totals(_training(s, d).select("word").distinct(), c2(s, d).filter("doc_id % 10 >= 8").select(F.col("word").alias("password"))).withColumn("percent", F.round("percent", 9))
 
 
 # the 2009 model and n-grams
@@ -558,10 +710,35 @@ def _(s, d):
 
 @query("top_guesses", SQL["generate_strings"].replace("SELECT prob, string FROM str WHERE k = len(ps)", "SELECT prob, string, CAST(row_number() OVER (ORDER BY prob DESC, string) AS BIGINT) AS rank FROM (SELECT prob, string FROM str WHERE k = len(ps) ORDER BY prob DESC, string LIMIT 500)"))
 def _(s, d):
-    structures, terminals, groups = grammar(s, d)
+    g = Grammar(s, d)
+    structures, terminals, groups = g.structures, g.terminals, g.groups
     return C.top_guesses(P.strings(structures, terminals, groups, CUTOFF).select("prob", "string"), 500)
 
 
+OLD_WORDS = "d1 AS (SELECT DISTINCT lower(word) AS word FROM c2 WHERE regexp_full_match(word, '[A-Za-z]+') AND len(word) <= 15)"
+OLD_GRAMMAR = f"""{C1}, {C2}, {OLD_WORDS}, m AS (SELECT replace({MICRO}, '~', 'S') AS micro, count(*) AS n FROM c1 GROUP BY 1),
+mac AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(micro, 'L+', 'L', 'g'), 'D+', 'D', 'g'), 'S+', 'S', 'g') AS macro FROM m),
+st AS (SELECT micro, CAST(sum(n) OVER (PARTITION BY macro) AS DOUBLE) / CAST(sum(n) OVER () AS DOUBLE) * (n / CAST(sum(n) OVER (PARTITION BY macro) AS DOUBLE)) AS prob FROM mac),
+structures AS (SELECT array_to_string(regexp_extract_all(micro, 'L+|D+|S+'), 'E') AS structure, prob FROM st WHERE NOT regexp_matches(micro, 'L{{16}}|D{{16}}|S{{16}}')),
+runs AS (SELECT unnest(regexp_extract_all(word, '[0-9]+') || regexp_extract_all(word, '[^A-Za-z0-9]+')) AS terminal FROM c1),
+rc AS (SELECT repeat(CASE WHEN terminal SIMILAR TO '[0-9]+' THEN 'D' ELSE 'S' END, len(terminal)) AS term_key, terminal, count(*) AS n FROM runs GROUP BY 1, 2),
+terminals AS (SELECT term_key, terminal, n / CAST(sum(n) OVER (PARTITION BY term_key) AS DOUBLE) AS prob FROM rc UNION ALL SELECT repeat('L', len(word)), word, 1.0::DOUBLE / count(*) OVER (PARTITION BY len(word)) FROM d1),
+groups AS (SELECT term_key, prob, count(*) AS size, row_number() OVER (PARTITION BY term_key ORDER BY prob DESC) - 1 AS group_idx FROM terminals GROUP BY 1, 2)"""
+
+
+@query("weir09_guesses", f"""WITH RECURSIVE {OLD_GRAMMAR},
+walk AS (SELECT structure, string_split(structure, 'E') AS ps, prob, CAST([] AS BIGINT[]) AS idx, CAST(1 AS HUGEINT) AS n, 0 AS k FROM structures
+ UNION ALL SELECT structure, ps, w.prob * g.prob, list_append(idx, g.group_idx), n * g.size, k + 1 FROM walk w JOIN groups g ON g.term_key = ps[k + 1] WHERE k < len(ps)),
+pre AS (SELECT structure, ps, prob, idx, coalesce(sum(n) OVER (ORDER BY prob DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) - sum(n) OVER (PARTITION BY prob) AS before FROM walk WHERE k = len(ps)),
+str AS (SELECT structure, ps, prob, idx, '' AS string, 0 AS k FROM pre WHERE before < 2000
+ UNION ALL SELECT structure, ps, str.prob, idx, string || terminal, k + 1 FROM str JOIN groups g ON g.term_key = ps[k + 1] AND g.group_idx = idx[k + 1] JOIN terminals t ON t.term_key = g.term_key AND t.prob = g.prob WHERE k < len(ps))
+SELECT CAST(row_number() OVER (ORDER BY prob DESC, structure, string) AS BIGINT) AS rank, prob, string FROM str WHERE k = len(ps) ORDER BY rank LIMIT 2000""")
+def _(s, d):
+    words = c2(s, d).filter(F.col("word").rlike("^[A-Za-z]+$") & (F.length("word") <= 15)).select(X.ascii_lower("word").alias("word"))
+    structures, terminals = C.grammar(c1(s, d), C.dictionary([(words, 1.0)]))
+    return C.guesses(structures, stash(terminals, "terminals"), 2000)
+
+
 GRAMS = r"""w AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \t\n\r\f\v]+'), lambda x: x <> '') AS ws FROM documents),
 bg AS (SELECT ws[i] || ' ' || ws[i + 1] AS gram FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM w)),
 tb AS (SELECT replace(lower(gram), ' ', '') AS key, replace(lower(gram), ' ', chr(1)) AS tokens, count(*) AS freq FROM bg WHERE regexp_full_match(gram, '[A-Za-z ]+') GROUP BY 1, 2)"""
@@ -606,21 +783,48 @@ def word_grams(s: SparkSession, d: str) -> DataFrame:
     return N.table_of(names.unionByName(names.select(F.explode(F.split("gram", " ")).alias("gram"), "freq")))
 
 
-for _mode in (15, 16):
-    query(f"ngram_mode_{_mode}", f"WITH RECURSIVE {C1}, {WORD_GRAMS}, runs AS (SELECT DISTINCT word AS run FROM c1 WHERE tag = 'P' AND regexp_full_match(word, '[a-z]+[0-9]*')), {EXTENDED.format(all=_mode == 15)} SELECT run AS word, done AS tokens FROM done".replace("SELECT DISTINCT word AS run", "SELECT DISTINCT regexp_extract(word, '[a-z]+') AS run"))(
-        lambda s, d, mode=_mode: N.tokenize_ngram(c1(s, d).filter(F.col("tags")[0] == "P").select(F.regexp_extract("word", "^([a-z]+)[0-9]*$", 1).alias("word")).filter("word <> ''").distinct(), word_grams(s, d), mode)
-    )
-for _mode in (20, 25, 28, 40):
-    _pieces = "regexp_extract_all(word, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+')"
-    _found = "(SELECT done FROM done WHERE run = p)" if _mode in (25, 28) else "coalesce((SELECT best FROM best WHERE key = p), p)"
-    query(f"ngram_mode_{_mode}", f"WITH RECURSIVE {C1}, {WORD_GRAMS}, ws AS (SELECT DISTINCT word FROM c1 WHERE tag = 'P'), pieces AS (SELECT word, unnest({_pieces}) AS p, generate_subscripts({_pieces}, 1) AS k FROM ws), runs AS (SELECT DISTINCT p AS run FROM pieces WHERE regexp_full_match(p, '[a-z]+')), {EXTENDED.format(all=False)} SELECT word, string_agg(CASE WHEN regexp_full_match(p, '[a-z]+') THEN {_found} ELSE p END, '{{sep}}' ORDER BY k) AS tokens{', 0.5::DOUBLE AS freq' if _mode == 28 else ''} FROM pieces GROUP BY word".replace("'{sep}'", "chr(1)" if _mode in (28, 40) else "''"))(
-        lambda s, d, mode=_mode: N.tokenize_ngram(c1(s, d).filter(F.col("tags")[0] == "P").select("word", *[F.lit(1.0).alias("freq")] * (mode == 28)).distinct(), word_grams(s, d), mode, weight=0.5)
+#: Letter runs keep their case: tokens are cut from the run itself.
+CUT = "array_to_string(list_transform(range(1, len(ts) + 1), lambda i: substr(p, 1 + CAST(coalesce(list_sum(list_transform(ts[1 : i - 1], lambda t: len(t))), 0) AS BIGINT), len(ts[i]))), chr(1))"
+ALL_WORDS = "ws AS (SELECT DISTINCT word FROM c1)"
+
+
+def _ngram_query(mode: int, hybrid: bool = False, duplicate: bool = False) -> None:
+    extended, weighed = (N.WHOLE | N.RUNS)[mode], mode == 28
+    freq = ", 0.5::DOUBLE AS freq" if weighed else ""
+    if mode in N.WHOLE:
+        runs = f"{ALL_WORDS}, runs AS (SELECT DISTINCT lower(word) AS run FROM ws)"
+        tokens = "(SELECT done FROM done WHERE run = lower(word))" if extended else "coalesce((SELECT best FROM best WHERE key = lower(word)), word)"
+        sql = f"SELECT word, {tokens} AS tokens FROM ws"
+    else:
+        pieces = "regexp_extract_all(word, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+')"
+        runs = f"{ALL_WORDS}, pieces AS (SELECT word, unnest({pieces}) AS p, generate_subscripts({pieces}, 1) AS k FROM ws), runs AS (SELECT DISTINCT lower(p) AS run FROM pieces WHERE regexp_full_match(p, '[A-Za-z]+'))"
+        found = "(SELECT done FROM done WHERE run = lower(p))" if extended else "coalesce((SELECT best FROM best WHERE key = lower(p)), p)"
+        between = "chr(1)" if mode in N.CLASSES_BROKEN else "''"
+        sql = f"SELECT word, CASE WHEN count(*) = count(t) THEN string_agg(t, {between} ORDER BY k) END AS tokens{freq} FROM (SELECT word, k, CASE WHEN ts IS NULL THEN NULL ELSE {CUT} END AS t FROM (SELECT word, k, p, CASE WHEN regexp_full_match(p, '[A-Za-z]+') THEN string_split({found}, chr(1)) ELSE [p] END AS ts FROM pieces)) GROUP BY word"
+    if hybrid:
+        sql = f"SELECT * FROM ({sql}) UNION ALL SELECT word, {TOKENS.format('word')} AS tokens, 1.0::DOUBLE AS freq FROM ({sql}) WHERE tokens IS DISTINCT FROM {TOKENS.format('word')}"
+    if duplicate:
+        sql = f"SELECT * FROM ({sql}) UNION ALL SELECT word, word AS tokens FROM ws"
+    name = f"ngram_mode_{mode}" + "_hybrid" * hybrid + "_duplicate" * duplicate
+    walk = EXTENDED.format(all=extended == "all")
+    query(name, f"WITH RECURSIVE {C1}, {WORD_GRAMS}, {runs}, {walk} {sql}")(
+        lambda s, d: N.tokenize_ngram(c1(s, d).select("word", *[F.lit(1.0).alias("freq")] * weighed).distinct(), word_grams(s, d), mode, duplicate, 0.5, hybrid)
     )
 
 
-@query("ngram_greedy")
+for _mode in sorted(N.WHOLE | N.RUNS):
+    _ngram_query(_mode)
+_ngram_query(28, hybrid=True)
+_ngram_query(20, duplicate=True)
+
+
+@query("ngram_mode_1", f"WITH {WORD_GRAMS} SELECT key AS word, tokens, freq AS table_freq FROM tb JOIN (SELECT DISTINCT key FROM tb) USING (key)")
 def _(s, d):
-    words = c1(s, d).filter("tags[0] = 'P'").select(F.explode(X.runs("word", "[a-z]+")).alias("word")).distinct()
-    names = S.table(s, d, "part").select(F.col("p_name").alias("gram"), F.lit(1).alias("freq"))
-    one = names.select(F.explode(F.split("gram", " ")).alias("gram"), "freq")
-    return N.greedy(words, N.table_of(names.unionByName(one)))
+    table = word_grams(s, d)
+    return N.tokenize_ngram(table.select(F.col("key").alias("word")).distinct(), table, 1)
+
+
+@query("ngram_greedy", f"WITH RECURSIVE {C1}, {WORD_GRAMS}, runs AS (SELECT DISTINCT unnest(regexp_extract_all(lower(word), '[a-z]+')) AS run FROM c1), {EXTENDED.format(all=False)} SELECT runs.run AS word, done AS tokens FROM runs LEFT JOIN done ON runs.run = done.run")
+def _(s, d):
+    words = c1(s, d).select(F.explode(X.runs(X.ascii_lower("word"), "[a-z]+")).alias("word")).distinct()
+    return N.greedy(words, word_grams(s, d))

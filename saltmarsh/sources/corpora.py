@@ -43,15 +43,6 @@ def read_tests(spark: SparkSession, path: str) -> DataFrame:
     return rows.selectExpr("p[0] AS user_id", "p[1] AS policy", "p[2] AS password")
 
 
-def read_terminals(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Terminals and unseen masses from one file for each terminal key: terminal, probability and tags by tabs, a blank line, then <UNSEEN>, mass and mask."""
-    rows = spark.read.text(folder).select(F.split("value", "\t").alias("p"), F.regexp_extract(F.input_file_name(), r"([^/]*)\.txt$", 1).alias("term_key"))
-    rows = rows.filter(F.size("p") > 1)
-    unseen = rows.filter("p[0] = '<UNSEEN>'").select("term_key", X.from_hex(F.get("p", F.lit(1))).alias("mass"), F.get("p", F.lit(2)).alias("mask"))
-    seen = rows.filter("p[0] <> '<UNSEEN>'").select("term_key", F.get("p", F.lit(0)).alias("terminal"), X.from_hex(F.get("p", F.lit(1))).alias("prob"), tags_of(F.get("p", F.lit(2))).alias("tags"))
-    return seen, unseen
-
-
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Lookup results: seven columns; a negative guess number is a status."""
     p = F.split("value", "\t")

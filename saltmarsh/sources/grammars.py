@@ -58,8 +58,11 @@ def write_terminals(terminals: DataFrame, path: str, masses: DataFrame | None =
 
 
 def read_terminals(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """What write_terminals wrote: terminals, and (term_key, unseen_mass)."""
-    rows = spark.read.schema("value string, term_key string").text(path).filter("value <> ''")
+    """Terminals, and (term_key, unseen_mass): from the folders that write_terminals makes, or from one file for each key, named by it (LLL.txt)."""
+    name = F.input_file_name()
+    key = F.coalesce(F.nullif(F.regexp_extract(name, r"/term_key=([LDS]+)/[^/]*$", 1), F.lit("")), F.nullif(F.regexp_extract(name, r"/([LDS]+)\.txt$", 1), F.lit("")))
+    unnamed = F.raise_error(F.concat(F.lit("no terminal key in "), name))
+    rows = spark.read.option("recursiveFileLookup", "true").text(path).select("value", F.coalesce(key, unnamed.cast("string")).alias("term_key")).filter("value <> ''")
     seen = rows.filter(_field(0) != UNSEEN).select("term_key", _field(0).alias("terminal"), _probability(_field(1)).alias("prob"), tags_of(_field(2)).alias("tags"))
     return seen, rows.filter(_field(0) == UNSEEN).select("term_key", _probability(_field(1)).alias("unseen_mass"))
 
