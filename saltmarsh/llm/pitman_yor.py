@@ -40,7 +40,7 @@ SWEEPS, BURN_IN = 5, 2
 #: Dishes up to this many customers are seated by their conditional, others in blocks.
 EXACT = 200
 #: Text bytes in one chunk of documents, and for each bucket of words.
-CHUNK_BYTES, BUCKET_BYTES = 12 << 20, 24 << 20
+CHUNK_BYTES, BUCKET_BYTES = 12 << 20, 12 << 20
 CONCENTRATION = 1.0
 #: Logarithms of a pair's probability are kept in steps of one in so many.
 STEP = 8192
@@ -325,6 +325,7 @@ def _pair_parts(chunks: DataFrame, buckets: int, counted: bool) -> DataFrame:
                     at = np.cumsum(own) - 1
                     out.append((number, j, int(context[a]), common.pack_sorted(hashes[own]), pickle.dumps((common.pack_sorted(at[v[a:b]]), common.pack_ints(at[w[a:b]]))), common.pack_ints(k[a:b])))
                 yield pd.DataFrame(out, columns=["chunk", "part", "context", "hashes", "pairs", "k"])
+                common.give_back()
 
     return chunks.mapInPandas(run, "chunk long, part int, context int, hashes binary, pairs binary, k binary")
 
@@ -485,6 +486,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
         x = Contexts.of([common.unpack_sorted(h) for h in pdf["hashes"]], [_unpaired(p) for p in pdf["pairs"]], [common.unpack_ints(k) for k in pdf["k"]])
         up, bucket = x.up(), int(pdf["context"].iloc[0])
         mine = (bucket, None, x.pack(), None, None, int(up[x.hashes == END].sum()), int((x.k == 1).sum()), int((x.k == 2).sum()))
+        common.give_back()
         return pd.DataFrame([mine, *_ups(bucket, x.hashes, up, buckets)], columns=[f.split()[0] for f in ROOMS.split(", ")])
 
     rooms = common.stash(_pair_parts(texts, buckets, True).groupBy("context").applyInPandas(build, ROOMS), "rooms")
@@ -521,6 +523,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
                 base = spelling.value.log_probability(ws) if r.base is None else common.unpack(r.base, np.float64)
                 t = draw_tables(n, base, np.full(len(n), mass), np.maximum(tables - old, 0), d, CONCENTRATION, np.random.default_rng([11, sweep, int(r.bucket)])) if len(ws) else n
                 out.append((r.bucket, r.words, common.pack_ints(t), common.pack_ints(n), common.pack(base), common.pack_sorted(hashes), int(n.sum()), int(t.sum()), int((n == 1).sum()), int((n == 2).sum()), float(np.exp(base).sum())))
+            common.give_back()
             return pd.DataFrame(out, columns=["bucket", "words", "t", "n", "base", "hashes", "customers", "tables", "once", "twice", "spelled"])
 
         ups = rooms.filter("bucket is not null").select("context", "bucket", "hashes", "up")
@@ -555,6 +558,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
                     i = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     got = np.where(known[i] == h, p[i], got).astype(np.float32)
                 out.append((r.context, r.bucket, common.pack(got)))
+            common.give_back()
             return pd.DataFrame(out, columns=["context", "bucket", "p"])
 
         offers = ups.select("context", "bucket", "hashes").groupBy("bucket").cogroup(state.select("bucket", "t", "n", "base", "hashes").groupBy("bucket")).applyInPandas(offer, "context int, bucket int, p binary")
@@ -570,7 +574,10 @@ def score_texts(docs: DataFrame) -> DataFrame:
                 x.sum = (x.sum + p).astype(np.float32)
             up = x.up()
             mine = (bucket, None, x.pack(), None, None, int(up[x.hashes == END].sum()), 0, 0)
-            return pd.DataFrame([mine, *(_ups(bucket, x.hashes, up, buckets) if sweep < SWEEPS - 1 else [])], columns=[f.split()[0] for f in ROOMS.split(", ")])
+            hashes = x.hashes
+            del x, p, base
+            common.give_back()
+            return pd.DataFrame([mine, *(_ups(bucket, hashes, up, buckets) if sweep < SWEEPS - 1 else [])], columns=[f.split()[0] for f in ROOMS.split(", ")])
 
         new = common.stash(rooms.filter("state is not null").select("context", "state").groupBy("context").cogroup(offers.groupBy("context")).applyInPandas(reseat, ROOMS), "rooms")
         common.drop(rooms)
@@ -599,6 +606,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
         x = Contexts.unpack(right["state"].iloc[0])
         logp = np.rint(np.maximum(-np.log10(np.maximum(x.sum / (SWEEPS - BURN_IN), 1e-30)), 0) * STEP).astype(np.int64)
         out = [(r.chunk, None, r.part, None, common.pack_ints(logp[x.places(common.unpack_sorted(r.hashes), *_unpaired(r.pairs))])) for r in left.itertuples(index=False)]
+        common.give_back()
         return pd.DataFrame(out, columns=["chunk", "bucket", "part", "n", "logp"])
 
     schema = "chunk long, bucket int, part int, n binary, logp binary"
