@@ -5,7 +5,9 @@ the same thing before does so after. A surrogate is a keyed permutation of the s
 shape (letters by case and script, digits, hexadecimal digits; punctuation stays; a crowded shape gets letters), so two entities of a type
 never share one by construction. Collisions are checked over all entities: a surrogate that is itself an
 entity of the corpus, or that another entity got in an earlier attempt, is drawn again with another tweak.
-Given names are permuted inside a list of their gender; card numbers keep whether their check digit holds;
+Names are words after titles (also several, and with small words such as `von` between), after phrases such as
+`my name is` or `regards`, or after given names; they are the same in any case, and surrogates are written as the name
+is. Given names are permuted inside a list of their gender; card numbers keep whether their check digit holds;
 addresses stay public or private.
 
 Defined results: null stays null and empty stays empty, with 0 entities; repeated rows get equal results;
@@ -37,12 +39,16 @@ GIVEN = {
     "given_f": "Alice Anna Barbara Carmen Charlotte Claire Elena Elizabeth Emily Emma Heike Ingrid Isabel Jane Jennifer Julia Karen Laura Linda Lucia Maria Marie Mary Nancy Olivia Patricia Petra Sabine Sarah Sophie Susan Ursula".split(),
     "given_m": "Adam Albert Andreas Antonio Carlos Charles Daniel David Diego Fernando Francisco Georg Hans Henri James Javier Jean John Jorge Joseph Jürgen Karl Klaus Louis Manuel Michael Miguel Paul Peter Pierre Robert Thomas".split(),
 }
-TITLES = "Mr Mrs Ms Dr Prof Herr Frau Monsieur Madame Señor Señora Don Doña Господин Госпожа Доктор".split()
+TITLES = "Mr Mrs Ms Miss Mister Sir Dr Prof Doctor Professor Herr Herrn Frau Doktor Professorin Monsieur Madame Mademoiselle Mme Mlle Docteur Señor Señora Señorita Sr Sra Don Doña Doctora Господин Госпожа Доктор".split()
+PARTICLES = "von vom van den der de del della di da dos du la le ten ter zu zum bin ibn al el".split()
+CUES = r"[Ss]igned|[Rr]egards|[Ss]incerely|[Mm]y name is|[Ii]ch hei(?:ß|ss)e|[Mm]ein Name ist|[Gg]r(?:ü|ue)(?:ß|ss)en|[Jj]e m['’]appelle|[Cc]ordialement|[Mm]e llamo|[Mm]i nombre es|[Aa]tentamente"
+CUE_WORDS = "signed regards sincerely name heiße heisse Name grüßen gruessen grüssen appelle cordialement llamo nombre atentamente".split()
+NAMES = ("surname", *GIVEN)
 GENDER = {name: kind for kind, names in GIVEN.items() for name in names}
 
 #: What may hold an entity at all: each match of FINDERS has one of these inside, or a title or given name as a word.
-HINT = re.compile(r"@|[0-9]{3}|(?:[0-9]+[.]){3}|[+][0-9]|[0-9a-fA-F]{32}|[A-Z]{2}[0-9]{2} ?[0-9A-Z]{4}|(?:[0-9a-fA-F]{1,4}:){7}|A[KS]IA[0-9A-Z]{16}").search
-LETTERS, BEFORE_NAMES = re.compile(r"[^\W\d_]+").findall, frozenset([*TITLES, *GENDER])
+HINT = re.compile(r"@|::|gh[pousr]_|eyJ|xox[baprs]-|(?i:passw|pwd|secret|api.?key|token)|[0-9]{3}|(?:[0-9]+[.]){3}|[+][0-9]|[0-9a-fA-F]{32}|[A-Z]{2}[0-9]{2} ?[0-9A-Z]{4}|(?:[0-9a-fA-F]{1,4}:){7}|A[KS]IA[0-9A-Z]{16}").search
+LETTERS, BEFORE_NAMES = re.compile(r"[^\W\d_]+").findall, frozenset([*TITLES, *GENDER, *CUE_WORDS, *(w[0].upper() + w[1:] for w in CUE_WORDS)])
 
 
 def hinted(text: str) -> bool:
@@ -52,20 +58,25 @@ def hinted(text: str) -> bool:
 WORDS = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
 #: A word that begins with no small letter; scripts without case have none.
 NAMED = rf"(?=[^\W\d_a-zß-öø-ÿα-ωа-яё]){WORDS}"
+#: A name's part, with what may stand before it in small letters.
+FULL = rf"(?:(?:{'|'.join(PARTICLES)}) +){{0,3}}{NAMED}"
 FINDERS = re.compile(
     r"(?P<email>(?<![\w.+-])[\w.+-]+@[^\W_]+(?:[.-][^\W_]+)*\.[A-Za-z]{2,}(?![\w]))"
     r"|(?P<ip>(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9]))"
     r"|(?P<ipv6>(?<![\w:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:]))"
+    r"|(?P<short_ipv6>(?<![\w:])(?=[0-9a-fA-F:]*[0-9])(?:[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,5})?::(?:[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,5})?(?![\w:]))"
+    r"|(?P<token>(?<![\w-])(?:gh[pousr]_[A-Za-z0-9]{20,255}|xox[baprs]-[A-Za-z0-9-]{10,250}|eyJ[\w-]{8,4000}\.[\w-]{8,8000}\.[\w-]{4,4000})(?![\w-]))"
+    r"|(?P<password>(?i:passwor[dt]|passwd|pwd|secret|api[_ -]?key|token)[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?P<value>(?=[^\s\"']*[0-9])[^\s\"',;]{8,128}))"
     r"|(?P<key>(?<![\w])A[KS]IA[0-9A-Z]{16}(?![\w]))"
     r"|(?P<secret>(?<![\w])(?=[a-fA-F]*[0-9])[0-9a-fA-F]{32,128}(?![\w]))"
     r"|(?P<iban>(?<![\w])[A-Z]{2}[0-9]{2}(?:[0-9A-Z]{11,30}|(?: [0-9A-Z]{4}){2,7}(?: [0-9A-Z]{1,3})?)(?![\w]))"
     r"|(?P<card>(?<![\w.])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![\w]|\.[0-9]))"
-    r"|(?P<phone>(?<![\w.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?)[0-9]{3,4}[ .-]?[0-9]{3,4}(?![\w])|(?<![\w.])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![\w])|(?<![\w.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-]))"
+    r"|(?P<phone>(?<![\w.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?)[0-9]{3,4}[ .-]?[0-9]{3,4}(?![\w])|(?<![\w.])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![\w])|(?<![\w.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-])|(?<![\w.-])0[0-9]{2,4}(?:[ /-][0-9]{5,8}| [0-9]{3,4} [0-9]{4})(?![\w-]))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
-    rf"|(?P<name>\b(?:{'|'.join(TITLES)})\.? +{NAMED}(?: +{NAMED}){{0,2}}|\b(?:{'|'.join(sorted(GENDER))}) +{NAMED})"
+    rf"|(?P<name>\b(?:{'|'.join(TITLES)})\.?(?: +(?:{'|'.join(TITLES)})\b\.?)* +{FULL}(?: +{FULL}){{0,2}}|\b(?:{CUES})\b[,:]?\s{{1,4}}{FULL}(?: +{FULL}){{0,2}}|\b(?:{'|'.join(sorted(GENDER))}) +{FULL})"
 )
 HEXADECIMAL = re.compile(r"[0-9a-fA-F]{32,128}")
-TITLE = re.compile(rf"(?:{'|'.join(TITLES)})\.? +")
+TITLE = re.compile(rf"(?:(?:{'|'.join(TITLES)})\b\.? +)+|(?:{CUES})\b[,:]?\s+(?:(?:{'|'.join(TITLES)})\b\.? +)*")
 IBAN_LETTERS = {c: str(i + 10) for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZ")}
 
 
@@ -75,29 +86,67 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def canonical(name: str) -> str:
+    """A name's form for all its cases: small letters, with a capital at the start of each part."""
+    return re.sub(r"[^\W\d_]+", lambda m: m[0][0].upper() + m[0][1:].lower() if len(m[0][0].upper()) == 1 else m[0], name)
+
+
+def recased(made: str, was: str) -> str:
+    """A name's surrogate as the name is written: in capitals, with a capital inside, or as it is."""
+    letters = [c for c in was if c.isalpha()]
+    if len(letters) > 1 and was == was.upper() and was != was.lower():
+        return "".join(c.upper() if len(c.upper()) == 1 else c for c in made)
+    if was != canonical(was) and len(was) <= len(made):
+        return "".join(m.upper() if w.isupper() and len(m.upper()) == 1 else m for w, m in zip(was, made)) + made[len(was) :]
+    return made
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
-    """Start, end, type and entity of what a text holds. A full name gives one entity for each part, and each bare repeat of a part in the same text is the same entity; a single letter isn't told from other uses and has no repeats."""
+    """Start, end, type and entity of what a text holds. A full name gives one entity for each part, whatever its case, and each bare repeat of a part in the same text is the same entity; a single letter isn't told from other uses and has no repeats."""
     out = []
-    names: dict[str, str] = {}
+    names: dict[str, tuple[str, str]] = {}
     for m in FINDERS.finditer(text):
         kind, start, end = m.lastgroup, m.start(), m.end()
         if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")):
             continue
+        if kind == "short_ipv6":
+            if not _is_ip(m[0]):
+                continue
+            kind = "ipv6"
+        if kind == "password":
+            start, end = m.span("value")
+            # what has a form of its own is of that type
+            inner = FINDERS.match(text, start)
+            if inner and inner.end() == end and inner.lastgroup not in ("password", "name", "short_ipv6"):
+                kind = inner.lastgroup
         if kind == "name":
             at = start + (t.end() if (t := TITLE.match(m[0])) else 0)
             for part in re.finditer(WORDS, text[at:end]):
-                if at + part.start() >= start:
-                    name = re.sub("['’]s$", "", part[0])
-                    names[name] = GENDER.get(name, "surname")
-                    out.append((at + part.start(), at + part.start() + len(name), names[name], name))
+                written = re.sub("['’]s$", "", part[0])
+                if written in PARTICLES:
+                    continue
+                name = canonical(written)
+                of = GENDER.get(name, "surname"), name
+                names |= {x: of for x in (written, name, name.upper())}
+                out.append((at + part.start(), at + part.start() + len(written), *of))
             continue
-        value = m[0].lower() if kind in ("email", "secret", "ipv6") else m[0].replace(" ", "") if kind == "iban" else m[0]
+        value = text[start:end]
+        value = value.lower() if kind in ("email", "secret", "ipv6") else value.replace(" ", "") if kind == "iban" else value
         out.append((start, end, kind, value))
     return out + _repeats(text, names, out) if names else out
 
 
-def _repeats(text: str, names: dict[str, str], found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
-    """Where names stand as whole words outside of what was found; the longer of two names goes first."""
+def _is_ip(text: str) -> bool:
+    import ipaddress
+
+    try:
+        return bool(ipaddress.ip_address(text))
+    except ValueError:
+        return False
+
+
+def _repeats(text: str, names: dict[str, tuple[str, str]], found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Where names stand as whole words outside of what was found, as they were written, with a capital or in capitals; the longer of two names goes first."""
     out = []
     spans = sorted((a, b) for a, b, _, _ in found)
     for name in sorted(names, key=len, reverse=True):
@@ -109,7 +158,7 @@ def _repeats(text: str, names: dict[str, str], found: list[tuple[int, int, str,
                 i = bisect.bisect_left(spans, (at, end))
                 if (i == 0 or spans[i - 1][1] <= at) and (i == len(spans) or spans[i][0] >= end):
                     spans.insert(i, (at, end))
-                    out.append((at, end, names[name], name))
+                    out.append((at, end, *names[name]))
             at = text.find(name, end)
     return out
 
@@ -224,6 +273,9 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
     if kind == "ipv6":
         digits = iter(permute_shape(entity.replace(":", ""), key, tweak + "/".join(str(len(x)) for x in entity.split(":")), hexadecimal=True))
         return "".join(c if c == ":" else next(digits) for c in entity)
+    if kind == "token":
+        cut = re.match(r"gh._|xox.-|eyJ", entity).end()
+        return entity[:cut] + permute_shape(entity[cut:], key, tweak + entity[:cut])
     if kind == "key":
         return entity[:4] + permute_shape(entity[4:], key, tweak + entity[:4])
     if kind == "iban":
@@ -280,7 +332,9 @@ def replace(text: str, spans: list) -> str:
     for s in sorted(spans, key=lambda s: s["start"]):
         was = text[s["start"] : s["stop"]]
         made = s["surrogate"]
-        if " " in was and " " not in made and len(was.replace(" ", "")) == len(made):  # an account number keeps its groups
+        if s["kind"] in NAMES:
+            made = recased(made, was)
+        elif " " in was and " " not in made and len(was.replace(" ", "")) == len(made):  # an account number keeps its groups
             digits = iter(made)
             made = "".join(c if c == " " else next(digits) for c in was)
         elif made == made.lower() and HEXADECIMAL.fullmatch(was):  # so does a secret
@@ -306,7 +360,7 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     entities = common.stash(spans.select("kind", "entity").distinct(), "entities")
     given = assign(entities, key)
     # a frequent entity is in very many spans: Spark's skew join splits them
-    changes = common.stash(spans.join(given, ["kind", "entity"]).groupBy(F.col("row_key").alias(KEY)).agg(F.collect_list(F.struct("start", "stop", "surrogate")).alias(SPANS)), "changes")
+    changes = common.stash(spans.join(given, ["kind", "entity"]).groupBy(F.col("row_key").alias(KEY)).agg(F.collect_list(F.struct("start", "stop", "kind", "surrogate")).alias(SPANS)), "changes")
     common.drop(spans, entities)
     wanted = docs.sparkSession.sparkContext.broadcast(bits_of(changes.select(F.xxhash64(KEY).alias("h"))))
 
