@@ -4,8 +4,13 @@ A byte-pair encoding is fixed by its adjacent pairs: a sequence of tokens is the
 if and only if each adjacent pair is the encoding of the pair's bytes. So each prefix of a piece has
 exactly one last token, and the count at a prefix is one more than the count before that token.
 
-Defined results: null and empty texts have 0 tokens, one prefix (the empty one) and n_bytes 0; repeated
-rows give repeated rows; other columns are not read; an empty table gives an empty table.
+The query stores the counts of all prefixes of each text, as compressed differences, and answers from them: the number
+of tokens is the last count, and the longest prefix within a limit is the last count that isn't larger. A piece's own
+counts are worked out once and kept; white space is counted by runs, as a prefix may end inside one.
+
+Defined results: null and empty texts have 0 tokens, one prefix (the empty one) and n_bytes 0; texts of any length are
+read whole; prefixes with equal counts: the longest is kept; repeated rows give repeated rows; other columns are not
+read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,6 +35,7 @@ PATTERN = r" ?\p{L}+| ?\p{N}+|'(?:s|t|re|ve|m|ll|d)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: The same split for texts of these characters, in classes that the faster standard module has.
 LATIN = re.compile(r"[\t-\r -~À-ɏ]*").fullmatch
 LATIN_PATTERN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\sA-Za-zÀ-ÖØ-öø-ɏ0-9]+|\s+(?!\S)|\s+").findall
+BLANKS = re.compile(r"\s{2,}").finditer
 #: Distinct pieces kept in memory by a task; beyond it the store is emptied.
 CACHE_PIECES = 200_000
 
@@ -106,9 +112,12 @@ class PrefixCounter:
 
     def counts(self, piece: bytes) -> np.ndarray:
         """Token counts at each byte prefix."""
-        lasts, out = self.lasts(piece), np.zeros(len(piece) + 1, np.int64)
-        for i in range(1, len(lasts)):
-            out[i] = out[i - len(lasts[i])] + 1
+        return np.array(self._counted(piece), np.int64)
+
+    def _counted(self, piece: bytes) -> list[int]:
+        out = [0]
+        for i, last in enumerate(self.lasts(piece)[1:], 1):
+            out.append(out[i - len(last)] + 1)
         return out
 
     def whole(self, piece: str) -> int:
@@ -132,57 +141,39 @@ class PrefixCounter:
             at -= len(lasts[at])
         return out[::-1]
 
-    def total(self, text: str, limit: int | None = None) -> tuple[int, int]:
-        """The tokens of a text, and the characters of its longest prefix within the limit.
-
-        Counts are summed by piece; a table is made only of the pieces around the limit, or of all of a text with special strings.
-        """
-        n = at = 0
-        keep = None if limit is not None else len(text)
-        known = self.known.__getitem__
-        parts = self.split(text)
-        for k, part in enumerate(parts):
-            pieces = [part] if k % 2 else self.findall(part)
-            counts = [1] if k % 2 else list(map(known, pieces))
-            more = sum(counts)
-            if keep is None and n + more > limit and len(parts) == 1:
-                keep = self._cut(text, limit, n, at, pieces, counts)
-            n += more
-            at += len(part)
-        if keep is None and n > limit:  # beside special strings the counts of prefixes go down, too: the whole table tells
-            keep = longest_within(self.table(text), limit)
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        return n, len(text) if keep is None else keep
-
-    def _cut(self, text: str, limit: int, n: int, at: int, pieces: list[str], counts: list[int]) -> int:
-        """Pieces before the one that passes the limit fit whole; longer prefixes fit only inside it, or where white space goes on."""
-        sums = n + np.cumsum(counts)
-        k = int(np.searchsorted(sums, limit, "right"))
-        first = k
-        while first and pieces[first - 1].isspace():
-            first -= 1
-        start = at + sum(map(len, pieces[:first]))
-        stop = start + sum(map(len, pieces[first : k + 1]))
-        while stop < len(text) and text[stop - 1].isspace():
-            stop += 1
-        if text.startswith(tuple(self.special), stop):
-            stop += max(map(len, self.special)) - 1
-        before = n if not first else int(sums[first - 1])
-        return start + longest_within(self.table(text[start:stop]) + before, limit)
-
     @property
-    def known(self) -> dict[str, int]:
-        if "_known" not in self.__dict__:
-            whole = self.whole
+    def differences(self) -> dict[str, bytes]:
+        """Of pieces: what each character adds to the count. A contraction's prefixes are split as such."""
+        if "_differences" not in self.__dict__:
 
             class Known(dict):
-                def __missing__(self, piece):
-                    n = self[piece] = whole(piece)
-                    return n
-
-            self._known = Known()
-        return self._known
+                def __missing__(known, piece):
+                    if piece.isascii() and piece[0] != "'":
+                        counts = self._counted(piece.encode())
+                        out = known[piece] = bytes([(b - a) & 255 for a, b in zip(counts, counts[1:])])
+                        return out
+                    counts = self._piece_counts(piece)
+                    if len(piece) > 1 and piece[0] == "'" and piece[1].isalpha():
+                        counts = np.array([0, *(sum(map(self.whole, self.findall(piece[:j]))) for j in range(1, len(piece))), counts[-1]])
+                    out = known[piece] = np.diff(counts).astype(np.int8).tobytes()
+                    return out
+
+            self._differences = Known()
+        return self._differences
+
+    def stored(self, text: str) -> np.ndarray:
+        """The same as table(), by kept pieces for texts of usual characters without special strings."""
+        if not LATIN(text) or any(s in text for s in self.special):
+            return self.table(text)
+        if len(self.differences) > CACHE_PIECES:
+            self.differences.clear()
+        out = np.zeros(len(text) + 1, np.int32)
+        np.cumsum(np.frombuffer(b"".join(map(self.differences.__getitem__, LATIN_PATTERN(text))), np.int8), out=out[1:], dtype=np.int32)
+        for m in BLANKS(text):
+            start, end = m.span()
+            # a prefix that ends in white space has all of the run so far in one piece
+            out[start + 1 : end + 1] = out[start] + self._piece_counts(m[0])[1:]
+        return out
 
     def _piece_counts(self, piece: str) -> np.ndarray:
         """Token counts at each character prefix of a piece."""
@@ -271,25 +262,57 @@ def chars_within(prefix_tokens: str, budget: int):
     return F.array_max(good)
 
 
-def token_counts(docs: DataFrame, path: str, limit: int) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit and keep_chars: the longest prefix within the limit.
+def pack_counts(table: np.ndarray) -> bytes:
+    """A table of prefix counts as compressed differences."""
+    return common.squeeze(np.diff(table).astype(np.int16).tobytes())
+
+
+def unpack_counts(blob: bytes) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(common.unpack(blob, np.int16), dtype=np.int64)])
 
-    A text within the limit by its last count needs no search; for others the prefix table is searched.
-    """
+
+def stored_tokens_within(prefix_counts: str, n_chars):
+    """Column: tokens of the first n_chars characters, from stored counts."""
+
+    @F.pandas_udf("long")
+    def answer(blobs: pd.Series, n: pd.Series) -> pd.Series:
+        tables = map(unpack_counts, blobs)
+        return pd.Series([int(t[min(int(k), len(t) - 1)]) for t, k in zip(tables, n)])
+
+    return answer(F.col(prefix_counts), n_chars)
+
+
+def stored_chars_within(prefix_counts: str, budget: int):
+    """Column: characters of the longest prefix within a token budget, from stored counts."""
+
+    @F.pandas_udf("long")
+    def answer(blobs: pd.Series) -> pd.Series:
+        return pd.Series([longest_within(unpack_counts(b), budget) for b in blobs])
+
+    return answer(F.col(prefix_counts))
+
+
+def token_counts(docs: DataFrame, path: str, limit: int) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit, keep_chars (the longest prefix within the limit) and prefix_counts, the stored counts of all prefixes, from which the others follow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            n, keep = zip(*(c.total(t, limit) for t in texts)) if texts else ((), ())
+            n, keep, blobs = [], [], []
+            for t in texts:
+                table = c.stored(t)
+                n.append(int(table[-1]))
+                keep.append(longest_within(table, limit))
+                blobs.append(pack_counts(table))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n]), pa.array(keep, pa.int64())],
-                names=["doc_id", "n_bytes", "n_tokens", "over_limit", "keep_chars"],
+                [batch.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n]), pa.array(keep, pa.int64()), pa.array(blobs, pa.binary())],
+                names=["doc_id", "n_bytes", "n_tokens", "over_limit", "keep_chars", "prefix_counts"],
             )
         common.give_back()
 
     common.batch_rows(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, keep_chars long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, keep_chars long, prefix_counts binary")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,13 +23,36 @@ def made():
     return path, {t: [count(t[:i]) for i in range(len(t) + 1)] for t in texts}
 
 
-def test_every_prefix_and_the_longest_within_a_limit(made):
+def test_every_prefix_by_either_way(made):
     path, want = made
     c = tokens.counter(path)
     for text, counts in want.items():
-        assert c.table(text).tolist() == counts, text
-        for limit in range(0, max(counts) + 1):
-            assert c.total(text, limit) == (counts[-1], int(np.flatnonzero(np.array(counts) <= limit)[-1]) if counts[-1] > limit else len(text)), (text, limit)
+        assert c.table(text).tolist() == counts == c.stored(text).tolist(), text
+        assert tokens.unpack_counts(tokens.pack_counts(c.stored(text))).tolist() == counts
+
+
+def test_every_prefix_of_usual_texts():
+    from tokenizers import Tokenizer
+
+    path, rng = tokens.vocabulary_path(), random.Random(9)
+    library, c = Tokenizer.from_file(path), tokens.counter(path)
+    parts = ["don't", "'ll", "'", "l", " the", " ", "  ", "\n", "\t ", "Straße", " élan", "x1y22", "...", "?! ", "we're", " 'tis", "12345", "(", ")", "\r\n", "ing"]
+    for _ in range(120):
+        text = "".join(rng.choices(parts, k=rng.randrange(1, 12)))
+        assert tokens.LATIN(text)
+        assert c.stored(text).tolist() == [len(library.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)], text
+
+
+def test_the_query_answers_from_stored_counts(spark, made):
+    path, want = made
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate([*want, None])], "doc_id long, text string, prefix_counts string")
+    out = tokens.token_counts(docs, path, 4)
+    rows = out.select("*", tokens.stored_tokens_within("prefix_counts", F.lit(5)).alias("first"), tokens.stored_chars_within("prefix_counts", 3).alias("chars")).collect()
+    texts = [*want, ""]
+    for r in rows:
+        counts = np.array(want[texts[r.doc_id]])
+        assert (r.n_tokens, r.over_limit, r.keep_chars) == (counts[-1], counts[-1] > 4, np.flatnonzero(counts <= 4)[-1])
+        assert (r.first, r.chars, r.n_bytes) == (counts[min(5, len(counts) - 1)], np.flatnonzero(counts <= 3)[-1], len(texts[r.doc_id].encode()))
 
 
 def test_stored_tables_answer_questions(spark, made):
