@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from saltmarsh.functions.text import strip_breaks
 from saltmarsh.operators.grammar import terminal_groups
-from saltmarsh.operators.patterns import enumerate_groups, strings
+from saltmarsh.operators.patterns import enumerate_groups, pieces, strings
 from saltmarsh.plans.shared import running_sum, stash
 
 
@@ -72,12 +73,14 @@ def guesses(structures: DataFrame, terminals: DataFrame, limit: int, step: float
     """
     groups = stash(terminal_groups(terminals), "groups")
     kept = stash(structures, "structures")
-    best = enumerate_groups(kept, groups.filter("group_idx = 0"), 0.0, canonical=False).agg(F.max("prob")).first()[0]
-    if not best:
+    # the likeliest pre-terminal, and a bound that none is under
+    placed = pieces(kept).select("structure", "structure_prob", F.explode("pieces").alias("term_key"))
+    ends = groups.groupBy("term_key").agg(F.max("prob").alias("most"), F.min("prob").alias("least"))
+    logs = placed.join(ends, "term_key", "left").groupBy("structure", "structure_prob").agg(F.count_if(F.col("most").isNull()).alias("lacking"), F.sum(F.ln("most")).alias("most"), F.sum(F.ln("least")).alias("least"))
+    edges = logs.filter("lacking = 0").agg(F.max(F.ln("structure_prob") + F.col("most")).alias("most"), F.min(F.ln("structure_prob") + F.col("least")).alias("least")).first()
+    if edges.most is None:
         return terminals.sparkSession.createDataFrame([], "rank long, prob double, string string")
-    # no string is less likely than all the least groups of the least structure
-    floor = enumerate_groups(kept, groups.join(groups.groupBy("term_key").agg(F.max("group_idx").alias("group_idx")), ["term_key", "group_idx"]), 0.0, canonical=False).agg(F.min("prob")).first()[0]
-    cutoff = best
+    cutoff, floor = math.exp(edges.most) / step, math.exp(edges.least) * (1 - 1e-9)
     product = F.aggregate("sizes", F.lit(1).cast("decimal(38,0)"), lambda a, x: (a * x).cast("decimal(38,0)"))
     while cutoff > floor and (enumerate_groups(kept, groups, cutoff, canonical=False).agg(F.sum(product)).first()[0] or 0) < limit:
         cutoff = max(cutoff / step, floor)
