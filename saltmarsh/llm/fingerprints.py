@@ -8,10 +8,12 @@ are equal, an estimate of the Jaccard similarity.
 Next documents: the table is sorted by doc_id over range partitions, and each task knows the next of all its rows but
 the last; that one and each partition's first row meet in a small table with two rows for each partition.
 
-Near copies: documents with equal sets of shingles are one class; 32 bands of a signature are joined in Spark, classes
-of a band's bucket are tried with its least one, and pairs are links if the Jaccard similarity of their whole sets is at
-least 0.75. Buckets that links leave in several components are compared in blocks, so no pair of a bucket is passed
-over. Two texts of similarity 0.75 share no band with a probability under 0.00001.
+Near copies: documents with equal sets of shingles (those with blanks included) are one class; 32 bands of a signature
+are joined in Spark, classes of a band's bucket are tried with its least one, and pairs are links if the Jaccard
+similarity of their whole sets is at least 0.75. Buckets that links leave in several components are compared in blocks,
+so no pair of a bucket is passed over. Pairs whose signatures agree in less than half of their places are not verified.
+Two texts of similarity 0.75 share no band with a probability under 0.00001, and agree in less than half of the places
+with one under 0.000000001.
 
 Defined results: null and empty texts have no words; texts without words have the fingerprint of ones alone, are alike
 (1) to each other, not (0) to others, and stand alone in their class; a text of any length is read whole; rows of one
@@ -31,11 +33,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from saltmarsh.llm import common
 from saltmarsh.llm.components import components
 from saltmarsh.llm.decontam import bits_of, passes
-from saltmarsh.llm.ngram_join import BLOCK, _compare, _sets, fingerprint, shingle_sets, verified
+from saltmarsh.llm.ngram_join import BLOCK, _compare, fingerprint, verified
 
 #: Permutations of a signature, and places of one band.
 PERMUTATIONS, BAND = 128, 4
@@ -46,21 +49,27 @@ ADDENDS = _rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32)
 BLANK = np.uint64(0x5851F42D4C957F2D)
 
 
+def _windows(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle that ends at each word of some texts, and the number of words before each text and after the last."""
+    words, _, _, before = common.word_hashes(texts, common.SPACED)
+    n = np.diff(before)
+    # each text's words stand after k - 1 blanks
+    at = np.arange(len(words)) + (k - 1) * (np.repeat(np.arange(len(texts)), n) + 1)
+    padded = np.full(len(words) + (k - 1) * len(texts), BLANK)
+    padded[at] = words
+    return (common.shingle_hashes(padded, k)[at - (k - 1)] if len(words) else words), before
+
+
 def signatures(texts: list[bytes], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """A row of 16-bit numbers for each text, and whether it has words."""
     out = np.full((len(texts), PERMUTATIONS), 0xFFFF, np.uint16)
     some = np.zeros(len(texts), bool)
     for a, b in common.chunks(texts):
-        words, _, _, before = common.word_hashes(texts[a:b], common.SPACED)
-        n = np.diff(before)
-        if not len(words):
+        shingles, before = _windows(texts[a:b], k)
+        if not len(shingles):
             continue
-        # each text's words stand after k - 1 blanks; a shingle ends at each word
-        at = np.arange(len(words)) + (k - 1) * (np.repeat(np.arange(b - a), n) + 1)
-        padded = np.full(len(words) + (k - 1) * (b - a), BLANK)
-        padded[at] = words
-        values = (common.shingle_hashes(padded, k)[at - (k - 1)] >> np.uint64(32)).astype(np.uint32)
-        rows = np.flatnonzero(n)
+        values = (shingles >> np.uint64(32)).astype(np.uint32)
+        rows = np.flatnonzero(np.diff(before))
         least = np.empty((len(rows), PERMUTATIONS), np.uint32)
         for i in range(PERMUTATIONS):
             least[:, i] = np.minimum.reduceat(values * FACTORS[i] + ADDENDS[i], before[:-1][rows])
@@ -69,6 +78,14 @@ def signatures(texts: list[bytes], k: int = SHINGLE) -> tuple[np.ndarray, np.nda
     return out, some
 
 
+def shingle_sets(texts: list[bytes], k: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The sorted distinct shingles of each text."""
+    for a, b in common.chunks(texts):
+        shingles, before = _windows(texts[a:b], k)
+        for lo, hi in zip(before[:-1].tolist(), before[1:].tolist()):
+            yield np.unique(shingles[lo:hi])
+
+
 def likeness(a: np.ndarray, b: np.ndarray, some_a: np.ndarray, some_b: np.ndarray) -> np.ndarray:
     """The share of equal places, row by row."""
     return np.where(some_a & some_b, (a == b).mean(1), (some_a == some_b).astype(float))
@@ -95,7 +112,7 @@ def _rows(ids: list, ties: list, texts: list[str], part: int) -> Iterator[pa.Rec
     sig, some = signatures(raw)
     new = [edited(a, b).encode() for a, b in zip(texts, texts[1:])]
     new_sig, new_some = signatures(new)
-    sets = list(shingle_sets(raw[:m], SHINGLE))
+    sets = list(shingle_sets(raw[:m]))
     columns = [
         ids[:m], ties[:m], [fingerprint(s) if len(s) else None for s in sets], [len(s) for s in sets], [len(t) for t in texts[:m]], [hashlib.sha256(t).hexdigest() for t in new], [x.tobytes() for x in sig[:m]], [x.tobytes() for x in new_sig],
         likeness(sig[:m], new_sig, some[:m], new_some), likeness(sig[:m], sig[1:], some[:m], some[1:]),
@@ -159,7 +176,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return found.filter(F.col("kind") == DONE).select(RESULT).unionByName(tails.mapInArrow(_across, SCHEMA).select(RESULT))
 
 
-def _wanted_sets(texts: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """fp and whole set of each text."""
+    for batch in batches:
+        seen: dict[int, np.ndarray] = {}
+        for s in shingle_sets(common.as_bytes(batch.column("text"))):
+            if len(s):
+                seen[fingerprint(s)] = s.view(np.int64)
+        if seen:
+            ends = np.cumsum([0] + [len(s) for s in seen.values()]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(list(seen.values()))))], names=["fp", "members"])
+
+
+def _wanted_sets(texts: DataFrame, classes: DataFrame) -> DataFrame:
     """fp and members of some classes: one text of each is read again; a filter of fixed size is broadcast, and no text is shuffled."""
     wanted = texts.sparkSession.sparkContext.broadcast(bits_of(classes.select(F.col("tie").alias("h")).distinct(), 26))
 
@@ -168,7 +197,53 @@ def _wanted_sets(texts: DataFrame, classes: DataFrame, k: int) -> DataFrame:
         return pd.Series(passes(wanted.value, h.to_numpy(np.int64).view(np.uint64)))
 
     read = texts.filter(maybe(F.xxhash64("text")))
-    return common.stash(_sets(read, k).join(classes.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "sets")
+    found = read.mapInArrow(_sets, "fp long, members array<long>")
+    return common.stash(found.join(classes.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "sets")
+
+
+def _matrix(blobs) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), np.uint16).reshape(-1, PERMUTATIONS)
+
+
+@F.pandas_udf(T.BooleanType())
+def _half_alike(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series(2 * (_matrix(a) == _matrix(b)).sum(1) >= PERMUTATIONS)
+
+
+def _likely(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The classes of a block that have one of another component whose signature agrees with theirs in half of the places; small buckets share a block."""
+    out = []
+    for family, part in pdf.groupby("family", sort=False):
+        left, right = part[part["side"] == 0], part[part["side"] == 1]
+        if left.empty or right.empty:
+            continue
+        a, b = _matrix(left["sig"]), _matrix(right["sig"])
+        ca, cb = left["comp"].to_numpy(), right["comp"].to_numpy()
+        hit_a, hit_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        for i in range(len(a)):
+            near = (2 * (a[i] == b).sum(1) >= PERMUTATIONS) & (cb != ca[i])
+            hit_a[i] = near.any()
+            hit_b |= near
+        out += [(family, x) for x in {*left["fp"].to_numpy()[hit_a].tolist(), *right["fp"].to_numpy()[hit_b].tolist()}]
+    return pd.DataFrame(out, columns=["bucket", "fp"], dtype=np.int64)
+
+
+def _in_blocks(placed: DataFrame, value: str) -> DataFrame:
+    """Rows (place, family, i, j, side, fp, comp, value) that bring the classes outside of a bucket's largest component together with all of the bucket, in blocks; placed has bucket, fp, comp and the value."""
+    spark = placed.sparkSession
+    shares = placed.groupBy("bucket", "comp").agg(F.count("*").alias("m"))
+    home = shares.groupBy("bucket").agg(F.sum("m").alias("members"), F.max(F.struct("m", "comp")).alias("home"))
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+    home = home.select("bucket", blocks(F.col("members")).alias("bj"), blocks(F.col("members") - F.col("home.m")).alias("bi"), F.col("home.comp").alias("home"))
+    rest = placed.join(home, "bucket").withColumnRenamed("bucket", "family")
+    few = F.pmod(F.xxhash64("family"), F.lit(4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    place = F.when((F.col("bi") == 1) & (F.col("bj") == 1), few).otherwise(F.col("family"))
+    own = lambda n: F.pmod(F.xxhash64("fp"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["place", "family", "i", "j", "side", "fp", "comp", value]
+    outside = rest.filter("comp <> home").withColumns({"place": place, "i": own("bi"), "j": each("bj"), "side": F.lit(0)}).select(columns)
+    whole = rest.withColumns({"place": place, "i": each("bi"), "j": own("bj"), "side": F.lit(1)}).select(columns)
+    return outside.unionByName(whole)
 
 
 def near_classes(texts: DataFrame, found: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -176,15 +251,17 @@ def near_classes(texts: DataFrame, found: DataFrame, percent: int = PERCENT) ->
     spark = texts.sparkSession
     classes = common.stash(found.filter("fp is not null").groupBy("fp").agg(F.min("n_shingles").alias("n"), F.min("tie").alias("tie"), F.min("fingerprint").alias("sig")), "classes")
     band = F.transform(F.sequence(F.lit(0), F.lit(PERMUTATIONS // BAND - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * 2 * BAND + 1, F.lit(2 * BAND))))
-    entries = classes.select("fp", "n", F.explode(band).alias("bucket"))
+    entries = classes.select("fp", F.explode(band).alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.min("fp").alias("centre"), F.count("*").alias("m")).filter("m > 1")
     entries = common.stash(entries.join(shared, "bucket"), "buckets")
     common.free_shuffles(spark)
     sizes = classes.select(F.col("fp").alias("a"), F.col("n").alias("na"))
-    tried = entries.filter("fp <> centre").select(F.col("centre").alias("a"), F.col("fp").alias("b"), F.col("n").alias("nb")).distinct().join(sizes, "a")
-    tried = common.stash(tried.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"), "tried")
+    sides = [classes.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "ab"]
+    tried = entries.filter("fp <> centre").select(F.col("centre").alias("a"), F.col("fp").alias("b")).distinct().join(sides[0], "a").join(sides[1], "b")
+    tried = tried.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).filter(_half_alike("sa", "sb"))
+    tried = common.stash(tried.select("a", "b"), "tried")
     used = tried.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    sets = _wanted_sets(texts, classes.join(used, "fp", "left_semi"), SHINGLE)
+    sets = _wanted_sets(texts, classes.join(used, "fp", "left_semi"))
     links = common.stash(verified(tried, sets, percent), "links")
     common.drop(sets, tried)
     comp = components(links)
@@ -196,22 +273,14 @@ def near_classes(texts: DataFrame, found: DataFrame, percent: int = PERCENT) ->
     open_ones = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m"), mixed).filter("low <> high").dropDuplicates(["mixed", "m"])
     open_ones = common.stash(placed.drop("m").join(open_ones.select("bucket"), "bucket", "left_semi"), "open")
     if not open_ones.isEmpty():
-        shares = open_ones.groupBy("bucket", "comp").agg(F.count("*").alias("m"))
-        home = shares.groupBy("bucket").agg(F.sum("m").alias("members"), F.max(F.struct("m", "comp")).alias("home"))
-        blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
-        home = home.select("bucket", blocks(F.col("members")).alias("bj"), blocks(F.col("members") - F.col("home.m")).alias("bi"), F.col("home.comp").alias("home"))
-        sets = _wanted_sets(texts, classes.join(open_ones.select("fp").distinct(), "fp", "left_semi"), SHINGLE)
-        common.free_shuffles(spark)
-        rest = open_ones.join(home, "bucket").join(sets, "fp").withColumnRenamed("bucket", "family")
-        few = F.pmod(F.xxhash64("family"), F.lit(4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-        place = F.when((F.col("bi") == 1) & (F.col("bj") == 1), few).otherwise(F.col("family"))
-        own = lambda n: F.pmod(F.xxhash64("fp"), n).cast("int")
-        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        columns = ["place", "family", "i", "j", "side", "fp", "comp", "members"]
-        outside = rest.filter("comp <> home").withColumns({"place": place, "i": own("bi"), "j": each("bj"), "side": F.lit(0)}).select(columns)
-        whole = rest.withColumns({"place": place, "i": each("bi"), "j": own("bj"), "side": F.lit(1)}).select(columns)
-        more = common.stash(outside.unionByName(whole).groupBy("place", "i", "j").applyInPandas(lambda pdf: _compare(pdf, percent), "a long, b long"), "found")
-        common.drop(sets)
+        # signatures first; whole sets only of classes that may have a link to another component
+        signed = open_ones.join(classes.select("fp", "sig"), "fp")
+        likely = _in_blocks(signed, "sig").groupBy("place", "i", "j").applyInPandas(_likely, "bucket long, fp long").distinct()
+        likely = common.stash(open_ones.join(likely, ["bucket", "fp"], "left_semi"), "likely")
+        sets = _wanted_sets(texts, classes.join(likely.select("fp").distinct(), "fp", "left_semi"))
+        blocks = _in_blocks(likely.join(sets, "fp"), "members")
+        more = common.stash(blocks.groupBy("place", "i", "j").applyInPandas(lambda pdf: _compare(pdf, percent), "a long, b long"), "found")
+        common.drop(sets, likely)
         if not more.isEmpty():
             comp = components(comp.select(F.col("comp").alias("a"), F.col("fp").alias("b")).unionByName(more))
     common.drop(classes, entries, open_ones)

@@ -16,11 +16,6 @@ def padded(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
 
 
-def plain(text):
-    w = WORDS.findall(text.encode().lower())
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
-
-
 def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
@@ -47,7 +42,7 @@ def test_fingerprints(spark):
     assert abs(errors).max() < 0.2 and abs(errors.mean()) < 0.02 and errors.std() < 0.05
     assert got[9005].fingerprint == got[9010].fingerprint != got[9004].fingerprint
 
-    sets, comp = [plain(t) for t in texts], list(range(len(texts)))
+    sets, comp = [padded(t) for t in texts], list(range(len(texts)))
 
     def root(i):
         while comp[i] != i:
@@ -70,7 +65,7 @@ def test_buckets_in_several_components(spark):
     words = [f"w{i}" for i in range(400)]
     rows = [(i, " ".join(words[:k] + [f"x{i}"] + words[k + 1 :])) for i, k in enumerate(range(0, 400, 10))]
     rows += [(100 + i, " ".join(words[: 200 + i] + [f"y{j}" for j in range(150)])) for i in range(20)]
-    sets = {d: plain(t) for d, t in rows}
+    sets = {d: padded(t) for d, t in rows}
     comp = {d: d for d, _ in rows}
     for _ in rows:
         for a in sets:
