@@ -6,7 +6,9 @@ languages with the largest proportions; the set with the best likelihood less ha
 each language is chosen. The prediction is the largest proportion in that set, which is also the score.
 
 Defined results: null texts and texts without a letter are `und` with score 0; with no labelled row all are
-`und`; a null lang is not learned; repeated rows give repeated rows; other columns are not read.
+`und`; a null lang is not learned; texts of any length are read whole; of equal shares the first language by name is
+predicted; repeated rows give repeated rows; other columns are kept (but for has_letter, lang_pred, score and lang_set, which
+are replaced); an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@
    blocks. So no link between different components is lost, and none inside a component is made twice.
 
 Defined results: null texts and texts without words have size 0 and stand alone; fewer words than a shingle
-are one shingle; repeated rows share a component; a null doc_id is never a component's smallest id unless all
+are one shingle; texts of any length are read whole; of equal ids and ties the least id names a component; repeated rows share a component; a null doc_id is never a component's smallest id unless all
 are null; other columns are not read; an empty table gives an empty table. Sets are of 64-bit hashes, and classes are
 told apart by 64-bit fingerprints of them. A list with very many groups is split by Spark's skew join.
 """

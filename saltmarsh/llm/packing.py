@@ -5,8 +5,9 @@ the partition's bins; where bins and bound differ, the pieces of bins that aren'
 between such partitions, and best-fit decreasing runs again over larger pools, until bounds certify the
 count, one pool is left or a round gains nothing.
 
-Defined results: a null text is empty and is packed as its end token alone; repeated rows and ids are
-packed one by one; other columns are not read; an empty table gives an empty table.
+Defined results: a null text is empty and is packed as its end token alone; texts of any length are encoded whole and
+cut into pieces; pieces of equal length are packed in any order (the number of bins doesn't depend on it); repeated rows
+and ids are packed one by one; other columns are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -14,7 +14,11 @@ are told apart by 64-bit hashes; a bucket is a range of hashes, so that sorted h
 documents are stored once, as numbers and words; each sends its distinct pairs and words to their buckets when they
 are counted and again when they are scored. The spelling model has at most 64 symbols (frequent bytes, and one for all others), so 64^4 numbers bound what is broadcast.
 
-Defined results: null and empty texts are their end token alone; without training tokens every count is 0
+`score` is thus the log10 probability of a text of known words and one type for all lacking words; the base score is
+over the same events. A probability of each string itself is spelled_score.
+
+Defined results: texts of any length are scored whole; equal counts and ties between words have no order that a result
+depends on; null and empty texts are their end token alone; without training tokens every count is 0
 and words are scored by spelling alone; repeated rows are trained on and scored one by one; other columns
 are not read; an empty table gives an empty table.
 """

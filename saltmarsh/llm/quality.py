@@ -8,8 +8,9 @@ sequences, so with confidence 1 - DELTA no rule rejects more than ALPHA of the g
 A stratum with too few labelled rows certifies no cutoff, and none of its documents is rejected.
 
 Defined results: null and empty texts have no words and fail the base rules; repeated rows give repeated rows;
-null labels are not used; other columns are not read; an empty table gives an empty table. Equal windows are
-equal 64-bit hashes of their words.
+null labels are not used; texts of any length are measured whole; a measure equal to a cutoff isn't over it; of rows with
+one labelled doc_id the one with the least measures is a trial, so that copies aren't independent ones; other columns
+are not read; an empty table gives an empty table. Equal windows are equal 64-bit hashes of their words.
 """
 
 from __future__ import annotations
@@ -104,7 +105,9 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
     """Measures, base_failed, kept and failed_rules of each document; labels: (doc_id, quality), 1 for good."""
     rows = common.stash(with_base(measured(docs)), "measures")
     good = labels.filter("quality = 1").select(F.col("doc_id").cast("long")).distinct()
-    chosen = cutoffs(rows.filter("not base_failed").join(good, "doc_id", "left_semi"), alpha, delta)
+    measures = [c for c in rows.columns if c != "doc_id"]
+    trials = rows.filter("not base_failed").join(good, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*measures)).alias("m")).select("doc_id", "m.*")
+    chosen = cutoffs(trials, alpha, delta)
     # one row per stratum: its size doesn't depend on the data
     table = chosen.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff"))
     out = rows.join(F.broadcast(table), "stratum", "left")

@@ -10,8 +10,9 @@ Insult stems with their weights are learned from labelled rows by a test that is
 tried; a logistic model over the clause scores, learned from the same rows, gives the document's score.
 
 Defined results: null and empty texts get the score of a text without matches; without labelled rows of
-both kinds every score is 0; a null label is not learned; repeated rows give repeated rows; columns other
-than doc_id, text and toxic are not read; an empty table gives an empty table.
+both kinds every score is 0; a null label is not learned, and of several labels of an id the largest is; texts of any length
+are read whole; equal features give equal scores; repeated rows give repeated rows; columns other than doc_id, text and
+toxic are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
