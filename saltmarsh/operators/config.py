@@ -47,7 +47,9 @@ class Condition:
     tokenize_tts_method: str | None = None
     generate_unseen_terminals: bool = False
     uniformize_strings: bool = False
+    #: 0 leaves probabilities as they are
     totalquantlevels: int = 500
+    #: kept in settings that are shared with other tools; the quantizer is exact and has no restarts
     quantizeriters: int = 1000
     cutoffmin: int = 12
     cutoffmax: int = 12

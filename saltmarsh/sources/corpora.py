@@ -35,6 +35,14 @@ def write_wordfreq(df: DataFrame, path: str, compressed: bool = True) -> None:
     df.orderBy(F.desc("freq"), "word").select(line.alias("value")).write.option("compression", "gzip" if compressed else "none").text(path)
 
 
+def write_by_length(tokens: DataFrame, path: str) -> None:
+    """A folder for each length of tokens (token, freq, len), each ordered by weight, largest first, then by token, with hexadecimal weights. Ranges of length and order are dealt to tasks, so that one length may take several."""
+    order = ["len", F.desc("freq"), F.asc("token")]
+    line = F.concat_ws("\t", "token", F.regexp_replace(X.to_hex("freq"), "^0x", ""))
+    dealt = tokens.groupBy("len", "token").agg(F.sum("freq").alias("freq")).repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt.select("len", line.alias("value")).write.partitionBy("len").text(path)
+
+
 def read_tests(spark: SparkSession, path: str) -> DataFrame:
     """user_id, policy, password by exactly two tabs; any other line is an error."""
     parts = F.split("value", "\t")
