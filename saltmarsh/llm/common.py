@@ -55,7 +55,7 @@ def drop(*frames: DataFrame) -> None:
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
     if jvm:
-        free_shuffles(df.sparkSession, 0.2)
+        free_shuffles(df.sparkSession, 0.05)
 
 
 def free_shuffles(spark: SparkSession, wait: float = 0.5) -> None:
