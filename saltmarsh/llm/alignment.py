@@ -38,7 +38,7 @@ from saltmarsh.llm.packing import Encoder
 from saltmarsh.llm.tokens import vocabulary_path
 
 #: Links in one chunk of documents; distinct segments that a task keeps.
-CHUNK_LINKS, KEPT_SEGMENTS = 3_000_000, 150_000
+CHUNK_LINKS, KEPT_SEGMENTS = 3_000_000, 400_000
 #: Text that a task encodes at once, in characters.
 AT_ONCE = 1 << 20
 #: A segment: a space, and what follows up to the next space after a character that isn't white space.
