@@ -11,9 +11,7 @@ the last; that one and each partition's first row meet in a small table with two
 Near copies: documents with equal sets of shingles (those with blanks included) are one class; 32 bands of a signature
 are joined in Spark, classes of a band's bucket are tried with its least one, and pairs are links if the Jaccard
 similarity of their whole sets is at least 0.75. Buckets that links leave in several components are compared in blocks,
-so no pair of a bucket is passed over. Pairs whose signatures agree in less than half of their places are not verified.
-Two texts of similarity 0.75 share no band with a probability under 0.00001, and agree in less than half of the places
-with one under 0.000000001.
+so no pair of a bucket is passed over. Two texts of similarity 0.75 share no band with a probability under 0.00001.
 
 Defined results: null and empty texts have no words; texts without words have the fingerprint of ones alone, are alike
 (1) to each other, not (0) to others, and stand alone in their class; a text of any length is read whole; rows of one
@@ -33,7 +31,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from saltmarsh.llm import common
 from saltmarsh.llm.components import components
@@ -201,35 +198,23 @@ def _wanted_sets(texts: DataFrame, classes: DataFrame) -> DataFrame:
     return common.stash(found.join(classes.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "sets")
 
 
-def _matrix(blobs) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), np.uint16).reshape(-1, PERMUTATIONS)
+def _packed_sets(sets: DataFrame) -> DataFrame:
+    """The sets as sorted numbers of 48 bits, in about five bytes each: two sets of a thousand shingles have a false match with a probability of 4 in 10^9."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = [common.pack_sorted(np.sort(np.array(m, np.int64).view(np.uint64) >> np.uint64(16))) for m in batch.column("members").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(blobs, pa.binary())], names=["fp", "packed"])
 
-@F.pandas_udf(T.BooleanType())
-def _half_alike(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(2 * (_matrix(a) == _matrix(b)).sum(1) >= PERMUTATIONS)
+    return sets.mapInArrow(run, "fp long, packed binary")
 
 
-def _likely(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The classes of a block that have one of another component whose signature agrees with theirs in half of the places; small buckets share a block."""
-    out = []
-    for family, part in pdf.groupby("family", sort=False):
-        left, right = part[part["side"] == 0], part[part["side"] == 1]
-        if left.empty or right.empty:
-            continue
-        a, b = _matrix(left["sig"]), _matrix(right["sig"])
-        ca, cb = left["comp"].to_numpy(), right["comp"].to_numpy()
-        hit_a, hit_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
-        for i in range(len(a)):
-            near = (2 * (a[i] == b).sum(1) >= PERMUTATIONS) & (cb != ca[i])
-            hit_a[i] = near.any()
-            hit_b |= near
-        out += [(family, x) for x in {*left["fp"].to_numpy()[hit_a].tolist(), *right["fp"].to_numpy()[hit_b].tolist()}]
-    return pd.DataFrame(out, columns=["bucket", "fp"], dtype=np.int64)
-
-
-def _in_blocks(placed: DataFrame, value: str) -> DataFrame:
-    """Rows (place, family, i, j, side, fp, comp, value) that bring the classes outside of a bucket's largest component together with all of the bucket, in blocks; placed has bucket, fp, comp and the value."""
+def _compare_packed(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    return _compare(pdf.assign(members=[common.unpack_sorted(b) for b in pdf["packed"]]), percent)
+
+
+def _in_blocks(placed: DataFrame) -> DataFrame:
+    """Rows (place, family, i, j, side, fp, comp) that bring the classes outside of a bucket's largest component together with all of the bucket, in blocks; placed has bucket, fp and comp."""
     spark = placed.sparkSession
     shares = placed.groupBy("bucket", "comp").agg(F.count("*").alias("m"))
     home = shares.groupBy("bucket").agg(F.sum("m").alias("members"), F.max(F.struct("m", "comp")).alias("home"))
@@ -240,7 +225,7 @@ def _in_blocks(placed: DataFrame, value: str) -> DataFrame:
     place = F.when((F.col("bi") == 1) & (F.col("bj") == 1), few).otherwise(F.col("family"))
     own = lambda n: F.pmod(F.xxhash64("fp"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["place", "family", "i", "j", "side", "fp", "comp", value]
+    columns = ["place", "family", "i", "j", "side", "fp", "comp"]
     outside = rest.filter("comp <> home").withColumns({"place": place, "i": own("bi"), "j": each("bj"), "side": F.lit(0)}).select(columns)
     whole = rest.withColumns({"place": place, "i": each("bi"), "j": own("bj"), "side": F.lit(1)}).select(columns)
     return outside.unionByName(whole)
@@ -256,9 +241,9 @@ def near_classes(texts: DataFrame, found: DataFrame, percent: int = PERCENT) ->
     entries = common.stash(entries.join(shared, "bucket"), "buckets")
     common.free_shuffles(spark)
     sizes = classes.select(F.col("fp").alias("a"), F.col("n").alias("na"))
-    sides = [classes.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "ab"]
-    tried = entries.filter("fp <> centre").select(F.col("centre").alias("a"), F.col("fp").alias("b")).distinct().join(sides[0], "a").join(sides[1], "b")
-    tried = tried.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).filter(_half_alike("sa", "sb"))
+    sizes = classes.select("fp", "n")
+    tried = entries.filter("fp <> centre").select(F.col("centre").alias("a"), F.col("fp").alias("b")).distinct()
+    tried = tried.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     tried = common.stash(tried.select("a", "b"), "tried")
     used = tried.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     sets = _wanted_sets(texts, classes.join(used, "fp", "left_semi"))
@@ -273,14 +258,11 @@ def near_classes(texts: DataFrame, found: DataFrame, percent: int = PERCENT) ->
     open_ones = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m"), mixed).filter("low <> high").dropDuplicates(["mixed", "m"])
     open_ones = common.stash(placed.drop("m").join(open_ones.select("bucket"), "bucket", "left_semi"), "open")
     if not open_ones.isEmpty():
-        # signatures first; whole sets only of classes that may have a link to another component
-        signed = open_ones.join(classes.select("fp", "sig"), "fp")
-        likely = _in_blocks(signed, "sig").groupBy("place", "i", "j").applyInPandas(_likely, "bucket long, fp long").distinct()
-        likely = common.stash(open_ones.join(likely, ["bucket", "fp"], "left_semi"), "likely")
-        sets = _wanted_sets(texts, classes.join(likely.select("fp").distinct(), "fp", "left_semi"))
-        blocks = _in_blocks(likely.join(sets, "fp"), "members")
-        more = common.stash(blocks.groupBy("place", "i", "j").applyInPandas(lambda pdf: _compare(pdf, percent), "a long, b long"), "found")
-        common.drop(sets, likely)
+        sets = common.stash(_packed_sets(_wanted_sets(texts, classes.join(open_ones.select("fp").distinct(), "fp", "left_semi"))), "packed")
+        common.free_shuffles(spark)
+        blocks = _in_blocks(open_ones).join(sets, "fp")
+        more = common.stash(blocks.groupBy("place", "i", "j").applyInPandas(lambda pdf: _compare_packed(pdf, percent), "a long, b long"), "found")
+        common.drop(sets)
         if not more.isEmpty():
             comp = components(comp.select(F.col("comp").alias("a"), F.col("fp").alias("b")).unionByName(more))
     common.drop(classes, entries, open_ones)
