@@ -6,7 +6,9 @@ exactly one last token, and the count at a prefix is one more than the count bef
 
 The query stores the counts of all prefixes of each text, as compressed differences, and answers from them: the number
 of tokens is the last count, and the longest prefix within a limit is the last count that isn't larger. A piece's own
-counts are worked out once and kept; white space is counted by runs, as a prefix may end inside one.
+counts are worked out once and kept. New pieces of several texts are taken in order: a prefix's last token is the same in
+all pieces that begin with it, so each goes on from where it differs from the one before. White space is counted by
+runs, as a prefix may end inside one.
 
 Defined results: null and empty texts have 0 tokens, one prefix (the empty one) and n_bytes 0; texts of any length are
 read whole; prefixes with equal counts: the longest is kept; repeated rows give repeated rows; other columns are not
@@ -38,6 +40,8 @@ LATIN_PATTERN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+|'(?:s|t|re|ve|m
 BLANKS = re.compile(r"\s{2,}").finditer
 #: Distinct pieces kept in memory by a task; beyond it the store is emptied.
 CACHE_PIECES = 200_000
+#: Text, in characters, whose new pieces are taken in order together.
+TOGETHER = 4 << 20
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -65,9 +69,15 @@ class PrefixCounter:
         for r, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.ranks[bytes(stand_in[c] for c in a), bytes(stand_in[c] for c in b)] = r
-        self.longest = max(map(len, self.ids))
+        # by their last three bytes: the lengths of tokens, longest first
+        ends: dict[bytes, set[int]] = {}
+        for token in self.ids:
+            if len(token) > 2:
+                ends.setdefault(token[-3:], set()).add(len(token))
+        self.lengths = {end: (*sorted(n, reverse=True), 2, 1) for end, n in ends.items()}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
-        self.pieces: dict[str, tuple[bytes, bytes]] = {}
+        #: Of pieces: what each character adds to the count.
+        self.differences: dict[str, bytes] = {}
         self.any_text = regex.compile(PATTERN).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else lambda t: [t]
 
@@ -93,11 +103,14 @@ class PrefixCounter:
             known = self.pairs[a, b] = self.merge(a + b) == [a, b]
         return known
 
-    def lasts(self, piece: bytes) -> list[bytes]:
-        """The last token of the encoding of each prefix of a piece, the empty one first."""
-        out, ids, pairs, longest = [b""], self.ids, self.pairs, self.longest
-        for end in range(1, len(piece) + 1):
-            for start in range(end - longest if end > longest else 0, end):
+    def lasts(self, piece: bytes, out: list[bytes] | None = None) -> list[bytes]:
+        """The last token of the encoding of each prefix of a piece, the empty one first. out: those of a shorter prefix, to go on from."""
+        out, ids, pairs, lengths = [b""] if out is None else out, self.ids, self.pairs, self.lengths
+        for end in range(len(out), len(piece) + 1):
+            for n in lengths.get(piece[end - 3 if end > 3 else 0 : end], (2, 1)):
+                start = end - n
+                if start < 0:
+                    continue
                 token = piece[start:end]
                 if token in ids:
                     if not start:
@@ -141,34 +154,47 @@ class PrefixCounter:
             at -= len(lasts[at])
         return out[::-1]
 
-    @property
-    def differences(self) -> dict[str, bytes]:
-        """Of pieces: what each character adds to the count. A contraction's prefixes are split as such."""
-        if "_differences" not in self.__dict__:
-
-            class Known(dict):
-                def __missing__(known, piece):
-                    if piece.isascii() and piece[0] != "'":
-                        counts = self._counted(piece.encode())
-                        out = known[piece] = bytes([(b - a) & 255 for a, b in zip(counts, counts[1:])])
-                        return out
-                    counts = self._piece_counts(piece)
-                    if len(piece) > 1 and piece[0] == "'" and piece[1].isalpha():
-                        counts = np.array([0, *(sum(map(self.whole, self.findall(piece[:j]))) for j in range(1, len(piece))), counts[-1]])
-                    out = known[piece] = np.diff(counts).astype(np.int8).tobytes()
-                    return out
-
-            self._differences = Known()
-        return self._differences
+    def learn(self, pieces: set[str]) -> None:
+        """Keeps the differences of pieces, each from where it differs from the one before. A contraction's prefixes are split as such."""
+        before, lasts, counts, steps = b"", [b""], [0], []
+        for piece in sorted(pieces):
+            data = piece.encode()
+            same = 0
+            for x, y in zip(data, before):
+                if x != y:
+                    break
+                same += 1
+            before = data
+            del lasts[same + 1 :], counts[same + 1 :], steps[same:]
+            for i, last in enumerate(self.lasts(data, lasts)[same + 1 :], same + 1):
+                counts.append(n := counts[i - len(last)] + 1)
+                steps.append((n - counts[i - 1]) & 255)
+            if len(piece) > 1 and piece[0] == "'" and piece[1].isalpha():
+                own = [0, *(sum(map(self.whole, self.findall(piece[:j]))) for j in range(1, len(piece))), counts[-1]]
+            elif len(data) > len(piece):  # a character ends where the next byte begins one
+                own = [0, *(n for n, b in zip(counts[1:], data[1:] + b" ") if b & 0xC0 != 0x80)]
+            else:
+                self.differences[piece] = bytes(steps)
+                continue
+            self.differences[piece] = bytes([(y - x) & 255 for x, y in zip(own, own[1:])])
 
     def stored(self, text: str) -> np.ndarray:
         """The same as table(), by kept pieces for texts of usual characters without special strings."""
-        if not LATIN(text) or any(s in text for s in self.special):
-            return self.table(text)
-        if len(self.differences) > CACHE_PIECES:
-            self.differences.clear()
+        return next(self.all_stored([text]))
+
+    def all_stored(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """stored() of each text."""
+        for a, b in common.chunks(texts, TOGETHER):
+            if len(self.differences) > CACHE_PIECES:
+                self.differences.clear()
+            split = [LATIN_PATTERN(t) if LATIN(t) and not any(s in t for s in self.special) else None for t in texts[a:b]]
+            self.learn(set().union(*filter(None, split)).difference(self.differences))
+            for text, pieces in zip(texts[a:b], split):
+                yield self.table(text) if pieces is None else self._joined(text, pieces)
+
+    def _joined(self, text: str, pieces: list[str]) -> np.ndarray:
         out = np.zeros(len(text) + 1, np.int32)
-        np.cumsum(np.frombuffer(b"".join(map(self.differences.__getitem__, LATIN_PATTERN(text))), np.int8), out=out[1:], dtype=np.int32)
+        np.cumsum(np.frombuffer(b"".join(map(self.differences.__getitem__, pieces)), np.int8), out=out[1:], dtype=np.int32)
         for m in BLANKS(text):
             start, end = m.span()
             # a prefix that ends in white space has all of the run so far in one piece
@@ -300,8 +326,7 @@ def token_counts(docs: DataFrame, path: str, limit: int) -> DataFrame:
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             n, keep, blobs = [], [], []
-            for t in texts:
-                table = c.stored(t)
+            for table in c.all_stored(texts):
                 n.append(int(table[-1]))
                 keep.append(longest_within(table, limit))
                 blobs.append(pack_counts(table))

@@ -62,3 +62,27 @@ def test_stored_tables_answer_questions(spark, made):
     for r in out.collect():
         counts = want[r.text or ""]
         assert r.first == counts[min(5, len(counts) - 1)] and r.chars == int(np.flatnonzero(np.array(counts) <= 3)[-1])
+
+
+def test_pieces_that_begin_alike_share_their_prefixes():
+    class Counted(dict):
+        asked = 0
+
+        def __contains__(self, token):
+            self.asked += 1
+            return dict.__contains__(self, token)
+
+    c = tokens.PrefixCounter(tokens.vocabulary_path())
+    text = " heineable heineables heineabled heineabling éauxauxment éauxauxments 'heineable we'llheine"
+    want = c.table(text).tolist()
+    c.ids = Counted(c.ids)
+    assert c.stored(" heineables").tolist() == c.table(" heineables").tolist()
+    c.differences.clear()
+    c.ids.asked = 0
+    c.stored(" heineable")
+    once, c.ids.asked = c.ids.asked, 0
+    c.differences.clear()
+    c.stored(" heineable heineables heineabled")
+    assert c.ids.asked < 2 * once
+    c.differences.clear()
+    assert [x.tolist() for x in c.all_stored(["", text, " heineable", text])] == [[0], want, c.table(" heineable").tolist(), want]
