@@ -35,24 +35,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table into the shared folder and reads it again: the lineage ends there."""
+def stash(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Writes a table into the shared folder and reads it again: the lineage ends there. by: columns whose values have folders of their own."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stash_path = path
     return out
 
 
-def drop(*frames: DataFrame) -> None:
-    """Deletes stashed tables that nothing reads any more. Spark removes the shuffle files behind them when the driver collects its garbage, so that is asked for, too."""
+def drop(*frames: DataFrame, part: str = "") -> None:
+    """Deletes stashed tables, or a folder of theirs, that nothing reads any more. Spark removes the shuffle files behind them when the driver collects its garbage, so that is asked for, too."""
     jvm = None
     for df in frames:
         path = getattr(df, "stash_path", None)
         if path:
             jvm = df.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
+            at = jvm.org.apache.hadoop.fs.Path(f"{path}/{part}" if part else path)
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
     if jvm:
         free_shuffles(df.sparkSession, 0.05)

@@ -11,8 +11,8 @@ that training lacks are one type. spelled_score has each such word's own probabi
 
 Contexts are dealt by hash of v; each sweep sends tables up to the words' buckets and gets probabilities back. Words
 are told apart by 64-bit hashes; a bucket is a range of hashes, so that sorted hashes are kept as differences. Chunks of
-documents are stored once, as numbers and words; each sends its distinct pairs and words to their buckets when they
-are counted and again when they are scored. The spelling model has at most 64 symbols (frequent bytes, and one for all others), so 64^4 numbers bound what is broadcast.
+documents are stored once, as numbers and words; each sends its distinct pairs and words to their buckets once, when they
+are counted. Where a chunk's pairs stand in their context, and the counts of its words, are kept for the scores. The spelling model has at most 64 symbols (frequent bytes, and one for all others), so 64^4 numbers bound what is broadcast.
 
 `score` is thus the log10 probability of a text of known words and one type for all lacking words; the base score is
 over the same events. A probability of each string itself is spelled_score.
@@ -74,8 +74,10 @@ def draw_tables(counts: np.ndarray, log_base: np.ndarray, mass: np.ndarray, tabl
     A dish of over EXACT customers is seated in blocks of an eighth, next to the tables that the rest of its restaurant had.
     """
     out = np.minimum(counts, 1).astype(np.int64)
-    for c in np.unique(counts[(counts > 1) & (counts <= EXACT)]):
-        i = np.flatnonzero(counts == c)
+    several = np.flatnonzero((counts > 1) & (counts <= EXACT))
+    several = several[np.argsort(counts[several].astype(np.uint16), kind="stable")]
+    for i in np.split(several, np.flatnonzero(np.diff(counts[several])) + 1) if len(several) else []:
+        c = counts[i[0]]
         t = np.arange(1, c + 1)
         for part in np.array_split(i, max(1, len(i) * int(c) // 1_000_000 + 1)):
             logp = log_stirling(discount)[c, 1 : c + 1] + t * (log_base[part] + mass[part])[:, None]
@@ -208,8 +210,8 @@ def sample_spelling(counts: DataFrame, spark: SparkSession, symbol: np.ndarray,
     return np.log(np.maximum(total / (sweeps - burn_in), 1e-30)).astype(np.float32)
 
 
-#: What stands before a text and after it, in place of a word's hash.
-BEGIN, END = common.STEPS[50], common.STEPS[51]
+#: What stands before a text and after it, in place of a word's hash. The end is the last of hashes, as it is of a chunk's numbers, so that pairs stand in one order in chunks and contexts.
+BEGIN, END = common.STEPS[50], np.uint64(2**64 - 1)
 
 
 def hashes_of(words: list[bytes]) -> np.ndarray:
@@ -303,7 +305,7 @@ def _word_parts(chunks: DataFrame, buckets: int) -> DataFrame:
     return chunks.mapInPandas(run, "chunk long, bucket int, words binary, n binary")
 
 
-def _pair_parts(chunks: DataFrame, buckets: int, counted: bool) -> DataFrame:
+def _pair_parts(chunks: DataFrame, buckets: int) -> DataFrame:
     """The distinct pairs of chunks by context (bucket of the first word): hashes, the places of first and second words in hashes, and training counts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -313,21 +315,16 @@ def _pair_parts(chunks: DataFrame, buckets: int, counted: bool) -> DataFrame:
                 hashes = np.append(hashes_of(x.words), [END, BEGIN])
                 m = len(hashes)
                 code = x.codes()
-                pairs = common.distinct(code)
-                k = np.zeros(0, np.int64)
-                if counted:
-                    seen, times = np.unique(code[np.repeat(x.known, x.sizes + 1)], return_counts=True)
-                    k = np.zeros(len(pairs), np.int64)
-                    k[np.searchsorted(pairs, seen)] = times
+                pairs, which, _ = common.placed(code, (m * m).bit_length())
+                pairs, k = pairs.astype(np.int64), np.bincount(which[np.repeat(x.known, x.sizes + 1)], minlength=len(pairs))
                 v, w = pairs // m, pairs % m
                 context = bucket_of(hashes, buckets)[v]  # words stand in order of their buckets, the begin is a part of its own
                 cuts = [0, *(np.flatnonzero((np.diff(context) != 0) | ((v[1:] == m - 1) & (v[:-1] != m - 1))) + 1).tolist(), len(pairs)]
                 out = []
                 for j, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    own = np.zeros(m, bool)
-                    own[v[a:b]] = own[w[a:b]] = True
-                    at = np.cumsum(own) - 1
-                    out.append((number, j, int(context[a]), common.pack_sorted(hashes[own]), pickle.dumps((common.pack_sorted(at[v[a:b]]), common.pack_ints(at[w[a:b]]))), common.pack_ints(k[a:b])))
+                    own = common.distinct(np.concatenate([v[a:b], w[a:b]]))
+                    at = [np.searchsorted(own, x[a:b]) for x in (v, w)]
+                    out.append((number, j, int(context[a]), common.pack_sorted(hashes[own]), pickle.dumps((common.pack_sorted(at[0]), common.pack_ints(at[1]))), common.pack_ints(k[a:b])))
                 yield pd.DataFrame(out, columns=["chunk", "part", "context", "hashes", "pairs", "k"])
                 common.give_back()
 
@@ -359,6 +356,7 @@ class Contexts:
         size = len(self.all_hashes)
         code = np.concatenate([a[v] * size + a[w] for a, (v, w) in zip(at, pairs)])
         self.code, which, _ = common.placed(code, (size * size).bit_length())
+        self.parts = np.split(which, np.cumsum([len(v) for v, _ in pairs])[:-1])
         self.k = np.bincount(which, weights=np.concatenate(k), minlength=len(self.code)).astype(np.int64)
         self.t = np.minimum(self.k, 1)
         self.sum = np.zeros(len(self.code), np.float32)
@@ -366,7 +364,8 @@ class Contexts:
 
     def _placed(self) -> Contexts:
         size = np.uint64(len(self.all_hashes))
-        v, w = (self.code // size).astype(np.int64), (self.code % size).astype(np.int64)
+        v = self.code // size
+        w = (self.code - v * size).astype(np.int64)
         self.room = np.cumsum(np.diff(v, prepend=v[:1]) != 0)
         used = np.zeros(int(size), bool)
         used[w] = True
@@ -374,20 +373,33 @@ class Contexts:
         return self
 
     def pack(self) -> bytes:
-        return pickle.dumps([common.pack_sorted(self.all_hashes), common.pack_sorted(self.code), common.pack_ints(self.k), common.pack_ints(self.t), common.pack_ints(coarse(self.sum))])
+        """What stays: the pairs and their customers."""
+        return pickle.dumps([common.pack_sorted(self.all_hashes), common.pack_sorted(self.code), common.pack_ints(self.k)])
+
+    def pack_seats(self) -> bytes:
+        """What a sweep changes: tables, and sums of probabilities."""
+        return pickle.dumps([common.pack_ints(self.t), common.pack_ints(coarse(self.sum))])
+
+    def pack_means(self) -> bytes:
+        """Negative logarithms of the pairs' mean probabilities, in steps."""
+        return common.pack_ints(np.rint(np.maximum(-np.log10(np.maximum(self.sum / (SWEEPS - BURN_IN), 1e-30)), 0) * STEP).astype(np.int64))
 
     @classmethod
-    def unpack(cls, blob: bytes) -> Contexts:
+    def unpack(cls, blob: bytes, seats: bytes | None = None) -> Contexts:
+        """Without seats: one table a dish."""
         self = cls()
-        hashes, code, k, t, total = pickle.loads(blob)
-        self.all_hashes, self.code = common.unpack_sorted(hashes), common.unpack_sorted(code)
-        self.k, self.t = common.unpack_ints(k).astype(np.int64), common.unpack_ints(t).astype(np.int64)
-        self.sum = fine(common.unpack_ints(total))
+        hashes, code, k = pickle.loads(blob)
+        self.all_hashes, self.code, self.k = common.unpack_sorted(hashes), common.unpack_sorted(code), common.unpack_ints(k).astype(np.int64)
+        if seats is None:
+            self.t, self.sum = np.minimum(self.k, 1), np.zeros(len(self.code), np.float32)
+        else:
+            t, total = pickle.loads(seats)
+            self.t, self.sum = common.unpack_ints(t).astype(np.int64), fine(common.unpack_ints(total))
         return self._placed()
 
     def places(self, hashes: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Where pairs of words stand."""
-        at = np.searchsorted(self.all_hashes, hashes)  # unsorted only by begin and end
+        at = np.searchsorted(self.all_hashes, hashes)  # unsorted only by the begin
         return np.searchsorted(self.code, (at[v] * len(self.all_hashes) + at[w]).astype(np.uint64))
 
     def up(self) -> np.ndarray:
@@ -407,7 +419,7 @@ class Contexts:
 
 
 def _vocabulary(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The training words of one bucket with their counts; also counts of counts and of bytes."""
+    """The training words of one bucket with their counts; also counts of counts and of bytes. For each chunk: the counts of its words, and the words that training lacks."""
     total: dict[bytes, int] = {}
     for words, n in zip(pdf["words"], pdf["n"]):
         for w, k in zip(_words(words), common.unpack_ints(n).tolist()):
@@ -416,7 +428,14 @@ def _vocabulary(pdf: pd.DataFrame) -> pd.DataFrame:
     n = np.array(list(total.values()), np.int64)
     joined = b" ".join(total)
     letters = np.bincount(np.frombuffer(joined, np.uint8), minlength=256).astype(np.int64)
-    return pd.DataFrame([(int(pdf["bucket"].iloc[0]), common.squeeze(joined), common.pack_ints(n), int(n.sum()), len(n), int((n == 1).sum()), int((n == 2).sum()), common.pack(letters))], columns=["bucket", "words", "n", "tokens", "types", "once", "twice", "letters"])
+    bucket = int(pdf["bucket"].iloc[0])
+    out = [(bucket, common.squeeze(joined), common.pack_ints(n), int(n.sum()), len(n), int((n == 1).sum()), int((n == 2).sum()), common.pack(letters), None, None)]
+    for chunk, words in zip(pdf["chunk"], pdf["words"]):
+        ws = _words(words)
+        own = [total.get(w, 0) for w in ws]
+        lacking = b" ".join(w for w, k in zip(ws, own) if not k)
+        out.append((bucket, None, common.pack_ints(np.array(own, np.int64)), 0, 0, 0, 0, None, chunk, common.squeeze(lacking)))
+    return pd.DataFrame(out, columns=[f.split()[0] for f in WORDS.split(", ")])
 
 
 def _words(blob: bytes) -> list[bytes]:
@@ -438,7 +457,7 @@ def _train_spelling(tables: DataFrame, symbol: np.ndarray, sweeps: int = SWEEPS,
                 if ws := _words(blob):
                     cells, s, _, first = spell(ws, symbol)
                     times = np.repeat(common.unpack_ints(t).astype(np.int64), np.diff([*first, len(s)]))
-                    at, which = np.unique(cells * SYMBOLS + s, return_inverse=True)
+                    at, which, _ = common.placed(cells * SYMBOLS + s, (SYMBOLS**4).bit_length())
                     counts[at] += np.bincount(which, weights=times).astype(np.uint32)
         yield pd.DataFrame(common.slots(counts, SYMBOLS), columns=["slot", "blob"])
 
@@ -457,11 +476,16 @@ def _train_spelling(tables: DataFrame, symbol: np.ndarray, sweeps: int = SWEEPS,
 
 def _ups(context: int, hashes: np.ndarray, up: np.ndarray, buckets: int) -> list[tuple]:
     """Rows that send the tables of words up to the words' buckets."""
-    mine, at = hashes != END, bucket_of(hashes, buckets)
-    return [(context, int(x), None, common.pack_sorted(hashes[i]), common.pack_ints(up[i]), 0, 0, 0) for x in common.distinct(at[mine]) if len(i := np.flatnonzero(mine & (at == x)))]
+    at = bucket_of(hashes[hashes != END], buckets)  # in order, as hashes are
+    cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+    return [(UPS, context, int(at[i]), None, common.pack_sorted(hashes[i:j]), common.pack_ints(up[i:j]), 0, 0, 0) for i, j in zip(cuts, cuts[1:]) if i < j]
 
 
-ROOMS = "context int, bucket int, state binary, hashes binary, up binary, ends long, once long, twice long"
+#: Kinds of rows about contexts, each in its own folder: their state, the tables they send up, and where chunks' pairs stand in them.
+STATE, UPS, PLACES = 0, 1, 2
+WORDS = "bucket int, words binary, n binary, tokens long, types long, once long, twice long, letters binary, chunk long, lacking binary"
+ROOMS = "kind int, context int, bucket int, state binary, hashes binary, up binary, ends long, once long, twice long"
+BUILT = ROOMS + ", chunk long, part int, places binary"
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
@@ -471,9 +495,8 @@ def score_texts(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(spark.sparkContext.defaultParallelism, size // BUCKET_BYTES + 1))
     texts = common.stash(_chunked(docs), "chunks")
-    asked = _word_parts(texts, buckets)
-    schema = "bucket int, words binary, n binary, tokens long, types long, once long, twice long, letters binary"
-    words = common.stash(asked.groupBy("bucket").applyInPandas(_vocabulary, schema), "vocabulary")
+    stored = common.stash(_word_parts(texts, buckets).groupBy("bucket").applyInPandas(_vocabulary, WORDS), "vocabulary")
+    words = stored.filter("chunk is null")
     facts = words.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types"))).first()
     ends = docs.filter("not held_out").count()
     n_tokens, n_types = facts.tokens + ends, facts.types + (ends > 0)
@@ -489,11 +512,16 @@ def score_texts(docs: DataFrame) -> DataFrame:
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         x = Contexts.of([common.unpack_sorted(h) for h in pdf["hashes"]], [_unpaired(p) for p in pdf["pairs"]], [common.unpack_ints(k) for k in pdf["k"]])
         up, bucket = x.up(), int(pdf["context"].iloc[0])
-        mine = (bucket, None, x.pack(), None, None, int(up[x.hashes == END].sum()), int((x.k == 1).sum()), int((x.k == 2).sum()))
+        mine = (STATE, bucket, None, x.pack(), None, None, int(up[x.hashes == END].sum()), int((x.k == 1).sum()), int((x.k == 2).sum()), None, None, None)
+        out = [mine, *(r + (None, None, None) for r in _ups(bucket, x.hashes, up, buckets))]
+        out += [(PLACES, bucket, None, None, None, None, 0, 0, 0, chunk, part, common.pack_sorted(at)) for chunk, part, at in zip(pdf["chunk"], pdf["part"], x.parts)]
+        del x
         common.give_back()
-        return pd.DataFrame([mine, *_ups(bucket, x.hashes, up, buckets)], columns=[f.split()[0] for f in ROOMS.split(", ")])
+        return pd.DataFrame(out, columns=[f.split()[0] for f in BUILT.split(", ")])
 
-    rooms = common.stash(_pair_parts(texts, buckets, True).groupBy("context").applyInPandas(build, ROOMS), "rooms")
+    common.free_shuffles(spark, 0.05)
+    fixed = rooms = common.stash(_pair_parts(texts, buckets).groupBy("context").applyInPandas(build, BUILT), "rooms", "kind")
+    common.free_shuffles(spark, 0.05)
     seen = rooms.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("once", "twice"))).first()
     discount = _discount(seen.once, seen.twice)
 
@@ -529,7 +557,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
                 out.append((r.bucket, r.words, common.pack_ints(t), common.pack_ints(n), common.pack(base), common.pack_sorted(hashes), int(n.sum()), int(t.sum()), int((n == 1).sum()), int((n == 2).sum()), float(np.exp(base).sum())))
             return pd.DataFrame(out, columns=["bucket", "words", "t", "n", "base", "hashes", "customers", "tables", "once", "twice", "spelled"])
 
-        ups = rooms.filter("bucket is not null").select("context", "bucket", "hashes", "up")
+        ups = rooms.filter(F.col("kind") == UPS).select("context", "bucket", "hashes", "up")
         last = state if sweep else None
         state = common.stash(state.select("bucket", "words", "t", F.lit(None).cast("binary").alias("base") if sweep == BURN_IN else "base").groupBy("bucket").cogroup(ups.groupBy("bucket")).applyInPandas(seat, "bucket int, words binary, t binary, n binary, base binary, hashes binary, customers long, tables long, once long, twice long, spelled double"), "seats")
         sums = state.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("customers", "tables", "once", "twice", "spelled"))).first()
@@ -560,63 +588,65 @@ def score_texts(docs: DataFrame) -> DataFrame:
                 if len(known):
                     i = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     got = np.where(known[i] == h, p[i], got).astype(np.float32)
-                out.append((r.context, r.bucket, common.pack(got)))
+                out.append((r.context, r.bucket, common.pack_ints(got.view(np.uint32))))
             return pd.DataFrame(out, columns=["context", "bucket", "p"])
 
         offers = ups.select("context", "bucket", "hashes").groupBy("bucket").cogroup(state.select("bucket", "t", "n", "base", "hashes").groupBy("bucket")).applyInPandas(offer, "context int, bucket int, p binary")
+        offers = common.stash(offers, "offers")
+        common.drop(rooms, part=f"kind={UPS}")
 
         def reseat(left: pd.DataFrame, right: pd.DataFrame, *, sweep: int = sweep, end_p: float = end_p) -> pd.DataFrame:
-            x, bucket = Contexts.unpack(left["state"].iloc[0]), int(left["context"].iloc[0])
+            bucket = int(left["context"].iloc[0])
+            x = Contexts.unpack(left["state"].dropna().iloc[0], next(iter(left["seats"].dropna()), None))
             base = np.full(len(x.hashes), end_p)
-            at = np.where(x.hashes == END, -1, bucket_of(x.hashes, buckets))
+            at = np.where(x.hashes == END, buckets, bucket_of(x.hashes, buckets))  # in order
             for b, p in zip(right["bucket"], right["p"]):
-                base[at == b] = common.unpack(p, np.float32)
+                base[np.searchsorted(at, b) : np.searchsorted(at, b, "right")] = common.unpack_ints(p).view(np.float32)
             p = x.sweep(base, discount, np.random.default_rng([17, sweep, bucket]))
             if sweep >= BURN_IN:
                 x.sum = (x.sum + p).astype(np.float32)
             up = x.up()
-            mine = (bucket, None, x.pack(), None, None, int(up[x.hashes == END].sum()), 0, 0)
+            # after the last sweep only the pairs' probabilities are asked for
+            mine = (STATE, bucket, None, x.pack_seats() if sweep < SWEEPS - 1 else x.pack_means(), None, None, int(up[x.hashes == END].sum()), 0, 0)
             hashes = x.hashes
             del x, p, base
             common.give_back()
             return pd.DataFrame([mine, *(_ups(bucket, hashes, up, buckets) if sweep < SWEEPS - 1 else [])], columns=[f.split()[0] for f in ROOMS.split(", ")])
 
-        new = common.stash(rooms.filter("state is not null").select("context", "state").groupBy("context").cogroup(offers.groupBy("context")).applyInPandas(reseat, ROOMS), "rooms")
-        common.drop(rooms)
+        none = F.lit(None).cast("binary")
+        own = fixed.filter(F.col("kind") == STATE).select("context", "state", none.alias("seats"))
+        if sweep:
+            own = own.unionByName(rooms.filter(F.col("kind") == STATE).select("context", none.alias("state"), F.col("state").alias("seats")))
+        new = common.stash(own.groupBy("context").cogroup(offers.groupBy("context")).applyInPandas(reseat, ROOMS), "rooms", "kind")
+        common.drop(offers, *([rooms] if sweep else []))
         rooms, d = new, _discount(sums.once, sums.twice)
         if sweep == BURN_IN - 1:  # from here on, letters are seated by the tables that were drawn
             spelling.destroy()
             spelling = spark.sparkContext.broadcast(_train_spelling(state, symbol))
 
-    def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Of words: training counts, and what spelling says of those that training lacks, given that they are lacking."""
-        known: dict[bytes, int] = {}
-        for r in right.itertuples(index=False):
-            known.update(zip(_words(r.words), common.unpack_ints(r.n).tolist()))
-        out = []
-        for r in left.itertuples(index=False):
-            ws = _words(r.words)
-            n, more = np.array([known.get(w, 0) for w in ws], np.int64), np.zeros(len(ws))
-            new = np.flatnonzero(n == 0)
-            if len(new):
-                more[new] = (spelling.value.log_probability([ws[i] for i in new]) - np.log(lacking)) / np.log(10)
-            out.append((r.chunk, r.bucket, None, common.pack_ints(n), common.pack(more.astype(np.float32))))
-        return pd.DataFrame(out, columns=["chunk", "bucket", "part", "n", "logp"])
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                n = common.unpack_ints(r.n)
+                more = np.zeros(len(n))
+                more[n == 0] = (spelling.value.log_probability(_words(r.lacking)) - np.log(lacking)) / np.log(10)
+                out.append((r.chunk, r.bucket, None, r.n, common.pack(more.astype(np.float32))))
+            yield pd.DataFrame(out, columns=["chunk", "bucket", "part", "n", "logp"])
 
     def found(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """Of pairs: the mean over the samples of the second word's probability after the first."""
-        x = Contexts.unpack(right["state"].iloc[0])
-        logp = np.rint(np.maximum(-np.log10(np.maximum(x.sum / (SWEEPS - BURN_IN), 1e-30)), 0) * STEP).astype(np.int64)
-        out = [(r.chunk, None, r.part, None, common.pack_ints(logp[x.places(common.unpack_sorted(r.hashes), *_unpaired(r.pairs))])) for r in left.itertuples(index=False)]
-        common.give_back()
+        logp = common.unpack_ints(right["state"].iloc[0])
+        out = [(r.chunk, None, r.part, None, common.pack_ints(logp[common.unpack_sorted(r.places).astype(np.int64)])) for r in left.itertuples(index=False)]
         return pd.DataFrame(out, columns=["chunk", "bucket", "part", "n", "logp"])
 
     common.free_shuffles(spark)
     schema = "chunk long, bucket int, part int, n binary, logp binary"
-    answers = asked.select("chunk", "bucket", "words").groupBy("bucket").cogroup(words.select("bucket", "words", "n").groupBy("bucket")).applyInPandas(answer, schema)
-    answers = answers.unionByName(_pair_parts(texts, buckets, False).drop("k").groupBy("context").cogroup(rooms.filter("state is not null").select("context", "state").groupBy("context")).applyInPandas(found, schema))
+    answers = stored.filter("chunk is not null").select("chunk", "bucket", "n", "lacking").mapInPandas(answer, schema)
+    answers = answers.unionByName(fixed.filter(F.col("kind") == PLACES).select("chunk", "part", "context", "places").groupBy("context").cogroup(rooms.filter(F.col("kind") == STATE).select("context", "state").groupBy("context")).applyInPandas(found, schema))
     answers = common.stash(answers, "answers")
-    common.drop(rooms, state, words)
+    common.drop(rooms, state, stored, fixed)
     unit = float(n_tokens + n_types + 1)
 
     def total(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

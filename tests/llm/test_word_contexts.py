@@ -69,3 +69,28 @@ def test_tables_follow_the_exact_posterior():
         t = pitman_yor.draw_tables(counts, np.log(base), mass, t.sum() - t, d, a, rng)
         seen[t[0], t[1]] += 1
     assert np.abs(seen / seen.sum() - exact).max() < 0.02
+
+
+def test_chunks_send_their_pairs_once(spark, monkeypatch):
+    sent, parts = [], pitman_yor._pair_parts
+    monkeypatch.setattr(pitman_yor, "_pair_parts", lambda *a: sent.append(a) or parts(*a))
+    docs = spark.createDataFrame([(i, f"a b c{i} a", i % 3 == 0) for i in range(9)] + [(9, None, False)], SCHEMA)
+    got = pitman_yor.score_texts(docs).collect()
+    assert len(got) == 10 and len(sent) == 1 and all(r.score < 0 for r in got)
+
+
+def test_pairs_stand_in_one_order_in_chunks_and_contexts():
+    rng, chunks = np.random.default_rng(8), []
+    for n in (40, 60):
+        hashes = np.append(np.sort(rng.choice(2**62, n, replace=False).astype(np.uint64)), [pitman_yor.END, pitman_yor.BEGIN])
+        sizes = rng.integers(0, 9, 50)
+        pairs = np.unique(pitman_yor._pairs_of(rng.integers(0, n, sizes.sum()).astype(np.uint32), sizes, n))
+        pairs = pairs[pairs // (n + 2) <= n]  # the begin is a part of its own
+        chunks.append((hashes, (pairs // (n + 2), pairs % (n + 2)), rng.integers(0, 9, len(pairs))))
+    x = pitman_yor.Contexts.of(*map(list, zip(*chunks)))
+    for at, (hashes, pairs, k) in zip(x.parts, chunks):
+        assert (np.diff(at) > 0).all() and (at == x.places(hashes, *pairs)).all() and (x.k[at] >= k).all()
+    x.sweep(np.full(len(x.hashes), 0.01), 0.4, rng)
+    x.sum = rng.random(len(x.code)).astype(np.float32)
+    y = pitman_yor.Contexts.unpack(x.pack(), x.pack_seats())
+    assert (y.t == x.t).all() and (y.k == x.k).all() and np.abs(y.sum / x.sum - 1).max() < 1e-4
